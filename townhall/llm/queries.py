@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townhall.llm.common import fresh_path
+from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
@@ -23,6 +24,38 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
+OP2_SQL = r"""
+with d as (
+  select row_number() over () rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
+  from documents),
+b as (
+  select item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws
+  from benchmark where text is not null),
+w as (
+  select distinct item_id, n, array_to_string(ws[p:p + n - 1], ' ') g
+  from (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) p from (select *, least(13, len(ws)) n from b where len(ws) > 0))),
+g as (
+  select rid, n, p, array_to_string(ws[p:p + n - 1], ' ') g
+  from (select rid, ws, n, unnest(range(1, len(ws) - n + 2)) p from d, (select distinct n from w))),
+m as (select rid, n, p, item_id from g join w using (n, g)),
+h as (select rid, count(distinct q) n_hit from (select rid, unnest(range(p, p + n)) q from m) group by rid),
+i as (select rid, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) s from m group by rid)
+select doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from d left join h using (rid) left join i using (rid)
+"""
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -36,10 +69,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_decontamination": op2_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
         "op9_token_files": op9_token_files,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
