@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from townhall.llm.common import fresh_path
 from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.near_dup import near_duplicates
+from townhall.llm.secrets import ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
 
@@ -60,6 +61,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == ORDER.index(kind))).cast("long")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.col("copied").cast("long").alias("n_copied"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -71,6 +82,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
+        "op6_secret_scan": op6_secret_scan,
         "op9_token_files": op9_token_files,
     }
 
