@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townhall.llm.common import fresh_path
+from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.secrets import ORDER, secrets, span_text
@@ -61,6 +62,24 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = """
+with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
+c as (
+  select conv_id, count(*) n_turns, list({'r': role, 't': text} order by turn nulls last, role nulls last, text nulls last) turns,
+    string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
+      || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), ''
+      order by turn nulls last, role nulls last, text nulls last) chat
+  from t group by conv_id),
+u as (select turns, min(conv_id) conv_id, count(*) copies, any_value(n_turns) n_turns, any_value(chat) chat from c group by turns)
+select conv_id, n_turns, copies, chat from u a
+where not exists (select 1 from u b where b.n_turns > a.n_turns and b.turns[1] = a.turns[1] and b.turns[1:a.n_turns] = a.turns)
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == ORDER.index(kind))).cast("long")
@@ -82,10 +101,11 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_chat_format": op5_chat_format,
         "op6_secret_scan": op6_secret_scan,
         "op9_token_files": op9_token_files,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL}
