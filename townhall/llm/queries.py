@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm.common import fresh_path
+from townhall.llm.common import fresh_path, learn_split
 from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import contaminated, contamination
+from townhall.llm.language_id import predict_language, train_language_model
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.secrets import ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
@@ -90,6 +91,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs.select("doc_id", "text"), train_language_model(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", learn_split("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -103,6 +110,7 @@ def queries() -> dict:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_chat_format": op5_chat_format,
         "op6_secret_scan": op6_secret_scan,
+        "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
     }
 
