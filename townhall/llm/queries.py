@@ -14,8 +14,10 @@ from townhall.llm.near_dup import near_duplicates
 from townhall.llm.secrets import ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
+from townhall.llm.toxicity import score_toxicity, train_toxicity
 
 TOKEN_LIMIT = 4096
+TOXIC_FROM = 0.7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,12 @@ from d left join h using (rid) left join i using (rid)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", learn_split("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -107,6 +115,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_chat_format": op5_chat_format,
         "op6_secret_scan": op6_secret_scan,
