@@ -11,6 +11,7 @@ from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.language_id import predict_language, train_language_model
 from townhall.llm.near_dup import near_duplicates
+from townhall.llm.nearest import nearest
 from townhall.llm.secrets import ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
@@ -99,6 +100,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict_language(docs.select("doc_id", "text"), train_language_model(docs.select("doc_id", "text", "lang")))
@@ -119,6 +124,7 @@ def queries() -> dict:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_chat_format": op5_chat_format,
         "op6_secret_scan": op6_secret_scan,
+        "op7_nearest": op7_nearest,
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
     }
