@@ -62,3 +62,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+#: Rows of a table of a few numbers each that may be sent to every task.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(narrow: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """narrow (a few numbers a row), written once, to be broadcast if it is counted to have at most so many
+    rows; beyond that it is joined by shuffle."""
+    written = materialize(narrow, name)
+    return F.broadcast(written) if written.count() <= rows else written

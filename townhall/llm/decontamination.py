@@ -25,7 +25,7 @@ WINDOW = 13
 SHARD_BYTES = 2 << 20
 #: Words of benchmark items that one search holds; a larger benchmark is searched in blocks of items.
 BLOCK_WORDS = 500_000
-INDEX_SCHEMA = "shard string, term binary, docs array<int>, positions array<int>, ids array<long>"
+INDEX_SCHEMA = "shard string, term binary, docs array<int>, positions array<int>, ids array<long>, hashes array<long>"
 #: Bytes as words hold them: A-Z in lower case, and blanks for all that isn't a word's.
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -72,8 +72,9 @@ def _index(terms_of: dict[bytes, int] | None):
                     pa.ListArray.from_arrays(runs, pa.array(np.concatenate([np.arange(docs, dtype=np.int32), doc]))),
                     pa.ListArray.from_arrays(runs, pa.array(np.concatenate([np.array(lengths, dtype=np.int32), place]))),
                     pa.array([ids, *[None] * n], pa.list_(pa.int64())),
+                    pa.array([b.column("text_hash").to_pylist(), *[None] * n], pa.list_(pa.int64())),
                 ],
-                ["shard", "term", "docs", "positions", "ids"],
+                ["shard", "term", "docs", "positions", "ids", "hashes"],
             )
             number += 1
 
@@ -95,7 +96,7 @@ def build_index(docs: DataFrame, path: str, only: list[bytes] | None = None) ->
     only: the terms to index (those of the phrases to come); all terms if None. A null text has no
     words; its document is listed all the same. Null ids and repeated rows each stay a document.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     terms = None if only is None else {t: i for i, t in enumerate(only)}
     rows.mapInArrow(_index(terms), INDEX_SCHEMA).write.parquet(path)
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
@@ -106,7 +107,7 @@ class Shard:
 
     def __init__(self, rows: pd.DataFrame):
         head = rows[rows["term"].isna()].iloc[0]
-        self.ids, self.lengths = list(head["ids"]), np.asarray(head["positions"], dtype=np.int64)
+        self.ids, self.hashes, self.lengths = list(head["ids"]), np.asarray(head["hashes"], dtype=np.int64), np.asarray(head["positions"], dtype=np.int64)
         self.postings = {
             bytes(t): (np.asarray(d, dtype=np.int64) << 32) + np.asarray(p, dtype=np.int64)
             for t, d, p in zip(rows["term"], rows["docs"], rows["positions"], strict=True)
@@ -179,7 +180,7 @@ def _search(windows: Windows):
         shard = Shard(rows)
         hit, found = windows.hits(shard)
         return pd.DataFrame({
-            "shard": rows["shard"].iloc[0], "doc": np.arange(len(shard.ids)), "doc_id": pd.array(shard.ids, dtype="Int64"), "n_words": shard.lengths,
+            "shard": rows["shard"].iloc[0], "doc": np.arange(len(shard.ids)), "doc_id": pd.array(shard.ids, dtype="Int64"), "text_hash": shard.hashes, "n_words": shard.lengths,
             "hit": [np.packbits(h.astype(bool)).tobytes() if len(h) else None for h in hit],
             "items": [sorted(str(i) for i in f if i is not None) for f in found],
         })
@@ -213,7 +214,7 @@ def _joined_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items for every document: words covered by occurrences of benchmark
+    """doc_id, text_hash, n_words, n_hit, items for every document: words covered by occurrences of benchmark
     windows (window words of an item in a row; all of a shorter item), and the items they are of.
 
     docs: doc_id, text; benchmark: item_id, text; other columns don't matter. Null texts have no words
@@ -231,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for items in chain([first], [second] if second is not None else [], blocks):
         windows = Windows(items, window)
         index = build_index(docs, fresh_path(spark, "positional-index"), windows.terms)
-        schema = "shard string, doc int, doc_id long, n_words long, hit binary, items array<string>"
+        schema = "shard string, doc int, doc_id long, text_hash long, n_words long, hit binary, items array<string>"
         parts.append(index.groupBy("shard").applyInPandas(_search(windows), schema))
     if len(parts) == 1:
         each = parts[0].withColumn("hits", F.array_compact(F.array("hit")))
@@ -239,9 +240,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         each = parts[0]
         for p in parts[1:]:
             each = each.unionByName(p)
-        each = each.groupBy("shard", "doc", "doc_id", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = each.select("doc_id", "n_words", F.array_sort("items").alias("items"), "hits")
-    return out.mapInPandas(_joined_bits, "doc_id long, n_words long, items array<string>, n_hit long").select("doc_id", "n_words", "n_hit", "items")
+        each = each.groupBy("shard", "doc", "doc_id", "text_hash", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = each.select("doc_id", "text_hash", "n_words", F.array_sort("items").alias("items"), "hits")
+    schema = "doc_id long, text_hash long, n_words long, items array<string>, n_hit long"
+    return out.mapInPandas(_joined_bits, schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
 
 
 def contaminated() -> Column:

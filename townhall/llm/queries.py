@@ -16,6 +16,7 @@ from townhall.llm.secrets import ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
 from townhall.llm.toxicity import score_toxicity, train_toxicity
+from townhall.llm.transducer import round_trip
 
 TOKEN_LIMIT = 4096
 TOXIC_FROM = 0.7
@@ -116,6 +117,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ranges(spark, path)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -127,6 +132,7 @@ def queries() -> dict:
         "op7_nearest": op7_nearest,
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
