@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from townhall.plans import reports  # noqa: F401
 from townhall.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
