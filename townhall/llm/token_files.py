@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,24 @@ from pyspark.sql.window import Window
 
 from townhall.llm.common import slices
 
-#: Words whose ids a Python worker remembers; past it, it forgets all and begins anew.
-REMEMBERED = 1_000_000
+#: Words, and their characters, that a Python worker remembers; past either, it forgets all and begins anew.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 32_000_000
 STRIPE_BYTES = 16 << 20
-#: Beyond these characters case and composition depend on neighbours; such texts go to the library whole.
-UNUSUAL = re.compile("[^\x00-Ʌ]|<\\|")
-#: A full stop or comma after a letter and before white space stands alone for the tokenizer.
-STOP = re.compile("(?<=[a-zß-öø-ȳ])([.,])(?=[ \n]|$)")
+#: Beyond these characters case and composition depend on neighbours; such texts keep their words as they are.
+UNUSUAL = re.compile("[^\x00-\u0245]|<\\|")
+#: Marks between a letter and white space stand alone for the tokenizer; an apostrophe may not.
+MARKS = re.compile("(?<=[a-zß-öø-ȳ])([!-&(-/:-@\\[-`{-~]+)(?=[ \n]|$)")
+
+
+class _Numbered(dict):
+    """Words by the order in which they came; the new ones are listed, too."""
+
+    new: list[str]
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
 
 
 class _WordIds:
@@ -39,48 +51,67 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(ends.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in ends.items() if t.endswith("</w>")]] = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.at, self.chars = _Numbered(), 0
+        self.at.new = []
         self.ids = np.zeros(1 << 20, dtype=np.int32)
-        self.start = np.zeros(REMEMBERED + 2, dtype=np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n, to = len(self.at), int(self.start[len(self.at)])
-            flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in found])
+        self.start = np.zeros(1 << 16, dtype=np.int64)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def sizes_and_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, many words of letters only to a text: each of those ends where its last piece does."""
+        lettered = [w.isalpha() for w in words]
+        plain = [w for w, x in zip(words, lettered, strict=True) if x]
+        joined = self.encoded([" ".join(plain[k : k + 256]) for k in range(0, len(plain), 256)])
+        flat = np.fromiter(chain.from_iterable(joined), dtype=np.int32)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(plain):
+            found = self.encoded(words)
+            return np.array([len(x) for x in found], dtype=np.int64), np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        rest = self.encoded([w for w, x in zip(words, lettered, strict=True) if not x])
+        x = np.array(lettered, dtype=bool)
+        sizes = np.empty(len(words), dtype=np.int64)
+        sizes[x] = np.diff(ends, prepend=0)
+        sizes[~x] = [len(r) for r in rest]
+        ids, of_plain = np.empty(int(sizes.sum()), dtype=np.int32), np.repeat(x, sizes)
+        ids[of_plain] = flat
+        ids[~of_plain] = np.fromiter(chain.from_iterable(rest), dtype=np.int32)
+        return sizes, ids
+
+    def learn(self) -> None:
+        words, self.at.new = self.at.new, []
+        for k in range(0, len(words), 16_384):
+            sizes, flat = self.sizes_and_ids(words[k : k + 16_384])
+            n = len(self.at) - len(words) + k
+            to = int(self.start[n])
             while to + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while n + len(sizes) + 1 > len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.ids[to : to + len(flat)] = flat
-            self.start[n + 1 : n + 1 + len(part)] = to + np.cumsum([len(x) for x in found])
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            self.start[n + 1 : n + 1 + len(sizes)] = to + np.cumsum(sizes)
+        self.chars += sum(map(len, words))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if UNUSUAL.search(t) else STOP.sub(r" \1", t.lower()).replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in self.at})
-        if len(self.at) + len(new) > REMEMBERED:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and the ids of all."""
+        if len(self.at) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
-            new = list({w for ws in words if ws for w in ws if w})
-        out = []
-        if len(new) >= REMEMBERED:  # one text of that many words: no use in remembering
-            return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int32) for t in texts]
-        self.learn(new)
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32))
-                continue
-            at = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-            begin = self.start[at]
-            size = self.start[at + 1] - begin
-            before = np.cumsum(size) - size
-            out.append(self.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))])
-        return out
+        words = [(t if UNUSUAL.search(t) else MARKS.sub(r" \1", t.lower())).replace("\n", " ").split(" ") for t in texts]
+        n_words = np.array([len(ws) for ws in words])
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(n_words.sum()))
+        self.learn()
+        begin = self.start[at]
+        size = self.start[at + 1] - begin
+        before = np.cumsum(size) - size
+        ids = self.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+        return np.add.reduceat(size, np.cumsum(n_words) - n_words), ids
 
 
 _held: dict[str, _WordIds] = {}
@@ -96,13 +127,14 @@ def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
         for b in slices(batches, "text"):
-            found = words.encode([t or "" for t in b.column("text").to_pylist()])
-            sizes = np.array([len(x) + 1 for x in found], dtype=np.int64)
-            flat = np.full(int(sizes.sum()), end_id, dtype=np.int32)
-            keep = np.ones(len(flat), dtype=bool)
-            keep[np.cumsum(sizes) - 1] = False
-            flat[keep] = np.concatenate(found)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+            n, found = words.encode([t or "" for t in b.column("text").to_pylist()])
+            sizes = n + 1
+            ends = np.cumsum(sizes)
+            flat = np.empty(int(ends[-1]), dtype=np.int32)
+            of_text = np.ones(len(flat), dtype=bool)
+            of_text[ends - 1] = False
+            flat[of_text], flat[ends - 1] = found, end_id
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("n"), pa.array(sizes), ids], ["part", "doc_id", "n", "n_tokens", "ids"])
 
     return encode
