@@ -23,9 +23,10 @@ def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(backwards)).filter("rn = 1").drop("rn")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str, str], order: list[Column]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str, str], order: list[Column], version: str | None = None) -> DataFrame:
     """All keys of both sides with each column as its policy says, and `state`: kept, seen or new.
 
+    version: a column of the policies; a row with a lesser one than the old row's came late and overwrites nothing.
     New rows of one key count once, the first by `order`. Merging the same rows again changes nothing.
     A null key equals a null key."""
     latest = last_of(new, keys, order).select(*(F.col(c).alias(f"new_{c}") for c in [*keys, *policies]), F.lit(True).alias("new_there"))
@@ -33,7 +34,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], policies: dict[str,
     on = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
     both = before.join(latest, on, "full_outer")
     was, comes = F.col("old_there").isNotNull(), F.col("new_there").isNotNull()
-    value = {c: F.when(was, POLICIES[p](F.col(c), F.col(f"new_{c}"), comes)).otherwise(F.col(f"new_{c}")) for c, p in policies.items()}
+    fresh = comes if version is None else comes & F.coalesce(F.col(f"new_{version}") >= F.col(version), F.lit(True))
+    value = {c: F.when(was, POLICIES[p](F.col(c), F.col(f"new_{c}"), fresh)).otherwise(F.col(f"new_{c}")) for c, p in policies.items()}
     state = F.when(was & comes, "seen").when(comes, "new").otherwise("kept")
     return both.select(*(F.when(was, F.col(k)).otherwise(F.col(f"new_{k}")).alias(k) for k in keys), *(v.alias(c) for c, v in value.items()), state.alias("state"))
 

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from townhall.plans import feeds, records, reports  # noqa: F401
+from townhall.plans import events, extraction, feeds, records, reports  # noqa: F401
 from townhall.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

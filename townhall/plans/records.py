@@ -255,12 +255,12 @@ def source_priority(spark, d):
 @query("election_results", """select office, winner, votes, runner_up, votes - next_v margin, total, candidates from (
   select l_orderkey office, arg_max(l_suppkey, v) filter (rn = 1) winner, max(v) filter (rn = 1) votes, max(l_suppkey) filter (rn = 2) runner_up, max(v) filter (rn = 2) next_v, sum(v)::bigint total, count(*) candidates
   from (select *, row_number() over (partition by l_orderkey order by v desc, l_suppkey) rn, count(*) over (partition by l_orderkey, v) ties from (
-    select l_orderkey, l_suppkey, sum(cast(l_extendedprice as bigint))::bigint v from lineitem where l_returnflag <> 'N' group by 1, 2)) group by l_orderkey having max(case when rn = 1 then ties end) = 1)""")
+    select l_orderkey, l_suppkey, sum(cast(floor(l_extendedprice) as bigint))::bigint v from lineitem where l_returnflag <> 'N' group by 1, 2)) group by l_orderkey having max(case when rn = 1 then ties end) = 1)""")
 def election_results(spark, d):
     """Winner, runner-up, margin and total of each office; a tie at the top is no result; 'N' plays none of the above."""
     from pyspark.sql.window import Window
 
-    votes = view(spark, d, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("office"), "l_suppkey").agg(F.sum(F.round("l_extendedprice").cast("bigint")).alias("v"))
+    votes = view(spark, d, "lineitem").filter("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("office"), "l_suppkey").agg(F.sum(F.floor("l_extendedprice")).alias("v"))
     office = Window.partitionBy("office")
     ranked = votes.withColumn("rn", F.row_number().over(office.orderBy(F.desc("v"), "l_suppkey"))).withColumn("ties", F.count("*").over(Window.partitionBy("office", "v")))
     at = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c)))
