@@ -8,16 +8,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
     """Decomposed texts; only for rows that aren't ASCII."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks of two short names, for pairs that share a block already."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -12,7 +12,7 @@ POLICIES = {
     "new_else_old": lambda old, new, there: F.coalesce(new, old),
     "old_else_new": lambda old, new, there: F.coalesce(old, new),
     "least": lambda old, new, there: F.least(old, new),
-    "sticky_or": lambda old, new, there: F.coalesce(old, F.lit(False)) | F.coalesce(new, F.lit(False)),
+    "sticky_or": lambda old, new, there: F.coalesce(old | new, old, new),
     "keep": lambda old, new, there: old,
 }
 

@@ -121,14 +121,14 @@ def cluster_numbers(spark, d):
 @query("single_place_tag", with_views("""select item_id, case when count(distinct place) = 1 then min(place) end place from (
   select item_id, case w when 'the' then 'North' when 'der' then 'South' when 'les' then 'West' when 'los' then 'East' end place from (select item_id, unnest(regexp_extract_all(lower(headline), '[a-z]+')) w from items)) group by item_id""", "items"))
 def single_place_tag(spark, d):
-    aliases = view(spark, d, "region").limit(1).select(F.explode(F.create_map(*(F.lit(x) for kv in {"the": "North", "der": "South", "les": "West", "los": "East"}.items() for x in kv))).alias("word", "entry"))
+    aliases = spark.createDataFrame([("the", "North"), ("der", "South"), ("les", "West"), ("los", "East")], "word string, entry string")
     words = view(spark, d, "items").select("item_id", F.explode(F.regexp_extract_all(F.lower("headline"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return L.single_place(words.join(F.broadcast(aliases), "word", "left").withColumnRenamed("entry", "place"), "item_id", "place")
 
 
 @query("lexicon_hits", with_views(r"""select distinct item_id, 'entry ' || w entry from (select item_id, unnest(string_split(lower(regexp_replace(headline, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) w from items) where w in ('the', 'of', 'la', 'der', 'y')""", "items"))
 def lexicon_hits(spark, d):
-    words = view(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, ["the", "of", "la", "der", "y"]))).alias("word"))
+    words = spark.createDataFrame([(w,) for w in ("the", "of", "la", "der", "y")], "word string")
     return L.lexicon_hits(view(spark, d, "items"), words.withColumn("entry", F.concat(F.lit("entry "), "word")), "headline")
 
 
