@@ -147,7 +147,8 @@ def _scan(cb: Codebooks, k: int, rerank: int):
                     at = np.union1d(first, np.flatnonzero(about >= sure - DEVIATIONS * row["spread"] * np.sqrt((q[i] ** 2).sum())))
                     at = at[ids[at] != query]
                     exact = (x[at] * q[i]).sum(1)
-                    best = np.lexsort((ids[at], -exact))[:k]
+                    order = np.lexsort((ids[at], -exact))
+                    best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # the best row of each id
                     out.append((np.full(len(best), query), ids[at][best], exact[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -166,7 +167,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, sample_rows: int =
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable("embedding"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable("embedding")).distinct()  # a repeated row is one
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).orderBy(F.desc("n"), "d").first()
     if sizes is None or not sizes["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
