@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.llm.common import materialize, slices
+from townhall.llm.common import if_small, materialize, slices
 
 WORDS = 5
 UNIVERSE_BITS = 20
@@ -32,8 +32,6 @@ UNIVERSE_BITS = 20
 HALF = 50
 #: Buckets up to this size compare their members of different components directly.
 SMALL_BUCKET = 48
-#: Rows of a narrow list of texts to fetch that may be sent to every task; a longer one is joined by shuffle.
-FETCH_BROADCAST_ROWS = 500_000
 REMEMBERED_WORDS = 400_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -187,9 +185,7 @@ class _Job:
 
     def fetch(self, nodes: DataFrame) -> DataFrame:
         """fp, shingles of the given nodes (fp, text_hash), from their texts."""
-        wanted = materialize(nodes.select("fp", "text_hash"), "wanted")
-        if wanted.count() <= FETCH_BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
+        wanted = if_small(nodes.select("fp", "text_hash"), "wanted")
         found = self.texts.drop("doc_id").join(wanted, "text_hash").mapInArrow(_sets(self.words), "fp long, shingles array<long>")
         # copies of a text give the same row again
         return materialize(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
@@ -222,10 +218,16 @@ class _Job:
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
         return materialize(rooted.join(mixed, "key", "left_semi"), "apart")
 
-    def pairs_by(self, keyed: DataFrame) -> DataFrame:
-        """Likely pairs of different components with one key that weren't tested before."""
+    def pairs_by(self, keyed: DataFrame, placed: bool = False) -> DataFrame:
+        """Likely pairs of different components with one key that weren't tested before.
+
+        placed: keys are shingles with their place in the common order. The first shingle that a similar
+        pair has in common stands so early in both that what is left suffices; a pair goes only by such."""
         x, y = keyed.alias("x"), keyed.alias("y")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") > F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & self.likely("x", "y")
+        if placed:
+            left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+            on = on & (left + 1 >= F.ceil(self.percent * (F.col("x.n") + F.col("y.n")) / (100 + self.percent)))
         pairs = x.join(y, on).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
         return pairs.join(self.tested, ["a", "b"], "left_anti")
 
@@ -240,7 +242,8 @@ class _Job:
         order = Window.partitionBy("fp").orderBy("df", "key")
         spare = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
         ranked = shared.withColumn("place", F.row_number().over(order)).join(one, "fp").join(alone, "fp", "left")
-        return ranked.filter(F.col("place") + F.coalesce("alone", F.lit(0)) <= spare).select("key", "fp", "n", "low", "high", "root")
+        ranked = ranked.withColumn("place", F.col("place") + F.coalesce("alone", F.lit(0)))
+        return ranked.filter(F.col("place") <= spare).select("key", "fp", "n", "low", "high", "root", "place")
 
     def links(self, profiles: DataFrame) -> DataFrame:
         nodes = materialize(
@@ -254,7 +257,7 @@ class _Job:
         small = self.pairs_by(apart.filter(F.col("m") <= SMALL_BUCKET))
         links = links.unionByName(self.confirm(small, nodes))
         apart = self.apart(apart.filter(F.col("m") > SMALL_BUCKET).drop("root"), links)
-        large = self.pairs_by(materialize(self.rare_keys(apart, nodes), "rare-keys"))
+        large = self.pairs_by(materialize(self.rare_keys(apart, nodes), "rare-keys"), placed=True)
         return links.unionByName(self.confirm(large, nodes))
 
 
