@@ -12,7 +12,7 @@ from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.language_id import predict_language, train_language_model
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.nearest import nearest
-from townhall.llm.secrets import ORDER, secrets, span_text
+from townhall.llm.secrets import CANDIDATE, KINDS, ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
 from townhall.llm.toxicity import score_toxicity, train_toxicity
@@ -73,6 +73,21 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP4_SQL = r"""
+with recursive d as (
+  select row_number() over () rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+  from documents),
+s as (select distinct rid, array_to_string(ws[p:p + 4], ' ') g from (select rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) p from d where len(ws) > 0)),
+n as (select rid, count(*) n from s group by rid),
+c as (select a.rid x, b.rid y, count(*) c from s a join s b on a.g = b.g and a.rid < b.rid group by 1, 2),
+l as (select x, y from c join n p on p.rid = x join n q on q.rid = y where 100 * c >= 85 * (p.n + q.n - c)),
+e as (select x a, y b from l union select y, x from l),
+walk as (select rid, rid seen from d union select w.rid, e.b from walk w join e on e.a = w.seen),
+r as (select w.rid, min(o.doc_id) component_id from walk w join d o on o.rid = w.seen group by w.rid)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id is not distinct from component_id kept from d join r using (rid) left join n using (rid)
+"""
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -101,6 +116,31 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans_sql(kind: int, name: str, pattern: str, group: int, least: int, more: str = "true") -> str:
+    return f"""select rid, {kind} kind, '{name}' nm, st, st + length(f) til, v from (
+      select rid, found[i] f, vals[i] v, coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) st
+      from (select rid, string_split_regex(t, '{pattern}') pieces, regexp_extract_all(t, '{pattern}', 0) found, regexp_extract_all(t, '{pattern}', {group}) vals, unnest(range(1, len(found) + 1)) i from d))
+      where length(v) >= {least} and {more}"""
+
+
+_RANDOM = "regexp_matches(v, '[0-9].*[0-9].*[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') and 2 * len(list_distinct(string_split(v, ''))) >= least(length(v), 40)"
+_BASE = " union all ".join(_spans_sql(i, k, p.replace("'", "''"), g, n) for i, (k, (p, n, g)) in enumerate(KINDS.items()))
+OP6_SQL = f"""
+with d as (select row_number() over () rid, doc_id, coalesce(source, '') as owner, coalesce(text, '') t from documents),
+b as ({_BASE}),
+c as ({_spans_sql(3, 'owned', CANDIDATE, 0, 20, _RANDOM)}),
+a as (select * from b union all select * from c),
+o as (select v, count(distinct owner) owners from a join d using (rid) group by v),
+x as (select rid, kind, nm, st, til from c join o using (v) where owners <= 1 and not exists (select 1 from b where b.rid = c.rid and b.til > c.st and b.st < c.til)),
+s as (select rid, string_agg(nm || ':' || st || ':' || til, ',' order by st, kind, til) all_spans from (select rid, kind, nm, st, til from b union all select * from x) group by rid),
+f as (select rid, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex, string_agg(nm || ':' || st || ':' || til, ',' order by st, kind, til) base_spans from b group by rid),
+k as (select rid, count(*) n from (select distinct rid, kind, st, til from a join o using (v) where owners > 1) group by rid)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex, sha256(coalesce(base_spans, '')) base_sha256,
+  coalesce(all_spans, '') spans, coalesce(k.n, 0)::bigint n_copied
+from d left join f using (rid) left join s using (rid) left join k using (rid)
+"""
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -137,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": OP2_SQL, "op5_chat_format": OP5_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_secret_scan": OP6_SQL}
