@@ -208,7 +208,7 @@ def _some_runs(k: int):
 def training_runs(docs: DataFrame, sample_docs: int, sample_runs: int) -> tuple[list[bytes], list[str]]:
     """Runs and their languages from about sample_docs learning documents of each language, chosen by the hash of
     the id, and sample_runs runs of each; so many and no more reach the driver."""
-    learn = docs.filter("lang is not null and text is not null").filter(~learn_split("doc_id"))
+    learn = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~learn_split("doc_id"))
     counts = learn.groupBy("lang").count().withColumnRenamed("lang", "l")  # a row for each language
     h = F.xxhash64("doc_id", F.lit("sample"))
     dealt = learn.join(F.broadcast(counts), F.col("lang") == F.col("l")).filter(F.pmod(h, F.lit(1 << 40)) < F.lit(sample_docs) / F.col("count") * (1 << 40))
