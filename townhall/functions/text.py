@@ -148,3 +148,40 @@ def saved_places(text: Column | str, most: int = 5) -> Column:
     """Valid "level:code" entries of a JSON array of strings, the first `most`."""
     entries = F.from_json(_col(text), "array<string>")
     return F.slice(F.filter(F.coalesce(entries, F.array().cast("array<string>")), lambda e: e.rlike("^(ac|pc|district):[0-9]+$")), 1, most)
+
+
+#: Names that are offices, not departments.
+OFFICE_WORDS = "(?i)^(governor|speaker|deputy speaker|chief minister|ஆளுநர்|சபாநாயகர்|முதலமைச்சர்|முதல்வர்)$"
+
+
+def is_office(name: Column | str) -> Column:
+    return F.coalesce(F.trim(_col(name)).rlike(OFFICE_WORDS), F.lit(False))
+
+
+def tidied(text: Column | str) -> Column:
+    """Without [n] markers, and with escaped quotation marks as plain ones."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_col(text), r'\\"', '"'), r"\s*\[\d+\]", ""))
+
+
+def position_class(position: Column | str, is_chief: Column) -> Column:
+    """cm, deputy or minister."""
+    return F.when(F.coalesce(is_chief, F.lit(False)), "cm").when(_col(position).rlike(r"(?i)\bdeputy\b|துணை"), "deputy").otherwise("minister")
+
+
+def department_entries(portfolios: Column | str) -> Column:
+    """Names of portfolios in any of three shapes: a JSON string, an array of strings, an array of objects with name."""
+    p = _col(portfolios)
+    objects = F.transform(F.from_json(p, "array<struct<name:string>>"), lambda x: x["name"])
+    strings = F.from_json(p, "array<string>")
+    text = F.from_json(F.concat(F.lit('{"v":'), p, F.lit("}")), "v string")["v"]
+    return F.when(p.rlike(r"^\s*\[\s*\{"), objects).when(p.rlike(r"^\s*\["), strings).when(text.isNotNull() & (text != ""), F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def ratio_or_none(value: Column | str) -> Column:
+    """A published ratio; 0.0 means that there is none."""
+    return F.nullif(_col(value), F.lit(0.0))
+
+
+def count_or_zero(text: Column | str) -> Column:
+    """A published count; a blank means 0."""
+    return F.coalesce(F.nullif(F.trim(_col(text)), F.lit("")).try_cast("bigint"), F.lit(0))
