@@ -16,7 +16,7 @@ from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.language_id import CONFIDENT, UNDETERMINED, predict_language, train_language_model
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.secrets import redacted, secrets
-from townhall.llm.transducer import decode_pieces, encode_pieces
+from townhall.llm.transducer import checked_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR = 80
@@ -59,11 +59,8 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, piece_ids, n_pieces, same: the encoded corpus; same: decoding gives the text again."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs.select("doc_id", F.col("lang"), "source", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode_pieces(encode_pieces(rows, model), model)
-    same = F.replace("text", F.lit("▁"), F.lit(" ")) == F.col("decoded")
-    return back.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("same"))
+    checked = checked_pieces(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return checked.select("doc_id", "lang", "source", "piece_ids", "n_pieces", "same")
 
 
 STAGES = [

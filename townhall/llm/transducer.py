@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from townhall.llm.common import slices
 
 MARK = "▁"
-REMEMBERED_PARTS, REMEMBERED_PAIRS = 800_000, 2_000_000
+REMEMBERED_PARTS, REMEMBERED_PAIRS = 600_000, 500_000
 INFINITE = float("inf")
+#: Text bytes that a worker encodes at a time.
+SLICE = 1 << 20
 
 
 class Transducer:
@@ -54,14 +56,30 @@ class Transducer:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL or p.type == kinds.USER_DEFINED else b"" for p in spec.pieces]
         self.surface[self.unknown] = " ⁇ ".encode()
-        #: Every beginning of a piece; one that is no piece itself can't be taken.
-        self.trie = {p[:k]: self.arcs.get(p[:k], (-1, INFINITE)) for p in self.arcs for k in range(1, len(p) + 1)}
+        #: The pieces' trie: a character leads to (children, piece or -1, weight).
+        self.trie: dict[str, tuple] = {}
+        for piece, (number, weight) in sorted(self.arcs.items()):
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, -1, INFINITE))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({},))[0], number, weight)
         worst = max(w for _, w in self.arcs.values())
         self.fallback = max(10.0, worst + 10.0)  # dearer than any piece
-        self.pairs: dict[tuple[int, int], bool] = {}
-        parted = all(MARK not in p.lstrip(MARK) for p in self.arcs)
-        lines = all("\n" not in p for p in self.arcs)
-        self.part = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if parted and lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if parted else "(?s).+")
+        self.pairs: dict[int, bool] = {}
+        self.part = re.compile(self.parting())
+
+    def parting(self) -> str:
+        """A pattern of parts that no piece crosses: marks begin one, and so does each run of signs (and each
+        run of others after it) if no piece has a sign beside anything else."""
+        joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
+        if any(x[1] == MARK != x[0] for x in joined):
+            return "(?s).+"
+        alone = {c for c in map(chr, range(128)) if not c.isalnum()}
+        signs = "".join(sorted(c for c in alone if all(x[0] in alone and x[1] in alone for x in joined if c in x)))
+        if not signs:
+            return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        s = re.escape(signs)
+        return f"{MARK}*[^{MARK}{s}]+|{MARK}+|[{s}]+"
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -85,32 +103,33 @@ class Transducer:
         return parts
 
     def beside(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a; -1 and bytes have no say."""
-        if a < 0 or not self.merges:
-            return True
-        ok = self.pairs.get((a, b))
+        """Whether piece b may follow piece a."""
+        ok = self.pairs.get(a << 32 | b)
         if ok is None:
             if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs.clear()
             x, y = self.pieces[a], self.pieces[b]
-            ok = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            ok = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
     def shortest(self, part: str) -> list[int]:
         """The piece ids of the shortest path through the lattice of one part of a normalised text."""
-        n, step, pairs, merges, beside = len(part), self.trie.get, self.pairs, self.merges, self.beside
+        n, root, pairs, merges, beside = len(part), self.trie, self.pairs, self.merges, self.beside
         distance, back, last = [0.0] + [INFINITE] * n, [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
             here, before = distance[i], last[i]
             if here == INFINITE:
                 continue
-            for j in range(i + 1, n + 1):
-                arc = step(part[i:j])
-                if arc is None:  # no piece goes on like this
+            free, kids, j = before < 0 or not merges, root, i
+            while j < n:
+                node = kids.get(part[j])
+                if node is None:  # no piece goes on like this
                     break
-                piece, weight = arc
-                if here + weight < distance[j]:
-                    ok = not merges or before < 0 or pairs.get((before, piece))
+                j += 1
+                kids, piece, weight = node
+                # of a merge model one path of finite weight leads to a place, so a second arc needn't be tried
+                if piece >= 0 and (distance[j] == INFINITE if merges else here + weight < distance[j]):
+                    ok = free or pairs.get(before << 32 | piece)
                     if ok or (ok is None and beside(before, piece)):
                         distance[j], back[j], last[j] = here + weight, i, piece
             if part[i] not in self.arcs and here + self.fallback < distance[i + 1]:
@@ -180,26 +199,52 @@ def _parts(path: str) -> _Parts:
     return _solved[path]
 
 
+def _ids_of(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, and where each text's begin and the last one's end."""
+    machine, known = _machine(path), _parts(path)
+    parts = [machine.part.findall(machine.normalised(t)) for t in texts]
+    n = np.array([len(p) for p in parts])
+    at = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+    del parts
+    known.solve()
+    begin = known.start[at]
+    size = known.start[at + 1] - begin
+    before = np.cumsum(size) - size
+    ids = known.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+    return ids, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+
+
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(path)
-        for b in slices(batches, "text"):
-            known = _parts(path)
-            parts = [machine.part.findall(machine.normalised(t or "")) for t in b.column("text").to_pylist()]
-            n = np.array([len(p) for p in parts])
-            at = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
-            known.solve()
-            begin = known.start[at]
-            size = known.start[at + 1] - begin
-            before = np.cumsum(size) - size
-            ids = known.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
-            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+        for b in slices(batches, "text", SLICE):
+            ids, ends = _ids_of(path, [t or "" for t in b.column("text").to_pylist()])
             column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, "piece_ids"])
 
     return encode
 
 
+def _checked(path: str, with_ids: bool):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(path)
+        for b in slices(batches, "text", SLICE):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            ids, ends = _ids_of(path, texts)
+            little, flat = ids.astype("<u4", copy=False), ids.tolist()
+            runs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            same = [machine.decode(flat[s:e]) == t.replace(MARK, " ") for (s, e), t in zip(runs, texts, strict=True)]
+            crc = [zlib.crc32(memoryview(little[s:e])) for s, e in runs]
+            keep = [c for c in b.schema.names if c != "text"]
+            columns = [*(b.column(c) for c in keep), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same)]
+            names = [*keep, "n_pieces", "ids_crc32", "same"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
+                names.append("piece_ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return check
+
+
 def _decode(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
@@ -230,25 +275,16 @@ def decode_pieces(ids: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(_decode(model), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column("piece_ids")
-        flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(memoryview(flat[s:e])) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        keep = [c for c in b.schema.names if c not in ("piece_ids",)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], [*keep, "n_pieces", "ids_crc32"])
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """encoded with n_pieces and the checksum of the ids (little-endian, 32 bits) for piece_ids."""
-    rows = encoded
-    fields = [f for f in rows.schema.fields if f.name != "piece_ids"]
-    return rows.mapInArrow(_digest, T.StructType([*fields, T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
+def checked_pieces(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
+    """docs (any columns, among them text) without text, and with n_pieces, ids_crc32 (of the ids, little-endian, 32
+    bits), same (whether decoding the ids gives the text again) and, if asked for, piece_ids; all in one pass."""
+    made = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("same", T.BooleanType())]
+    made += [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    rows = docs.drop(*(f.name for f in made))
+    return rows.mapInArrow(_checked(model, with_ids), T.StructType([*(f for f in rows.schema.fields if f.name != "text"), *made]))
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, same: every text encoded and decoded again; same: the text came back."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    back = decode_pieces(encode_pieces(rows, model), model)
-    compared = back.select("doc_id", (F.replace("text", F.lit(MARK), F.lit(" ")) == F.col("decoded")).alias("same"), "piece_ids")
-    return digests(compared).select("doc_id", "n_pieces", "ids_crc32", "same")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return checked_pieces(rows, model, with_ids=False)
