@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +46,23 @@ def learn_split(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_holding: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, forget: Callable[[], None]) -> None:
+    """Tells a Python worker that it is about to remember things for an operator; what it remembers for others goes.
+
+    Workers live on from stage to stage, and their memories would add up."""
+    if name not in _holding:
+        for f in _holding.values():
+            f()
+        _holding.clear()
+        _holding[name] = forget
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed pages go back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with about `limit` bytes of `column` each."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm.common import fresh_path, materialize, slices
+from townhall.llm.common import fresh_path, hold, materialize, slices
 
 WINDOW = 13
 #: Text bytes of a shard.
@@ -85,6 +85,7 @@ _named: dict[int, tuple[dict, list]] = {}
 
 
 def _names(terms: dict[bytes, int]) -> list[bytes]:
+    hold("decontamination", _named.clear)
     if id(terms) not in _named:
         _named[id(terms)] = (terms, list(terms))
     return _named[id(terms)][1]
@@ -156,7 +157,7 @@ class Windows:
 
     def hits(self, shard: Shard) -> tuple[list[np.ndarray], list[set]]:
         """For each document of the shard, which words any window covers and which items have one there."""
-        hit = [np.zeros(0)] * len(shard.ids)
+        hit = [np.zeros(0, dtype=bool)] * len(shard.ids)
         marks: dict[int, np.ndarray] = {}
         found: list[set] = [set() for _ in shard.ids]
         count = np.array([len(shard.postings.get(t, ())) for t in self.terms])
@@ -181,6 +182,7 @@ def _search(windows: Windows):
         hit, found = windows.hits(shard)
         return pd.DataFrame({
             "shard": rows["shard"].iloc[0], "doc": np.arange(len(shard.ids)), "doc_id": pd.array(shard.ids, dtype="Int64"), "text_hash": shard.hashes, "n_words": shard.lengths,
+            "n_hit": [int(h.sum()) for h in hit],
             "hit": [np.packbits(h.astype(bool)).tobytes() if len(h) else None for h in hit],
             "items": [sorted(str(i) for i in f if i is not None) for f in found],
         })
@@ -210,7 +212,7 @@ def _joined_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bits = np.frombuffer(m, dtype=np.uint8)
                 total = bits if total is None else total | bits
             n_hit.append(0 if total is None else int(np.unpackbits(total).sum()))
-        yield pdf.drop(columns="hits").assign(n_hit=n_hit)
+        yield pdf[["doc_id", "text_hash", "n_words", "items"]].assign(n_hit=n_hit)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -232,18 +234,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for items in chain([first], [second] if second is not None else [], blocks):
         windows = Windows(items, window)
         index = build_index(docs, fresh_path(spark, "positional-index"), windows.terms)
-        schema = "shard string, doc int, doc_id long, text_hash long, n_words long, hit binary, items array<string>"
+        schema = "shard string, doc int, doc_id long, text_hash long, n_words long, n_hit long, hit binary, items array<string>"
         parts.append(index.groupBy("shard").applyInPandas(_search(windows), schema))
     if len(parts) == 1:
-        each = parts[0].withColumn("hits", F.array_compact(F.array("hit")))
-    else:  # the shards of every block are the same runs of documents
-        each = parts[0]
-        for p in parts[1:]:
-            each = each.unionByName(p)
-        each = each.groupBy("shard", "doc", "doc_id", "text_hash", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    out = each.select("doc_id", "text_hash", "n_words", F.array_sort("items").alias("items"), "hits")
+        return parts[0].select("doc_id", "text_hash", "n_words", "n_hit", F.array_sort("items").alias("items"))
+    each = parts[0]
+    for p in parts[1:]:
+        each = each.unionByName(p)
+    # the shards of every block are the same runs of documents
+    met = each.groupBy("shard", "doc", "doc_id", "text_hash", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     schema = "doc_id long, text_hash long, n_words long, items array<string>, n_hit long"
-    return out.mapInPandas(_joined_bits, schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
+    return met.drop("shard", "doc").mapInPandas(_joined_bits, schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
 
 
 def contaminated() -> Column:

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townhall.llm.common import learn_split, slices
+from townhall.llm.common import hold, learn_split, slices
 
 RUN_BYTES = 24
 UNDETERMINED = "und"
 #: The bound of the training sample: documents of a language, and runs of a document.
 SAMPLE_DOCS, SAMPLE_RUNS = 400, 40
 EMBEDDING, HIDDEN = 16, 16
-REMEMBERED_RUNS = 400_000
+REMEMBERED_RUNS = 250_000
 #: A document stays in the corpus if its language is known with this probability.
 CONFIDENT = 0.3
 
@@ -164,6 +164,7 @@ _read: dict[str, _Read] = {}
 
 
 def _reader(key: str, model: ByteGru) -> _Read:
+    hold("language_id", _read.clear)
     if key not in _read or len(_read[key]) > REMEMBERED_RUNS:
         _read.clear()
         _read[key] = _Read(model)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.llm.common import if_small, materialize, slices
+from townhall.llm.common import hold, if_small, materialize, slices
 
 WORDS = 5
 UNIVERSE_BITS = 20
@@ -32,7 +32,7 @@ UNIVERSE_BITS = 20
 HALF = 50
 #: Buckets up to this size compare their members of different components directly.
 SMALL_BUCKET = 48
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +57,7 @@ _words = _Words()
 
 
 def _known_words() -> _Words:
+    hold("near_dup", _words.clear)
     if len(_words) > REMEMBERED_WORDS:
         _words.clear()
     return _words
@@ -193,14 +194,15 @@ class _Job:
     def confirm(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) with the demanded similarity of their whole sets."""
         pairs = materialize(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         sets = self.fetch(nodes.join(ends, "fp", "left_semi"))
         one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a")
         two = one.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
         common = two.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("i"), (F.size("of_a") + F.size("of_b")).alias("s"))
-        links = materialize(common.filter(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        return links
+        return materialize(common.filter(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
     def centers(self, members: DataFrame) -> DataFrame:
         """Each bucket's members with its center: the one whose buckets are the fullest in sum."""
@@ -254,9 +256,13 @@ class _Job:
         members = materialize(rows.join(full, "key"), "members")
         links = self.confirm(self.centers(members), nodes)
         apart = self.apart(members, links)
+        if apart.isEmpty():
+            return links
         small = self.pairs_by(apart.filter(F.col("m") <= SMALL_BUCKET))
         links = links.unionByName(self.confirm(small, nodes))
         apart = self.apart(apart.filter(F.col("m") > SMALL_BUCKET).drop("root"), links)
+        if apart.isEmpty():
+            return links
         large = self.pairs_by(materialize(self.rare_keys(apart, nodes), "rare-keys"), placed=True)
         return links.unionByName(self.confirm(large, nodes))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.llm.common import slices
+from townhall.llm.common import hold, slices
 
 #: Words, and their characters, that a Python worker remembers; past either, it forgets all and begins anew.
 REMEMBERED, REMEMBERED_CHARS = 1_000_000, 32_000_000
@@ -118,6 +118,7 @@ _held: dict[str, _WordIds] = {}
 
 
 def _word_ids(path: str) -> _WordIds:
+    hold("token_files", _held.clear)
     if path not in _held:
         _held[path] = _WordIds(path)
     return _held[path]

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from townhall.llm.common import slices
+from townhall.llm.common import hold, slices
 
 MARK = "▁"
-REMEMBERED_PARTS, REMEMBERED_PAIRS = 600_000, 500_000
+REMEMBERED_PARTS, REMEMBERED_PAIRS = 400_000, 300_000
 INFINITE = float("inf")
 #: Text bytes that a worker encodes at a time.
 SLICE = 1 << 20
@@ -187,7 +187,13 @@ _machines: dict[str, Transducer] = {}
 _solved: dict[str, _Parts] = {}
 
 
+def _forget() -> None:
+    _solved.clear()
+    _machines.clear()
+
+
 def _machine(path: str) -> Transducer:
+    hold("transducer", _forget)
     if path not in _machines:
         _machines[path] = Transducer(path)
     return _machines[path]
