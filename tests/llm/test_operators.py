@@ -174,6 +174,30 @@ def test_toxicity(spark):
     assert score_toxicity(more, train_toxicity(df, known.filter("false"))).agg(F.max("score")).first()[0] < 0.7
 
 
+def _labelled(spark, plant, clean=lambda i: "", n=900):
+    """Documents of random words, a third of them toxic; plant and clean give what is put into the i-th of either kind."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("nrst") for _ in range(3))
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 3 == 0
+        more = plant(i // 3) if toxic else clean(i)
+        rows.append((i, " ".join([*(word() for _ in range(30)), more, *(word() for _ in range(9))])))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_misspelled_inside_a_stem(spark):
+    forms = ["blockhead", "blockheads", "blockheaded", "blocky", "blockish"]
+    df, known = _labelled(spark, lambda i: f"{forms[i % 5]} {forms[i % 5]} {'blokchy' if i % 9 == 0 else 'blpckish' if i % 9 == 1 else ''}")
+    model = train_toxicity(df, known)
+    assert any("blockhead".startswith(s) for s in model.stems)
+    automaton = Automaton(model.words, model.stems)
+    assert [automaton.read(w) for w in ("blockheads", "blockhead", "blockheadedly")] == [1, 1, 1]
+    assert [automaton.read(w) for w in ("blckhead", "blpckheads", "bloockish", "bluckheaded")] == [2, 2, 2, 2]
+    assert automaton.read("brickhead") == 0
+
+
 def test_automaton_by_force():
     def distance(a, b):
         d = list(range(len(b) + 1))

@@ -26,7 +26,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 12_000
 #: A term is learned if so many, and such a share, of the toxic sample texts have it, and so small a share of the clean ones.
 LEAST_TOXIC, LEAST_SHARE, MOST_CLEAN, LEAST_ODDS = 5, 0.015, 0.002, 20.0
 STEMS = range(4, 9)
-#: Terms shorter than this have to be spelled right; stems match only as they are.
+#: Terms shorter than this have to be spelled right. Stems match only as they are; the words they were learned from tolerate an edit.
 FUZZY_FROM = 5
 WINDOW_WORDS = 6
 REMEMBERED_WORDS = 400_000
@@ -251,8 +251,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None
             best[w[:i]] = max(best.get(w[:i], 0), k)
     stems = {r["term"] for r in found if r["stem"] and r["toxic"] >= 1.3 * best.get(r["term"], 0)}
     stems = {s for s in stems if not any(s[:i] in stems for i in range(min(STEMS), len(s)))}
-    words = sorted({*word_n, *(w.lower() for w in lexicon or [])})
-    words = [w for w in words if not any(w.startswith(s) for s in stems)]
+    # a stem has its words read exactly; each of them is in the lexicon besides, so that an edit inside the stem is one of a word
+    inflected = different.filter("toxic = 1").mapInArrow(_inflected(sorted(stems)), "term string").distinct().collect() if stems else []
+    words = sorted({*word_n, *(w.lower() for w in lexicon or []), *(r["term"] for r in inflected)})
     model = Model(words, sorted(stems), key=uuid.uuid4().hex)
     clean_words = counted.filter("not stem and clean > 0").select("term")
     model.known = sorted(r["term"] for r in clean_words.mapInArrow(_misspelled(model), "term string").collect())
@@ -263,6 +264,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None
     return model
 
 
+def _inflected(stems: list[str]):
+    """term: the words of a slice that begin with a stem."""
+
+    def inflected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton([], stems)
+        for b in slices(batches, "text"):
+            words = {w for text in b.column("text").to_pylist() for w in words_of(text)}
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in words if automaton.read(w) == EXACT], pa.string())], ["term"])
+
+    return inflected
+
+
 def _misspelled(model: Model):
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(model.words, model.stems)
