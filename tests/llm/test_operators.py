@@ -20,7 +20,7 @@ from townhall.llm.nearest import nearest
 from townhall.llm.secrets import redacted, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import read_token_files, token_ranges, write_token_files
-from townhall.llm.toxicity import Automaton, score_toxicity, train_toxicity
+from townhall.llm.toxicity import Automaton, Model, _Read, features, score_toxicity, train_toxicity
 from townhall.llm.transducer import Transducer, decode_pieces, encode_pieces
 
 PIECES = P.path("piece_bpe_32k.model")
@@ -198,6 +198,14 @@ def test_toxicity_misspelled_inside_a_stem(spark):
     assert automaton.read("brickhead") == 0
 
 
+def test_quotations_in_long_texts():
+    model = Model(["blockhead"], [], key="long")
+    passage = 'they wrote "he is a blockhead in every way" and left. '
+    short, long = passage + "z " * 10, "z " * (1 << 19) + passage + "z " * 10
+    got = [features(_Read(model), t) for t in (short, long)]
+    assert len(long) > 1 << 20 and got[0] == got[1] and got[0][3] > 0 and got[0][1] == 0
+
+
 def test_automaton_by_force():
     def distance(a, b):
         d = list(range(len(b) + 1))

@@ -155,7 +155,7 @@ def features(read: _Read, text: str) -> list[float]:
         if not kind:
             continue
         near = words[max(0, i - WINDOW_WORDS) : i] + words[i + 1 : i + 1 + WINDOW_WORDS]
-        opened += sum(text.count(q, at, m.start()) for q in QUOTES) if len(text) < 1 << 20 else 0
+        opened += sum(text.count(q, at, m.start()) for q in QUOTES)
         at = m.start()
         left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         marked = (left in QUOTES and right in QUOTES and left and right) or (opened % 2 == 1 and any(q in text[m.end() : m.end() + 80] for q in QUOTES))
