@@ -206,6 +206,17 @@ def test_quotations_in_long_texts():
     assert len(long) > 1 << 20 and got[0] == got[1] and got[0][3] > 0 and got[0][1] == 0
 
 
+def test_toxicity_known_words_by_their_odds(spark):
+    learned = [i for i in range(900) if i not in {r["id"] for r in spark.range(900).filter(learn_split("id")).collect()}]
+    toxic, other = [i // 3 for i in learned if i % 3 == 0], [i for i in learned if i % 3]
+    clean = {other[0]: "blokhead", **dict.fromkeys(other[1:6], "lockhead"), **dict.fromkeys(other[6:12], 'they wrote "blockheap" here')}
+    df, known = _labelled(spark, lambda i: "blokhead blokhead" if i in toxic[:4] else "blockhead blockhead", lambda i: clean.get(i, ""))
+    model = train_toxicity(df, known)
+    assert model.words == ["blockhead"] and model.known == ["lockhead"]
+    read = _Read(model)
+    assert [read[w] for w in ("blockhead", "blokhead", "blockheap", "lockhead")] == [1, 2, 2, 0]
+
+
 def test_automaton_by_force():
     def distance(a, b):
         d = list(range(len(b) + 1))

@@ -25,6 +25,8 @@ from townhall.llm.common import hold, learn_split, materialize, slices
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 12_000
 #: A term is learned if so many, and such a share, of the toxic sample texts have it, and so small a share of the clean ones.
 LEAST_TOXIC, LEAST_SHARE, MOST_CLEAN, LEAST_ODDS = 5, 0.015, 0.002, 20.0
+#: A word near the lexicon is none of its misspellings if so many clean sample texts use it outside quotation, unless toxic texts do so this much oftener.
+LEAST_KNOWN, KNOWN_ODDS = 2, 4.0
 STEMS = range(4, 9)
 #: Terms shorter than this have to be spelled right. Stems match only as they are; the words they were learned from tolerate an edit.
 FUZZY_FROM = 5
@@ -110,7 +112,7 @@ class Automaton:
 
 
 class _Read(dict):
-    """What the automaton says of words, each read once; words of the clean sample are no misspellings."""
+    """What the automaton says of words, each read once; known words are no misspellings."""
 
     def __init__(self, model: Model):
         super().__init__(dict.fromkeys(model.known, NONE))
@@ -125,7 +127,7 @@ class _Read(dict):
 class Model:
     words: list[str]
     stems: list[str]
-    known: list[str] = field(default_factory=list)  # words one edit from the lexicon that clean documents have
+    known: list[str] = field(default_factory=list)  # words one edit from the lexicon that are words of their own
     weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 0, 0, 0, 0]))
     key: str = ""
 
@@ -141,14 +143,13 @@ def _reader(model: Model) -> _Read:
     return _read[model.key]
 
 
-def features(read: _Read, text: str) -> list[float]:
-    """1, abusive hits, misspelled hits, quoted hits, all as log1p, and whether anything isn't a quotation."""
+def hits(read: _Read, text: str) -> Iterator[tuple[str, int, bool]]:
+    """word, EXACT or FUZZY, and whether it stands in quotation, of each hit of a text."""
     ws = words_of(text)
     if not any(map(read.__getitem__, ws)):
-        return [1.0, 0.0, 0.0, 0.0, 0.0]
+        return
     tokens = list(_TOKEN.finditer(text.lower()))
     words = [m[0].strip("@$*!") for m in tokens]
-    counts = Counter()
     opened, at = 0, 0
     for i, (m, w) in enumerate(zip(tokens, words, strict=True)):
         kind = read[w]
@@ -159,8 +160,12 @@ def features(read: _Read, text: str) -> list[float]:
         at = m.start()
         left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         marked = (left in QUOTES and right in QUOTES and left and right) or (opened % 2 == 1 and any(q in text[m.end() : m.end() + 80] for q in QUOTES))
-        quoted = (2 * bool(marked) + any(x in REPORTING for x in near) - any(x in ADDRESSING for x in near)) >= 2
-        counts["quoted" if quoted else kind] += 1
+        yield w, kind, (2 * bool(marked) + any(x in REPORTING for x in near) - any(x in ADDRESSING for x in near)) >= 2
+
+
+def features(read: _Read, text: str) -> list[float]:
+    """1, abusive hits, misspelled hits, quoted hits, all as log1p, and whether anything isn't a quotation."""
+    counts = Counter("quoted" if quoted else kind for _, kind, quoted in hits(read, text))
     return [1.0, float(np.log1p(counts[EXACT])), float(np.log1p(counts[FUZZY])), float(np.log1p(counts["quoted"])), float(counts[EXACT] > 0)]
 
 
@@ -255,8 +260,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, lexicon: list[str] | None
     inflected = different.filter("toxic = 1").mapInArrow(_inflected(sorted(stems)), "term string").distinct().collect() if stems else []
     words = sorted({*word_n, *(w.lower() for w in lexicon or []), *(r["term"] for r in inflected)})
     model = Model(words, sorted(stems), key=uuid.uuid4().hex)
-    clean_words = counted.filter("not stem and clean > 0").select("term")
-    model.known = sorted(r["term"] for r in clean_words.mapInArrow(_misspelled(model), "term string").collect())
+    near = different.mapInArrow(_near(model), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    model.known = sorted(r["term"] for r in near.filter((F.col("clean") >= LEAST_KNOWN) & (odds < KNOWN_ODDS)).select("term").collect())
+    model.key = uuid.uuid4().hex
     rows = sample.mapInArrow(_features(model), "doc_id long, toxic int, x array<double>").orderBy("doc_id").collect()
     if total.get(1) and total.get(0):
         model.weights = fit_logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float))
@@ -276,13 +282,19 @@ def _inflected(stems: list[str]):
     return inflected
 
 
-def _misspelled(model: Model):
-    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(model.words, model.stems)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in b.column("term").to_pylist() if automaton.read(t) == FUZZY], pa.string())], ["term"])
+def _near(model: Model):
+    """term, toxic, clean: counts of the documents of a slice that have a misspelled hit outside quotation."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            read = _reader(model)
+            n: dict[str, list[int]] = {}
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                for w in {w for w, kind, quoted in hits(read, text) if kind == FUZZY and not quoted}:
+                    n.setdefault(w, [0, 0])[toxic] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([k[1] for k in n.values()], pa.int64()), pa.array([k[0] for k in n.values()], pa.int64())], ["term", "toxic", "clean"])
 
-    return misspelled
+    return near
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
