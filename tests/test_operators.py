@@ -1,5 +1,6 @@
 import datetime as dt
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,19 @@ def test_clusters(spark):
     assert greedy == got
 
 
+def test_greedy_clusters_by_force(spark):
+    rng = random.Random(4)
+    t, n = dt.datetime(2024, 1, 1), 80
+    at = {i: t + dt.timedelta(hours=rng.randrange(40)) for i in range(n)}
+    pairs = [p for p in {tuple(sorted(rng.sample(range(n), 2))) for _ in range(75)}]
+    of = {}
+    for i in sorted(at, key=lambda i: (at[i], i)):
+        of[i] = min((of[x] for p in pairs if i in p for x in p if x in of), default=i)
+    done = E.greedy_clusters(signed(spark, [(i, at[i], [], [], []) for i in at]), spark.createDataFrame([*pairs, (0, 999), (3, 3)], "item_a long, item_b long"))
+    assert {r["item_id"]: r["cluster_id"] for r in done.collect()} == of
+    assert "Pandas" not in done._jdf.queryExecution().toString()  # no component goes to one task
+
+
 def test_long_chain_of_links(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")

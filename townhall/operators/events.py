@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.operators.graph import least_labels
+from townhall.operators.graph import least_labels, written
 
 #: Strings too common to link two stories. Fixed values.
 GENERIC = ["tamil nadu", "தமிழ்நாடு", "tamilnadu", "india", "இந்தியா", "tn"]
@@ -49,27 +48,25 @@ def event_clusters(signed: DataFrame, confirmed: DataFrame) -> DataFrame:
     return least_labels(links, signed.select(F.col("item_id").alias("node"))).select(F.col("node").alias("item_id"), F.col("label").alias("cluster_id"))
 
 
-def greedy_clusters(signed: DataFrame, confirmed: DataFrame, tries: int = 3) -> DataFrame:
-    """item_id, cluster_id by the order of time: an item joins the first of at most `tries` earlier clusters that
-    it has a confirmed pair with; clusters never merge. Components of confirmed pairs don't touch each other,
-    so each is one group; what is sent for a group are ids, times and pairs."""
-    comp = event_clusters(signed, confirmed).select(F.col("item_id").alias("i"), F.col("cluster_id").alias("component"))
-    nodes = signed.select("item_id", "published_at").join(comp, F.col("item_id") == F.col("i")).select("component", "item_id", "published_at", F.lit(None).cast("long").alias("other"))
-    pairs = confirmed.join(comp, F.col("item_a") == F.col("i")).select("component", F.col("item_a").alias("item_id"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("item_b").alias("other"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["other"].isna()].sort_values(["published_at", "item_id"])
-        linked: dict[int, set[int]] = {}
-        for a, b in group[group["other"].notna()][["item_id", "other"]].astype("int64").itertuples(index=False):
-            linked.setdefault(a, set()).add(b)
-            linked.setdefault(b, set()).add(a)
-        of: dict[int, int] = {}
-        for item in own["item_id"]:
-            near = list(dict.fromkeys(of[x] for x in sorted(linked.get(item, ()), key=lambda x: (of.get(x, 0), x)) if x in of))
-            of[item] = near[:tries][0] if near else item
-        return pd.DataFrame({"item_id": list(of), "cluster_id": list(of.values())})
-
-    return nodes.unionByName(pairs).groupBy("component").applyInPandas(run, "item_id long, cluster_id long")
+def greedy_clusters(signed: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """item_id, cluster_id by the order of time: an item joins the first (least) of the clusters of earlier items
+    that it has a confirmed pair with, or else begins one; clusters never merge.
+
+    Pairs lead from the earlier item to the later one, and clusters pass along them in rounds of joins over written
+    tables, of those items only whose cluster changed in the round before. There are as many rounds as pairs on the
+    longest way that a cluster takes."""
+    items = written(signed.groupBy("item_id").agg(F.min(F.struct(F.col("published_at").isNull(), "published_at", "item_id")).alias("at")), "items")
+    a, b = (items.select(F.col("item_id").alias(f"item_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    met = confirmed.select("item_a", "item_b").filter("item_a <> item_b").join(a, "item_a").join(b, "item_b")
+    first = F.col("at_a") < F.col("at_b")
+    links = written(met.select(F.when(first, F.col("item_a")).otherwise(F.col("item_b")).alias("earlier"), F.when(first, F.col("item_b")).otherwise(F.col("item_a")).alias("later")).distinct(), "links")
+    begun = items.join(links, items.item_id == links.later, "left_anti").select("item_id", F.col("item_id").alias("label"))
+    labels = written(items.select("item_id").join(begun, "item_id", "left").select("item_id", "label", F.col("label").isNotNull().alias("changed")), "labels")
+    while labels.filter("changed").limit(1).count():
+        near = links.join(labels.filter("changed").select(F.col("item_id").alias("earlier"), "label"), "earlier").groupBy(F.col("later").alias("item_id")).agg(F.min("label").alias("l"))
+        step = labels.select("item_id", "label").join(near, "item_id", "left").select("item_id", F.least("label", "l").alias("new"), "label")
+        labels = written(step.select("item_id", F.col("new").alias("label"), (~F.col("new").eqNullSafe(F.col("label"))).alias("changed")), "labels")
+    return labels.select("item_id", F.col("label").alias("cluster_id"))
 
 
 def cluster_locality(members: DataFrame) -> DataFrame:
