@@ -14,7 +14,7 @@ from townhall.llm import queries as corpus
 from townhall.llm.common import learn_split
 from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import Shard, build_index, contaminated, contamination, phrase_matches
-from townhall.llm.language_id import ByteGru, predict_language, train_language_model
+from townhall.llm.language_id import RUN_BYTES, ByteGru, has_letter, predict_language, runs_of, train_language_model
 from townhall.llm.near_dup import components, near_duplicates, signatures
 from townhall.llm.nearest import nearest
 from townhall.llm.secrets import redacted, secrets, span_text
@@ -239,6 +239,16 @@ def test_automaton_by_force():
         assert a.read(w) == (1 if w in lexicon else 2 if best <= 1 else 0), w
 
 
+def test_runs_are_cut_between_characters(spark):
+    texts = ["1" * 23 + "é", "1" * 22 + "日", "-" * 21 + "𐐷", "1" * 47 + "é", "ab" + "日本語" * 30, "x" * 24, "x" * 25, "é" * 12, "日" * 8 + "1"]
+    for t in texts:
+        runs = runs_of(t.encode())
+        assert b"".join(runs) == t.encode() and max(map(len, runs)) <= RUN_BYTES
+        assert "".join(r.decode() for r in runs) == t and any(map(has_letter, runs))
+    found = predict_language(spark.createDataFrame(list(enumerate([*texts, "1" * 60])), "doc_id long, text string"), ByteGru(["a", "b"])).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(found, key=lambda r: r["doc_id"])] == [False] * len(texts) + [True]
+
+
 def test_chats(spark):
     t = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, None, None), (None, 0, "user", "a"), (1, 1, "bot", "b"), (5, 0, "user", ""), (6, 0, "user", None), (7, 0, "user", "<|im_end|>")]
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(9))

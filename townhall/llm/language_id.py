@@ -29,11 +29,22 @@ CONFIDENT = 0.3
 
 
 def runs_of(data: bytes) -> list[bytes]:
-    """The runs of bytes between white space, cut into pieces of RUN_BYTES."""
+    """The runs of bytes between white space, cut into pieces of at most RUN_BYTES, between characters."""
     words = data.split()
     if max(map(len, words), default=0) <= RUN_BYTES:
         return words
-    return [w[i : i + RUN_BYTES] for w in words for i in range(0, len(w), RUN_BYTES)]
+    return [piece for w in words for piece in _pieces(w)]
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    out, at = [], 0
+    while len(word) - at > RUN_BYTES:
+        end = at + RUN_BYTES
+        while end > at + RUN_BYTES - 4 and word[end] & 0xC0 == 0x80:  # inside a character
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
 
 
 def has_letter(run: bytes) -> bool:
