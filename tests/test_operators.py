@@ -10,6 +10,7 @@ from townhall.operators import events as E
 from townhall.operators import feeds as D
 from townhall.operators import linkage as L
 from townhall.operators import merge as M
+from townhall.operators import offices as O
 from townhall.operators import quality as Q
 from townhall.operators import spatial as S
 from townhall.operators.graph import least_labels
@@ -147,6 +148,13 @@ def test_greedy_clusters_by_force(spark):
     assert "Pandas" not in done._jdf.queryExecution().toString()  # no component goes to one task
 
 
+def test_places_are_not_broadcast_by_hint(spark):
+    rows = [("s1", "S", "state", None, None), ("d1", "D", "district", "s1", None), ("c1", "C", "seat", "d1", "d1"), ("c2", "E", "seat", "s1", "d9")]
+    got = O.with_parents(spark.createDataFrame(rows, "code string, name string, level string, parent string, district string"), ["state"])
+    assert {r["code"]: (r["district_name"], r["parent_name"]) for r in got.collect()} == {"s1": (None, None), "d1": (None, "S"), "c1": ("D", None), "c2": (None, "S")}
+    assert "broadcast" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_long_chain_of_links(spark):
     n = 60
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")

@@ -33,11 +33,13 @@ def last_holders(offices: DataFrame, tenures: DataFrame) -> DataFrame:
 
 
 def with_parents(places: DataFrame, levels: list[str]) -> DataFrame:
-    """places with the name of the district and of the parent, if the parent is of one of the levels."""
+    """places with the name of the district and of the parent, if the parent is of one of the levels.
+
+    Names come from all places, which nothing bounds, so neither side is sent to all tasks by a hint."""
     named = places.select(F.col("code").alias("u_code"), F.col("name").alias("u_name"), F.col("level").alias("u_level"))
     district = named.select(F.col("u_code").alias("district"), F.col("u_name").alias("district_name"))
     parent = named.filter(F.col("u_level").isin(levels)).select(F.col("u_code").alias("parent"), F.col("u_name").alias("parent_name"))
-    return places.join(F.broadcast(district), "district", "left").join(F.broadcast(parent), "parent", "left")
+    return places.join(district, "district", "left").join(parent, "parent", "left")
 
 
 def hierarchy_gaps(places: DataFrame) -> DataFrame:
