@@ -14,7 +14,7 @@ from townhall.llm import queries as corpus
 from townhall.llm.common import learn_split
 from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import Shard, build_index, contaminated, contamination, phrase_matches
-from townhall.llm.language_id import RUN_BYTES, ByteGru, has_letter, predict_language, runs_of, train_language_model
+from townhall.llm.language_id import UNDETERMINED, WINDOW_BYTES, ByteGru, has_letter, predict_language, train_language_model, windows_of
 from townhall.llm.near_dup import components, near_duplicates, signatures
 from townhall.llm.nearest import nearest
 from townhall.llm.secrets import redacted, secrets, span_text
@@ -239,16 +239,43 @@ def test_automaton_by_force():
         assert a.read(w) == (1 if w in lexicon else 2 if best <= 1 else 0), w
 
 
-def test_runs_are_cut_between_characters(spark):
-    texts = ["1" * 23 + "é", "1" * 22 + "日", "-" * 21 + "𐐷", "1" * 47 + "é", "ab" + "日本語" * 30, "x" * 24, "x" * 25, "é" * 12, "日" * 8 + "1"]
+def test_windows_are_cut_between_words_and_characters(spark):
+    n = WINDOW_BYTES
+    texts = ["1" * (n - 1) + "é", "1" * (n - 2) + "日", "-" * (n - 3) + "𐐷", "1" * (2 * n - 1) + "é", "ab" + "日本語" * 90, "x" * n, "x" * (n + 1), "é" * (n // 2), "日" * (n // 3) + "1"]
     for t in texts:
-        runs = runs_of(t.encode())
-        assert b"".join(runs) == t.encode() and max(map(len, runs)) <= RUN_BYTES
-        assert "".join(r.decode() for r in runs) == t and any(map(has_letter, runs))
-    found = predict_language(spark.createDataFrame(list(enumerate([*texts, "1" * 60])), "doc_id long, text string"), ByteGru(["a", "b"])).collect()
+        windows = windows_of(t.encode())
+        assert b"".join(windows) == t.encode() and max(map(len, windows)) <= n
+        assert "".join(w.decode() for w in windows) == t and any(map(has_letter, windows))
+    prose = " one  two\tthree " * 60 + "\n\nend\x0b" + "é" * 200 + " tail"
+    windows = windows_of(prose.encode())
+    assert max(map(len, windows)) <= n and "".join(w.decode() for w in windows).replace(" ", "") == "".join(prose.split())
+    assert all(len(a) + 1 + len(b.split()[0]) > n for a, b in zip(windows[:6], windows[1:7], strict=True))  # as many words as it holds
+    found = predict_language(spark.createDataFrame(list(enumerate([*texts, "1" * 160])), "doc_id long, text string"), ByteGru(["a", "b"])).collect()
     assert [r["lang_pred"] == "und" for r in sorted(found, key=lambda r: r["doc_id"])] == [False] * len(texts) + [True]
 
 
+def labels_by_force(model, text):
+    """The most likely language and its mean probability, byte by byte: one state vector for each direction, no batches."""
+    p, H = {k: v.astype(float) for k, v in model.p.items()}, model.hidden
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    total, size = np.zeros(len(model.classes)), 0
+    for w in windows_of((text or "").encode(errors="replace")):
+        if not any(c.isalpha() for c in w.decode()):
+            continue
+        seen = {}
+        for d, places in (("f", range(len(w))), ("b", range(len(w) - 1, -1, -1))):
+            h = np.zeros(H)
+            for t in places:
+                a, u = p["E"][w[t]] @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+                z, r = sigmoid(a[:H] + u[:H]), sigmoid(a[H : 2 * H] + u[H : 2 * H])
+                h = (1 - z) * h + z * np.tanh(a[2 * H :] + r * u[2 * H :])
+                seen[d, t] = h @ p[f"V{d}"]
+        for t in range(len(w)):
+            e = np.exp(seen["f", t] + seen["b", t] + p["c"])
+            total, size = total + e / e.sum(), size + 1
+    return (model.classes[int(total.argmax())], total.max() / size) if size else (UNDETERMINED, 0.0)
+
+
 def test_chats(spark):
     t = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, None, None), (None, 0, "user", "a"), (1, 1, "bot", "b"), (5, 0, "user", ""), (6, 0, "user", None), (7, 0, "user", "<|im_end|>")]
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(9))
@@ -309,15 +336,15 @@ def test_nearest(spark):
 def test_network_gradients():
     m = ByteGru(["a", "b", "c"], 4, 5)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, y = np.frombuffer(b"abcdefabzzqq", np.uint8).reshape(3, 4).T, np.array([0, 1, 2])
-    _, g = m.gradients(x, y)
+    windows, y = [b"abc", b"defab", b"z", b"qqzz"], np.array([0, 1, 2, 1])
+    _, g = m.gradients(windows, y)
     for k, d in g.items():
         at = tuple(np.unravel_index(np.abs(d).argmax(), d.shape))
         old = m.p[k][at]
         m.p[k][at] = old + 1e-3
-        up = m.gradients(x, y)[0]
+        up = m.gradients(windows, y)[0]
         m.p[k][at] = old - 1e-3
-        down = m.gradients(x, y)[0]
+        down = m.gradients(windows, y)[0]
         m.p[k][at] = old
         assert abs((up - down) / 2e-3 - d[at]) < 1e-4 + 0.02 * abs(d[at])
 
@@ -326,11 +353,27 @@ def test_language_id(spark, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = train_language_model(table)
     got = predict_language(table, model).filter(learn_split("doc_id")).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
-    assert got > 0.97
+    assert got > 0.99
     odd = predict_language(docs, model).collect()
     assert len(odd) == len(TEXTS)
     assert all((r["lang_pred"] == "und" and r["score"] == 0) == (r["text"] is None or not any(map(str.isalpha, r["text"]))) for r in odd)
     assert predict_language(empty(docs), model).count() == 0
+    for text in ["", "12 !!", "é日本 😀\x00", "Is and retitioning\n\n ouen the of, 12 " * 7, "x" * 250 + " ü"]:
+        row = predict_language(spark.createDataFrame([(text,)], "text string"), model).first()
+        lang, score = labels_by_force(model, text)
+        assert row["lang_pred"] == lang and abs(row["score"] - score) < 1e-4
+
+
+def test_language_query(spark):
+    from townhall.llm.queries import op8_language_id
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    model, texts = train_language_model(rows), {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = op8_language_id(spark, SF).collect()
+    assert len(got) == len(texts) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    for r in sorted(got, key=lambda r: len(texts[r["doc_id"]] or ""))[:80]:  # the shorter texts, byte by byte
+        lang, score = labels_by_force(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
 
 
 def test_transducer_gives_the_librarys_pieces(spark, docs, corpus_docs):

@@ -1,4 +1,3 @@
-import numpy as np
 import public_tokenizers as P
 import sentencepiece
 from pyspark.sql import functions as F
@@ -7,16 +6,15 @@ import corpus_pipeline
 from tests.compare import SF
 from tests.llm.test_operators import base_spans, groups_by_force
 from townhall.llm.decontamination import words_of
-from townhall.llm.language_id import CONFIDENT, has_letter, runs_of, train_language_model
+from townhall.llm.language_id import CONFIDENT, has_letter, train_language_model, windows_of
 
 
 def known(model, text):
-    """Whether the network, run by run, knows the language of a text."""
-    runs = [r for r in runs_of((text or "").encode()) if has_letter(r)]
-    if not runs:
+    """Whether the network, window by window, knows the language of a text."""
+    windows = [w for w in windows_of((text or "").encode()) if has_letter(w)]
+    if not windows:
         return False
-    p = [model.probabilities(np.frombuffer(r, np.uint8)[:, None]).sum((0, 1)) for r in runs]
-    return (sum(p) / sum(map(len, runs))).max() >= CONFIDENT
+    return (sum(model.probabilities([w])[0] for w in windows) / sum(map(len, windows))).max() >= CONFIDENT
 
 
 def is_contaminated(text, items):

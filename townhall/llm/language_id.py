@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads runs of bytes between white space (cut at RUN_BYTES), forwards and backwards, and
-labels every byte; a document's probabilities are the mean over the bytes of its runs with a letter.
-Its state begins anew with each run, so equal runs have equal labels and each is read once a task.
+The network reads windows of a text: whole words of a line, as many as WINDOW_BYTES holds (longer words are cut
+between characters). Its states run through a window forwards and backwards and label every byte there; a
+document's probabilities are the mean over the bytes of its windows with a letter. A window is what a label
+depends on, so a window that stands in a corpus again (copies, repeated lines) is read once a worker.
 Training is backpropagation through time over a bounded, stratified sample of labelled rows.
 """
 
@@ -18,37 +19,53 @@ from pyspark.sql import functions as F
 
 from townhall.llm.common import hold, learn_split, slices
 
-RUN_BYTES = 24
+WINDOW_BYTES = 96
 UNDETERMINED = "und"
-#: The bound of the training sample: documents of a language, and runs of a document.
-SAMPLE_DOCS, SAMPLE_RUNS = 400, 40
+#: The bound of the training sample: documents of a language, and windows of a document.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
 EMBEDDING, HIDDEN = 16, 16
-REMEMBERED_RUNS = 250_000
+REMEMBERED_WINDOWS = 60_000
+#: Windows that go through the network together.
+TOGETHER = 1024
 #: A document stays in the corpus if its language is known with this probability.
 CONFIDENT = 0.3
 
 
-def runs_of(data: bytes) -> list[bytes]:
-    """The runs of bytes between white space, cut into pieces of at most RUN_BYTES, between characters."""
-    words = data.split()
-    if max(map(len, words), default=0) <= RUN_BYTES:
-        return words
-    return [piece for w in words for piece in _pieces(w)]
-
-
-def _pieces(word: bytes) -> list[bytes]:
-    out, at = [], 0
-    while len(word) - at > RUN_BYTES:
-        end = at + RUN_BYTES
-        while end > at + RUN_BYTES - 4 and word[end] & 0xC0 == 0x80:  # inside a character
-            end -= 1
-        out.append(word[at:end])
-        at = end
-    return [*out, word[at:]]
-
-
-def has_letter(run: bytes) -> bool:
-    return any(c.isalpha() for c in run.decode(errors="ignore"))
+def windows_of(data: bytes) -> list[bytes]:
+    """The windows of a text: lines with one blank between words, cut at blanks to at most WINDOW_BYTES; a word that
+    alone is longer is cut between characters."""
+    out = []
+    for line in data.split(b"\n"):
+        line = b" ".join(line.split())
+        at, n = 0, len(line)
+        while n - at > WINDOW_BYTES:
+            end = line.rfind(b" ", at, at + WINDOW_BYTES + 1)
+            if end > at:
+                out.append(line[at:end])
+                at = end + 1
+                continue
+            end = at + WINDOW_BYTES
+            while end > at + WINDOW_BYTES - 4 and line[end] & 0xC0 == 0x80:  # inside a character
+                end -= 1
+            out.append(line[at:end])
+            at = end
+        if at < n:
+            out.append(line[at:])
+    return out
+
+
+def has_letter(window: bytes) -> bool:
+    return any(map(str.isalpha, window.decode(errors="ignore")))
+
+
+def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, windows) of bytes with zeros behind each window; the lengths; and for each place the place that it has
+    in the window read backwards (for places behind the end: themselves)."""
+    size = np.array([len(w) for w in windows])
+    steps = int(size.max())
+    x = np.frombuffer(b"".join(w.ljust(steps, b"\0") for w in windows), np.uint8).reshape(len(windows), steps).T.astype(np.intp)
+    t = np.arange(steps)[:, None]
+    return x, size, np.where(t < size, size - 1 - t, t)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -56,86 +73,121 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGru:
-    """Weights: embedding E; for each direction input W, recurrent U, bias b; output V, c."""
+    """Weights: embedding E; for each direction input W, recurrent U, bias b, output V; output bias c."""
 
     def __init__(self, classes: list[str], embedding: int = EMBEDDING, hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         w = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.classes, self.hidden = classes, hidden
-        self.p = {"E": w(256, embedding) * 4, "V": w(2 * hidden, len(classes)), "c": np.zeros(len(classes), np.float32)}
+        self.p = {"E": w(256, embedding) * 4, "c": np.zeros(len(classes), np.float32)}
         for d in "fb":
-            self.p |= {f"W{d}": w(embedding, 3 * hidden), f"U{d}": w(hidden, 3 * hidden), f"b{d}": np.zeros(3 * hidden, np.float32)}
-
-    def direction(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """The states over x (steps, runs) of one direction, and for training what each step computed."""
-        h, H = np.zeros((x.shape[1], self.hidden), np.float32), self.hidden
+            self.p |= {f"W{d}": w(embedding, 3 * hidden), f"U{d}": w(hidden, 3 * hidden), f"b{d}": np.zeros(3 * hidden, np.float32), f"V{d}": w(hidden, len(classes))}
+
+    def scores(self, x: np.ndarray, d: str) -> np.ndarray:
+        """(steps, windows, classes): what one direction, reading x (steps, windows) from the first step on, adds to each byte's classes.
+
+        A gate's sigmoid is half a hyperbolic tangent of half its input and a half; the halves are in the weights."""
+        H, U, V = self.hidden, self.p[f"U{d}"], self.p[f"V{d}"]
+        table = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]
+        gates, inner, U_gates, U_inner = 0.5 * table[:, : 2 * H], np.ascontiguousarray(table[:, 2 * H :]), 0.5 * U[:, : 2 * H], 0.5 * U[:, 2 * H :]
+        h, out = np.zeros((x.shape[1], H), U.dtype), np.empty((*x.shape, len(self.classes)), U.dtype)
+        for t in range(len(x)):
+            g = gates.take(x[t], axis=0)
+            g += h @ U_gates
+            np.tanh(g, out=g)
+            g += 1
+            c = h @ U_inner
+            c *= g[:, H:]
+            c += inner.take(x[t], axis=0)
+            np.tanh(c, out=c)
+            c -= h
+            c *= g[:, :H]
+            c *= 0.5
+            h = h + c
+            np.matmul(h, V, out=out[t])
+        return out
+
+    def probabilities(self, windows: list[bytes]) -> np.ndarray:
+        """(windows, classes): the sums of the labels' probabilities over the bytes of each window."""
+        x, size, turned = padded(windows)
+        s = np.take_along_axis(self.scores(np.take_along_axis(x, turned, 0), "b"), turned[:, :, None], 0)
+        s += self.scores(x, "f")
+        s += self.p["c"]
+        s -= s.max(axis=2, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=2, keepdims=True)
+        s *= (np.arange(len(x))[:, None] < size)[:, :, None]
+        return s.sum(0)
+
+    def states(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """The states of one direction over x, and what each step computed."""
+        h, H = np.zeros((x.shape[1], self.hidden), self.p["E"].dtype), self.hidden
         table, U = self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"]
-        out, steps = np.empty((*x.shape, H), np.float32), []
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        out, steps = np.empty((*x.shape, H), h.dtype), []
+        for t in range(len(x)):
             a, u = table[x[t]], h @ U
             zr = _sigmoid(a[:, : 2 * H] + u[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
             c = np.tanh(a[:, 2 * H :] + r * u[:, 2 * H :])
-            if keep:
-                steps.append((t, h, z, r, c, u[:, 2 * H :]))
+            steps.append((h, z, r, c, u[:, 2 * H :]))
             h = h + z * (c - h)
             out[t] = h
         return out, steps
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(steps, runs, classes) for x (steps, runs) of bytes; all runs of one length."""
-        h = np.concatenate([self.direction(x, d, False)[0] for d in "fb"], axis=2)
-        return self.softmax(h)
-
-    def softmax(self, h: np.ndarray) -> np.ndarray:
-        s = h @ self.p["V"] + self.p["c"]
-        e = np.exp(s - s.max(axis=-1, keepdims=True))
-        return e / e.sum(axis=-1, keepdims=True)
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all bytes of the runs x (steps, runs) with labels y, and its gradients through time."""
+    def gradients(self, windows: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over all bytes of the windows, which have the labels y, and its gradients through time."""
         H, g = self.hidden, {k: np.zeros_like(v) for k, v in self.p.items()}
-        (hf, sf), (hb, sb) = self.direction(x, "f", True), self.direction(x, "b", True)
-        h = np.concatenate([hf, hb], axis=2)
-        p = self.softmax(h)
-        n = x.size
-        loss = -np.log(p[:, np.arange(len(y)), y] + 1e-9).sum() / n
+        x, size, turned = padded(windows)
+        there = np.arange(len(x))[:, None] < size
+        back_x = np.take_along_axis(x, turned, 0)
+        (hf, sf), (hb, sb) = self.states(x, "f"), self.states(back_x, "b")
+        s = hf @ self.p["Vf"] + np.take_along_axis(hb @ self.p["Vb"], turned[:, :, None], 0) + self.p["c"]
+        e = np.exp(s - s.max(axis=2, keepdims=True))
+        p = e / e.sum(axis=2, keepdims=True)
+        n = int(size.sum())
+        loss = -(np.log(p[:, np.arange(len(y)), y] + 1e-9) * there).sum() / n
         p[:, np.arange(len(y)), y] -= 1
-        p /= n
-        g["V"], g["c"] = h.reshape(-1, 2 * H).T @ p.reshape(-1, p.shape[-1]), p.sum((0, 1))
-        dh_all = p @ self.p["V"].T
-        for d, steps, part in (("f", sf, slice(0, H)), ("b", sb, slice(H, 2 * H))):
-            back = np.zeros((x.shape[1], H), np.float32)
-            U, W = self.p[f"U{d}"], self.p[f"W{d}"]
-            for t, before, z, r, c, u in reversed(steps):
-                dh = dh_all[t][:, part] + back
+        p *= there[:, :, None] / n
+        g["c"] = p.sum((0, 1))
+        for d, at, h, steps, dp in (("f", x, hf, sf, p), ("b", back_x, hb, sb, np.take_along_axis(p, turned[:, :, None], 0))):
+            g[f"V{d}"] = h.reshape(-1, H).T @ dp.reshape(-1, dp.shape[2])
+            dh_all = dp @ self.p[f"V{d}"].T
+            back, U = np.zeros((x.shape[1], H), h.dtype), self.p[f"U{d}"]
+            into = np.empty((*x.shape, 3 * H), h.dtype)
+            for t in range(len(x) - 1, -1, -1):
+                before, z, r, c, u = steps[t]
+                dh = dh_all[t] + back
                 dc = dh * z * (1 - c * c)
                 dz = dh * (c - before) * z * (1 - z)
                 dr = dc * u * r * (1 - r)
-                da = np.concatenate([dz, dr, dc], axis=1)
+                into[t] = np.concatenate([dz, dr, dc], axis=1)
                 du = np.concatenate([dz, dr, dc * r], axis=1)
                 g[f"U{d}"] += before.T @ du
-                g[f"b{d}"] += da.sum(0)
-                g[f"W{d}"] += self.p["E"][x[t]].T @ da
-                np.add.at(g["E"], x[t], da @ W.T)
                 back = dh * (1 - z) + du @ U.T
+            # the inputs' gradients, summed for each byte value at once
+            flat, each = at.reshape(-1), into.reshape(-1, 3 * H)
+            order = np.argsort(flat, kind="stable")
+            values, first = np.unique(flat[order], return_index=True)
+            of_byte = np.add.reduceat(each[order], first, axis=0)
+            g[f"b{d}"] = of_byte.sum(0)
+            g[f"W{d}"] = self.p["E"][values].T @ of_byte
+            g["E"][values] += of_byte @ self.p[f"W{d}"].T
         return float(loss), g
 
-    def train(self, runs: list[bytes], labels: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 11) -> ByteGru:
-        """Adam over batches of runs of one length."""
+    def train(self, windows: list[bytes], labels: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 0.02, seed: int = 11) -> ByteGru:
+        """Adam over batches of windows of about one length."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        by_length = [np.flatnonzero(np.array([len(r) for r in runs]) == n) for n in range(1, RUN_BYTES + 1)]
-        step = 0
+        size, step = np.array([len(w) for w in windows]), 0
         for epoch in range(epochs):
-            batches = [part for at in by_length for part in np.array_split(rng.permutation(at), max(1, len(at) // batch)) if len(part)]
+            mixed = rng.permutation(len(windows))
+            by_size = mixed[np.argsort(size[mixed] // 16, kind="stable")]
+            batches = np.array_split(by_size, -(-len(by_size) // batch)) if len(by_size) else []
             for k in rng.permutation(len(batches)):
-                at = batches[k]
-                x = np.frombuffer(b"".join(runs[i] for i in at), np.uint8).reshape(len(at), -1).T
-                _, g = self.gradients(x, labels[at])
+                _, g = self.gradients([windows[i] for i in batches[k]], labels[batches[k]])
                 step += 1
-                lr = rate * (0.5 ** epoch) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                lr = rate * (0.5**epoch) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for name, d in g.items():
                     np.clip(d, -1, 1, out=d)
                     m[name] += 0.1 * (d - m[name])
@@ -145,30 +197,28 @@ class ByteGru:
 
 
 class _Read(dict):
-    """Numbers of runs; the labels' sums over each run's bytes, and the bytes (none without a letter)."""
+    """Numbers of windows; the labels' sums over each window's bytes, and the bytes (none without a letter)."""
 
     def __init__(self, model: ByteGru):
         super().__init__()
         self.model, self.new = model, []
-        self.sums, self.size = np.zeros((1 << 16, len(model.classes)), np.float32), np.zeros(1 << 16, np.float32)
+        self.sums, self.size = np.zeros((1 << 14, len(model.classes)), np.float32), np.zeros(1 << 14, np.float32)
 
-    def __missing__(self, run: bytes) -> int:
-        n = self[run] = len(self)
-        self.new.append(run)
+    def __missing__(self, window: bytes) -> int:
+        n = self[window] = len(self)
+        self.new.append(window)
         return n
 
     def learn(self) -> None:
-        runs, self.new = self.new, []
-        first = len(self) - len(runs)
+        windows, self.new = self.new, []
+        first = len(self) - len(windows)
         while len(self) > len(self.size):
             self.sums, self.size = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        lengths = np.array([len(r) if r.isalpha() or has_letter(r) else 0 for r in runs])
-        for n in np.unique(lengths[lengths > 0]):
-            at = np.flatnonzero(lengths == n)
-            for part in np.array_split(at, -(-len(at) // 2048)):
-                x = np.frombuffer(b"".join(runs[i] for i in part), np.uint8).reshape(len(part), -1).T
-                self.sums[first + part] = self.model.probabilities(x).sum(0)
-        self.size[first : first + len(runs)] = lengths
+        lengths = np.array([len(w) if has_letter(w) else 0 for w in windows], dtype=np.int64)
+        at = np.argsort(lengths, kind="stable")[int((lengths == 0).sum()) :]
+        for part in np.array_split(at, -(-len(at) // TOGETHER)) if len(at) else []:
+            self.sums[first + part] = self.model.probabilities([windows[i] for i in part])
+        self.size[first : first + len(windows)] = lengths
 
 
 _read: dict[str, _Read] = {}
@@ -176,7 +226,7 @@ _read: dict[str, _Read] = {}
 
 def _reader(key: str, model: ByteGru) -> _Read:
     hold("language_id", _read.clear)
-    if key not in _read or len(_read[key]) > REMEMBERED_RUNS:
+    if key not in _read or len(_read[key]) > REMEMBERED_WINDOWS:
         _read.clear()
         _read[key] = _Read(model)
     return _read[key]
@@ -184,11 +234,11 @@ def _reader(key: str, model: ByteGru) -> _Read:
 
 def _predict(key: str, model: ByteGru):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             reader = _reader(key, model)
-            runs = [runs_of((t or "").encode(errors="replace")) for t in b.column("text").to_pylist()]
-            n = np.array([len(r) for r in runs])
-            at = np.fromiter(map(reader.__getitem__, chain.from_iterable(runs)), np.int64, int(n.sum()))
+            windows = [windows_of((t or "").encode(errors="replace")) for t in b.column("text").to_pylist()]
+            n = np.array([len(r) for r in windows])
+            at = np.fromiter(map(reader.__getitem__, chain.from_iterable(windows)), np.int64, int(n.sum()))
             reader.learn()
             total, size = np.zeros((len(n), len(model.classes))), np.zeros(len(n))
             if len(at):
@@ -204,41 +254,41 @@ def _predict(key: str, model: ByteGru):
     return predict
 
 
-def _some_runs(k: int):
+def _some_windows(k: int):
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             out = []
             for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                runs = [r for r in runs_of(t.encode(errors="replace")) if has_letter(r)]
-                at = np.random.default_rng(h & 0x7FFFFFFF).integers(0, len(runs), k) if runs else []
-                out.append([runs[i] for i in at])
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "runs"])
+                windows = [w for w in windows_of(t.encode(errors="replace")) if has_letter(w)]
+                at = np.random.default_rng(h & 0x7FFFFFFF).integers(0, len(windows), k) if windows else []
+                out.append([windows[i] for i in at])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "windows"])
 
     return some
 
 
-def training_runs(docs: DataFrame, sample_docs: int, sample_runs: int) -> tuple[list[bytes], list[str]]:
-    """Runs and their languages from about sample_docs learning documents of each language, chosen by the hash of
-    the id, and sample_runs runs of each; so many and no more reach the driver."""
+def training_windows(docs: DataFrame, sample_docs: int, sample_windows: int) -> tuple[list[bytes], list[str]]:
+    """Windows and their languages from about sample_docs learning documents of each language, chosen by the hash of
+    the id, and sample_windows windows of each; so many and no more reach the driver."""
     learn = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~learn_split("doc_id"))
     counts = learn.groupBy("lang").count().withColumnRenamed("lang", "l")  # a row for each language
     h = F.xxhash64("doc_id", F.lit("sample"))
     dealt = learn.join(F.broadcast(counts), F.col("lang") == F.col("l")).filter(F.pmod(h, F.lit(1 << 40)) < F.lit(sample_docs) / F.col("count") * (1 << 40))
-    runs, langs = [], []
-    for row in dealt.select(h.alias("h"), "lang", "text").mapInArrow(_some_runs(sample_runs), "lang string, runs array<binary>").collect():
-        runs += row["runs"]
-        langs += [row["lang"]] * len(row["runs"])
-    return [bytes(r) for r in runs], langs
+    windows, langs = [], []
+    for row in dealt.select(h.alias("h"), "lang", "text").mapInArrow(_some_windows(sample_windows), "lang string, windows array<binary>").collect():
+        windows += row["windows"]
+        langs += [row["lang"]] * len(row["windows"])
+    return [bytes(w) for w in windows], langs
 
 
-def train_language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> ByteGru:
+def train_language_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> ByteGru:
     """The network for the languages of docs (doc_id, text, lang), learned from rows that aren't held out."""
-    runs, langs = training_runs(docs, sample_docs, sample_runs)
-    order = sorted(range(len(runs)), key=lambda i: (langs[i], runs[i]))  # the same whatever order rows come in
-    runs, langs = [runs[i] for i in order], [langs[i] for i in order]
+    windows, langs = training_windows(docs, sample_docs, sample_windows)
+    order = sorted(range(len(windows)), key=lambda i: (langs[i], windows[i]))  # the same whatever order rows come in
+    windows, langs = [windows[i] for i in order], [langs[i] for i in order]
     classes = sorted(set(langs)) or [UNDETERMINED]
     number = {c: i for i, c in enumerate(classes)}
-    return ByteGru(classes).train(runs, np.array([number[x] for x in langs], dtype=np.int64))
+    return ByteGru(classes).train(windows, np.array([number[x] for x in langs], dtype=np.int64))
 
 
 def predict_language(docs: DataFrame, model: ByteGru) -> DataFrame:
