@@ -130,11 +130,11 @@ with d as (select row_number() over () rid, doc_id, coalesce(source, '') as owne
 b as ({_BASE}),
 c as ({_spans_sql(3, 'owned', CANDIDATE, 0, 20, _RANDOM)}),
 a as (select * from b union all select * from c),
-o as (select v, count(distinct owner) owners from a join d using (rid) group by v),
-x as (select rid, kind, nm, st, til from c join o using (v) where owners <= 1 and not exists (select 1 from b where b.rid = c.rid and b.til > c.st and b.st < c.til)),
+o as (select v, count(distinct owner) <= 1 and count(distinct t) <= 5 live from a join d using (rid) group by v),
+x as (select rid, kind, nm, st, til from c join o using (v) where live and not exists (select 1 from b where b.rid = c.rid and b.til > c.st and b.st < c.til)),
 s as (select rid, string_agg(nm || ':' || st || ':' || til, ',' order by st, kind, til) all_spans from (select rid, kind, nm, st, til from b union all select * from x) group by rid),
 f as (select rid, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex, string_agg(nm || ':' || st || ':' || til, ',' order by st, kind, til) base_spans from b group by rid),
-k as (select rid, count(*) n from (select distinct rid, kind, st, til from a join o using (v) where owners > 1) group by rid)
+k as (select rid, count(*) n from (select distinct rid, kind, st, til from a join o using (v) where not live) group by rid)
 select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex, sha256(coalesce(base_spans, '')) base_sha256,
   coalesce(all_spans, '') spans, coalesce(k.n, 0)::bigint n_copied
 from d left join f using (rid) left join s using (rid) left join k using (rid)

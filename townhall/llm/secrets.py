@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by patterns; their hashes are aggregated over the whole corpus by the distinct
-documents (repositories) and sources (owners) that hold them. A value that many owners hold is a
-widely copied example; one that a single owner holds, and that looks random, looks live. The
-latter adds spans that no fixed pattern is strict enough to report by itself.
+documents (repositories; copies of a text are one) and sources (owners) that hold them. A value that
+many owners hold, or many repositories of one owner, is a widely copied example; one that a single owner
+holds in a few repositories, and that looks random, looks live. The latter adds spans that no fixed
+pattern is strict enough to report by itself.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ KINDS = {
 }
 #: Runs that may be credentials; by themselves they prove nothing.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Owners that a value may have at most to look live, and the least share of different characters.
-LIVE_OWNERS = 1
+#: Owners, and repositories, that a value may have at most to look live.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 5
 ORDER = [*KINDS, "owned"]
 
 
@@ -71,31 +72,32 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """hash, repositories, owners: how many documents and sources of the corpus hold each candidate.
+    """hash, repositories, owners: how many different texts and sources of the corpus hold each candidate.
 
-    Distinct pairs are built before the shuffle, so a value that a third of the rows hold is dealt out
-    by its documents; counts of both are put together after that.
-    """
-    each = scanned.select("doc_id", "text_hash", "owner", F.explode(F.concat("base", "candidates")).alias("x")).select(F.col("x.hash").alias("hash"), "doc_id", "text_hash", "owner")
-    holders = each.groupBy("hash", "owner", "doc_id", "text_hash").count().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return holders.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    Both counts begin with distinct rows before the shuffle, so a value that a third of the rows hold is dealt
+    out by its texts and owners; only their numbers meet."""
+    each = scanned.select("text_hash", "owner", F.explode(F.concat("base", "candidates")).alias("x")).select(F.col("x.hash").alias("hash"), "text_hash", "owner")
+    return each.distinct().groupBy("hash").agg(F.count_distinct("text_hash").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def secrets(docs: DataFrame, live_owners: int = LIVE_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """doc_id, text_hash, base, added, copied for every row of docs: spans (start, kind, end; kind: place in
-    ORDER) of the base patterns, the candidates added since at most live_owners owners hold them, and
-    how many of all are copied examples (more owners hold them). Edge cases: see scan().
+    ORDER) of the base patterns, the candidates added since at most live_owners owners and live_repositories
+    repositories hold them, and how many of all are copied examples (more hold them). Edge cases: see scan().
     """
     scanned = scan(docs)
     counts = ownership(scanned)
-    spans = scanned.filter(F.size(F.concat("base", "candidates")) > 0).select("doc_id", "text_hash", "base", F.explode(F.concat("base", "candidates")).alias("x"))
+    # repeated rows have the same spans: one row for each id and text
+    once = scanned.filter(F.size(F.concat("base", "candidates")) > 0).select("doc_id", "text_hash", "base", "candidates").dropDuplicates(["doc_id", "text_hash"])
+    spans = once.select("doc_id", "text_hash", "base", F.explode(F.concat("base", "candidates")).alias("x"))
     known = spans.select("doc_id", "text_hash", "base", "x.*").join(counts, "hash")
     apart = F.forall("base", lambda b: (b["end"] <= F.col("start")) | (b["start"] >= F.col("end")))
-    new = (F.col("kind") == ORDER.index("owned")) & (F.col("owners") <= live_owners) & apart
+    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
+    new = (F.col("kind") == ORDER.index("owned")) & live & apart
     span = F.struct("start", "kind", "end")
     each = known.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.array_distinct(F.collect_list(F.when(new, span)))).alias("added"),
-        F.size(F.array_distinct(F.collect_list(F.when(F.col("owners") > live_owners, span)))).alias("copied"),
+        F.size(F.array_distinct(F.collect_list(F.when(~live, span)))).alias("copied"),
     )
     each = each.withColumnsRenamed({"doc_id": "e_id", "text_hash": "e_hash"})
     out = scanned.join(each, scanned.doc_id.eqNullSafe(each.e_id) & (scanned.text_hash == each.e_hash), "left")
