@@ -24,10 +24,12 @@ from townhall.llm.common import materialize
 
 SUB, CODES = 2, 16
 #: The bound of the training sample, and rows and queries of a block, about.
-SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 8_192, 6_000, 1_024
+SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_000, 4_096
+#: Queries of a block whose tables are held at a time.
+TABLES = 256
 #: Rows of each block that are scored exactly, for each query: times the wanted neighbours.
 RERANK = 8
-#: Rows whose scanned score lies so many deviations of the scan's error under the k-th exact one are scored exactly, too.
+#: Rows whose scanned score lies so many deviations of its error (by the row's own residual) under the k-th exact one are scored exactly, too.
 DEVIATIONS = 3.0
 #: Inner products over this share of the norms are those that the weights are made for.
 THRESHOLD = 0.2
@@ -107,11 +109,11 @@ def _pack(cb: Codebooks | None):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         x = _padded(pdf["embedding"])
-        codes, spread = b"", 0.0
+        codes, spread = b"", b""
         if cb is not None:
             c = cb.assign(x)
             read = np.stack([cb.books[m][c[:, m]] for m in range(c.shape[1])], 1).reshape(x.shape)
-            spread = float(np.sqrt(((x - read) ** 2).mean()))
+            spread = np.sqrt(((x - read) ** 2).mean(1)).astype(np.float32).tobytes()
             codes = np.ascontiguousarray((c[:, 0::2] << 4 | c[:, 1::2]).T).tobytes()
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [codes], "spread": [spread]})
 
@@ -131,26 +133,28 @@ def _scan(cb: Codebooks, k: int, rerank: int):
             for row in b.to_pylist():
                 ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64)
                 x = x.reshape(len(ids), -1)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids))
+                codes, spread = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids)), np.frombuffer(row["spread"], np.float32)
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64)
                 q = q.reshape(len(q_ids), -1)
-                tables = np.einsum("qms,mks->qmk", q.reshape(len(q), -1, SUB), cb.books).astype(np.float32)
-                pairs = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), len(codes), -1)
-                out = []
-                for i, query in enumerate(q_ids):
-                    about = pairs[i, 0].take(codes[0])
-                    for m in range(1, len(codes)):
-                        about += pairs[i, m].take(codes[m])
-                    first = best_of(about, rerank * k + 1)
-                    sure = np.sort((x[first] * q[i]).sum(1))[-min(k + 1, len(first))]
-                    # all that may yet be nearer: the scan errs by the residual's share of the query
-                    at = np.union1d(first, np.flatnonzero(about >= sure - DEVIATIONS * row["spread"] * np.sqrt((q[i] ** 2).sum())))
-                    at = at[ids[at] != query]
-                    exact = (x[at] * q[i]).sum(1)
-                    order = np.lexsort((ids[at], -exact))
-                    best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # the best row of each id
-                    out.append((np.full(len(best), query), ids[at][best], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                for start in range(0, len(q), TABLES):
+                    some = slice(start, start + TABLES)
+                    tables = np.einsum("qms,mks->qmk", q[some].reshape(len(q[some]), -1, SUB), cb.books).astype(np.float32)
+                    pairs = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(tables), len(codes), -1)
+                    out = []
+                    for query, v, table in zip(q_ids[some], q[some], pairs, strict=True):
+                        about = table[0].take(codes[0])
+                        for m in range(1, len(codes)):
+                            about += table[m].take(codes[m])
+                        first = best_of(about, rerank * k + 1)
+                        sure = np.sort((x[first] * v).sum(1))[-min(k + 1, len(first))]
+                        # all that may yet be nearer: the scan errs by the residual's share of the query
+                        at = np.union1d(first, np.flatnonzero(about + DEVIATIONS * np.sqrt((v**2).sum()) * spread >= sure))
+                        at = at[ids[at] != query]
+                        exact = (x[at] * v).sum(1)
+                        order = np.lexsort((ids[at], -exact))
+                        best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # the best row of each id
+                        out.append((np.full(len(best), query), ids[at][best], exact[best]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return scan
 
@@ -180,13 +184,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, sample_rows: int =
 
     n_blocks, n_queries = math.ceil(sizes["n"] / BLOCK_ROWS), math.ceil(sizes["q"] / BLOCK_QUERIES)
     block = lambda df, n, salt: df.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int"))
-    packed = "block int, ids binary, vectors binary, codes binary, spread double"
+    packed = "block int, ids binary, vectors binary, codes binary, spread binary"
     index = materialize(block(rows, n_blocks, "row").groupBy("block").applyInPandas(_pack(cb), packed), "quantised")
     asked = materialize(block(rows.filter(queries), n_queries, "query").groupBy("block").applyInPandas(_pack(None), packed), "queries")
     cells = index.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     asked = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
     grid = cells.hint("shuffle_hash").join(asked, ["q_block", "block"]).select("ids", "vectors", "codes", "spread", "q_ids", "q_vectors")
     found = grid.mapInArrow(_scan(cb, k, rerank), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one shuffle for both steps
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
