@@ -3,13 +3,16 @@
 The lexicon (words, and stems that many words begin with) is learned from labelled rows. Its trie is
 intersected with the Levenshtein automaton of one edit: a state is a set of trie nodes with the edits
 spent so far, made deterministic as words are read and remembered, so most words end in the dead state
-after a few characters. Each hit is judged in its window of words: quoted or reported, or addressed to
-somebody. A logistic regression over the counts gives the score.
+after a few characters. Each hit is judged in its context: between the quotation marks of its line, and
+in its window of words reported, or addressed to somebody. The judgement's points are fixed; what quoted
+and unquoted hits weigh is learned: a logistic regression over their counts gives the score.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,16 +39,22 @@ NONE, EXACT, FUZZY = 0, 1, 2
 #: Words that report speech and words that address somebody, in the corpus' languages.
 REPORTING = frozenset("said says called calls quoted quote word term wrote dit disait mot sagte nannte wort dijo llamó palabra".split())
 ADDRESSING = frozenset("you your yours u ur du dich dein deine ihr euch tu toi te vous votre tú usted vosotros tus eres".split())
-QUOTES = "\"“”„«»‚‘’"
-#: Signs that stand for letters in misspelled words stay inside words; all else outside letters and digits parts them.
-_PART = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) not in "@$*!"} | {ord(c): " " for c in "“”„«»‚‘’…–—¿¡"}
-_TOKEN = re.compile(r"[\w@$*!]+")
+#: Quotation marks, but for those between two letters, which are apostrophes.
+_QUOTE = re.compile("(?<![^\\W\\d_])[\"“”„«»‚‘’]|[\"“”„«»‚‘’](?![^\\W\\d_])")
+#: Signs that stand for letters in misspelled words stay inside words; all other marks, symbols and blanks part them.
+_PART = {i: " " for i in range(0x20000) if unicodedata.category(chr(i)) in ("Cc", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sc", "Sk", "Sm", "So", "Zl", "Zp", "Zs") and chr(i) not in "@$*!"}
+_WORD = re.compile(r"\S+")
 
 
 def words_of(text: str) -> list[str]:
     return [w.strip("@$*!") for w in text.lower().translate(_PART).split()]
 
 
+def placed_words(low: str) -> list[tuple[int, int, str]]:
+    """Where each of words_of(text) stands in the text's lower-case form, and the word."""
+    return [(m.start(), m.end(), m[0].strip("@$*!")) for m in _WORD.finditer(low.translate(_PART))]
+
+
 class Automaton:
     """The trie of the lexicon, intersected with the automaton of at most one edit."""
 
@@ -144,23 +153,26 @@ def _reader(model: Model) -> _Read:
 
 
 def hits(read: _Read, text: str) -> Iterator[tuple[str, int, bool]]:
-    """word, EXACT or FUZZY, and whether it stands in quotation, of each hit of a text."""
-    ws = words_of(text)
-    if not any(map(read.__getitem__, ws)):
+    """word, EXACT or FUZZY, and whether it stands in quotation, of each hit of a text.
+
+    Two points for standing between the marks of its line (an odd number of marks before it and another one behind
+    it), one for a reporting word in its window, one less for an addressing word; from two points on it is quoted."""
+    if not any(map(read.__getitem__, words_of(text))):
         return
-    tokens = list(_TOKEN.finditer(text.lower()))
-    words = [m[0].strip("@$*!") for m in tokens]
-    opened, at = 0, 0
-    for i, (m, w) in enumerate(zip(tokens, words, strict=True)):
-        kind = read[w]
+    low = text.lower()
+    placed = placed_words(low)
+    marks, breaks = [m.start() for m in _QUOTE.finditer(low)], [i for i, c in enumerate(low) if c == "\n"]
+    for i, (start, end, word) in enumerate(placed):
+        kind = read[word]
         if not kind:
             continue
-        near = words[max(0, i - WINDOW_WORDS) : i] + words[i + 1 : i + 1 + WINDOW_WORDS]
-        opened += sum(text.count(q, at, m.start()) for q in QUOTES)
-        at = m.start()
-        left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-        marked = (left in QUOTES and right in QUOTES and left and right) or (opened % 2 == 1 and any(q in text[m.end() : m.end() + 80] for q in QUOTES))
-        yield w, kind, (2 * bool(marked) + any(x in REPORTING for x in near) - any(x in ADDRESSING for x in near)) >= 2
+        near = [w for _, _, w in placed[max(0, i - WINDOW_WORDS) : i] + placed[i + 1 : i + 1 + WINDOW_WORDS]]
+        line = bisect_left(breaks, start)
+        first, here = bisect_left(marks, breaks[line - 1] if line else 0), bisect_left(marks, start)
+        after = bisect_left(marks, end)
+        closed = after < len(marks) and (line == len(breaks) or marks[after] < breaks[line])
+        quoted = (here - first) % 2 == 1 and closed
+        yield word, kind, (2 * quoted + any(x in REPORTING for x in near) - any(x in ADDRESSING for x in near)) >= 2
 
 
 def features(read: _Read, text: str) -> list[float]:
