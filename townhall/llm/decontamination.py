@@ -1,10 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a table: a row for each term of a shard, with the documents and positions where it
-stands, and one row without a term that lists the shard's documents and their lengths. A shard is a
-bounded run of documents, so the index of any corpus is many small shards that tasks search by
-themselves. A search takes the terms of a phrase from the rarest on, moves each posting list back by
-the term's place in the phrase, and intersects; what is left are the phrase's starts.
+The index is a table of shards, bounded runs of documents: a shard's row has its terms, and for each term the
+documents and positions where it stands. Tasks search shards by themselves, so nothing is shuffled, and one index
+serves any number of searches. A search takes the terms of phrases from the rarest on, moves each posting list
+back by the term's place in the phrase, and intersects, for all phrases of a shard at once; what is left are the
+phrases' starts.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm.common import fresh_path, hold, materialize, slices
+from townhall.llm.common import fresh_path, slices
 
 WINDOW = 13
-#: Text bytes of a shard.
-SHARD_BYTES = 2 << 20
+#: Text bytes of a shard, and shards of a row group, which a reader holds whole.
+SHARD_BYTES, GROUP_SHARDS = 1 << 20, 16
 #: Words of benchmark items that one search holds; a larger benchmark is searched in blocks of items.
 BLOCK_WORDS = 500_000
-INDEX_SCHEMA = "shard string, term binary, docs array<int>, positions array<int>, ids array<long>, hashes array<long>"
+#: Starts that a search follows at a time.
+TOGETHER = 1 << 20
+INDEX_SCHEMA = "shard string, ids array<long>, hashes array<long>, lengths array<int>, terms array<binary>, starts array<int>, docs array<int>, positions array<int>"
 #: Bytes as words hold them: A-Z in lower case, and blanks for all that isn't a word's.
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -37,155 +39,188 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode(errors="replace").translate(_FOLD).split()
 
 
-def _index(terms_of: dict[bytes, int] | None):
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+class _Numbers(dict):
+    """Terms by number, in the order of their first place."""
 
-        task, number = TaskContext.get().partitionId(), 0
-        for b in slices(batches, "text", SHARD_BYTES):
-            terms = {} if terms_of is None else terms_of
-            ids, lengths, at, doc, place = b.column("doc_id").to_pylist(), [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ws = words_of(text)
-                lengths.append(len(ws))
-                if not ws:
-                    continue
-                if terms_of is None:
-                    for w in ws:
-                        terms.setdefault(w, len(terms))
-                found = np.fromiter(map(terms.get, ws, repeat(-1)), dtype=np.int32, count=len(ws))
-                p = np.flatnonzero(found >= 0)
-                at.append(found[p])
-                doc.append(np.full(len(p), i, dtype=np.int32))
-                place.append(p.astype(np.int32))
-            at, doc, place = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (at, doc, place))
-            order = np.argsort(at, kind="stable")
-            at, doc, place = at[order], doc[order], place[order]
-            here, start = np.unique(at, return_index=True)
-            names = {v: k for k, v in terms.items()} if terms_of is None else _names(terms_of)
-            n, docs = len(here), len(ids)
-            runs = pa.array(np.concatenate([[0], start + docs, [len(at) + docs]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{task}-{number}"] * (n + 1)),
-                    pa.array([None, *(names[int(t)] for t in here)], pa.binary()),
-                    pa.ListArray.from_arrays(runs, pa.array(np.concatenate([np.arange(docs, dtype=np.int32), doc]))),
-                    pa.ListArray.from_arrays(runs, pa.array(np.concatenate([np.array(lengths, dtype=np.int32), place]))),
-                    pa.array([ids, *[None] * n], pa.list_(pa.int64())),
-                    pa.array([b.column("text_hash").to_pylist(), *[None] * n], pa.list_(pa.int64())),
-                ],
-                ["shard", "term", "docs", "positions", "ids", "hashes"],
-            )
-            number += 1
-
-    return index
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
 
 
-_named: dict[int, tuple[dict, list]] = {}
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.asarray(ends, dtype=np.int32)), pa.array(values))
 
 
-def _names(terms: dict[bytes, int]) -> list[bytes]:
-    hold("decontamination", _named.clear)
-    if id(terms) not in _named:
-        _named[id(terms)] = (terms, list(terms))
-    return _named[id(terms)][1]
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
-
-def build_index(docs: DataFrame, path: str, only: list[bytes] | None = None) -> DataFrame:
-    """Writes the positional index of docs (doc_id, text) at path and returns it as a table.
-
-    only: the terms to index (those of the phrases to come); all terms if None. A null text has no
-    words; its document is listed all the same. Null ids and repeated rows each stay a document.
-    """
+    task, number = TaskContext.get().partitionId(), 0
+    for b in slices(batches, "text", SHARD_BYTES):
+        terms, found, lengths = _Numbers(), [], []
+        for text in b.column("text").to_pylist():
+            ws = words_of(text)
+            lengths.append(len(ws))
+            found.append(np.fromiter(map(terms.__getitem__, ws), dtype=np.int32, count=len(ws)))
+        at, size = np.concatenate(found), np.array(lengths, dtype=np.int64)
+        order = np.argsort(at, kind="stable")
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        place = (np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
+        one = lambda values: _lists(np.array([0, len(values)]), values)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([f"{task}-{number}"]),
+                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("doc_id")),
+                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("text_hash")),
+                one(size.astype(np.int32)),
+                pa.array([list(terms)], pa.list_(pa.binary())),
+                one(starts.astype(np.int32)),
+                one(doc[order]),
+                one(place[order]),
+            ],
+            ["shard", "ids", "hashes", "lengths", "terms", "starts", "docs", "positions"],
+        )
+        number += 1
+
+
+def build_index(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the positional index of docs (doc_id, text) at path, with all terms, and returns it as a table.
+
+    A null text has no words; its document is listed all the same. Null ids and repeated rows each stay a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    terms = None if only is None else {t: i for i, t in enumerate(only)}
-    rows.mapInArrow(_index(terms), INDEX_SCHEMA).write.parquet(path)
+    rows.mapInArrow(_index, INDEX_SCHEMA).write.option("parquet.block.row.count.limit", GROUP_SHARDS).parquet(path)
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
 class Shard:
-    """A shard's posting lists, each as sorted numbers: the document in the high bits, the position in the low."""
-
-    def __init__(self, rows: pd.DataFrame):
-        head = rows[rows["term"].isna()].iloc[0]
-        self.ids, self.hashes, self.lengths = list(head["ids"]), np.asarray(head["hashes"], dtype=np.int64), np.asarray(head["positions"], dtype=np.int64)
-        self.postings = {
-            bytes(t): (np.asarray(d, dtype=np.int64) << 32) + np.asarray(p, dtype=np.int64)
-            for t, d, p in zip(rows["term"], rows["docs"], rows["positions"], strict=True)
-            if t is not None
-        }
+    """A shard's posting lists. Its documents stand one after the other with a gap behind each, so that a place is
+    one number and no phrase goes on into the next document."""
+
+    def __init__(self, row: dict, gap: int = WINDOW):
+        self.ids, self.hashes = row["ids"], row["hashes"]
+        self.lengths = np.asarray(row["lengths"], dtype=np.int64)
+        room = self.lengths + gap
+        self.first = np.cumsum(room) - room
+        self.terms: list[bytes] = row["terms"]
+        self.starts = np.asarray(row["starts"], dtype=np.int64)
+        docs = np.asarray(row["docs"], dtype=np.int64)
+        self.places = self.first[docs] + np.asarray(row["positions"], dtype=np.int64) if len(docs) else np.zeros(0, np.int64)
+        self.size = int(room.sum()) + gap
+        # sorted by term and place: a posting of any list is one number, too
+        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * self.size + self.places
+
+    def numbers(self, of: dict[bytes, int], n: int) -> np.ndarray:
+        """For each of n terms, numbered by `of`, its place among the shard's terms, or -1."""
+        found = np.fromiter(map(of.get, self.terms, repeat(-1)), dtype=np.int64, count=len(self.terms))
+        out = np.full(n, -1)
+        there = np.flatnonzero(found >= 0)
+        out[found[there]] = there
+        return out
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, places, side="right") - 1
+
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """phrase, start of every occurrence of phrases: rows of places among the shard's terms, -1 behind the end of
+        short ones and -2 for terms that aren't there."""
+        able = np.flatnonzero((windows > -2).all(1) & (windows[:, 0] >= 0)) if windows.size else np.zeros(0, np.int64)
+        w = windows[able]
+        count = np.where(w < 0, np.iinfo(np.int64).max, np.diff(self.starts)[w]) if len(w) else w
+        order = np.argsort(count, axis=1, kind="stable")
+        rarest = count[np.arange(len(w)), order[:, 0]] if len(w) else np.zeros(0, np.int64)
+        ends, begin = np.cumsum(rarest), 0
+        while begin < len(w):
+            until = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TOGETHER, side="right")))
+            some = np.arange(begin, until)
+            n, k = rarest[some], order[some, 0]
+            of, row = np.repeat(some, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = self.places[np.repeat(self.starts[w[some, k]], n) + row] - np.repeat(k, n)
+            for j in range(1, w.shape[1]):
+                k = order[of, j]
+                term = w[of, k]
+                keys = term * self.size + at + k
+                found = np.searchsorted(self.keys, keys)
+                ok = (term < 0) | ((at >= 0) & (self.keys[np.minimum(found, len(self.keys) - 1)] == keys))
+                of, at = of[ok], at[ok]
+                if not len(of):
+                    break
+            yield able[of], at
+            begin = until
 
     def phrase(self, words: list[bytes]) -> np.ndarray:
-        """The starts of an exact phrase: offset lists intersected from the rarest term on."""
-        lists = [(self.postings.get(w), k) for k, w in enumerate(words)]
-        if any(x is None for x, _ in lists):
-            return np.zeros(0, dtype=np.int64)
-        lists.sort(key=lambda x: len(x[0]))
-        # a position below the offset would borrow from the document's bits; such starts can't be
-        first, k = lists[0]
-        starts = first[(first & 0xFFFFFFFF) >= k] - k
-        for postings, k in lists[1:]:
-            if not len(starts):
-                break
-            at = np.searchsorted(postings, starts + k)
-            starts = starts[(at < len(postings)) & (postings[np.minimum(at, len(postings) - 1)] == starts + k)]
-        return starts
+        """The starts of one exact phrase."""
+        different = list(dict.fromkeys(words))
+        there = self.numbers({w: i for i, w in enumerate(different)}, len(different))
+        row = there[[different.index(w) for w in words]] if words else np.zeros(0, np.int64)
+        return np.sort(np.concatenate([at for _, at in self.phrases(np.where(row < 0, -2, row)[None, :])] or [np.zeros(0, np.int64)]))
 
     def near(self, words: list[bytes], within: int) -> np.ndarray:
         """Places of the rarest term that have every other term within so many words, in the same document."""
-        lists = [self.postings.get(w) for w in dict.fromkeys(words)]
-        if not lists or any(x is None for x in lists):
+        different = list(dict.fromkeys(words))
+        there = self.numbers({w: i for i, w in enumerate(different)}, len(different))
+        if not len(there) or (there < 0).any():
             return np.zeros(0, dtype=np.int64)
-        lists.sort(key=len)
+        lists = sorted((self.places[self.starts[t] : self.starts[t + 1]] for t in there), key=len)
         places = lists[0]
         for other in lists[1:]:
-            doc = places >> 32
-            low = np.maximum(places - within, doc << 32)
-            places = places[np.searchsorted(other, low) < np.searchsorted(other, places + within, side="right")]
+            doc = self.document(places)
+            low, high = np.maximum(places - within, self.first[doc]), np.minimum(places + within, self.first[doc] + self.lengths[doc])
+            places = places[np.searchsorted(other, low) < np.searchsorted(other, high, side="right")]
         return places
 
 
 class Windows:
-    """The windows of benchmark items, with what a search needs to skip most of them at once."""
+    """The windows of benchmark items: rows of numbers of terms, -1 behind the end of an item that is shorter."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], size: int):
-        self.size = size
-        self.items = [(i, ws) for i, ws in items if ws]
-        self.terms = list(dict.fromkeys(w for _, ws in self.items for w in ws))
-        number = {w: k for k, w in enumerate(self.terms)}
-        self.numbered = [np.array([number[w] for w in ws]) for _, ws in self.items]
-
-    def hits(self, shard: Shard) -> tuple[list[np.ndarray], list[set]]:
-        """For each document of the shard, which words any window covers and which items have one there."""
-        hit = [np.zeros(0, dtype=bool)] * len(shard.ids)
-        marks: dict[int, np.ndarray] = {}
-        found: list[set] = [set() for _ in shard.ids]
-        count = np.array([len(shard.postings.get(t, ())) for t in self.terms])
-        for (item, ws), numbers in zip(self.items, self.numbered, strict=True):
-            n = min(self.size, len(ws))
-            there = np.concatenate([[0], np.cumsum(count[numbers] == 0)])
-            for k in np.flatnonzero(there[n:] == there[: len(there) - n]):
-                for start in shard.phrase(ws[k : k + n]):
-                    doc, place = int(start >> 32), int(start & 0xFFFFFFFF)
-                    if doc not in marks:
-                        marks[doc] = np.zeros(int(shard.lengths[doc]), dtype=bool)
-                    marks[doc][place : place + n] = True
-                    found[doc].add(item)
-        for doc, m in marks.items():
-            hit[doc] = m
-        return hit, found
-
-
-def _search(windows: Windows):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard(rows)
-        hit, found = windows.hits(shard)
-        return pd.DataFrame({
-            "shard": rows["shard"].iloc[0], "doc": np.arange(len(shard.ids)), "doc_id": pd.array(shard.ids, dtype="Int64"), "text_hash": shard.hashes, "n_words": shard.lengths,
-            "n_hit": [int(h.sum()) for h in hit],
-            "hit": [np.packbits(h.astype(bool)).tobytes() if len(h) else None for h in hit],
-            "items": [sorted(str(i) for i in f if i is not None) for f in found],
-        })
+        self.size, self.terms = size, _Numbers()
+        rows, of = [np.zeros((0, size), np.int64)], [np.zeros(0, np.int64)]
+        self.items = [i for i, ws in items if ws]
+        for k, ws in enumerate(ws for _, ws in items if ws):
+            numbers = np.array([self.terms[w] for w in ws])
+            if len(ws) < size:
+                numbers = np.pad(numbers, (0, size - len(ws)), constant_values=-1)
+            found = np.unique(np.lib.stride_tricks.sliding_window_view(numbers, size), axis=0)
+            rows.append(found)
+            of.append(np.full(len(found), k))
+        self.rows, self.item = np.concatenate(rows), np.concatenate(of)
+        self.length = (self.rows >= 0).sum(1)
+
+    def hits(self, shard: Shard) -> tuple[np.ndarray, dict[int, set]]:
+        """Which places of the shard any window covers, and the items that have one there, by document."""
+        there = np.append(np.where((n := shard.numbers(self.terms, len(self.terms))) < 0, -2, n), -1)
+        edges, found = np.zeros(shard.size + 1, np.int64), {}
+        for window, at in shard.phrases(there[self.rows]):
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + self.length[window], -1)
+            pairs = np.unique(shard.document(at) * max(1, len(self.items)) + self.item[window])
+            for doc, item in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(self.items)))), strict=True):
+                found.setdefault(doc, set()).add(self.items[item])
+        return np.cumsum(edges[:-1]) > 0, found
+
+
+def _shards(batches: Iterator[pa.RecordBatch], gap: int = WINDOW) -> Iterator[tuple[str, Shard]]:
+    for b in batches:
+        flat = {c: b.column(c) for c in ("ids", "hashes", "lengths", "starts", "docs", "positions")}
+        for i, name in enumerate(b.column("shard").to_pylist()):
+            row = {c: v[i].values for c, v in flat.items()}
+            row = {c: v.to_pylist() if c in ("ids", "hashes") else v.to_numpy(zero_copy_only=False) for c, v in row.items()}
+            yield name, Shard(row | {"terms": b.column("terms")[i].values.to_pylist()}, gap)
+
+
+def _search(windows: Windows, with_bits: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, shard in _shards(batches, windows.size):
+            covered, found = windows.hits(shard)
+            total = np.concatenate([[0], np.cumsum(covered)])
+            n = len(shard.ids)
+            bits = [np.packbits(covered[a : a + m]).tobytes() if m else None for a, m in zip(shard.first, shard.lengths, strict=True)] if with_bits else [None] * n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(shard.ids, pa.int64()), pa.array(shard.hashes, pa.int64()), pa.array(shard.lengths),
+                 pa.array(total[shard.first + shard.lengths] - total[shard.first]), pa.array(bits, pa.binary()),
+                 pa.array([sorted(str(i) for i in found.get(d, ()) if i is not None) for d in range(n)], pa.list_(pa.string()))],
+                ["shard", "doc", "doc_id", "text_hash", "n_words", "n_hit", "hit", "items"],
+            )
 
     return search
 
@@ -222,26 +257,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     docs: doc_id, text; benchmark: item_id, text; other columns don't matter. Null texts have no words
     and no windows. Repeated rows and null ids each keep their row; an item with a null id covers
     words but isn't listed, and repeated item ids are listed once. Empty tables give no rows, or no
-    hits. The benchmark is searched in blocks of block_words, each over the whole index, so no task
-    and no broadcast holds more than one block.
+    hits. The corpus is indexed once; the benchmark is searched in blocks of block_words, each over the
+    index, so no task and no broadcast holds more than one block.
     """
     spark: SparkSession = docs.sparkSession
-    parts = []
+    index = build_index(docs, fresh_path(spark, "positional-index"))
     blocks = _blocks(benchmark, block_words)
     first, second = next(blocks), next(blocks, None)
-    if second is not None:  # shards of several blocks meet by name: every block has to read the same files
-        docs = materialize(docs.select("doc_id", "text"), "documents")
-    for items in chain([first], [second] if second is not None else [], blocks):
-        windows = Windows(items, window)
-        index = build_index(docs, fresh_path(spark, "positional-index"), windows.terms)
-        schema = "shard string, doc int, doc_id long, text_hash long, n_words long, n_hit long, hit binary, items array<string>"
-        parts.append(index.groupBy("shard").applyInPandas(_search(windows), schema))
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "text_hash", "n_words", "n_hit", F.array_sort("items").alias("items"))
+    schema = "shard string, doc int, doc_id long, text_hash long, n_words long, n_hit long, hit binary, items array<string>"
+    if second is None:
+        return index.mapInArrow(_search(Windows(first, window), False), schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
+    parts = [index.mapInArrow(_search(Windows(items, window), True), schema) for items in chain([first, second], blocks)]
     each = parts[0]
     for p in parts[1:]:
         each = each.unionByName(p)
-    # the shards of every block are the same runs of documents
     met = each.groupBy("shard", "doc", "doc_id", "text_hash", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     schema = "doc_id long, text_hash long, n_words long, items array<string>, n_hit long"
     return met.drop("shard", "doc").mapInPandas(_joined_bits, schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
@@ -253,15 +282,15 @@ def contaminated() -> Column:
 
 
 def phrase_matches(index: DataFrame, phrases: dict[int, str], within: int | None = None) -> DataFrame:
-    """phrase, doc_id, position: where phrases stand in an index of all their terms; with within, where
-    the rarest word of a phrase has all its other words within so many words."""
+    """phrase, doc_id, position: where phrases stand in an index; with within, where the rarest word of a phrase
+    has all its other words within so many words. A phrase without words stands nowhere."""
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        shard, out = Shard(rows), []
-        for k, text in phrases.items():
-            ws = words_of(text)
-            at = shard.phrase(ws) if within is None else shard.near(ws, within)
-            out.append(pd.DataFrame({"phrase": k, "doc_id": pd.array([shard.ids[i] for i in at >> 32], dtype="Int64"), "position": at & 0xFFFFFFFF}))
-        return pd.concat(out)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, shard in _shards(batches):
+            for k, text in phrases.items():
+                ws = words_of(text)
+                at = shard.phrase(ws) if within is None else shard.near(ws, within)
+                doc = shard.document(at)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()), pa.array([shard.ids[i] for i in doc], pa.int64()), pa.array(at - shard.first[doc], pa.int64())], ["phrase", "doc_id", "position"])
 
-    return index.groupBy("shard").applyInPandas(search, "phrase long, doc_id long, position long")
+    return index.mapInArrow(search, "phrase long, doc_id long, position long")
