@@ -87,8 +87,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 BROADCAST_ROWS = 500_000
 
 
-def if_small(narrow: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """narrow (a few numbers a row), written once, to be broadcast if it is counted to have at most so many
-    rows; beyond that it is joined by shuffle."""
+def if_small(narrow: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """narrow (a few numbers a row), written once, to be broadcast if it is counted to have at most so many rows;
+    beyond that it is joined by shuffle. size: how many rows' worth a row is, where a column is an array."""
     written = materialize(narrow, name)
-    return F.broadcast(written) if written.count() <= rows else written
+    n = written.agg(F.coalesce(F.sum(F.lit(1) if size is None else 1 + size), F.lit(0))).first()[0]
+    return F.broadcast(written) if n <= rows else written

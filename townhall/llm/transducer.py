@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (blanks to marks, a mark before the
-text), the pieces (an arc for each, with its weight), and byte fallback (an arc of byte pieces for a
-character that no piece has). Composed with an input they are a lattice over its places, and the
-shortest path in the tropical semiring (weights add along a path, the least path wins) is the encoding.
+Three machines come from a model file: the normaliser (the model's automaton of character replacements, the
+longest first; blanks to marks, extra ones dropped where the model says so, a mark before the text), the pieces
+(an arc for each, with its weight), and byte fallback (an arc of byte pieces for a character that no piece has).
+The normaliser has one path for a text, so it is run, not searched; composed with its output the other two are a
+lattice over places, and the shortest path in the tropical semiring (weights add along a path, the least path
+wins) is the encoding.
 
 A unigram model's weights are its negated scores. A merge model (BPE) has no such weights; its machine
 carries a state for the last piece, and an arc has infinite weight where the library would not leave
@@ -28,12 +30,53 @@ from pyspark.sql import types as T
 from townhall.llm.common import hold, slices
 
 MARK = "▁"
-REMEMBERED_PARTS, REMEMBERED_PAIRS = 600_000, 500_000
+#: What a worker remembers at most: solved parts, their characters, and pairs of pieces.
+REMEMBERED_PARTS, REMEMBERED_CHARACTERS, REMEMBERED_PAIRS = 400_000, 4_000_000, 300_000
 INFINITE = float("inf")
 #: Text bytes that a worker encodes at a time.
 SLICE = 1 << 20
 
 
+class Replacements:
+    """The automaton of a model's character replacements: a double array of bytes whose ends point into a list of texts."""
+
+    def __init__(self, table: bytes):
+        size = int.from_bytes(table[:4], "little") if table else 0
+        self.units = np.frombuffer(table[4 : 4 + size], "<u4").tolist() if size else []
+        self.texts = table[4 + size :]
+        self.begins: dict[str, bool] = {}  # whether a replaced run begins with a character
+
+    def walk(self, text: str, start: int = 0) -> Iterator[tuple[int, str | None]]:
+        """Ends of the runs from start on that some replaced run begins with, and what replaces each; None if nothing does."""
+        at = self.units[0] >> 10 << ((self.units[0] & 512) >> 6)
+        for end in range(start + 1, len(text) + 1):
+            value = None
+            for b in text[end - 1].encode(errors="replace"):
+                if at ^ b >= len(self.units) or (unit := self.units[at ^ b]) & 0x800000FF != b:
+                    return
+                at ^= b ^ (unit >> 10 << ((unit & 512) >> 6))
+                value = self.units[at] & 0x7FFFFFFF if unit >> 8 & 1 else None
+            yield end, None if value is None else self.texts[value : self.texts.index(b"\0", value)].decode()
+
+    def applied(self, text: str) -> str:
+        if not self.units:
+            return text
+        for c in set(text) - self.begins.keys():
+            self.begins[c] = any(True for _ in self.walk(c))
+        first = "".join(re.escape(c) for c in set(text) if self.begins[c])
+        if not first:
+            return text
+        out, at = [], 0
+        for m in re.finditer(f"[{first}]", text):
+            if m.start() < at:
+                continue
+            found = [(end, t) for end, t in self.walk(text, m.start()) if t is not None]
+            if found:
+                out += [text[at : m.start()], found[-1][1]]
+                at = found[-1][0]
+        return "".join([*out, text[at:]])
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -44,17 +87,18 @@ class Transducer:
         spec = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
-        if spec.normalizer_spec.precompiled_charsmap:
-            raise ValueError("models with a table of character replacements aren't supported")
+        if any(p.type == spec.SentencePiece.USER_DEFINED for p in spec.pieces):
+            raise ValueError("models with pieces of the user's own, which go before all others, aren't supported")
+        self.replacements = Replacements(spec.normalizer_spec.precompiled_charsmap)
         self.merges = spec.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
         self.prefix, self.squeeze = spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces
         processor = sentencepiece.SentencePieceProcessor(model_file=path)
         kinds = spec.SentencePiece
         self.pieces = [p.piece for p in spec.pieces]
         self.unknown = processor.unk_id()
-        self.arcs = {p.piece: (i, -p.score) for i, p in enumerate(spec.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
+        self.arcs = {p.piece: (i, -p.score) for i, p in enumerate(spec.pieces) if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
-        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL or p.type == kinds.USER_DEFINED else b"" for p in spec.pieces]
+        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL else b"" for p in spec.pieces]
         self.surface[self.unknown] = " ⁇ ".encode()
         #: The pieces' trie: a character leads to (children, piece or -1, weight).
         self.trie: dict[str, tuple] = {}
@@ -82,8 +126,10 @@ class Transducer:
         return f"{MARK}*[^{MARK}{s}]+|{MARK}+|[{s}]+"
 
     def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.replace(MARK, " ").split(" ") if x)
+        text = self.replacements.applied(text)
+        if self.squeeze:  # blanks at the ends and beside blanks go; at the end marks do, too
+            text = re.sub(" +", " ", text.lstrip(" "))
+            text = text.rstrip(f" {MARK}")
         if not text:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
@@ -161,7 +207,7 @@ class _Parts(dict):
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine, self.new = machine, []
+        self.machine, self.new, self.characters = machine, [], 0
         self.ids, self.start = np.zeros(1 << 20, np.int32), np.zeros(1 << 16, np.int64)
 
     def __missing__(self, part: str) -> int:
@@ -171,6 +217,7 @@ class _Parts(dict):
 
     def solve(self) -> None:
         parts, self.new = self.new, []
+        self.characters += sum(map(len, parts))
         n = len(self) - len(parts)
         found = [self.machine.shortest(p) for p in parts]
         flat = np.fromiter(chain.from_iterable(found), np.int32)
@@ -200,7 +247,8 @@ def _machine(path: str) -> Transducer:
 
 
 def _parts(path: str) -> _Parts:
-    if path not in _solved or len(_solved[path]) > REMEMBERED_PARTS:
+    known = _solved.get(path)
+    if known is None or len(known) > REMEMBERED_PARTS or known.characters > REMEMBERED_CHARACTERS:
         _solved[path] = _Parts(_machine(path))
     return _solved[path]
 
