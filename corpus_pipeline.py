@@ -36,8 +36,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group; its repeated rows are that document."""
-    return without(docs, near_duplicates(docs, percent=NEAR).filter(~F.col("kept")))
+    """Keeps the document with the least id of each near-duplicate group; of its repeated rows (one id, one text) one stays."""
+    near = near_duplicates(docs, percent=NEAR)
+    left = without(docs, near.filter(~F.col("kept")))
+    again = near.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    again = if_small(again.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")), "repeated")
+    on = F.col("doc_id").eqNullSafe(F.col("r_id")) & F.xxhash64("text").eqNullSafe(F.col("r_hash"))
+    once = left.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, on, "left_anti").unionByName(once)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret; documents stay."""
     found = secrets(docs).select(F.col("doc_id").alias("s_id"), "text_hash", F.array_sort(F.concat("base", "added")).alias("spans"))
-    found = if_small(found.filter(F.size("spans") > 0).dropDuplicates(["s_id", "text_hash"]), "spans", 100_000)
+    found = if_small(found.filter(F.size("spans") > 0).dropDuplicates(["s_id", "text_hash"]), "spans", size=F.size("spans"))
     on = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
     masked = docs.select(*COLUMNS).join(found, on, "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
