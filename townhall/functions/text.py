@@ -45,7 +45,7 @@ def collapsed(text: Column | str) -> Column:
 
 
 def norm_name(name: Column | str) -> Column:
-    """Lower case, six marks for blanks, blanks collapsed. For text beyond ASCII decompose it before, by nfkd()."""
+    """Lower case, six marks for blanks, blanks collapsed. For text beyond ASCII decompose it before, by linkage.decomposed()."""
     return collapsed(F.translate(F.lower(_col(name)), NAME_MARKS, " " * len(NAME_MARKS)))
 
 
@@ -63,18 +63,53 @@ def without_suffix(name: Column | str, suffix: str) -> Column:
     return F.trim(F.regexp_replace(_col(name), f"(?i){suffix}\\s*$", ""))
 
 
+def without_reservation(name: Column | str) -> Column:
+    """A seat's name without the reservation that stands behind it in brackets."""
+    return F.trim(F.regexp_replace(_col(name), r"\s*\((SC|ST)\)\s*$", ""))
+
+
+def reservation(name: Column | str) -> Column:
+    """SC or ST, if a seat's name ends with it in brackets; else null."""
+    return F.nullif(F.regexp_extract(_col(name), r"\((SC|ST)\)\s*$", 1), F.lit(""))
+
+
+def without_footnotes(cell: Column | str) -> Column:
+    """A cell of a table without footnote marks of up to four characters in brackets."""
+    return F.trim(F.regexp_replace(_col(cell), r"\[\s*[^\]]{1,4}\s*\]", ""))
+
+
+def norm_party(party: Column | str) -> Column:
+    """A party's short name without footnotes, dots, blanks and round brackets."""
+    return F.regexp_replace(without_footnotes(party), r"[.\s()]+", "")
+
+
+def slug(text: Column | str) -> Column:
+    """Lower-case ASCII letters and digits, with one hyphen for all between them."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
 def comma_int(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), "[, ]", "").try_cast("bigint")
 
 
+def encoded_part(part: Column) -> Column:
+    """A name or value of a query, decoded and encoded again, so that all its spellings become one; what can't be decoded is taken as it is."""
+    plain = F.coalesce(F.try_url_decode(part), part)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column | str) -> Column:
-    """Without fragment and tracking parameters; the host in lower case; other parameters as they are."""
-    plain = F.substring_index(_col(url), "#", 1)
+    """Without blanks around it, fragment and tracking parameters (in any case); scheme and host in lower case; other
+    parameters in their order, encoded alike, each with an equals sign."""
+    plain = F.substring_index(F.trim(_col(url)), "#", 1)
     path, query = F.substring_index(plain, "?", 1), F.when(F.instr(plain, "?") > 0, F.regexp_replace(plain, r"^[^?]*\?", ""))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING))
+    name, value = lambda p: F.substring_index(p, "=", 1), lambda p: F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))
+    parts = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(encoded_part(name(p)).alias("k"), encoded_part(value(p)).alias("v")))
+    kept = F.filter(parts, lambda p: ~F.lower(F.coalesce(F.try_url_decode(p["k"]), p["k"])).rlike(TRACKING))
     head = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
     low = F.concat(F.lower(head), F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""))
-    return F.when(query.isNotNull() & (F.size(kept) > 0), F.concat(low, F.lit("?"), F.array_join(kept, "&"))).otherwise(low)
+    again = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    return F.when(query.isNotNull() & (F.size(kept) > 0), F.concat(low, F.lit("?"), again)).otherwise(low)
 
 
 def in_scope(url: Column | str, prefixes: Column) -> Column:
@@ -96,13 +131,29 @@ def civic_subjects(title: Column | str) -> Column:
     return F.array_compact(F.array(*(F.when(_col(title).rlike(p), F.lit(k)) for k, p in CIVIC_SUBJECTS.items())))
 
 
+#: Zones that mail dates name, in hours; other names and none mean UTC.
+ZONES = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MAIL = r"^(?:[A-Za-z]+,?\s+)?(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -](\d{2}|\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([A-Za-z]{1,5}|[+-]\d{4})\b.*)?$"
+
+
 def parse_when(text: Column | str) -> Column:
-    """RFC 822, then ISO; without a zone UTC; null for anything else."""
+    """A mail date (with or without weekday, seconds and zone; two-digit years up to 68 are of this century), or an ISO
+    one; without a zone UTC; null for anything else."""
     t = F.trim(_col(text))
-    mail = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3},\s*", ""), r"\b(GMT|UTC|UT)$", "+0000")
-    shapes = [(mail, "d MMM yyyy HH:mm:ss Z"), (mail, "d MMM yyyy HH:mm Z"), (mail, "d MMM yyyy HH:mm:ss")]
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.regexp_replace(t, "T", " ")))
-    return F.coalesce(*(F.when(c.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}"), F.try_to_timestamp(c, F.lit(f))) for c, f in shapes), iso)
+    part = lambda i: F.regexp_extract(t, _MAIL, i)
+    n = lambda i: part(i).try_cast("int")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(2)))
+    year = F.when(F.length(part(3)) == 2, n(3) + F.when(n(3) > 68, 1900).otherwise(2000)).otherwise(n(3))
+    named = F.coalesce(*(F.when(F.upper(part(7)) == k, 60 * v) for k, v in ZONES.items()))
+    signed = (F.substring(part(7), 2, 2).try_cast("int") * 60 + F.substring(part(7), 4, 2).try_cast("int")) * F.when(F.startswith(part(7), F.lit("-")), -1).otherwise(1)
+    minutes = F.when(part(7).rlike(r"^[+-]\d{4}$"), signed).otherwise(F.coalesce(named, F.lit(0)))
+    at = F.try_make_timestamp(year, month.cast("int"), n(1), n(4), n(5), F.coalesce(n(6), F.lit(0)), F.lit("UTC"))
+    mail = F.when(t.rlike(_MAIL), at - F.make_dt_interval(mins=minutes))
+    whole = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit(" 00:00:00"))).otherwise(F.regexp_replace(t, "T", " "))
+    zoned = F.when(whole.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(zoned))
+    return F.coalesce(mail, iso)
 
 
 def digest_key(url: Column | str) -> Column:

@@ -51,9 +51,9 @@ def seed_check(rows: DataFrame, key: str, required: list[str], forbidden: str) -
 
 
 def markers_valid(summary: Column, n_sources: Column) -> Column:
-    """At least one [k], and every k between 1 and the number of sources."""
+    """At least one [k], and every k between 1 and the number of sources; a number too long for one is none of them."""
     found = F.regexp_extract_all(summary, F.lit(r"\[(\d+)\]"), F.lit(1))
-    return (F.size(found) > 0) & F.forall(found, lambda k: k.cast("int").between(1, n_sources))
+    return F.coalesce((F.size(found) > 0) & F.forall(found, lambda k: F.coalesce(k.try_cast("int").between(1, n_sources), F.lit(False))), F.lit(False))
 
 
 def notes_valid(sources: Column, noted: Column) -> Column:
@@ -64,3 +64,19 @@ def notes_valid(sources: Column, noted: Column) -> Column:
 def lock_category(communal: Column, sub_judice: Column, allegations: Column, before: Column) -> Column:
     """The first ground for a lock; a lock set before stays as it is."""
     return F.coalesce(before, F.when(communal, "communal").when(sub_judice, "sub_judice").when(allegations, "allegations"))
+
+
+def publish_gate(drafts: DataFrame, verdicts: DataFrame, order: list[str]) -> DataFrame:
+    """The outcome for each cluster of drafts (cluster_id, attempt, title) and verdicts (cluster_id, attempt, passes, lock_ground).
+
+    The first attempt that passes publishes its title; without one the last attempt stands and nothing but a lock is
+    written. A lock counts whichever attempt found it; of several grounds the first in `order`."""
+    grounds = F.array(*map(F.lit, order))
+    joined = drafts.join(verdicts, ["cluster_id", "attempt"], "left")
+    passed = F.coalesce(F.col("passes"), F.lit(False))
+    one = joined.groupBy("cluster_id").agg(
+        F.min(F.when(passed, F.struct("attempt", "title"))).alias("good"), F.max("attempt").alias("last"),
+        F.min(F.when(F.array_contains(grounds, F.col("lock_ground")), F.array_position(grounds, F.col("lock_ground")))).alias("lock"),
+    )
+    there = F.col("good").isNotNull()
+    return one.select("cluster_id", F.when(there, F.col("good.attempt")).otherwise(F.col("last")).alias("attempt"), F.when(there, "publish").otherwise("withhold").alias("outcome"), F.when(there, F.col("good.title")).alias("title"), F.try_element_at(grounds, F.col("lock").cast("int")).alias("lock_category"))
