@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,3 +57,35 @@ def reconcile(listing: DataFrame, detail: DataFrame, key: str, value: str) -> Da
     both = listing.select(key, F.col(value).alias("listed"), F.lit(True).alias("in_listing")).join(detail.select(key, F.col(value).alias("detailed"), F.lit(True).alias("in_detail")), key, "full_outer")
     agree = F.col("in_listing").isNotNull() & F.col("in_detail").isNotNull() & F.col("listed").eqNullSafe(F.col("detailed"))
     return both.select(key, F.coalesce("detailed", "listed").alias("value"), "listed", F.when(agree, 1.0).otherwise(0.9).alias("confidence"), (~agree).alias("audit"))
+
+
+def fact_upsert(old: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
+    """Facts (subject_id, fact_key, source, fact_value, retrieved_at, raw_confidence) after a load: one for each subject, key and source.
+
+    A new value overwrites the old one, also by null; the confidence stays where the load has none; what the load
+    doesn't name stays as it is. The load's rows of one identity count once, the first by `order`."""
+    policies = {"fact_value": "overwrite", "retrieved_at": "overwrite", "raw_confidence": "new_else_old"}
+    return upsert(old, new, ["subject_id", "fact_key", "source"], policies, order)
+
+
+def import_tenures(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Tenures (tenure_id, office_id, person_id, start_date, end_date, status, source) after a new import: a tenure that is known
+    takes the import's source, and keeps its person, status and end, which other jobs have set since."""
+    policies = {"person_id": "keep", "start_date": "keep", "end_date": "keep", "status": "keep", "source": "overwrite"}
+    return upsert(old, new, ["tenure_id", "office_id"], policies, [F.asc("source")])
+
+
+def publish_snapshot(df: DataFrame, root: str, version: int) -> None:
+    """Writes a whole table as one version under root, and then points to it: a row in the log of versions.
+
+    Readers take the last version of the log, so they see the table before or after the run, never a part of it. The
+    log's row is written by one commit; a run that is repeated after a failure writes its version again."""
+    df.write.mode("overwrite").parquet(f"{root}/versions/{version}")
+    spark = df.sparkSession
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(f"{root}/log")
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The table that the log points to."""
+    version = spark.read.schema("version long").parquet(f"{root}/log").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/versions/{version}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from townhall.functions import text as X
-from townhall.operators.graph import folder_for, written
+from townhall.operators.graph import folder_for
 from townhall.plans.registry import query
 from townhall.sources import markup as K
 from townhall.sources.standins import view, with_views
@@ -14,17 +16,18 @@ from townhall.streaming import ingest as G
 
 
 @query("feed_items", """select page_id feed_id, k place, 'Item ' || page_id || '/' || k title, 'http://a.example/' || page_id || '/' || k url, case when page_id % 2 = 0 then 'Mon, 1 Jan 2024 10:00:00 GMT' else '2024-01-01T10:00:00Z' end published,
-  case when page_id % 2 = 0 and k = 0 then 'http://a.example/i.jpg' end image from pages, range(3) t(k) where k < 2""")
+  case when page_id % 2 = 0 and k = 0 then 'http://a.example/i.jpg' end image from pages, range(3) t(k) where k < 2 and page_id % 7 <> 3""")
 def feed_items(spark, d):
-    """RSS and Atom documents made of the pages' ids: a third entry has no title, an enclosure is audio."""
+    """RSS and Atom documents made of the pages' ids: a third entry has no title, an enclosure is audio; each seventh isn't well-formed."""
     n = F.col("page_id").cast("string")
-    rss = lambda k, extra: F.concat(F.lit("<item><title> Item  "), n, F.lit(f"/{k} </title>" + ("<link>http://a.example/" if k == 0 else "<link>x</link><guid>http://a.example/")), n, F.lit(f"/{k}" + ("</link>" if k == 0 else "</guid>") + f"<pubDate>Mon, 1 Jan 2024 10:00:00 GMT</pubDate>{extra}</item>"))
+    rss = lambda k, extra: F.concat(F.lit("<item><title> Item  "), n, F.lit(f"/{k} </title>" + ("<link>http://a.example/" if k == 0 else "<link> </link><guid>http://a.example/")), n, F.lit(f"/{k}" + ("</link>" if k == 0 else "</guid>") + f"<pubDate>Mon, 1 Jan 2024 10:00:00 GMT</pubDate>{extra}</item>"))
     atom = lambda k: F.concat(F.lit("<entry><title>Item "), n, F.lit(f"/{k}</title><link rel='self' href='http://b.example'/><link rel='alternate' href='http://a.example/"), n, F.lit(f"/{k}'/><updated>2024-01-01T10:00:00Z</updated></entry>"))
     empty = "<item><title> </title><link>http://a.example/none</link></item>"
     xml = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<rss><channel><title>Feed</title>"), rss(0, "<enclosure url='http://a.example/i.jpg' type='image/jpeg'/>"), rss(1, "<enclosure url='http://a.example/a.mp3' type='audio/mpeg'/>"), F.lit(empty + "</channel></rss>"))).otherwise(
         F.concat(F.lit("<feed>"), atom(0), atom(1), F.lit("<entry><title/><link href='http://a.example/none'/></entry></feed>"))
     )
-    return K.feed_items(view(spark, d, "pages").select(F.col("page_id").alias("feed_id"), xml.alias("xml")))
+    whole = F.when(F.col("page_id") % 7 == 3, F.replace(xml, F.lit("Item"), F.lit("R & D <b"))).otherwise(xml)
+    return K.feed_items(view(spark, d, "pages").select(F.col("page_id").alias("feed_id"), whole.alias("xml")))
 
 
 @query("page_excerpts")
@@ -33,21 +36,21 @@ def page_excerpts(spark, d):
 
 
 def _tables(spark, d):
-    """Pages with two tables of results: the second has the ids of supplier rows and votes of over 1000."""
-    rows = view(spark, d, "supplier").select((F.col("s_suppkey") % 10).alias("page_id"), F.concat(F.lit("<tr><td>"), "s_suppkey", F.lit("</td><td rowspan='1' colspan='2'>"), "s_name", F.lit("</td><td>"), (F.col("s_suppkey") * 10 + 5000), F.lit("</td></tr>")).alias("tr"), "s_suppkey")
+    """Pages of fifty suppliers with two tables of results: the second has the ids of supplier rows and votes of over 1000."""
+    rows = view(spark, d, "supplier").select(F.expr("s_suppkey div 50").alias("page_id"), F.concat(F.lit("<tr><td>"), "s_suppkey", F.lit("</td><td rowspan='1' colspan='2'>"), "s_name", F.lit("</td><td>"), (F.col("s_suppkey") * 10 + 5000), F.lit("</td></tr>")).alias("tr"), "s_suppkey")
     body = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "tr"))), lambda x: x["tr"]), "").alias("b"))
     first = "<table><tr><th rowspan='2'>a</th><th>b</th></tr><tr><td>c</td></tr><tr><td>d</td><td rowspan='3'>e</td></tr></table>"
     return body.select("page_id", F.concat(F.lit(f"<p>x</p>{first}<table>"), "b", F.lit("</table>")).alias("html"))
 
 
 @query("table_grid", """select page_id, tbl, r as row, c as col, text from (
-    select p.page_id, 0 tbl, g.r, g.c, g.text from (select distinct s_suppkey % 10 page_id from supplier) p, (values (0, 0, 'a'), (0, 1, 'b'), (1, 0, 'a'), (1, 1, 'c'), (2, 0, 'd'), (2, 1, 'e'), (3, 0, null), (3, 1, 'e'), (4, 0, null), (4, 1, 'e')) g(r, c, text)
-    union all select s_suppkey % 10, 1, row_number() over (partition by s_suppkey % 10, t.c order by s_suppkey) - 1, t.c, case t.c when 0 then s_suppkey::varchar when 3 then (s_suppkey * 10 + 5000)::varchar else s_name end from supplier, (select unnest([0, 1, 2, 3]) c) t)""")
+    select p.page_id, 0 tbl, g.r, g.c, g.text from (select distinct s_suppkey // 50 page_id from supplier) p, (values (0, 0, 'a'), (0, 1, 'b'), (1, 0, 'a'), (1, 1, 'c'), (2, 0, 'd'), (2, 1, 'e')) g(r, c, text)
+    union all select s_suppkey // 50, 1, row_number() over (partition by s_suppkey // 50, t.c order by s_suppkey) - 1, t.c, case t.c when 0 then s_suppkey::varchar when 3 then (s_suppkey * 10 + 5000)::varchar else s_name end from supplier, (select unnest([0, 1, 2, 3]) c) t)""")
 def table_grid(spark, d):
     return K.table_grid(_tables(spark, d))
 
 
-@query("table_select", "select s_suppkey % 10 page_id, 1 tbl, 0 col, count(*) covered from supplier group by 1")
+@query("table_select", "select s_suppkey // 50 page_id, 1 tbl, 0 col, count(*) covered from supplier group by 1")
 def table_select(spark, d):
     ids = view(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
     return K.table_select(K.table_grid(_tables(spark, d)), ids)
@@ -95,13 +98,14 @@ def portfolio_split(spark, d):
     return K.portfolio_split(cells)
 
 
-@query("department_cards", with_views("""select department, string_agg(item_id::varchar, ',' order by r, item_id) holders, count(*) n from (
-  select department, item_id, case when item_id % 4 = 0 then 0 when item_id % 4 = 1 then 1 else 2 end r from items where department is not null) group by department""", "items"))
+@query("department_cards", """select department, string_agg(person_id::varchar, ',' order by r, person_id) holders, count(*) n from (
+  select s_suppkey person_id, 'department ' || (s_suppkey // 8 + k) department, case when s_suppkey % 4 = 0 then 0 when s_suppkey % 4 = 1 then 1 else 2 end r from supplier, range(2) t(k)) group by department""")
 def department_cards(spark, d):
-    """Holders of each department: chief minister, deputies, ministers, then by id."""
-    rank = F.when(F.col("item_id") % 4 == 0, 0).when(F.col("item_id") % 4 == 1, 1).otherwise(2)
-    g = view(spark, d, "items").filter("department is not null").groupBy("department").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "item_id"))).alias("h"), F.count("*").alias("n"))
-    return g.select("department", F.array_join(F.transform("h", lambda x: x["item_id"].cast("string")), ",").alias("holders"), "n")
+    """Holders of each department, of which every person has two: chief minister, deputies, ministers, then by id."""
+    k = F.col("s_suppkey")
+    people = view(spark, d, "supplier").select(k.alias("person_id"), F.when(k % 4 == 0, 0).when(k % 4 == 1, 1).otherwise(2).alias("r"), F.explode(F.array(F.expr("s_suppkey div 8"), F.expr("s_suppkey div 8 + 1"))).alias("d"))
+    g = people.groupBy(F.concat(F.lit("department "), "d").alias("department")).agg(F.array_sort(F.collect_list(F.struct("r", "person_id"))).alias("h"), F.count("*").alias("n"))
+    return g.select("department", F.array_join(F.transform("h", lambda x: x["person_id"].cast("string")), ",").alias("holders"), "n")
 
 
 @query("registry_load", "select n_nationkey, n_name, n_regionkey, 1 n from nation")
@@ -113,50 +117,61 @@ def registry_load(spark, d):
     return K.registry_load(spark, path, "n_nationkey").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"), F.col("n").cast("int"))
 
 
-def _events(spark, d):
-    """The events as a folder of files for streams, in the order of time."""
-    e = view(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return written(e.repartitionByRange(4, "ts"), "event-files")
+#: Slices of time that the events land in.
+SLICES = 8
+#: The least lateness that this allows: a slice, in whole hours, and one more.
+LATE_SQL = f"to_hours(cast(ceil(epoch(max(ts) - min(ts)) / 3600 / {SLICES}) as bigint) + 1)"
 
 
-def _folder(df):
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def _events(spark, d):
+    """The events as a folder of files for streams, landed by slices of time; the files' schema, and the lateness."""
+    e = view(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = folder_for(spark, "event-files")
+    hours = G.land_slices(e, "ts", path, SLICES)
+    return path, e.schema, f"{math.ceil(hours) + 1} hours"
 
 
 @query("stream_upsert", """select user_id, event_type, props, first_seen from (select user_id, event_type, props, min(ts) over (partition by user_id, event_type) first_seen,
   row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) where rn = 1""")
 def stream_upsert(spark, d):
-    files = _events(spark, d)
-    rows = G.file_stream(spark, _folder(files), files.schema).withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts")})
-    empty = spark.createDataFrame([], "user_id long, event_type string, props string, first_seen timestamp, last_seen timestamp")
+    path, schema, _ = _events(spark, d)
+    rows = G.file_stream(spark, path, schema).withColumns({"first_seen": F.col("ts"), "last_seen": F.struct("ts", "event_id")})
     out = folder_for(spark, "stream-upsert")
-    newest = [F.desc("last_seen"), F.desc("event_id")]
-    with_first = {"props": "overwrite", "first_seen": "least", "last_seen": "overwrite"}
+    state = G.KeyedState(spark, f"{out}/state", "user_id long, event_type string, props string, first_seen timestamp, last_seen struct<ts:timestamp,event_id:long>", ["user_id", "event_type"])
+    policies = {"props": "overwrite", "first_seen": "least", "last_seen": "overwrite"}
     first = F.min("ts").over(Window.partitionBy("user_id", "event_type"))
-    q = G.upsert_stream(rows, f"{out}/state", empty, ["user_id", "event_type"], with_first, newest, f"{out}/checkpoint", "last_seen", lambda batch: batch.withColumn("first_seen", first))
+    G.upsert_stream(rows, state, policies, [F.desc("last_seen")], f"{out}/checkpoint", "last_seen", lambda batch: batch.withColumn("first_seen", first)).awaitTermination()
+    return state.read().select("user_id", "event_type", "props", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
+
+
+@query("stream_metrics", "select count(*) n_items, count(*) filter (event_type = 'error') n_errors from events")
+def stream_metrics(spark, d):
+    """What the micro-batches of a run report, added up."""
+    path, schema, _ = _events(spark, d)
+    out = folder_for(spark, "stream-metrics")
+    rows = G.metered(G.file_stream(spark, path, schema), "health", F.col("event_type") == "error")
+    q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
-    state = spark.read.schema(empty.schema).parquet(f"{out}/state/v{last}")
-    return state.select("user_id", "event_type", "props", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
+    return G.batch_metrics(q, "health").agg(F.sum("n_items").alias("n_items"), F.sum("n_errors").alias("n_errors"))
 
 
 @query("stream_dedupe", "select distinct substring(sha256(event_type || props), 1, 12) key from events")
 def stream_dedupe(spark, d):
-    files = _events(spark, d)
-    keyed = G.file_stream(spark, _folder(files), files.schema).withColumn("key", X.digest_key(F.concat("event_type", "props")))
+    path, schema, _ = _events(spark, d)
+    keyed = G.file_stream(spark, path, schema).withColumn("key", X.digest_key(F.concat("event_type", "props")))
     return G.drained(G.deduped(keyed, ["key"], "ts", "60 days").select("key"), "stream-dedupe")
 
 
 @query("stream_pairs", """select a.event_id id_a, b.event_id id_b, a.user_id || a.props token from events a join events b on a.user_id = b.user_id and a.props = b.props and a.event_id < b.event_id
   and b.ts > a.ts - interval 72 hours and b.ts < a.ts + interval 72 hours""")
 def stream_pairs(spark, d):
-    files = _events(spark, d)
-    rows = lambda: G.file_stream(spark, _folder(files), files.schema).select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.concat("user_id", "props").alias("token"))
-    return G.drained(G.pair_stream(rows(), rows(), 72, "30 days"), "stream-pairs")
+    path, schema, late = _events(spark, d)
+    rows = lambda: G.file_stream(spark, path, schema).select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.concat("user_id", "props").alias("token"))
+    return G.drained(G.pair_stream(rows(), rows(), 72, late), "stream-pairs")
 
 
-@query("stream_windows", """select time_bucket(interval 1 day, ts) as start, event_type, count(*) n from events group by 1, 2 having time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) - interval 1 hour from events)""")
+@query("stream_windows", f"""select time_bucket(interval 1 day, ts) as start, event_type, count(*) n from events group by 1, 2 having time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) - {LATE_SQL} from events)""")
 def stream_windows(spark, d):
-    files = _events(spark, d)
-    counts = G.windowed_counts(G.file_stream(spark, _folder(files), files.schema), "ts", "1 day", "1 hour", ["event_type"])
+    path, schema, late = _events(spark, d)
+    counts = G.windowed_counts(G.file_stream(spark, path, schema), "ts", "1 day", late, ["event_type"])
     return G.drained(counts, "stream-windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

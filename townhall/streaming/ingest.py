@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,16 +15,90 @@ def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def upsert_stream(stream: DataFrame, state: str, empty: DataFrame, keys: list[str], policies: dict[str, str], order: list[Column], checkpoint: str, version: str | None = None, prepared=None) -> StreamingQuery:
-    """Merges each micro-batch into the table of states under `state`: a new version a batch, never written over.
+def land_slices(rows: DataFrame, at: str, path: str, slices: int) -> float:
+    """Writes rows as files under path, by slices of time one after the other, and returns the hours of a slice.
 
-    A batch that runs again after a failure reads the version before it and writes its own again."""
-    def merge(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        old = s.read.schema(empty.schema).parquet(f"{state}/v{number - 1}") if number else s.createDataFrame([], empty.schema)
-        upsert(old, prepared(batch) if prepared else batch, keys, policies, order, version).drop("state").write.mode("overwrite").parquet(f"{state}/v{number}")
+    A file source takes files by their times of writing, and those of one slice in any order. So rows come at most a
+    slice's hours late, which is the least watermark with which nothing is dropped."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    rows.limit(0).write.mode("append").parquet(path)  # the folder is there, whatever comes
+    if low is None:
+        return 0.0
+    width = (high - low) / slices
+    for i in range(slices):
+        part = rows.filter((F.col(at) >= F.lit(low + i * width)) & (F.lit(i == slices - 1) | (F.col(at) < F.lit(low + (i + 1) * width))))
+        part.write.mode("append").parquet(path)
+    return width.total_seconds() / 3600
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+#: Parts that a state of keys is kept in.
+BUCKETS = 32
+
+
+class KeyedState:
+    """A table of states under a folder, in parts by the hash of the key, and a log of which version holds each part.
+
+    A batch reads and writes the parts that its keys fall into. The log's row of a batch is written after its parts, so a
+    batch that runs again reads what the batch before it left and writes its own version again."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+
+    def part(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def versions(self, before: int) -> dict[int, int]:
+        """Which batch wrote each part last, of those before a batch."""
+        try:
+            log = self.spark.read.schema("part int, version long").parquet(f"{self.path}/log")
+        except AnalysisException:  # nothing was written yet
+            return {}
+        return {r["part"]: r["version"] for r in log.filter(F.col("version") < before).groupBy("part").agg(F.max("version").alias("version")).collect()}
+
+    def read(self, parts: list[int] | None = None, before: int = 1 << 62) -> DataFrame:
+        known = self.versions(before)
+        paths = [f"{self.path}/v{v}/part={p}" for p, v in sorted(known.items()) if parts is None or p in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, batch: DataFrame, number: int, step) -> None:
+        """step(old, new) gives the state of the keys of the parts that a batch falls into."""
+        rows = self.part(batch).persist()
+        parts = [r["part"] for r in rows.select("part").distinct().collect()]  # as many as there are parts, at most
+        if parts:
+            after = self.part(step(self.read(parts, number), rows.drop("part")))
+            after.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v{number}")
+            old = self.versions(number - 1)
+            self.spark.createDataFrame([(p, number) for p in parts], "part int, version long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+            self.forget(old, self.versions(number))
+        rows.unpersist()
+
+    def forget(self, old: dict[int, int], known: dict[int, int]) -> None:
+        """Removes the parts of old that the batch before this one has written again: no batch reads them any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for part, version in old.items():
+            if known[part] != version:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}/part={part}")
+                path.getFileSystem(conf).delete(path, True)
+
+
+def upsert_stream(stream: DataFrame, state: KeyedState, policies: dict[str, str], order: list[Column], checkpoint: str, version: str | None = None, prepared=None) -> StreamingQuery:
+    """Merges each micro-batch into a keyed state, as upsert() does."""
+
+    def step(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert(old, prepared(new) if prepared else new, state.keys, policies, order, version).drop("state")
+
+    return stream.writeStream.foreachBatch(lambda batch, number: state.merge(batch, number, step)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def metered(stream: DataFrame, name: str, errors: Column) -> DataFrame:
+    """The stream with health metrics of each micro-batch under a name: rows, and those with an error."""
+    return stream.observe(name, F.count(F.lit(1)).alias("n_items"), F.count(F.when(errors, 1)).alias("n_errors"))
+
+
+def batch_metrics(query: StreamingQuery, name: str) -> DataFrame:
+    """batch, n_items, n_errors of the micro-batches that a finished query reports."""
+    rows = [(p["batchId"], m["n_items"], m["n_errors"]) for p in query.recentProgress if (m := (p["observedMetrics"] or {}).get(name)) is not None]
+    return SparkSession.active().createDataFrame(rows, "batch long, n_items long, n_errors long")
 
 
 def deduped(stream: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
