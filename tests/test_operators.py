@@ -1,6 +1,8 @@
 import datetime as dt
 import difflib
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from townhall.operators import quality as Q
 from townhall.operators import spatial as S
 from townhall.operators.graph import least_labels
 from townhall.sources import markup as K
+from townhall.streaming import ingest as G
+
+X_TAMIL = re.compile(X.TAMIL)
 
 
 def one(spark, column, value, kind="string"):
@@ -27,6 +32,10 @@ def one(spark, column, value, kind="string"):
         ("HTTP://Site.Example/A?utm_source=x&b=#top", "http://site.example/A?b="),
         ("http://a.example/x?ref=1", "http://a.example/x"),
         ("http://a.example/x?refx=1&fbclid=2", "http://a.example/x?refx=1"),
+        ("  http://a.example/x?UTM_Source=1&Ref=2&b=1 ", "http://a.example/x?b=1"),
+        ("http://a.example/x?q=a%20b+c&&flag&bad=%zz&s=%7e*", "http://a.example/x?q=a+b+c&flag=&bad=%25zz&s=~%2A"),
+        ("http://a.example/x?", "http://a.example/x"),
+        ("", ""),
         (None, None),
     ],
 )
@@ -40,12 +49,31 @@ def test_canonical_url(spark, url, expected):
         ("Mon, 01 Jan 2024 10:00:00 +0530", dt.datetime(2024, 1, 1, 4, 30)),
         ("2024-01-01T10:00:00Z", dt.datetime(2024, 1, 1, 10)),
         ("2024-01-01 10:00:00", dt.datetime(2024, 1, 1, 10)),
+        ("2024-01-01", dt.datetime(2024, 1, 1)),
+        ("2024-01-01T10:00:00.250+05:30", dt.datetime(2024, 1, 1, 4, 30, 0, 250000)),
+        (" Mon, 01 Jan 24 10:00 EST ", dt.datetime(2024, 1, 1, 15)),
+        ("1 January 99 10:00:00", dt.datetime(1999, 1, 1, 10)),
+        ("Mon, 1 Jan 2024 10:00:00 -0800 (PST)", dt.datetime(2024, 1, 1, 18)),
+        ("Mon, 1 Jan 2024 10:00:00 XYZ", dt.datetime(2024, 1, 1, 10)),
+        ("31 Feb 2024 10:00:00 GMT", None),
+        ("2024-02-31", None),
         ("garbage", None),
+        ("", None),
         (None, None),
     ],
 )
-def test_parse_when(spark, text, expected):
-    assert one(spark, lambda c: X.parse_when(c).cast("timestamp_ntz"), text) == expected
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Kolkata"])
+def test_parse_when(spark, text, expected, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    got = one(spark, lambda c: F.unix_micros(X.parse_when(c)), text)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == (expected and round(expected.replace(tzinfo=dt.UTC).timestamp() * 1_000_000))
+
+
+def test_seat_and_party_names(spark):
+    assert one(spark, X.without_reservation, "Old Town (SC) ") == "Old Town" and one(spark, X.reservation, "Old Town (ST)") == "ST" and one(spark, X.reservation, "Old (SC) Town") is None
+    assert one(spark, X.without_footnotes, "Name [ 4 ][a] x") == "Name  x" and one(spark, X.norm_party, "A. B.(c)[ 1 ]") == "ABc"
+    assert one(spark, X.slug, " São  Paulo--12! ") == "s-o-paulo-12" and one(spark, X.slug, None) is None
 
 
 def test_names_and_money(spark):
@@ -98,6 +126,7 @@ def test_violations(spark):
 def test_markers_and_locks(spark):
     ok = lambda t: one(spark, lambda c: Q.markers_valid(F.col(c), F.lit(2)), t)
     assert ok("a [1] b [2]") and not ok("none") and not ok("[0]") and not ok("[3]")
+    assert not ok("[99999999999]") and not ok("[1] [" + "9" * 400 + "]") and not ok("") and not ok(None)
     df = spark.createDataFrame([(False, True, True, None), (False, False, False, "communal")], "c boolean, s boolean, a boolean, b string")
     assert [r[0] for r in df.select(Q.lock_category(*map(F.col, "csab"))).collect()] == ["sub_judice", "communal"]
 
@@ -172,7 +201,140 @@ def test_fuzzy_match(spark):
     left = spark.createDataFrame([(1, "suplier alpha"), (2, "nobody"), (3, "common")], "a long, nm string")
     right = spark.createDataFrame([(1, "supplier alpha"), (2, "supplier beta"), (3, "commona"), (4, "commonb")], "b long, nm string")
     got = {r["a"]: (r["b"], r["ratio"]) for r in L.fuzzy_match(left, right, "a", "b", "nm", 0.88).collect()}
-    assert got == {1: (1, round(difflib.SequenceMatcher(None, "suplier alpha", "supplier alpha").ratio(), 6))}  # 3: a tie
+    assert got == {1: (1, round(ratio("suplier alpha", "supplier alpha"), 6)), 3: (3, round(ratio("common", "commona"), 6))}  # the first of equals
+
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+@pytest.mark.parametrize("least", [0.75, 0.8, 0.85, 0.88, 0.95])
+def test_close_pairs_by_force(spark, least):
+    rng = random.Random(11)
+    names = ["", "a", "ab", "abc", "axbxc"]
+    for _ in range(70):
+        w = [rng.choice("abcd ") for _ in range(rng.randrange(1, 24))]
+        names.append("".join(w))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randrange(1, 5)):
+                k = rng.randrange(len(v) + 1)
+                v[k : k + rng.randrange(2)] = rng.choice([[], ["x"], ["b"]])
+            names.append("".join(v))
+    left, right = list(enumerate(names))[::2], list(enumerate(names))[1::2]
+    got = {(r["l_id"], r["r_id"]) for r in L.close_pairs(spark.createDataFrame(left, "l_id long, l_name string"), spark.createDataFrame(right, "r_id long, r_name string"), least).collect()}
+    assert got == {(i, j) for i, x in left for j, y in right if ratio(x, y) >= least}
+
+
+def plain_name(text):
+    text = unicodedata.normalize("NFKD", text).lower()
+    return " ".join("".join(" " if c in ".-'()," else c for c in text).split())
+
+
+def test_person_match_by_force(spark):
+    rng = random.Random(9)
+    words = ["Stalin", "Kumar", "Vijay", "Raja", "Selvam", "Anbu", "M", "K", "José", "Mani"]
+    persons = [(i, " ".join(rng.sample(words, rng.randrange(1, 4))), rng.choice([None, "", "ஸ்டாலின்", "மு க ஸ்டாலின்", "விஜய்", "ராஜா" + "அஇஉஎஒ"[i % 5]])) for i in range(40)]
+    persons += [(50, None, "தனி"), (51, "M K Stalin", None), (52, "Unique O'Name", None)]
+    names = [(i, " ".join(rng.sample([*words, "CM", "Dr.", "Stalim", "ராஜா", "விஜய்"], rng.randrange(1, 4)))) for i in range(150)]
+    names += [(200, "முதல்வர் தனி"), (201, None), (202, ""), (203, "unique o name"), (204, "Chief Minister"), (205, "Name"), (206, "விஜய")]
+    expected = {}
+    for i, name in names:
+        if name and X_TAMIL.search(name):
+            hits = {p for p, _, ta in persons if ta and (ta in name or name in ta)}
+            expected |= {i: (hits.pop(), "script")} if len(hits) == 1 else {}
+            continue
+        target = plain_name(name or "")
+        scored = sorted(((-ratio(target, plain_name(en)), p) for p, en, _ in persons if en and name is not None))
+        if scored and -scored[0][0] >= 0.88:
+            expected[i] = (scored[0][1], "ratio")
+            continue
+        tokens = [t for t in target.split() if t not in L.STOP_TOKENS and len(t) > 1]
+        hits = {p for p, en, _ in persons if en and tokens and all(t in plain_name(en).split() for t in tokens)}
+        expected |= {i: (hits.pop(), "words")} if len(hits) == 1 else {}
+    got = L.person_match(spark.createDataFrame(names, "name_id long, name string"), spark.createDataFrame(persons, "person_id long, name_en string, name_ta string")).collect()
+    assert {r["name_id"]: (r["person_id"], r["rule"]) for r in got} == expected and len(got) == len(expected)
+    assert {rule for _, rule in expected.values()} == {"script", "ratio", "words"}
+
+
+def test_lexicon_by_force(spark):
+    rng = random.Random(10)
+    names = [("a", "raja"), ("b", "anna nagar"), ("c", "மதுரை"), ("d", "கா"), ("e", "மது நகர்"), ("f", "M.K. Raja"), ("g", "é"), ("h", "")]
+    parts = ["Raja", "raja", "rajan", "anna", "nagar", "Anna Nagar", "மதுரைக்கு", "புதுமதுரை", "கா", "அகா", "மது நகர்", "m.k. raja", "é", "éx", "_", "-", ".", "\n"]
+    texts = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for i in range(200)] + [(900, None), (901, "")]
+    for start in (False, True):
+        pattern = lambda n: (("(?<![\u0b80-\u0bff])" if start else "") + re.escape(n)) if X_TAMIL.search(n) else rf"\b{re.escape(n)}\b"
+        expected = {(i, e) for i, t in texts for e, n in names if n and t and re.search(pattern(n), t, 0 if X_TAMIL.search(n) else re.I)}
+        got = L.lexicon_matches(spark.createDataFrame(texts, "item_id long, t string"), spark.createDataFrame(names, "entry string, name string"), "t", start).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_listing_match_edges(spark):
+    holders = spark.createDataFrame([(1, "A. Kumar", "North Town (SC)"), (2, "B Devi", "North Town"), (3, "C Rajan", "Southville"), (4, "C Rajan", "Southvile")], "person_id long, name string, seat string")
+    rows = [(1, "a kumar", "NORTH TOWN", 5), (2, "Devi B", "north-town", 5), (3, "C Rajan", "Southvill", 5), (4, "Zz", "North Town", 5), (5, "A Kumar", "North Town", None), (6, "A Kumar", "Elsewhere", 5), (7, "B Devi", "NT", 5), (8, None, "North Town", 5), (9, "x", None, 5)]
+    listing = spark.createDataFrame(rows, "row_id long, name string, seat string, assets long")
+    got = {r["row_id"]: (r["person_id"], r["skipped"]) for r in L.listing_match(listing, holders, spark.createDataFrame([("nt", "north town")], "alias string, alias_of string")).collect()}
+    assert {k: got[k] for k in (1, 2, 4, 5, 7)} == {1: (1, None), 2: (2, None), 4: (None, "name differs"), 5: (None, "no assets"), 7: (2, None)}
+    assert got[3] == (3, None) and got[8] == (None, "name differs")  # of equal names in two close seats the last seat
+    assert 6 not in got and 9 not in got and L.listing_match(listing.filter("false"), holders, spark.createDataFrame([], "alias string, alias_of string")).count() == 0
+
+
+def test_cluster_runs_by_force(spark):
+    rng = random.Random(14)
+    t0 = dt.datetime(2024, 1, 1)
+    make = lambda i, h: (i, t0 + dt.timedelta(hours=h), rng.sample("pqrstu", rng.randrange(2)), rng.sample("de", rng.randrange(2)), rng.sample("uvwxyz", rng.randrange(4)))
+    old, new = [make(i, rng.randrange(90)) for i in range(40)], [make(i, 60 + rng.randrange(90)) for i in range(100, 150)]
+    of = {r[0]: r[0] % 8 for r in old if r[0] % 3}  # the rest waits
+    judged = {(r[0], c): rng.random() < 0.5 for r in new for c in range(8)}
+    confirmed = [(a, b) for a in [*range(40), *range(100, 150)] for b in [*range(40), *range(100, 150)] if a < b and rng.random() < 0.02]
+    fits = lambda a, b: a[2] & b[2] or len(a[4] & b[4]) >= 2 or (a[3] & b[3] and a[4] & b[4])
+    sets = {r[0]: (r[0], r[1], set(r[2]), set(r[3]), set(r[4])) for r in [*old, *new]}
+    joined = {}
+    for r in new:
+        tried = []
+        for c in range(8):
+            members = [sets[i] for i, k in of.items() if k == c]
+            joint = (0, 0, *(set().union(*(m[k] for m in members)) for k in (2, 3, 4)))
+            if members and fits(sets[r[0]], joint) and any(abs(r[1] - m[1]) < dt.timedelta(hours=72) for m in members):
+                tried.append(c)
+        joined |= {r[0]: c for c in tried[:3] if judged[r[0], c]} and {r[0]: next(c for c in tried[:3] if judged[r[0], c])}
+    pool = sorted((sets[i][1], i) for i in sets if i not in of and i not in joined)
+    began = {}
+    for _, i in pool:
+        began[i] = min((began[x] for p in confirmed if i in p for x in p if x in began), default=i)
+    alone = {i for i in began if list(began.values()).count(began[i]) == 1}
+    expected = of | joined | {i: None if i in alone else c for i, c in began.items()}
+    state = signed(spark, old).join(spark.createDataFrame(list(of.items()), "item_id long, cluster_id long"), "item_id", "left")
+    judge = spark.createDataFrame([(i, c, s) for (i, c), s in judged.items()], "item_id long, cluster_id long, same boolean")
+    pairs = spark.createDataFrame(confirmed, "item_a long, item_b long")
+    after = E.advance_clusters(state, signed(spark, new), judge, pairs, F.lit(t0 - dt.timedelta(days=1)))
+    assert {r["item_id"]: r["cluster_id"] for r in after.collect()} == expected and len(joined) > 5
+    late = E.advance_clusters(state, signed(spark, new), judge, pairs, F.lit(t0 + dt.timedelta(days=900)))
+    assert {r["item_id"]: r["cluster_id"] for r in late.collect()} == {r[0]: of.get(r[0]) for r in old}  # nothing joins, nothing is lost
+
+
+def test_keyed_state_of_batches(spark, tmp_path):
+    schema = "k long, v string, at long"
+    state = G.KeyedState(spark, f"file://{tmp_path}/state", schema, ["k"], 4)
+    step = lambda old, new: M.upsert(old, new, ["k"], {"v": "overwrite", "at": "overwrite"}, [F.desc("at")], "at").drop("state")
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    state.merge(frame([(i, "a", 1) for i in range(20)]), 0, step)
+    for _ in range(2):  # a batch that runs again changes nothing
+        state.merge(frame([(3, "b", 2), (4, "late", 0), (99, "c", 1)]), 1, step)
+    state.merge(frame([]), 2, step)
+    state.merge(frame([(3, "d", 3)]), 3, step)
+    expected = {i: "a" for i in range(20)} | {3: "d", 99: "c"}
+    assert {r["k"]: r["v"] for r in state.read().collect()} == expected and state.read().count() == 21
+    left = {p for p in (tmp_path / "state").glob("v*/part=*")}
+    assert len(left) < 4 + 3 + 1 + 1  # what no batch reads any more is gone
+
+
+def test_snapshots(spark, tmp_path):
+    root = f"file://{tmp_path}/snapshots"
+    M.publish_snapshot(spark.range(5), root, 1)
+    M.publish_snapshot(spark.range(3), root, 2)
+    spark.range(9).write.parquet(f"{root}/versions/3")  # a run that ended before its commit
+    assert M.read_snapshot(spark, root).count() == 3
 
 
 def test_polygons(spark):
@@ -193,12 +355,53 @@ def test_overlap_decisions(spark, share, assigned, listed, same, expected):
 
 def test_grid_of_spans(spark):
     html = "<table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><td>c</td><td rowspan=3>d</td></tr></table>"
-    grid = K.table_grid(spark.createDataFrame([(1, html), (2, None), (3, "no table")], "page_id long, html string")).collect()
-    cells = {(r["row"], r["col"]): r["text"] for r in grid}
-    assert {r["page_id"] for r in grid} == {1}
-    assert [cells.get((0, c)) for c in range(3)] == ["a", "b", "b"]
-    assert [cells.get((1, c)) for c in range(3)] == ["a", "c", "d"]
-    assert cells[2, 2] == "d" and cells[3, 2] == "d"
+    odd = "<table><tr><td rowspan='x' colspan='0'>p</td><td colspan='" + "9" * 5000 + "'>q</td></tr><tr><td>r</td><td></td><td rowspan=4>s</td></tr><tr></tr><tr><td>t</td></tr></table>"
+    wide = "<table><tr><td colspan=5000>w</td><td rowspan=99999>x</td></tr><tr></tr></table>"
+    grid = K.table_grid(spark.createDataFrame([(1, html), (2, None), (3, "no table"), (4, odd), (5, wide)], "page_id long, html string")).collect()
+    cells = {(r["page_id"], r["row"], r["col"]): r["text"] for r in grid}
+    assert {r["page_id"] for r in grid} == {1, 4, 5} and len(cells) == len(grid)
+    assert [cells.get((1, 0, c)) for c in range(3)] == ["a", "b", "b"]
+    assert [cells.get((1, 1, c)) for c in range(3)] == ["a", "c", "d"]
+    assert (1, 2, 2) not in cells  # a span makes no rows
+    assert [cells.get((4, r, c)) for r in range(4) for c in range(4)] == ["p", "q", None, None, "r", "", "s", None, "", "", "s", None, "t", "", "s", None]
+    assert sum(r["page_id"] == 5 for r in grid) == 5001 + 5001 and cells[5, 0, 4999] == "w" and cells[5, 1, 0] == "" and cells[5, 1, 5000] == "x"
+
+
+def grid_by_force(rows):
+    """The grid cell by cell: a table of what reaches down from above, column by column."""
+    out, above = [], {}
+    for cells in rows:
+        line, col, queue = [], 0, list(cells)
+        while True:
+            if col in above:
+                text, n = above.pop(col)
+                line.append(text)
+                if n > 1:
+                    above[col] = (text, n - 1)
+                col += 1
+            elif queue:
+                text, down, across = queue.pop(0)
+                for _ in range(across):
+                    line.append(text)
+                    if down > 1:
+                        above[col] = (text, down - 1)
+                    col += 1
+            elif any(c > col for c in above):
+                line.append("")
+                col += 1
+            else:
+                break
+        out.append(line)
+    return out
+
+
+def test_grids_by_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        rows = [[(f"{r}.{c}", rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 3])) for c in range(rng.randrange(4))] for r in range(rng.randrange(6))]
+        found = K.dense([[[[t], d, a] for t, d, a in row] for row in rows])
+        assert [[t for a, b, t in line for _ in range(a, b)] for line in found] == grid_by_force(rows)
+        assert all(x[1] == y[0] for line in found for x, y in zip(line, line[1:], strict=False))
 
 
 def test_excerpts(spark):
@@ -216,9 +419,13 @@ def test_excerpts(spark):
 
 def test_feeds(spark):
     rss = "<rss><item><title>A &amp; B</title><link>http://x/1</link><enclosure url='http://x/a.mp3' type='audio/mpeg'/></item><item><title> </title><link>http://x/2</link></item></rss>"
-    atom = "<feed><entry><title>C</title><link rel='alternate' href='http://x/3'/><updated>2024</updated></entry></feed>"
-    got = K.feed_items(spark.createDataFrame([(1, rss), (2, atom), (3, "garbage"), (4, None)], "feed_id long, xml string")).collect()
-    assert {(r["feed_id"], r["title"], r["url"], r["image"]) for r in got} == {(1, "A & B", "http://x/1", None), (2, "C", "http://x/3", None)}
+    atom = "<feed><entry><title>C</title><link rel='self' href='http://y'/><link rel='alternate' href='http://x/3'/><updated>2024</updated></entry></feed>"
+    ns = "<?xml version='1.0' encoding='UTF-8'?><feed xmlns='http://www.w3.org/2005/Atom' xmlns:media='http://search.yahoo.com/mrss/'><entry><title>D &amp;amp; &#x92E;</title><link href='http://x/4'/><media:thumbnail url='http://x/t.png'/><published>p</published><updated>u</updated></entry></feed>"
+    cdata = "<rss><item><title><![CDATA[E </item> F]]></title><guid>http://x/5</guid></item><item><title>G</title><guid>tag:1</guid></item></rss>"
+    bad = ["garbage", None, "", "<rss><item><title>A & B</title><link>http://x/9</link></item></rss>", "<rss><item>", "<a:b/>", "<rss>\x00</rss>"]
+    rows = list(enumerate([rss, atom, ns, cdata, *bad]))
+    got = K.feed_items(spark.createDataFrame(rows, "feed_id long, xml string")).collect()
+    assert {(r["feed_id"], r["title"], r["url"], r["image"], r["published"]) for r in got} == {(0, "A & B", "http://x/1", None, None), (1, "C", "http://x/3", None, "2024"), (2, "D & \u092e", "http://x/4", "http://x/t.png", "p"), (3, "E </item> F", "http://x/5", None, None)}
 
 
 def test_portfolios(spark):

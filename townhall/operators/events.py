@@ -24,21 +24,25 @@ def signatures(items: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame, hours: int = HOURS) -> DataFrame:
-    """item_a < item_b that share a person, two strings, or a district and a string, less than so many hours apart.
+    """item_a < item_b, n_persons, n_strings of items that share a person, two strings, or a district and a string, less than so many hours apart.
 
-    Items meet on persons and strings within neighbouring windows of time, so a word that all days have joins
-    the items of two windows only; districts alone never make a pair."""
+    Items meet within neighbouring windows of time on just that: a person, a pair of strings, or a district with a string.
+    So a word that all items have joins none by itself, and all that meets in time is a pair of the result."""
     window = F.floor(F.unix_timestamp(F.col("published_at").cast("timestamp")) / (hours * 3600))
-    tokens = F.explode(F.concat(F.transform("persons", lambda p: F.concat(F.lit("p:"), p)), F.transform("strings", lambda s: F.concat(F.lit("s:"), s))))
-    one = signed.select("item_id", "published_at", "districts", tokens.alias("token"), window.alias("w"))
-    a = one.select(F.col("item_id").alias("item_a"), F.col("published_at").alias("at_a"), F.col("districts").alias("d_a"), "token", F.explode(F.array(F.col("w") - 1, "w", F.col("w") + 1)).alias("w"))
-    b = one.select(F.col("item_id").alias("item_b"), F.col("published_at").alias("at_b"), F.col("districts").alias("d_b"), "token", "w")
-    apart = F.abs(F.unix_timestamp(F.col("at_a").cast("timestamp")) - F.unix_timestamp(F.col("at_b").cast("timestamp")))
-    met = a.join(b, ["token", "w"]).filter((F.col("item_a") < F.col("item_b")) & (apart < hours * 3600))
-    counted = met.groupBy("item_a", "item_b").agg(
-        F.count_if(F.startswith("token", F.lit("p:"))).alias("n_persons"), F.count_if(F.startswith("token", F.lit("s:"))).alias("n_strings"), F.bool_or(F.arrays_overlap("d_a", "d_b")).alias("same_district")
-    )
-    linked = (F.col("n_persons") >= 1) | (F.col("n_strings") >= 2) | (F.coalesce("same_district", F.lit(False)) & (F.col("n_strings") >= 1))
+    strings = F.array_sort("strings")
+    apart = lambda tag, x, y: F.concat(F.lit(tag), x, F.lit("\0"), y)
+    twos = F.flatten(F.transform(strings, lambda x, i: F.transform(F.slice(strings, i + 2, F.greatest(F.size(strings) - 1 - i, F.lit(0))), lambda y: apart("2:", x, y))))
+    local = F.flatten(F.transform("districts", lambda d: F.transform(strings, lambda x: apart("d:", d, x))))
+    keys = F.concat(F.transform("persons", lambda p: F.concat(F.lit("p:"), p)), twos, local)
+    one = signed.select("item_id", F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("at"), F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("key"), window.alias("w"))
+    a = one.select(F.col("item_id").alias("item_a"), F.col("at").alias("at_a"), "key", F.explode(F.array(F.col("w") - 1, "w", F.col("w") + 1)).alias("w"))
+    b = one.select(F.col("item_id").alias("item_b"), F.col("at").alias("at_b"), "key", "w")
+    met = a.join(b, ["key", "w"]).filter((F.col("item_a") < F.col("item_b")) & (F.abs(F.col("at_a") - F.col("at_b")) < hours * 3600)).select("item_a", "item_b").distinct()
+    of = lambda x: signed.select(F.col("item_id").alias(f"item_{x}"), F.col("persons").alias(f"p_{x}"), F.col("strings").alias(f"s_{x}"), F.col("districts").alias(f"d_{x}"))
+    sized = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b")).cast("bigint")
+    counted = met.join(of("a"), "item_a").join(of("b"), "item_b").select("item_a", "item_b", sized("p").alias("n_persons"), sized("s").alias("n_strings"), F.arrays_overlap("d_a", "d_b").alias("near"))
+    # keys are hashes; the sets decide
+    linked = (F.col("n_persons") >= 1) | (F.col("n_strings") >= 2) | (F.coalesce("near", F.lit(False)) & (F.col("n_strings") >= 1))
     return counted.filter(linked).select("item_a", "item_b", "n_persons", "n_strings")
 
 
@@ -69,6 +73,52 @@ def greedy_clusters(signed: DataFrame, confirmed: DataFrame) -> DataFrame:
     return labels.select("item_id", F.col("label").alias("cluster_id"))
 
 
+def assign_to_clusters(new: DataFrame, members: DataFrame, judged: DataFrame, tries: int = 3, hours: int = HOURS) -> DataFrame:
+    """item_id, cluster_id of the new items that join a cluster; new and members (these with cluster_id) are signatures.
+
+    An item fits a cluster whose joint signature (all that its members have) shares a person, two strings, or a district and
+    a string with it, and that has a member less than so many hours away. The first `tries` fitting clusters are judged
+    (item_id, cluster_id, same), and it joins the first that is the same event."""
+    tokens = F.concat(F.transform("persons", lambda p: F.concat(F.lit("p:"), p)), F.transform("strings", lambda s: F.concat(F.lit("s:"), s)))
+    own = new.select("item_id", F.explode(F.array_distinct(tokens)).alias("token"))
+    joint = members.select("cluster_id", F.explode(tokens).alias("token")).distinct()
+    shared = own.join(joint, "token").groupBy("item_id", "cluster_id").agg(F.count_if(F.startswith("token", F.lit("p:"))).alias("n_persons"), F.count_if(F.startswith("token", F.lit("s:"))).alias("n_strings"))
+    places = members.select("cluster_id", F.explode("districts").alias("district")).distinct()
+    near = shared.filter("n_persons = 0 and n_strings = 1").join(new.select("item_id", F.explode(F.array_distinct("districts")).alias("district")), "item_id").join(places, ["cluster_id", "district"]).select("item_id", "cluster_id").distinct()
+    fits = shared.filter("n_persons > 0 or n_strings > 1").select("item_id", "cluster_id").unionByName(near)
+    at = lambda df, c: df.select(c, F.unix_timestamp(F.col("published_at").cast("timestamp")).alias(f"{c}_at"))
+    timely = fits.join(at(new, "item_id"), "item_id").join(at(members, "cluster_id"), "cluster_id").filter(F.abs(F.col("item_id_at") - F.col("cluster_id_at")) < hours * 3600).select("item_id", "cluster_id").distinct()
+    order = Window.partitionBy("item_id").orderBy("cluster_id")
+    tried = timely.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= tries)
+    same = tried.join(judged.filter("same").select("item_id", "cluster_id").distinct(), ["item_id", "cluster_id"])
+    return same.groupBy("item_id").agg(F.min("cluster_id").alias("cluster_id"))
+
+
+def advance_clusters(state: DataFrame, batch: DataFrame, judged: DataFrame, confirmed: DataFrame, since: Column, tries: int = 3) -> DataFrame:
+    """The state of clusters after one more run: signatures with cluster_id, null for items that wait without a cluster.
+
+    New items join a cluster of the state if they can (assign_to_clusters); the rest and those that waited pair with one
+    another by confirmed (item_a, item_b): an item joins what the earlier one of its pairs began, under its id. Items
+    not published after `since` take no part, however late they come, and clusters show those after it only."""
+    columns = ["item_id", "published_at", "persons", "districts", "strings"]
+    live = F.col("published_at") > since
+    old, new = state.filter(live), batch.filter(live).select(*columns)
+    joined = assign_to_clusters(new, old.filter("cluster_id is not null"), judged, tries)
+    placed = written(new.join(joined, "item_id", "left"), "placed")
+    pool = written(old.filter("cluster_id is null").select(*columns).unionByName(placed.filter("cluster_id is null").select(*columns)), "pool")
+    known = pool.select("item_id")
+    pairs = confirmed.join(known.withColumnRenamed("item_id", "item_a"), "item_a", "left_semi").join(known.withColumnRenamed("item_id", "item_b"), "item_b", "left_semi")
+    began = greedy_clusters(pool, pairs)
+    real = began.groupBy("cluster_id").agg(F.count("*").alias("n")).filter("n > 1").select("cluster_id")
+    paired = pool.join(began.join(real, "cluster_id", "left_semi"), "item_id", "left")
+    past = state.filter(~F.coalesce(live, F.lit(False)))
+    kept = [past, old.filter("cluster_id is not null"), placed.filter("cluster_id is not null"), paired]
+    out = kept[0].select(*columns, "cluster_id")
+    for df in kept[1:]:
+        out = out.unionByName(df.select(*columns, "cluster_id"))
+    return out
+
+
 def cluster_locality(members: DataFrame) -> DataFrame:
     """cluster_id, district: the one district of all members that name exactly one; null if they differ or none does."""
     one = members.filter(F.size("districts") == 1).groupBy("cluster_id").agg(F.count_distinct(F.element_at("districts", 1)).alias("n"), F.min(F.element_at("districts", 1)).alias("d"))

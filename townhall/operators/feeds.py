@@ -14,6 +14,25 @@ def not_soft() -> Column:
     return F.col("civic_class").isNull() | (F.col("civic_class") != "soft")
 
 
+def in_language(lang: str) -> Column:
+    """Items that can be shown in a language: with a clean title in it, or written in it."""
+    return F.col(f"title_{lang}").isNotNull() | F.coalesce(F.col("lang") == lang, F.lit(False))
+
+
+def of_tier(items: DataFrame, beyond: DataFrame, tier: str) -> DataFrame:
+    """Items by the coverage of their outlet: "home" without the outlets beyond the region (outlet), "beyond" only those, "any" all.
+
+    An item without an outlet is no item beyond. The registry of outlets is small, and joined as Spark sees fit."""
+    if tier == "any":
+        return items
+    return items.join(beyond.select("outlet").distinct(), "outlet", {"home": "left_anti", "beyond": "left_semi"}[tier])
+
+
+def by_composite_key(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The places (level, code) that a list of keys (place, key: "level:code") names, in the list's order by `place`."""
+    return places.join(wanted, F.concat_ws(":", "level", "code") == F.col("key")).orderBy("place")
+
+
 def recent(column: str, as_of: str, days: int) -> Column:
     """Within the days before as_of; a null time is not recent."""
     return F.col(column) > F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
@@ -64,10 +83,10 @@ def interleave(clusters: DataFrame, items: DataFrame, limit: int) -> DataFrame:
     return both.orderBy(F.col("newest").desc_nulls_last(), "kind", "id").limit(limit)
 
 
-def with_fallback(own: DataFrame, other: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Each key's own rows; for keys without any, the other rows, flagged."""
-    empty = keys.join(own.select(key).distinct(), key, "left_anti")
-    rest = other.drop(key).crossJoin(F.broadcast(empty.select(key)))  # other is a page of a feed, bounded by its limit
+def with_fallback(own: DataFrame, other: DataFrame, keys: DataFrame, key: str, page: int) -> DataFrame:
+    """Each key's own rows; for keys without any, the other rows, flagged: a page of a feed, that many rows at most."""
+    empty = keys.join(own.select(key).distinct(), key, "left_anti").select(key)
+    rest = empty.crossJoin(F.broadcast(other.drop(key).limit(page)))
     return own.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
 
 

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from townhall.functions.text import has_tamil, norm_name, without_reservation
+from townhall.operators.graph import written
+
+#: Honorifics and roles that stand before names and aren't part of them.
+STOP_TOKENS = ["cm", "chief", "minister", "mla", "mp", "dr", "mr", "mrs", "thiru", "selvi"]
+#: Fixed value: what a Tamil seat's name says for "assembly constituency".
+SEAT_WORDS = "சட்டமன்றத் தொகுதி"
+
 
 @F.pandas_udf(T.StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
@@ -18,6 +26,11 @@ def nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+def decomposed(name: Column | str) -> Column:
+    """Names with marks apart from their letters, as norm_name() takes them."""
+    return nfkd(F.col(name) if isinstance(name, str) else name)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks of two short names, for pairs that share a block already."""
@@ -28,7 +41,7 @@ def alias_join(rows: DataFrame, names: DataFrame, aliases: DataFrame, name: str)
     """rows with `code` from names (name_key, code), by their name or what aliases (name_key, alias_of) say for it; null if neither."""
     known = names.select(F.col("name_key").alias("k_name"), "code")
     also = aliases.select(F.col("name_key").alias("a_name"), "alias_of")
-    key = rows.join(F.broadcast(also), F.col(name) == F.col("a_name"), "left").withColumn("k", F.coalesce("alias_of", name))
+    key = rows.join(also, F.col(name) == F.col("a_name"), "left").withColumn("k", F.coalesce("alias_of", name))
     return key.join(known, F.col("k") == F.col("k_name"), "left").drop("a_name", "alias_of", "k", "k_name")
 
 
@@ -59,34 +72,194 @@ def first_valid(candidates: DataFrame, key: str, priority: str, valid: Column) -
     return candidates.filter(valid).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float, block: Column | None = None) -> DataFrame:
-    """left_id, right_id, ratio: the most similar right name of each left name, if it reaches `least` and no other is as similar.
+def pieces(name: Column, size: Column | int) -> Column:
+    """The different runs of so many characters of a name; the whole name if it is shorter."""
+    n = F.lit(size) if isinstance(size, int) else size
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(name, i, n)))
+
+
+def common_size(length: Column, least: float) -> Column:
+    """How many neighbouring characters two names surely share, if their ratio reaches `least` and the shorter has this length.
+
+    Two names of T characters together have M >= least * T / 2 matched in at most T * (1 - least) + 1 blocks, since a
+    gap between blocks takes a character of either; one of the blocks has the mean size at least."""
+    fits = lambda q: 2 * length * ((q - 0.5) * least - (q - 1)) > q - 1 + 1e-9
+    return F.coalesce(*(F.when(fits(q), F.lit(q)) for q in range(8, 1, -1)), F.lit(1))
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """l_id, r_id, l_name, r_name, ratio of the pairs of left (l_id, l_name) and right (r_id, r_name) with a ratio of at least `least`.
+
+    Names meet on runs of as many characters as such a pair surely shares (common_size), which depends on the shorter
+    name: each has the runs of the sizes that it may share with any name of a fitting length. No pair is lost, and the
+    higher the ratio and the longer the names, the fewer meet. Unfit lengths go before the ratio is computed."""
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        name, n = F.col(f"{side}_name"), F.length(f"{side}_name")
+        sizes = F.sequence(common_size(F.ceil(n * least / (2 - least) - 1e-9), least), common_size(n, least))
+        return df.select(f"{side}_id", name, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda q: pieces(name, q))))).alias("key"))
+
+    met = keyed(left, "l").join(keyed(right, "r"), "key")
+    lengths = 2 * F.least(F.length("l_name"), F.length("r_name")) >= least * (F.length("l_name") + F.length("r_name")) - 1e-9
+    pairs = met.filter(lengths).select("l_id", "r_id", "l_name", "r_name").distinct()
+    return pairs.withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
+    """left_id, right_id, ratio: the most similar right name of each left name, if it reaches `least`; of equals the least id."""
+    scored = close_pairs(left.select(F.col(left_id).alias("l_id"), F.col(name).alias("l_name")), right.select(F.col(right_id).alias("r_id"), F.col(name).alias("r_name")), least)
+    best = scored.groupBy("l_id").agg(F.max_by("r_id", F.struct("ratio", -F.col("r_id"))).alias("r_id"), F.max("ratio").alias("ratio"))
+    return best.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), F.round("ratio", 6).alias("ratio"))
+
+
+def containments(left: DataFrame, right: DataFrame) -> DataFrame:
+    """l_id, r_id of the names of left (l_id, l_name) and right (r_id, r_name) of which one contains the other.
+
+    The contained one's first four characters (all, if it is shorter) are a run of the other, so that is where they meet."""
+    first, runs = lambda c: F.substring(c, 1, 4), lambda c: F.explode(F.flatten(F.array(*(pieces(F.col(c), q) for q in (1, 2, 3, 4)))))
+    inner = left.filter("l_name <> ''").withColumn("key", first("l_name")).join(right.select("r_id", "r_name", runs("r_name").alias("key")), "key").filter(F.contains("r_name", "l_name"))
+    outer = right.filter("r_name <> ''").withColumn("key", first("r_name")).join(left.select("l_id", "l_name", runs("l_name").alias("key")), "key").filter(F.contains("l_name", "r_name"))
+    return inner.select("l_id", "r_id").unionByName(outer.select("l_id", "r_id")).distinct()
+
+
+def only_one(pairs: DataFrame) -> DataFrame:
+    """l_id, r_id of those that have one partner only."""
+    return pairs.distinct().groupBy("l_id").agg(F.min("r_id").alias("r_id"), F.count("*").alias("n")).filter("n = 1").select("l_id", "r_id")
+
 
-    Names meet only if they share a three-letter piece (or a value of `block`, for names made up of common
-    pieces), so no pair outside a block is ever scored; a ratio over two thirds can't do without a common piece
-    of some length."""
-    def grams(df: DataFrame, ident: str, as_id: str, as_name: str) -> DataFrame:
-        pieces = block if block is not None else F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 2)), lambda i: F.substring(F.col(name), i, F.lit(3)))
-        return df.select(F.col(ident).alias(as_id), F.col(name).alias(as_name), F.explode(F.array_distinct(pieces)).alias("piece"))
+def person_match(names: DataFrame, persons: DataFrame, least: float = 0.88) -> DataFrame:
+    """name_id, person_id, rule for names (name_id, name) among persons (person_id, name_en, name_ta); no row without a match.
 
-    l, r = grams(left, left_id, "l_id", "l_name"), grams(right, right_id, "r_id", "r_name")
-    pairs = l.join(r, "piece").select("l_id", "r_id", "l_name", "r_name").distinct()
-    scored = pairs.withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
-    best = Window.partitionBy("l_id")
-    top = scored.withColumn("best", F.max("ratio").over(best)).filter("ratio = best").withColumn("ties", F.count("*").over(best))
-    return top.filter("ties = 1").select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), F.round("ratio", 6).alias("ratio"))
+    A Tamil name matches the only person whose Tamil name contains it or is contained (rule script). Others match the most
+    similar English name, if it reaches `least` (ratio; of equals the least id); else the only person that has all
+    the name's words but for honorifics and single letters (words). Two such persons are no match."""
+    ta = has_tamil("name")
+    script = only_one(containments(names.filter(ta).select(F.col("name_id").alias("l_id"), F.col("name").alias("l_name")), persons.filter(F.coalesce(F.col("name_ta"), F.lit("")) != "").select(F.col("person_id").alias("r_id"), F.col("name_ta").alias("r_name"))))
+    left = names.filter(~ta & F.col("name").isNotNull()).select(F.col("name_id").alias("l_id"), norm_name(decomposed("name")).alias("l_name"))
+    right = persons.filter("name_en is not null").select(F.col("person_id").alias("r_id"), norm_name(decomposed("name_en")).alias("r_name"))
+    scored = close_pairs(left, right, least)
+    ratio = scored.groupBy("l_id").agg(F.max_by("r_id", F.struct("ratio", -F.col("r_id"))).alias("r_id"))
+    tokens = F.filter(F.array_distinct(F.split("l_name", " ")), lambda t: (F.length(t) > 1) & ~t.isin(STOP_TOKENS))
+    asked = left.join(ratio.select("l_id"), "l_id", "left_anti").select("l_id", tokens.alias("ts")).select("l_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    have = right.select("r_id", F.explode(F.array_distinct(F.split("r_name", " "))).alias("token"))
+    words = only_one(asked.join(have, "token").groupBy("l_id", "r_id", "n").agg(F.count("*").alias("met")).filter("met = n").select("l_id", "r_id"))
+    each = [(script, "script"), (ratio, "ratio"), (words, "words")]
+    out = [df.select(F.col("l_id").alias("name_id"), F.col("r_id").alias("person_id"), F.lit(rule).alias("rule")) for df, rule in each]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def lexicon_matches(items: DataFrame, lexicon: DataFrame, text: str, at_word_start: bool = False) -> DataFrame:
+    """item_id, entry: the entries of a lexicon (entry, name) whose name stands in a text. Names may have several words.
+
+    English names stand as whole words, in any case. Tamil ones stand anywhere or, at_word_start, where a word begins, since
+    case endings follow a name. Texts and names meet on the name's first word, or on its first two Tamil letters,
+    so no text is read once for each entry; what meets is then looked up in the text."""
+    tamil, names = "[஀-௿]", lexicon.filter("name <> ''").select("entry", "name", has_tamil("name").alias("ta")).distinct()
+    run = F.regexp_extract("name", f"^{tamil}{{1,2}}", 0)
+    key = F.when(F.col("ta"), run).otherwise(F.lower(F.regexp_extract("name", r"[\p{L}\p{M}\p{N}_]+", 0)))
+    runs = F.regexp_extract_all(text, F.lit(f"{tamil}+"), F.lit(0))
+    starts = F.transform(runs, lambda r: F.substring(r, 1, 2)) if at_word_start else F.flatten(F.transform(runs, lambda r: pieces(r, 2)))
+    letters = F.transform(runs, lambda r: F.substring(r, 1, 1)) if at_word_start else F.flatten(F.transform(runs, lambda r: pieces(r, 1)))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    met = items.select("item_id", F.explode(F.array_distinct(F.concat(words, starts, letters))).alias("key")).join(names.withColumn("key", key), "key").select("item_id", "entry", "name", "ta").distinct()
+    quoted = F.concat(F.lit("\\Q"), "name", F.lit("\\E"))
+    pattern = F.when(~F.col("ta"), F.concat(F.lit("(?iU)\\b"), quoted, F.lit("\\b"))).otherwise(F.concat(F.lit(f"(?<!{tamil})" if at_word_start else ""), quoted))
+    return met.join(items.select("item_id", F.col(text).alias("in_text")), "item_id").filter(F.rlike("in_text", pattern)).select("item_id", "entry").distinct()
+
+
+def seat_match(rows: DataFrame, seats: DataFrame, aliases: DataFrame, least: float = 0.8) -> DataFrame:
+    """rows (row_id, seat) with code, rule from seats (code, name_en, name_ta); null for both where nothing fits.
+
+    A name is taken without what its script says for "constituency", then as its alias (alias, alias_of), and has to be equal
+    (exact). Else a Tamil name fits the only seat that contains it or is contained (containment), an English one the
+    most similar seat from `least` on (close; of equals the last name)."""
+    ta = has_tamil("seat")
+    bare = F.when(ta, F.trim(F.replace("seat", F.lit(SEAT_WORDS), F.lit("")))).otherwise(norm_name(decomposed("seat")))
+    also = aliases.select(F.col("alias").alias("l_name"), "alias_of")
+    named = rows.filter("seat is not null").select("row_id", ta.alias("ta"), bare.alias("l_name")).join(also, "l_name", "left").select(F.col("row_id").alias("l_id"), "ta", F.coalesce("alias_of", "l_name").alias("l_name"))
+    en = seats.filter("name_en is not null").select(F.col("code").alias("r_id"), norm_name(decomposed("name_en")).alias("r_name"))
+    local = seats.filter("name_ta is not null").select(F.col("code").alias("r_id"), F.col("name_ta").alias("r_name"))
+    known = en.withColumn("ta", F.lit(False)).unionByName(local.withColumn("ta", F.lit(True)))
+    exact = named.join(known, (named.l_name == known.r_name) & (named.ta == known.ta)).groupBy("l_id").agg(F.min("r_id").alias("r_id"))
+    rest = named.join(exact.select("l_id"), "l_id", "left_anti")
+    inside = only_one(containments(rest.filter("ta").select("l_id", "l_name"), local))
+    close = close_pairs(rest.filter("not ta").select("l_id", "l_name"), en, least).groupBy("l_id").agg(F.max_by("r_id", F.struct("ratio", "r_name", "r_id")).alias("r_id"))
+    rules = [(exact, "exact"), (inside, "containment"), (close, "close")]
+    found = [df.select(F.col("l_id").alias("f_id"), F.col("r_id").alias("code"), F.lit(rule).alias("rule")) for df, rule in rules]
+    all_found = found[0].unionByName(found[1]).unionByName(found[2])
+    return rows.join(all_found, rows.row_id == all_found.f_id, "left").drop("f_id")
+
+
+def listing_match(listing: DataFrame, holders: DataFrame, aliases: DataFrame, least: float = 0.45, close: float = 0.85, most: int = 3) -> DataFrame:
+    """row_id, person_id, seat_key, ratio, skipped for rows of a listing (row_id, name, seat, assets) among holders (person_id, name, seat).
+
+    A row's seat, without its reservation, is one of the holders' seats (or the alias of one), else the `most` closest ones from
+    `close` on; without any the row isn't there. The best holder's name has to reach `least`, and assets have to be
+    known; else person_id is null and skipped says why. Of equal names the last seat, then the larger id."""
+    key = lambda c: norm_name(decomposed(without_reservation(c)))
+    also = aliases.select(F.col("alias").alias("key"), "alias_of")
+    rows = listing.select("row_id", norm_name(decomposed("name")).alias("name"), "assets", key("seat").alias("key")).join(also, "key", "left").select("row_id", "name", "assets", F.coalesce("alias_of", "key").alias("key"))
+    held = holders.select("person_id", norm_name(decomposed("name")).alias("holder"), key("seat").alias("seat_key"))
+    seats = held.select("seat_key").distinct()
+    exact = rows.join(seats, rows.key == seats.seat_key).select("row_id", "seat_key")
+    rest = rows.join(exact.select("row_id"), "row_id", "left_anti")
+    near = close_pairs(rest.select(F.col("row_id").alias("l_id"), F.col("key").alias("l_name")), seats.select(F.col("seat_key").alias("r_id"), F.col("seat_key").alias("r_name")), close)
+    order = Window.partitionBy("l_id").orderBy(F.desc("ratio"), F.desc("r_name"))
+    near = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).select(F.col("l_id").alias("row_id"), F.col("r_id").alias("seat_key"))
+    tried = exact.unionByName(near).join(rows.select("row_id", "name", "assets"), "row_id").join(held, "seat_key").withColumn("ratio", similarity("name", "holder"))
+    best = tried.groupBy("row_id", "assets").agg(F.max(F.struct("ratio", "seat_key", "person_id")).alias("b"))
+    skipped = F.when(F.col("b.ratio") < least, "name differs").when(F.col("assets").isNull(), "no assets")
+    return best.select("row_id", F.when(skipped.isNull(), F.col("b.person_id")).alias("person_id"), F.col("b.seat_key").alias("seat_key"), F.round("b.ratio", 6).alias("ratio"), skipped.alias("skipped"))
+
+
+def resolve_district(current: Column, claims: Column, older: Column, was_split: Column) -> tuple[Column, Column]:
+    """The district and where it comes from: the current source; else the only claim; else the older source, unless that
+    district was split since, which is withheld; a problem where no source knows one."""
+    single = F.array_distinct(F.array_compact(claims))
+    one = F.when(F.size(single) == 1, F.element_at(single, 1))
+    split = F.coalesce(was_split, F.lit(False))
+    district = F.when(current.isNotNull(), current).when(one.isNotNull(), one).when(split, None).otherwise(older)
+    reason = F.when(current.isNotNull(), "current").when(one.isNotNull(), "single claim").when(split, "withheld").when(older.isNotNull(), "older source").otherwise("problem")
+    return district, reason
+
+
+def after_party(cells: Column, wanted: Column, parties: Column) -> Column:
+    """The first cell that follows a cell with the wanted party and is no party itself."""
+    pairs = F.arrays_zip(F.slice(cells, 1, F.greatest(F.size(cells) - 1, F.lit(0))).alias("a"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))).alias("b"))
+    return F.try_element_at(F.filter(pairs, lambda p: (p["a"] == wanted) & ~F.array_contains(parties, p["b"]) & (p["b"] != "")), F.lit(1))["b"]
+
+
+def linkage_layers(seats: DataFrame, records: DataFrame, close: float = 0.75) -> DataFrame:
+    """code, record_id, layer, problem for each seat (code, name, base, number, districts) among records (record_id, name, base, ordinals, districts).
+
+    Layers, each for seats that those before left: the same whole name; the only unused record of the same base name
+    in a fitting district; the only record with the seat's number, if its district fits; the closest base name with
+    one unused record in a fitting district. Districts fit unless both sides name some and none in common. A record
+    that two seats of a layer ask for is a problem for both, as is a seat without any."""
+    fits = (F.size("s_districts") == 0) | (F.size("r_districts") == 0) | F.arrays_overlap("s_districts", "r_districts")
+    r = records.select("record_id", F.col("name").alias("r_name"), F.col("base").alias("r_base"), "ordinals", F.col("districts").alias("r_districts"))
+    s = seats.select("code", "name", "base", "number", F.col("districts").alias("s_districts"))
+    whole = s.join(r, s.name == r.r_name).select("code", "record_id")
+    base = s.join(r, s.base == r.r_base).filter(fits).select("code", "record_id")
+    number = s.join(r.withColumn("ordinal", F.explode("ordinals")), F.col("number") == F.col("ordinal")).filter(fits).select("code", "record_id")
+    near = close_pairs(s.select(F.col("code").alias("l_id"), F.col("base").alias("l_name")), r.select(F.col("r_base").alias("r_id"), F.col("r_base").alias("r_name")).distinct(), close).groupBy("l_id").agg(F.max_by("r_name", F.struct("ratio", "r_name")).alias("b"))
+    closest = near.join(r, near.b == r.r_base).join(s, F.col("l_id") == F.col("code")).filter(fits).select("code", "record_id")
+    found = layered([whole, base, number, closest], "code", "record_id")
+    names = F.coalesce(*(F.when(F.col("layer") == i, F.lit(x)) for i, x in enumerate(("name", "base name", "number", "close name"))))
+    return seats.select("code").join(found, "code", "left").select("code", "record_id", names.alias("layer"), F.when(F.col("record_id").isNull(), "no record").alias("problem"))
 
 
 def layered(layers: list[DataFrame], left_id: str, right_id: str) -> DataFrame:
     """left_id, right_id, layer: matches layer by layer; a record of either side is used once.
 
-    A layer's match counts if neither record was used before and, in its layer, each has no other partner."""
+    A layer's match counts if neither record was used before and, in its layer, each has no other partner. What each
+    layer gives is written, since all later ones read it."""
     done: DataFrame | None = None
     for i, layer in enumerate(layers):
         free = layer.select(left_id, right_id).distinct()
         if done is not None:
             free = free.join(done.select(left_id), left_id, "left_anti").join(done.select(right_id), right_id, "left_anti")
-        alone = unique_claims(free, left_id, right_id).select(left_id, right_id, F.lit(i).alias("layer"))
+        free = written(free, "layer-pairs")
+        alone = written(unique_claims(free, left_id, right_id).select(left_id, right_id, F.lit(i).alias("layer")), "layer")
         done = alone if done is None else done.unionByName(alone)
     return done
 
@@ -100,10 +273,3 @@ def bilingual_merge(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 def single_place(hits: DataFrame, item: str, place: str) -> DataFrame:
     """item with its place, if all its hits name one; others have none."""
     return hits.groupBy(item).agg(F.count_distinct(place).alias("n"), F.min(place).alias(place)).select(item, F.when(F.col("n") == 1, F.col(place)).alias(place))
-
-
-def lexicon_hits(items: DataFrame, lexicon: DataFrame, text: str) -> DataFrame:
-    """Words of the texts that are in the lexicon (word, entry), by an equi-join on words rather than a pass per entry."""
-    words = items.select("item_id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "))).alias("word"))
-    return words.join(lexicon, "word").select("item_id", "entry").distinct()
-

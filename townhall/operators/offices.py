@@ -35,9 +35,9 @@ def last_holders(offices: DataFrame, tenures: DataFrame) -> DataFrame:
 def with_parents(places: DataFrame, levels: list[str]) -> DataFrame:
     """places with the name of the district and of the parent, if the parent is of one of the levels.
 
-    Names come from all places, which nothing bounds, so neither side is sent to all tasks by a hint."""
+    Only places of those levels are names for others, so seats, which are most places, aren't looked up in themselves."""
     named = places.select(F.col("code").alias("u_code"), F.col("name").alias("u_name"), F.col("level").alias("u_level"))
-    district = named.select(F.col("u_code").alias("district"), F.col("u_name").alias("district_name"))
+    district = named.filter("u_level = 'district'").select(F.col("u_code").alias("district"), F.col("u_name").alias("district_name"))
     parent = named.filter(F.col("u_level").isin(levels)).select(F.col("u_code").alias("parent"), F.col("u_name").alias("parent_name"))
     return places.join(district, "district", "left").join(parent, "parent", "left")
 
@@ -51,9 +51,16 @@ def hierarchy_gaps(places: DataFrame) -> DataFrame:
 
 
 def search_places(places: DataFrame, term: str) -> DataFrame:
-    """Places whose name or district name has the term, in any case, or whose code is the term."""
+    """Places whose name or district name, in either script, has the term, or whose code is the term, by their codes as numbers.
+
+    English names in any case; the term's own wildcards count. Names: name, name_ta, district_name, district_ta, where there."""
     like = f"%{term}%"
-    return places.filter(F.col("name").ilike(like) | F.coalesce(F.col("district_name").ilike(like), F.lit(False)) | (F.col("code") == term))
+    found = F.col("code") == term
+    for c in ("name", "district_name"):
+        found = found | F.coalesce(F.col(c).ilike(like), F.lit(False))
+    for c in {"name_ta", "district_ta"} & set(places.columns):
+        found = found | F.coalesce(F.col(c).like(like), F.lit(False))
+    return places.filter(found).orderBy(F.regexp_extract("code", r"\d+", 0).try_cast("bigint"), "code")
 
 
 def collisions(links: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ def sla_status(fresh: DataFrame, cadences: DataFrame) -> DataFrame:
     """fresh with cadence and status: stalled or late at the cadence's hours, else current; onDemand without cadence."""
     late, stalled = (F.element_at(F.create_map(*(F.lit(x) for k, v in SLA_HOURS.items() for x in (k, float(v[i])))), F.col("cadence")) for i in (0, 1))
     status = F.when(F.col("cadence").isNull() | late.isNull(), "onDemand").when(F.col("age_hours") >= stalled, "stalled").when(F.col("age_hours") >= late, "late").otherwise("current")
-    return fresh.join(F.broadcast(cadences), "source", "left").withColumn("status", status)
+    return fresh.join(cadences, "source", "left").withColumn("status", status)
 
 
 def status_rank(status: Column) -> Column:

@@ -21,6 +21,25 @@ def with_bounds(areas: DataFrame, geom: str = "geom") -> DataFrame:
     return areas.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
 
 
+def load_features(features: DataFrame, aliases: DataFrame, region: tuple[float, float, float, float]) -> DataFrame:
+    """area_id, x0, y0, x1, y1, problem of features (name, geom): names by their alias (alias, area_id), with their bounds.
+
+    A problem is a name that no alias knows, a feature that isn't whole inside the region (x0, y0, x1, y1) or has no
+    points, or one of several features of an area."""
+    known = with_bounds(features.join(aliases.select(F.col("alias").alias("name"), "area_id"), "name", "left"))
+    n = known.groupBy("area_id").agg(F.count("*").alias("n"))
+    inside = (F.col("x0") >= region[0]) & (F.col("y0") >= region[1]) & (F.col("x1") <= region[2]) & (F.col("y1") <= region[3])
+    problem = F.when(F.col("area_id").isNull(), "unknown name").when(~F.coalesce(inside, F.lit(False)), "outside").when(F.col("n") > 1, "repeated")
+    return known.join(n, "area_id", "left").select("name", "area_id", "x0", "y0", "x1", "y1", problem.alias("problem"))
+
+
+def geometry_coverage(places: DataFrame, areas: DataFrame) -> DataFrame:
+    """level, total, with_geometry, x0, y0, x1, y1: how many places (code, level) have a geometry (code, geom), and the bounds of all of a level."""
+    bounded = with_bounds(areas).filter("x0 is not null").groupBy("code").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    joined = places.join(bounded, "code", "left")
+    return joined.groupBy("level").agg(F.count("*").alias("total"), F.count("x0").alias("with_geometry"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 def contains(geom: Column, x: Column, y: Column) -> Column:
     """Whether a ray from the point to the right crosses an odd number of edges; holes count as edges, too.
 

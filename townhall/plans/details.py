@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from townhall.functions import text as X
+from townhall.operators import linkage as L
 from townhall.operators import merge as M
 from townhall.plans.registry import query
 from townhall.sources.standins import view, with_views
 
 
-@query("payload_pages", "select c_nationkey page, count(*) n_records, true complete from customer group by c_nationkey")
+@query("payload_pages", "select c_custkey // 100 page, count(*) n_records, true complete from customer group by 1")
 def payload_pages(spark, d):
-    """Landed pages of records (JSON with a total), exploded, and whether all pages together reach the total."""
+    """Landed pages of a hundred records (JSON with a total), exploded, and whether all pages together reach the total."""
     c = view(spark, d, "customer")
     total = c.agg(F.count("*").alias("total"))
-    pages = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("records")).crossJoin(F.broadcast(total))
+    pages = c.groupBy(F.expr("c_custkey div 100").alias("page")).agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("records")).crossJoin(F.broadcast(total))  # one row
     landed = pages.select("page", F.to_json(F.struct("total", "records")).alias("json"))
     read = landed.select("page", F.from_json("json", "total long, records array<struct<c_custkey:long,c_name:string>>").alias("p"))
     rows = read.select("page", F.col("p.total").alias("total"), F.explode("p.records").alias("r"))
@@ -31,16 +32,26 @@ def last_in_given_order(spark, d):
     return M.last_of(s, ["place"], [F.desc("k")]).orderBy("place")
 
 
-@query("source_dots", with_views("select cluster_id, least(count(distinct item_id), 3) dots, greatest(count(distinct item_id) - 3, 0) more from members group by cluster_id", "members"))
+@query("source_dots", "select source, least(count(distinct outlet), 12) dots, greatest(count(distinct outlet) - 12, 0) more from (select l_orderkey source, l_partkey outlet from lineitem union all select c_nationkey, c_custkey from customer) group by source")
 def source_dots(spark, d):
-    n = view(spark, d, "members").groupBy("cluster_id").agg(F.count_distinct("item_id").alias("n"))
-    return n.select("cluster_id", F.least("n", F.lit(3)).alias("dots"), F.greatest(F.col("n") - 3, F.lit(0)).alias("more"))
+    """The outlets of each story, twelve of them shown: parts of an order, and customers of a nation."""
+    stories = view(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("outlet")).union(view(spark, d, "customer").select("c_nationkey", "c_custkey"))
+    n = stories.groupBy("source").agg(F.count_distinct("outlet").alias("n"))
+    return n.select("source", F.least("n", F.lit(12)).alias("dots"), F.greatest(F.col("n") - 12, F.lit(0)).alias("more"))
 
 
-@query("name_forms", """select s_suppkey, 'supplier#' || lpad(s_suppkey::varchar, 9, '0') norm, 'Supplier#' || lpad(s_suppkey::varchar, 9, '0') titled, 'alpha beta' sorted from supplier""")
+@query("name_forms", """select c_custkey, lower(replace(c_name, '#', 'e ')) || ' st' norm, regexp_replace(c_name, '#', 'é-') titled, array_to_string(list_sort(string_split(c_custkey::varchar || ' ' || lower(c_mktsegment) || ' ' || c_nationkey, ' ')), ' ') sorted,
+  'customer-' || c_custkey slug, c_mktsegment party, c_name bare, case c_nationkey % 3 when 0 then 'SC' when 1 then 'ST' end reserved from customer""")
 def name_forms(spark, d):
-    s = view(spark, d, "supplier")
-    return s.select("s_suppkey", X.norm_name(F.concat(F.lit("("), F.upper("s_name"), F.lit("). "))).alias("norm"), X.title_case(F.upper("s_name")).alias("titled"), X.token_sorted(F.lit("Beta, alpha")).alias("sorted"))
+    """Names with marks and capitals, parties with dots and footnotes, and seats with what stands behind them, made plain."""
+    c, k = view(spark, d, "customer"), F.col("c_nationkey") % 3
+    seat = F.concat("c_name", F.when(k == 0, " (SC)").when(k == 1, " (ST) ").otherwise(""))
+    dotted = F.concat(F.regexp_replace("c_mktsegment", "(.)", "$1. "), F.lit("[ 4 ] ("))
+    marked = X.norm_name(L.decomposed(F.concat(F.lit("("), F.upper(F.replace("c_name", F.lit("#"), F.lit("É "))), F.lit(") St."))))
+    return c.select(
+        "c_custkey", F.replace(marked, F.lit("e\u0301"), F.lit("e")).alias("norm"), X.title_case(F.upper(F.replace("c_name", F.lit("#"), F.lit("é-")))).alias("titled"), X.token_sorted(F.concat_ws(", ", "c_mktsegment", "c_custkey", "c_nationkey")).alias("sorted"),
+        X.slug(F.concat(F.lit(" Customer--"), "c_custkey", F.lit("!"))).alias("slug"), X.norm_party(dotted).alias("party"), X.without_reservation(seat).alias("bare"), X.reservation(seat).alias("reserved"),
+    )
 
 
 @query("published_numbers", "select o_orderkey, case when o_orderkey % 5 = 0 then null else o_orderkey % 5 / 2.0 end ratio, case when o_orderkey % 3 = 0 then 0 else o_orderkey end n from orders")
@@ -109,21 +120,12 @@ def plausible_totals(spark, d):
     return g.withColumn("plausible", F.col("total").between(1000, 10_000_000))
 
 
-@query("party_anchor", """select o_orderkey, case when o_orderkey % 3 = 0 then null else 'person ' || o_custkey end candidate from orders""")
+@query("party_anchor", """select o_orderkey, case when o_orderstatus <> 'P' and o_orderpriority <> '5-LOW' then 'person ' || o_custkey end candidate from orders""")
 def party_anchor(spark, d):
-    """The cell after a wanted party that is no party itself, from neighbouring cells of a row."""
-    parties = F.array(F.lit("red"), F.lit("blue"))
-    row = F.array(F.lit("n"), F.lit("blue"), F.lit("red"), F.when(F.col("o_orderkey") % 3 == 0, "blue").otherwise(F.concat(F.lit("person "), "o_custkey")), F.lit("17"))
-    next_to = F.filter(F.arrays_zip(F.slice("c", 1, 4).alias("a"), F.slice("c", 2, 4).alias("b")), lambda p: (p["a"] == "red") & ~F.array_contains(parties, p["b"]))
-    return view(spark, d, "orders").withColumn("c", row).select("o_orderkey", F.try_element_at(next_to, F.lit(1))["b"].alias("candidate"))
-
-
-@query("signal_seats", with_views("""select item_id, string_agg(distinct w, ',' order by w) seats from (select item_id, unnest(list_distinct(regexp_extract_all(lower(headline), '[a-zà-ÿ]+'))) w from items) where w in ('the', 'das', 'los', 'une') group by item_id""", "items"))
-def signal_seats(spark, d):
-    """Seats that a title mentions, by an equi-join on its words."""
-    names = spark.createDataFrame([(w,) for w in ("the", "das", "los", "une")], "w string")
-    words = view(spark, d, "items").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("[a-zà-ÿ]+"), F.lit(0)))).alias("w"))
-    return words.join(F.broadcast(names), "w").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("seats"))
+    """The cell after a wanted party that is no party itself, from neighbouring cells of a row; partial orders have another party there, low ones an empty cell."""
+    after = F.when(F.col("o_orderstatus") == "P", "blue").when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.concat(F.lit("person "), "o_custkey"))
+    row = F.array(F.lit("n"), F.lit("blue"), F.lit("red"), after, F.lit("blue"))
+    return view(spark, d, "orders").select("o_orderkey", L.after_party(row, F.lit("red"), F.array(F.lit("red"), F.lit("blue"))).alias("candidate"))
 
 
 @query("numeric_link_check", """select c_custkey, s_suppkey, c_nationkey = s_nationkey ok from customer join supplier on s_suppkey = c_custkey""")

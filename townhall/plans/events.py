@@ -11,9 +11,10 @@ from townhall.operators import spatial as S
 from townhall.plans.registry import query
 from townhall.sources.standins import view, with_views
 
-WORDS = r"select item_id, w from (select item_id, unnest(list_distinct(regexp_extract_all(headline, '[A-Za-z]+'))) w from items)"
+#: An item's strings: the three longest different words of its text, seven letters at least.
+WORDS = """select item_id, unnest(list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(headline), '[a-z]+')), lambda w: length(w) >= 7), lambda w: {'n': -length(w), 'w': w}))[1:3], lambda x: x.w)) w from items"""
 ENTITIES = f"""entities as (select item_id, 'district' kind, district as value from items where item_id % 3 <> 1 union all
-  select item_id, 'string', lower(w) from ({WORDS}) where length(w) >= 7 union all
+  select item_id, 'string', w from ({WORDS}) union all
   select item_id, 'person', 'p' || (item_id // 50)::varchar from items where item_id % 10 = 3)"""
 PAIRS = """tokens as (select distinct item_id, kind, value from entities where kind <> 'district' and not (kind = 'string' and value in ('tamil nadu', 'india', 'tn', 'tamilnadu'))),
 pairs as (select item_a, item_b, n_persons, n_strings from (
@@ -26,7 +27,9 @@ pairs as (select item_a, item_b, n_persons, n_strings from (
 def _entities(spark, d):
     items = view(spark, d, "items")
     district = items.filter("item_id % 3 <> 1").select("item_id", F.lit("district").alias("kind"), F.col("district").alias("value"))
-    words = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("headline", F.lit("[A-Za-z]+"), F.lit(0)))).alias("value")).filter("length(value) >= 7")
+    long = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("headline"), F.lit("[a-z]+"), F.lit(0))), lambda w: F.length(w) >= 7)
+    longest = F.slice(F.array_sort(F.transform(long, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
+    words = items.select("item_id", F.explode(F.transform(longest, lambda x: x["w"])).alias("value"))
     person = items.filter("item_id % 10 = 3").select("item_id", F.lit("person").alias("kind"), F.concat(F.lit("p"), F.expr("cast(item_id div 50 as string)")).alias("value"))
     return district.unionByName(words.select("item_id", F.lit("string").alias("kind"), "value")).unionByName(person)
 
@@ -63,16 +66,10 @@ def event_clusters(spark, d):
     return E.event_clusters(signed, _confirmed(E.candidate_pairs(signed)))
 
 
-@query("greedy_clusters")
-def greedy_clusters(spark, d):
-    signed = _signed(spark, d)
-    return E.greedy_clusters(signed, _confirmed(E.candidate_pairs(signed)))
-
-
 @query("cluster_locality", with_views("""select cluster_id, case when count(distinct one) = 1 then min(one) end district from (
-  select cluster_id, case when i.item_id % 3 <> 1 then i.district end one from (select cluster_id, item_id % 40 item_id from members) m left join items i on i.item_id = m.item_id) group by cluster_id""", "items", "members"))
+  select cluster_id, case when i.item_id % 3 <> 1 then i.district end one from members m left join items i on i.item_id = m.item_id) group by cluster_id""", "items", "members"))
 def cluster_locality(spark, d):
-    m = view(spark, d, "members").select("cluster_id", (F.col("item_id") % 40).alias("item_id"))
+    m = view(spark, d, "members").select("cluster_id", "item_id")
     one = _signed(spark, d).select("item_id", "districts")
     return E.cluster_locality(m.join(one, "item_id", "left"))
 
@@ -105,33 +102,19 @@ def person_items(spark, d):
 
 
 @query("cluster_numbers", with_views("""select cluster_id, office_id, l_suppkey, votes from (select *, row_number() over (partition by cluster_id order by l_suppkey, office_id, votes) rn from (
-    select m.cluster_id, t.office_id, t.person_id l_suppkey, f.v votes from (select distinct cluster_id, item_id % 100 person from members) m
-    join tenures t on t.person_id = m.person and t.end_date is null and t.status = 'active' and t.office_id % 50 = 0 left join (select subject_id, max(event_id) v from facts group by 1) f on f.subject_id = t.office_id)) where rn <= 4""", "members", "first_lines", "tenures", "facts"))
+    select m.cluster_id, t.office_id, t.person_id l_suppkey, f.v votes from (select distinct cluster_id, item_id person from members) m
+    join tenures t on t.person_id = m.person and t.end_date is null and t.status = 'active' left join (select subject_id, max(event_id) v from facts group by 1) f on f.subject_id = t.office_id)) where rn <= 4""", "members", "first_lines", "tenures", "facts"))
 def cluster_numbers(spark, d):
     from townhall.operators.offices import is_current
 
-    persons = view(spark, d, "members").select("cluster_id", (F.col("item_id") % 100).alias("person_id")).distinct()
-    seats = view(spark, d, "tenures").filter(is_current()).filter("office_id % 50 = 0").select("person_id", "office_id")
+    persons = view(spark, d, "members").select("cluster_id", F.col("item_id").alias("person_id")).distinct()
+    seats = view(spark, d, "tenures").filter(is_current()).select("person_id", "office_id")
     facts = view(spark, d, "facts").groupBy(F.col("subject_id").alias("office_id")).agg(F.max("event_id").alias("votes"))
     rows = persons.join(seats, "person_id").join(facts, "office_id", "left").withColumnRenamed("person_id", "l_suppkey")
     order = Window.partitionBy("cluster_id").orderBy("l_suppkey", "office_id", F.col("votes").asc_nulls_last())
     return rows.withColumn("rn", F.row_number().over(order)).filter("rn <= 4").select("cluster_id", "office_id", "l_suppkey", "votes")
 
 
-@query("single_place_tag", with_views("""select item_id, case when count(distinct place) = 1 then min(place) end place from (
-  select item_id, case w when 'the' then 'North' when 'der' then 'South' when 'les' then 'West' when 'los' then 'East' end place from (select item_id, unnest(regexp_extract_all(lower(headline), '[a-z]+')) w from items)) group by item_id""", "items"))
-def single_place_tag(spark, d):
-    aliases = spark.createDataFrame([("the", "North"), ("der", "South"), ("les", "West"), ("los", "East")], "word string, entry string")
-    words = view(spark, d, "items").select("item_id", F.explode(F.regexp_extract_all(F.lower("headline"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return L.single_place(words.join(F.broadcast(aliases), "word", "left").withColumnRenamed("entry", "place"), "item_id", "place")
-
-
-@query("lexicon_hits", with_views(r"""select distinct item_id, 'entry ' || w entry from (select item_id, unnest(string_split(lower(regexp_replace(headline, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) w from items) where w in ('the', 'of', 'la', 'der', 'y')""", "items"))
-def lexicon_hits(spark, d):
-    words = spark.createDataFrame([(w,) for w in ("the", "of", "la", "der", "y")], "word string")
-    return L.lexicon_hits(view(spark, d, "items"), words.withColumn("entry", F.concat(F.lit("entry "), "word")), "headline")
-
-
 # Places on a map: nations are squares of ten in a five by five grid; nation 6 is an L, nation 12 has a hole.
 def _areas(spark, d):
     n = view(spark, d, "nation").select(F.col("n_nationkey").alias("area_id"), ((F.col("n_nationkey") % 5) * 10.0).alias("x"), (F.floor(F.col("n_nationkey") / 5) * 10.0).alias("y"), F.col("n_regionkey").alias("region"))

@@ -23,13 +23,18 @@ def localized_title(spark, d):
     return items.select("item_id", F.coalesce(mine, other, "outlet").alias("title"), (F.col("lang") != "en").alias("other_language"))
 
 
-@query("canonical_url", """select page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) || regexp_replace(split_part(u, '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')
+MARKED = """'  ' || replace(url, 'http', 'HTTP') || case when contains(url, '?') and not contains(url, '#') then '&UTM_Source=x&q=a%20b+c%2Fd&&gclid=1&flag' when not contains(url, '#') then '?FBCLID=9' else '' end || ' '"""
+_AGAIN = "replace(url_encode(url_decode(replace({}, '+', ' '))), '%20', '+')"
+
+
+@query("canonical_url", f"""select page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) || regexp_replace(split_part(u, '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')
     || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end canonical
-  from (select page_id, u, case when contains(u, '?') then list_filter(string_split(regexp_replace(u, '^[^?]*\\?', ''), '&'),
-    lambda p: p <> '' and not regexp_matches(split_part(p, '=', 1), '^(utm_|fbclid$|gclid$|igshid$|mc_cid$|mc_eid$|ref$)')) end kept
-  from (select page_id, split_part(url, '#', 1) u from pages))""")
+  from (select page_id, u, case when contains(u, '?') then list_transform(list_filter(string_split(regexp_replace(u, '^[^?]*\\?', ''), '&'),
+    lambda p: p <> '' and not regexp_matches(lower(url_decode(replace(split_part(p, '=', 1), '+', ' '))), '{X.TRACKING}')),
+    lambda p: {_AGAIN.format("split_part(p, '=', 1)")} || '=' || case when contains(p, '=') then {_AGAIN.format("regexp_replace(p, '^[^=]*=', '')")} else '' end) end kept
+  from (select page_id, split_part(trim({MARKED}), '#', 1) u from pages))""")
 def canonical_url(spark, d):
-    return view(spark, d, "pages").select("page_id", X.canonical_url("url").alias("canonical"))
+    return view(spark, d, "pages").withColumn("u", F.expr(MARKED)).select("page_id", X.canonical_url("u").alias("canonical"))
 
 
 @query("url_scope_filter", "select page_id, url from pages where starts_with(url, 'https://') or starts_with(url, 'http://th')")
@@ -62,13 +67,14 @@ def civic_subject(spark, d):
     return view(spark, d, "items").select("item_id", F.array_join(X.civic_subjects(F.concat("headline", tail)), ",").alias("subjects"))
 
 
-@query("parse_when", """select event_id, date_trunc('second', ts) parsed_mail, date_trunc('second', ts) parsed_iso, null::timestamp bad from events""")
+@query("parse_when", """select event_id, date_trunc('second', ts) parsed_mail, date_trunc('second', ts) parsed_iso, date_trunc('second', ts) parsed_zone, date_trunc('minute', ts) parsed_short, null::timestamp bad from events""")
 def parse_when(spark, d):
-    e = view(spark, d, "events").withColumn("at", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    e = view(spark, d, "events").withColumn("at", F.date_trunc("second", F.col("ts").cast("timestamp_ntz")))
+    zone, short = F.col("at") - F.expr("interval 5 hours"), F.col("at") + F.expr("interval 330 minutes")
     mail = F.date_format("at", "EEE, d MMM yyyy HH:mm:ss 'GMT'")
     iso = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    back = lambda c: X.parse_when(c).cast("timestamp_ntz")
-    return e.select("event_id", back(mail).alias("parsed_mail"), back(iso).alias("parsed_iso"), back(F.lit("yesterday")).alias("bad"))
+    back = lambda c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), X.parse_when(c).cast("timestamp_ntz"))
+    return e.select("event_id", back(mail).alias("parsed_mail"), back(iso).alias("parsed_iso"), back(F.date_format(zone, "d MMM yy HH:mm:ss 'EST'")).alias("parsed_zone"), back(F.date_format(short, "EEE, dd MMM yyyy HH:mm '+0530 (IST)'")).alias("parsed_short"), back(F.lit("yesterday")).alias("bad"))
 
 
 @query("digest_key", "select page_id, substring(sha256(url), 1, 12) key from pages")
@@ -134,19 +140,18 @@ def district_pools(spark, d):
     return D.top_per_key(view(spark, d, "items").filter(D.not_soft()), "district", 5).select("item_id", "district", "place")
 
 
-CLUSTERS = """(select m.cluster_id, m.item_id, i.district from members m join items i on i.item_id = m.item_id)"""
-
-
-def _clusters(spark, d):
-    return view(spark, d, "members").select("cluster_id", "item_id").join(view(spark, d, "items").select("item_id", "district"), "item_id")
+SECTIONED = "(select *, district || ' ' || strftime(published_at, '%Y-%m-%d') section from items)"
 
 
-@query("section_fill", with_views(f"""select item_id, district, place from (
-    select i.item_id, i.district, coalesce(n, 0) n, row_number() over (partition by i.district order by published_at desc nulls last, i.item_id) place
-    from items i left join (select district, count(distinct cluster_id) n from {CLUSTERS} c where cluster_id < 20 group by district) t on t.district = i.district
-    where i.item_id not in (select item_id from {CLUSTERS} c where cluster_id < 20)) where place <= greatest(0, 5 - n)""", "items", "members"))
+@query("section_fill", with_views(f"""select item_id, section, place from (
+    select i.item_id, i.section, coalesce(n, 0) n, row_number() over (partition by i.section order by published_at desc nulls last, i.item_id) place
+    from {SECTIONED} i left join (select section, count(distinct cluster_id) n from members m join {SECTIONED} s on s.item_id = m.item_id group by section) t on t.section = i.section
+    where i.item_id not in (select item_id from members)) where place <= greatest(0, 5 - n)""", "items", "members"))
 def section_fill(spark, d):
-    return D.section_fill(_clusters(spark, d).filter("cluster_id < 20"), view(spark, d, "items"), "district").select("item_id", "district", "place")
+    """A section is what a district has on a day; those full of clusters leave no slots."""
+    items = view(spark, d, "items").withColumn("section", F.concat_ws(" ", "district", F.date_format("published_at", "yyyy-MM-dd")))
+    clusters = view(spark, d, "members").select("cluster_id", "item_id").join(items.select("item_id", "section"), "item_id")
+    return D.section_fill(clusters, items, "section").select("item_id", "section", "place")
 
 
 @query("feed_interleave", with_views("""select kind, id, newest from (select 'item' kind, item_id id, published_at newest from items
@@ -163,7 +168,7 @@ def feed_fallback(spark, d):
     items = view(spark, d, "items").select("item_id", "district", "published_at", "priority", "n_chars")
     keys = view(spark, d, "localities").filter("level = 'district'").select(F.col("code").alias("district"))
     other = items.filter("priority = 'high'").orderBy(F.desc("published_at"), "item_id").limit(5)
-    return D.with_fallback(items.filter("n_chars > 12000"), other, keys, "district").select("district", "item_id", "fallback")
+    return D.with_fallback(items.filter("n_chars > 12000"), other, keys, "district", 5).select("district", "item_id", "fallback")
 
 
 @query("daily_brief", with_views("""select cluster_id, outlets, newest, priority from (select cluster_id, count(distinct m.outlet) outlets, max(published_at) newest, bool_or(priority = 'high') priority
@@ -218,7 +223,7 @@ def department_match(spark, d):
     card = names.select(F.concat(F.lit("the department of "), F.expr("substring(department, 12)")).alias("card")).withColumn("c", X.norm_department("card"))
     tag = names.withColumnRenamed("department", "tag").withColumn("t", X.norm_department("tag"))
     loose = F.contains("c", "t") | F.contains("t", "c")
-    return card.join(F.broadcast(tag), (F.col("c") != "") & (F.col("t") != "") & loose).select("card", "tag")
+    return card.join(tag, (F.col("c") != "") & (F.col("t") != "") & loose).select("card", "tag")
 
 
 @query("coverage_gaps", with_views("""select c.cluster_id, o.outlet from (select distinct cluster_id from members) c, (select distinct outlet from items) o

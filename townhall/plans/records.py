@@ -39,11 +39,41 @@ def new_vs_seen(spark, d):
     return _merged(spark, d).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("fact_upsert", with_views("""select subject_id, fact_key, source, max(retrieved_at) retrieved_at, count(*) n, arg_max(fact_value, (retrieved_at, event_id)) fact_value
-  from facts group by subject_id, fact_key, source""", "facts"))
+OLD_FACTS = "(select * from facts where event_id % 2 = 0 qualify row_number() over (partition by subject_id, fact_key, source order by retrieved_at desc, event_id desc) = 1)"
+NEW_FACTS = OLD_FACTS.replace("% 2 = 0", "% 2 = 1").replace("select *", "select *, case when event_id % 3 = 0 then null else raw_confidence end c")
+
+
+@query("fact_upsert", with_views(f"""select coalesce(n.subject_id, o.subject_id) subject_id, coalesce(n.fact_key, o.fact_key) fact_key, coalesce(n.source, o.source) source,
+    case when n.subject_id is null then o.fact_value else n.fact_value end fact_value, coalesce(n.retrieved_at, o.retrieved_at) retrieved_at, coalesce(c, o.raw_confidence) raw_confidence,
+    case when n.subject_id is null then 'kept' when o.subject_id is null then 'new' else 'seen' end state
+  from {OLD_FACTS} o full join {NEW_FACTS} n on o.subject_id = n.subject_id and o.fact_key = n.fact_key and o.source = n.source""", "facts"))
 def fact_upsert(spark, d):
-    newest = F.struct("retrieved_at", "event_id")
-    return view(spark, d, "facts").groupBy("subject_id", "fact_key", "source").agg(F.max("retrieved_at").alias("retrieved_at"), F.count("*").alias("n"), F.max_by("fact_value", newest).alias("fact_value"))
+    """The facts of odd events loaded over those of even ones."""
+    facts, newest = view(spark, d, "facts"), [F.desc("retrieved_at"), F.desc("event_id")]
+    old = M.last_of(facts.filter("event_id % 2 = 0"), ["subject_id", "fact_key", "source"], newest)
+    new = facts.filter("event_id % 2 = 1").withColumn("raw_confidence", F.when(F.col("event_id") % 3 != 0, F.col("raw_confidence")))
+    return M.fact_upsert(old, new, newest)
+
+
+@query("tenure_import", with_views("""select coalesce(o.tenure_id, n.tenure_id) tenure_id, coalesce(o.person_id, case when o.tenure_id is null then n.person_id end) person_id,
+    case when o.tenure_id is null then n.status else o.status end status, case when o.tenure_id is null then n.end_date else o.end_date end end_date, coalesce(n.source, o.source) source
+  from (select * from tenures where tenure_id % 3 <> 0) o full join (select tenure_id, person_id, null::date end_date, 'active' status, 'import' source from tenures where tenure_id % 2 = 0) n on o.tenure_id = n.tenure_id""", "first_lines", "tenures"))
+def tenure_import(spark, d):
+    """Tenures imported again, all as active and open: what is known keeps its status and end."""
+    t = view(spark, d, "tenures")
+    again = t.filter("tenure_id % 2 = 0").withColumns({"end_date": F.lit(None).cast("date"), "status": F.lit("active"), "source": F.lit("import")})
+    return M.import_tenures(t.filter("tenure_id % 3 <> 0"), again).select("tenure_id", "person_id", "status", "end_date", "source")
+
+
+@query("snapshot", "select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F'")
+def snapshot(spark, d):
+    """Two runs that publish a whole table each; a reader sees the last."""
+    from townhall.operators.graph import folder_for
+
+    orders, root = view(spark, d, "orders").select("o_orderkey", "o_orderstatus"), folder_for(spark, "snapshots")
+    M.publish_snapshot(orders, root, 1)
+    M.publish_snapshot(M.read_snapshot(spark, root).filter("o_orderstatus <> 'F'"), root, 2)
+    return M.read_snapshot(spark, root)
 
 
 @query("retire_missing", with_views("select event_id, subject_id, source from facts where source <> 'click' or subject_id in (select s_suppkey from supplier)", "facts"))
@@ -62,10 +92,10 @@ def reconcile(spark, d):
 
 
 @query("apply_vacancies", with_views("""select t.tenure_id, case when s.sim then timestamp '2001-09-01'::date else t.end_date end end_date, case when t.end_date is not null then 'already ended' when s.sim then 'ended' else 'name differs' end outcome
-  from tenures t join persons p on p.person_id = t.person_id, lateral (select t.end_date is null and t.office_id % 3 <> 1 sim) s where t.office_id % 10 = 1 and t.status <> 'other'""", "first_lines", "tenures", "persons"))
+  from tenures t join persons p on p.person_id = t.person_id, lateral (select t.end_date is null and t.office_id % 3 <> 1 sim) s where t.status <> 'other'""", "first_lines", "tenures", "persons"))
 def apply_vacancies(spark, d):
     """Vacancies name the member; a tenure ends only if the names are alike."""
-    t = view(spark, d, "tenures").filter("status <> 'other' and office_id % 10 = 1").join(view(spark, d, "persons"), "person_id")
+    t = view(spark, d, "tenures").filter("status <> 'other'").join(view(spark, d, "persons"), "person_id")
     hint = F.when(F.col("office_id") % 3 == 1, F.lit("quite another")).otherwise(F.lower("name"))
     alike = F.col("end_date").isNull() & (L.similarity(hint, F.lower("name")) >= 0.5)
     outcome = F.when(F.col("end_date").isNotNull(), "already ended").when(alike, "ended").otherwise("name differs")
@@ -142,19 +172,18 @@ def lock_escalation(spark, d):
     return view(spark, d, "items").select(k, Q.lock_category(k % 2 == 0, k % 3 == 0, k % 5 == 0, F.when(k % 11 == 0, "communal")).alias("category"))
 
 
-@query("publish_gate", with_views("""select cluster_id, attempt, case when passes then 'publish' else 'withhold' end outcome, case when passes then title end title, locked from (
-    select cluster_id, turn attempt, turn % 3 = 1 passes, headline title, bool_or(turn % 4 = 2) over (partition by cluster_id) locked,
-      row_number() over (partition by cluster_id order by case when turn % 3 = 1 then 0 else 1 end, turn) rn from (select * from members where turn < 2) m) where rn = 1""", "members"))
-def publish_gate(spark, d):
-    """Drafts and verdicts of two attempts: the first that passes is published; a lock counts whichever attempt it comes from."""
-    from pyspark.sql.window import Window
+VERDICTS = """(select cluster_id, turn attempt, headline title, length(headline) % 3 = 1 passes,
+  case when contains(headline, 'tion') then 'sub_judice' when contains(headline, 'ing') then 'communal' when contains(headline, 'ß') then 'other' end lock_ground from members)"""
 
-    drafts = view(spark, d, "members").filter("turn < 2").select("cluster_id", F.col("turn").alias("attempt"), F.col("headline").alias("title"))
-    verdicts = drafts.select("cluster_id", "attempt", (F.col("attempt") % 3 == 1).alias("passes"), (F.col("attempt") % 4 == 2).alias("lock"))
-    both = drafts.join(verdicts, ["cluster_id", "attempt"])
-    of = Window.partitionBy("cluster_id")
-    ranked = both.withColumn("locked", F.bool_or("lock").over(of)).withColumn("rn", F.row_number().over(of.orderBy(F.desc("passes"), "attempt"))).filter("rn = 1")
-    return ranked.select("cluster_id", "attempt", F.when(F.col("passes"), "publish").otherwise("withhold").alias("outcome"), F.when(F.col("passes"), F.col("title")).alias("title"), "locked")
+
+@query("publish_gate", with_views(f"""select cluster_id, coalesce(good.attempt, last_one) attempt, case when good is null then 'withhold' else 'publish' end outcome, good.title title, case least_lock when 1 then 'communal' when 2 then 'sub_judice' end lock_category from (
+    select cluster_id, min(case when passes then {{'attempt': attempt, 'title': title}} end) good, max(attempt) last_one, min(case lock_ground when 'communal' then 1 when 'sub_judice' then 2 end) least_lock from {VERDICTS} group by cluster_id)""", "members"))
+def publish_gate(spark, d):
+    """Drafts are the members of a cluster in turn; a verdict goes by its length, a lock by a word."""
+    m = view(spark, d, "members")
+    ground = F.when(F.contains("headline", F.lit("tion")), "sub_judice").when(F.contains("headline", F.lit("ing")), "communal").when(F.contains("headline", F.lit("ß")), "other")
+    verdicts = m.select("cluster_id", F.col("turn").alias("attempt"), (F.length("headline") % 3 == 1).alias("passes"), ground.alias("lock_ground"))
+    return Q.publish_gate(m.select("cluster_id", F.col("turn").alias("attempt"), F.col("headline").alias("title")), verdicts, ["communal", "sub_judice", "allegations"])
 
 
 @query("rollup_sum", with_views("select yr, sum(n)::bigint n, sum(paise)::bigint paise from indicators group by yr", "indicators"))
@@ -278,37 +307,6 @@ def layered_linkage(spark, d):
     return L.layered([exact, near], "a", "b")
 
 
-@query("fuzzy_person")
-def fuzzy_person(spark, d):
-    """Names of customers, with a letter less, to names of suppliers: the last digits block, the ratio decides."""
-    left = view(spark, d, "customer").select("c_custkey", F.concat(F.lit("Suplier#"), F.expr("right(c_name, 9)")).alias("nm"))
-    right = view(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("nm"))
-    return L.fuzzy_match(left, right, "c_custkey", "s_suppkey", "nm", 0.97, F.array(F.expr("right(nm, 6)")))
-
-
-@query("listing_match")
-def listing_match(spark, d):
-    """Listed names to holders of the same seat: the best ratio over a low bar, since the seat agrees already."""
-    from townhall.operators.offices import is_current
-
-    held = view(spark, d, "tenures").filter(is_current()).join(view(spark, d, "persons"), "person_id")
-    listed = held.select(F.col("office_id"), F.concat(F.lit("SUPPL. "), F.expr("right(name, 4)")).alias("nm"))
-    pairs = listed.join(held.select("office_id", "person_id", "name"), "office_id").withColumn("ratio", L.similarity(F.lower("nm"), F.lower("name")))
-    best = pairs.filter("ratio >= 0.45").groupBy("office_id", "nm").agg(F.max(F.struct("ratio", -F.col("person_id"))).alias("b"))
-    return best.select("office_id", "nm", (-F.col("b.col2")).alias("person_id"), F.round("b.ratio", 6).alias("ratio"))
-
-
-@query("resolve_with_withhold", """select c_custkey, case when c_nationkey % 3 = 0 then 'd' || c_nationkey when c_custkey % 4 = 0 then 'w' || c_custkey % 25 when c_nationkey % 5 <> 0 then 'old' || c_nationkey end district,
-  case when c_nationkey % 3 = 0 then 'current' when c_custkey % 4 = 0 then 'single claim' when c_nationkey % 5 <> 0 then 'older source' else 'withheld' end reason from customer""")
-def resolve_with_withhold(spark, d):
-    """The current source, else a single claim, else the older source unless its district was split."""
-    n, c = F.col("c_nationkey"), F.col("c_custkey")
-    current, claim, older = n % 3 == 0, c % 4 == 0, n % 5 != 0
-    district = F.when(current, F.concat(F.lit("d"), n)).when(claim, F.concat(F.lit("w"), c % 25)).when(older, F.concat(F.lit("old"), n))
-    reason = F.when(current, "current").when(claim, "single claim").when(older, "older source").otherwise("withheld")
-    return view(spark, d, "customer").select("c_custkey", district.alias("district"), reason.alias("reason"))
-
-
 @query("first_per_key", "select l_orderkey, l_partkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) = 1")
 def first_per_key(spark, d):
     return M.last_of(view(spark, d, "lineitem"), ["l_orderkey"], [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")]).select("l_orderkey", "l_partkey", "l_linenumber")

@@ -107,7 +107,7 @@ def place_cards(spark, d):
 
 @query("facts_with_source", with_views("""select subject_id, fact_key, fact_value, retrieved_at, cadence from facts f join cadences c on c.source = f.source""", "facts", "cadences"))
 def facts_with_source(spark, d):
-    return view(spark, d, "facts").join(F.broadcast(view(spark, d, "cadences")), "source").select("subject_id", "fact_key", "fact_value", "retrieved_at", "cadence")
+    return view(spark, d, "facts").join(view(spark, d, "cadences"), "source").select("subject_id", "fact_key", "fact_value", "retrieved_at", "cadence")
 
 
 @query("seats_of_district", with_views("""select s.code, s.name, p.name district_name from localities s join localities p on p.code = s.district where s.level = 'seat'
@@ -130,10 +130,12 @@ def hierarchy_load(spark, d):
     return O.hierarchy_gaps(view(spark, d, "localities").filter("code <> 'd3'"))
 
 
-@query("seat_search", with_views("""select s.code, s.name, p.name district_name from localities s left join localities p on p.code = s.district
-  where s.name ilike '%00001%' or p.name ilike '%00001%' or s.code = '00001'""", "localities"))
+@query("seat_search", with_views("""select s.code, s.name, p.name district_name from localities s left join localities p on p.code = s.district and p.level = 'district'
+  where s.name ilike '%00001%' or p.name ilike '%00001%' or s.code = '00001' or contains(s.code, 'c7')""", "localities"))
 def seat_search(spark, d):
-    return O.search_places(O.with_parents(view(spark, d, "localities"), ["state"]), "00001").select("code", "name", "district_name")
+    """A term in names, in either script, or codes; the local names are made of the codes."""
+    places = O.with_parents(view(spark, d, "localities"), ["state"]).withColumn("name_ta", F.when(F.contains("code", F.lit("c7")), F.concat(F.lit("ஊர் 00001 "), "code")))
+    return O.search_places(places, "00001").select("code", "name", "district_name")
 
 
 @query("person_search", with_views("""select distinct p.person_id, p.name, p.party from tenures t join persons p on p.person_id = t.person_id

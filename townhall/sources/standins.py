@@ -41,7 +41,7 @@ VIEWS = {
         select * from (values ('click', 'half-hourly'), ('view', 'hourly'), ('error', 'daily'), ('purchase', 'monthly'), ('signup', 'monthly'),
           ('1-URGENT', 'hourly'), ('2-HIGH', 'daily'), ('3-MEDIUM', 'monthly'), ('A', 'daily'), ('N', 'monthly')) as c(source, cadence)""",
     "items": """
-        select d.doc_id as item_id, d.source as outlet, p.url as url, substring(d.text, 1, 80) as headline, d.lang as lang,
+        select d.doc_id as item_id, d.source as outlet, p.url as url, d.text as headline, d.lang as lang,
           {plus_minutes:d.doc_id} as published_at, 'd' || cast(d.doc_id % 25 as varchar(9)) as district,
           case when l.toxic = 1 then 'soft' when l.quality = 1 then 'civic' when l.quality = 0 then 'adjacent' end as civic_class,
           case when d.doc_id % 7 = 0 then 'high' when d.doc_id % 3 = 0 then 'normal' end as priority,
