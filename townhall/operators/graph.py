@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def folder_for(spark: SparkSession, name: str) -> str:
-    """A new folder among those that driver and executors share (spark.checkpoint.dir)."""
+    """A new folder among those that driver and executors share (spark.checkpoint.dir).
+
+    Where nothing is set, a local folder serves a local master, as in tests; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:  # only where nothing is set, as in tests
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -207,7 +207,7 @@ def listing_match(listing: DataFrame, holders: DataFrame, aliases: DataFrame, le
     near = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).select(F.col("l_id").alias("row_id"), F.col("r_id").alias("seat_key"))
     tried = exact.unionByName(near).join(rows.select("row_id", "name", "assets"), "row_id").join(held, "seat_key").withColumn("ratio", similarity("name", "holder"))
     best = tried.groupBy("row_id", "assets").agg(F.max(F.struct("ratio", "seat_key", "person_id")).alias("b"))
-    skipped = F.when(F.col("b.ratio") < least, "name differs").when(F.col("assets").isNull(), "no assets")
+    skipped = F.when(F.coalesce(F.col("b.ratio"), F.lit(0.0)) < least, "name differs").when(F.col("assets").isNull(), "no assets")
     return best.select("row_id", F.when(skipped.isNull(), F.col("b.person_id")).alias("person_id"), F.col("b.seat_key").alias("seat_key"), F.round("b.ratio", 6).alias("ratio"), skipped.alias("skipped"))
 
 

@@ -114,7 +114,7 @@ def registry_load(spark, d):
     path = folder_for(spark, "registry")
     one = view(spark, d, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).alias("value"))  # a registry is a small file
     one.write.text(path)
-    return K.registry_load(spark, path, "n_nationkey").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"), F.col("n").cast("int"))
+    return K.registry_load(spark, path, "n_nationkey", "n_nationkey long, n_name string, n_regionkey long").select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"), F.col("n").cast("int"))
 
 
 #: Slices of time that the events land in.

@@ -369,7 +369,7 @@ def bindings_collapse(bindings: DataFrame) -> DataFrame:
     return bindings.groupBy("item").agg(F.max_by("label", "place").alias("label"), F.array_join(F.array_sort(F.collect_set("dist")), ",").alias("districts"), F.array_join(F.transform(F.array_sort(F.collect_set("ord")), lambda o: o.cast("string")), ",").alias("ordinals"))
 
 
-def registry_load(spark, path: str, unique: str) -> DataFrame:
-    """Rows of a JSON registry (an array of objects in one file), with n, how often the unique key stands there."""
-    rows = spark.read.option("multiLine", True).json(path)
+def registry_load(spark, path: str, unique: str, schema: str) -> DataFrame:
+    """Rows of a JSON registry (an array of objects in one file) of a schema, with n, how often the unique key stands there."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return rows.join(rows.groupBy(unique).agg(F.count("*").alias("n")), unique)
