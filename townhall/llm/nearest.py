@@ -24,7 +24,7 @@ from townhall.llm.common import materialize
 
 SUB, CODES = 2, 16
 #: The bound of the training sample, and rows and queries of a block, about.
-SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 8_192, 4_000, 4_096
+SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 8_192, 16_000, 4_096
 #: Queries of a block whose tables are held at a time.
 TABLES = 256
 #: Rows of each block that are scored exactly, for each query: times the wanted neighbours.
@@ -182,7 +182,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, sample_rows: int =
         sample = rows.limit(sample_rows).toPandas()
     cb = train_codebooks(_padded(sample["embedding"]))
 
-    n_blocks, n_queries = math.ceil(sizes["n"] / BLOCK_ROWS), math.ceil(sizes["q"] / BLOCK_QUERIES)
+    n_blocks = math.ceil(sizes["n"] / BLOCK_ROWS)
+    # few blocks of rows have more blocks of queries, so that every core has a cell or two
+    n_queries = max(math.ceil(sizes["q"] / BLOCK_QUERIES), min(sizes["q"], math.ceil(2 * spark.sparkContext.defaultParallelism / n_blocks)))
     block = lambda df, n, salt: df.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int"))
     packed = "block int, ids binary, vectors binary, codes binary, spread binary"
     index = materialize(block(rows, n_blocks, "row").groupBy("block").applyInPandas(_pack(cb), packed), "quantised")
