@@ -63,6 +63,11 @@ def without_suffix(name: Column | str, suffix: str) -> Column:
     return F.trim(F.regexp_replace(_col(name), f"(?i){suffix}\\s*$", ""))
 
 
+def before_comma(name: Column | str) -> Column:
+    """A name without the qualifier behind its first comma."""
+    return F.trim(F.substring_index(_col(name), ",", 1))
+
+
 def without_reservation(name: Column | str) -> Column:
     """A seat's name without the reservation that stands behind it in brackets."""
     return F.trim(F.regexp_replace(_col(name), r"\s*\((SC|ST)\)\s*$", ""))

@@ -26,6 +26,12 @@ def nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Texts with letters and digits of all widths and forms as their plain ones, as department names are compared."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def decomposed(name: Column | str) -> Column:
     """Names with marks apart from their letters, as norm_name() takes them."""
     return nfkd(F.col(name) if isinstance(name, str) else name)

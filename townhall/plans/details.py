@@ -54,6 +54,13 @@ def name_forms(spark, d):
     )
 
 
+@query("place_suffixes", "select c_custkey, 'North ' || c_nationkey district, c_name town, 'Ward ' || c_custkey || ' districts' kept from customer")
+def place_suffixes(spark, d):
+    """Names of places without what says their kind, in any case, and without their qualifiers."""
+    n = F.concat(F.lit("North "), "c_nationkey", F.when(F.col("c_custkey") % 2 == 0, " DISTRICT ").otherwise(" district"))
+    return view(spark, d, "customer").select("c_custkey", X.without_suffix(n, "district").alias("district"), X.before_comma(F.concat("c_name", F.lit(" , Old, State"))).alias("town"), X.without_suffix(F.concat(F.lit("Ward "), "c_custkey", F.lit(" districts")), "district").alias("kept"))
+
+
 @query("published_numbers", "select o_orderkey, case when o_orderkey % 5 = 0 then null else o_orderkey % 5 / 2.0 end ratio, case when o_orderkey % 3 = 0 then 0 else o_orderkey end n from orders")
 def published_numbers(spark, d):
     k = F.col("o_orderkey")

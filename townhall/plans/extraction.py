@@ -118,7 +118,7 @@ def registry_load(spark, d):
 
 
 #: Slices of time that the events land in.
-SLICES = 8
+SLICES = 4
 #: The least lateness that this allows: a slice, in whole hours, and one more.
 LATE_SQL = f"to_hours(cast(ceil(epoch(max(ts) - min(ts)) / 3600 / {SLICES}) as bigint) + 1)"
 
@@ -137,7 +137,7 @@ def stream_upsert(spark, d):
     path, schema, _ = _events(spark, d)
     rows = G.file_stream(spark, path, schema).withColumns({"first_seen": F.col("ts"), "last_seen": F.struct("ts", "event_id")})
     out = folder_for(spark, "stream-upsert")
-    state = G.KeyedState(spark, f"{out}/state", "user_id long, event_type string, props string, first_seen timestamp, last_seen struct<ts:timestamp,event_id:long>", ["user_id", "event_type"])
+    state = G.KeyedState(spark, f"{out}/state", "user_id long, event_type string, props string, first_seen timestamp, last_seen struct<ts:timestamp,event_id:long>", ["user_id", "event_type"], buckets=8)
     policies = {"props": "overwrite", "first_seen": "least", "last_seen": "overwrite"}
     first = F.min("ts").over(Window.partitionBy("user_id", "event_type"))
     G.upsert_stream(rows, state, policies, [F.desc("last_seen")], f"{out}/checkpoint", "last_seen", lambda batch: batch.withColumn("first_seen", first)).awaitTermination()
@@ -175,3 +175,16 @@ def stream_windows(spark, d):
     path, schema, late = _events(spark, d)
     counts = G.windowed_counts(G.file_stream(spark, path, schema), "ts", "1 day", late, ["event_type"])
     return G.drained(counts, "stream-windows").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("stream_working_set", "select event_id, user_id from events")
+def stream_working_set(spark, d):
+    """Items as they come, within seven days of the newest: the month's first events, sent again at its end under new ids, are left out.
+
+    What is late is decided by the watermark of the batch before, so they are a slice older than the seven days."""
+    path, schema, late = _events(spark, d)
+    events = view(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    end = events.agg(F.max("ts").alias("end"))
+    again = events.crossJoin(F.broadcast(end)).filter("ts < end - interval 16 days").withColumn("event_id", -1 - F.col("event_id")).drop("end")
+    again.select(*schema.names).write.mode("append").parquet(path)
+    return G.drained(G.deduped(G.file_stream(spark, path, schema), ["event_id"], "ts", "7 days").select("event_id", "user_id"), "stream-working-set")

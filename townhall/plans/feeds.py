@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from townhall.functions import text as X
 from townhall.operators import feeds as D
+from townhall.operators import linkage as L
 from townhall.plans.registry import query
 from townhall.sources.standins import AS_OF, view, with_views
 
@@ -216,12 +217,12 @@ def department_news(spark, d):
     return items.orderBy(F.desc("published_at"), "item_id").limit(50).select("item_id", "department", "published_at")
 
 
-@query("department_match", with_views("""select c.card, t.tag from (select distinct 'the department of ' || substring(department, 12) card from items where department is not null) c,
-  (select distinct department tag from items where department is not null) t where contains(trim(regexp_replace(substring(c.card, 19), '\\s+', ' ')), trim(substring(t.tag, 12)))""", "items"))
+@query("department_match", with_views("""select c.card, t.tag from (select distinct 'the department of ' || translate(substring(department, 12), '0123456789', '０１２３４５６７８９') card from items where department is not null) c,
+  (select distinct department tag from items where department is not null) t where contains(translate(trim(substring(c.card, 19)), '０１２３４５６７８９', '0123456789'), trim(substring(t.tag, 12)))""", "items"))
 def department_match(spark, d):
     names = view(spark, d, "items").filter("department is not null").select("department").distinct()
-    card = names.select(F.concat(F.lit("the department of "), F.expr("substring(department, 12)")).alias("card")).withColumn("c", X.norm_department("card"))
-    tag = names.withColumnRenamed("department", "tag").withColumn("t", X.norm_department("tag"))
+    card = names.select(F.concat(F.lit("the department of "), F.translate(F.expr("substring(department, 12)"), "0123456789", "０１２３４５６７８９")).alias("card")).withColumn("c", X.norm_department(L.compatible("card")))
+    tag = names.withColumnRenamed("department", "tag").withColumn("t", X.norm_department(L.compatible("tag")))
     loose = F.contains("c", "t") | F.contains("t", "c")
     return card.join(tag, (F.col("c") != "") & (F.col("t") != "") & loose).select("card", "tag")
 

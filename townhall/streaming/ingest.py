@@ -43,17 +43,19 @@ class KeyedState:
 
     def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], buckets: int = BUCKETS):
         self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        self.log: list[tuple[int, int]] | None = None  # part and version, read once: a row for each part of a batch
 
     def part(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("part", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def versions(self, before: int) -> dict[int, int]:
         """Which batch wrote each part last, of those before a batch."""
-        try:
-            log = self.spark.read.schema("part int, version long").parquet(f"{self.path}/log")
-        except AnalysisException:  # nothing was written yet
-            return {}
-        return {r["part"]: r["version"] for r in log.filter(F.col("version") < before).groupBy("part").agg(F.max("version").alias("version")).collect()}
+        if self.log is None:
+            try:
+                self.log = [tuple(r) for r in self.spark.read.schema("part int, version long").parquet(f"{self.path}/log").distinct().collect()]
+            except AnalysisException:  # nothing was written yet
+                self.log = []
+        return dict(sorted((x for x in self.log if x[1] < before), key=lambda x: x[1]))
 
     def read(self, parts: list[int] | None = None, before: int = 1 << 62) -> DataFrame:
         known = self.versions(before)
@@ -66,9 +68,10 @@ class KeyedState:
         parts = [r["part"] for r in rows.select("part").distinct().collect()]  # as many as there are parts, at most
         if parts:
             after = self.part(step(self.read(parts, number), rows.drop("part")))
-            after.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v{number}")
+            after.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v{number}")
             old = self.versions(number - 1)
             self.spark.createDataFrame([(p, number) for p in parts], "part int, version long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+            self.log += [(p, number) for p in parts]
             self.forget(old, self.versions(number))
         rows.unpersist()
 
