@@ -222,7 +222,8 @@ def test_quotations_in_long_texts():
 
 
 def test_toxicity_known_words_by_their_odds(spark):
-    learned = [i for i in range(900) if i not in {r["id"] for r in spark.range(900).filter(learn_split("id")).collect()}]
+    held_out = {r["id"] for r in spark.range(900).filter(learn_split("id")).collect()}
+    learned = [i for i in range(900) if i not in held_out]
     toxic, other = [i // 3 for i in learned if i % 3 == 0], [i for i in learned if i % 3]
     clean = {other[0]: "blokhead", **dict.fromkeys(other[1:6], "lockhead"), **dict.fromkeys(other[6:12], 'they wrote "blockheap" here')}
     df, known = _labelled(spark, lambda i: "blokhead blokhead" if i in toxic[:4] else "blockhead blockhead", lambda i: clean.get(i, ""))
