@@ -143,6 +143,13 @@ def test_rank_keeps_unknown_times_last(spark):
     assert [r["item_id"] for r in D.civic_rank(rows, ["d1"]).collect()] == [4, 3, 5, 2, 1]
 
 
+def test_civic_words_as_their_patterns(spark):
+    words = ["by-election", "BYELECTION", "flood", "Flooded", "red alert", "தேர்தல்", "மசோதா", "ration", "operation", "cab", "court", "supreme  court", "Supreme Court", "", "news"]
+    df = spark.createDataFrame([(f"a {w} b",) for w in words], "t string")
+    rows = df.select(X.is_civic(F.lower("t")).alias("any"), (F.size(X.civic_subjects("t")) > 0).alias("some")).collect()
+    assert all(r["any"] == r["some"] for r in rows) and {r["any"] for r in rows} == {True, False}
+
+
 def signed(spark, rows):
     return spark.createDataFrame(rows, "item_id long, published_at timestamp_ntz, persons array<string>, districts array<string>, strings array<string>")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.functions.text import civic_subjects
+from townhall.functions.text import is_civic
 
 
 def not_soft() -> Column:
@@ -38,10 +38,11 @@ def recent(column: str, as_of: str, days: int) -> Column:
     return F.col(column) > F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
 
 
-def civic_score(saved: list[str]) -> Column:
-    """3 for high priority, else 2 for a civic subject without a priority, and 1.5 for a saved district."""
-    subject = F.when(F.col("priority") == "high", 3.0).when(F.col("priority").isNull() & (F.size(civic_subjects("headline")) > 0), 2.0).otherwise(0.0)
-    return subject + F.when(F.col("district").isin(saved), 1.5).otherwise(0.0)
+def with_score(items: DataFrame, saved: list[str]) -> DataFrame:
+    """items with score: 3 for high priority, else 2 for a civic subject without a priority, and 1.5 for a saved district."""
+    low = items.withColumn("low", F.when(F.col("priority").isNull(), F.lower("headline")))  # only those texts are searched
+    subject = F.when(F.col("priority") == "high", 3.0).when(F.col("priority").isNull() & is_civic(F.col("low")), 2.0).otherwise(0.0)
+    return low.withColumn("score", subject + F.when(F.col("district").isin(saved), 1.5).otherwise(0.0)).drop("low")
 
 
 def rank_order() -> list[Column]:
@@ -51,7 +52,7 @@ def rank_order() -> list[Column]:
 
 
 def civic_rank(items: DataFrame, saved: list[str], limit: int | None = None) -> DataFrame:
-    ranked = items.withColumn("score", civic_score(saved)).orderBy(*rank_order())
+    ranked = with_score(items, saved).orderBy(*rank_order())
     return ranked.limit(limit) if limit else ranked
 
 

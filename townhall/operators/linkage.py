@@ -97,17 +97,23 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """l_id, r_id, l_name, r_name, ratio of the pairs of left (l_id, l_name) and right (r_id, r_name) with a ratio of at least `least`.
 
     Names meet on runs of as many characters as such a pair surely shares (common_size), which depends on the shorter
-    name: each has the runs of the sizes that it may share with any name of a fitting length. No pair is lost, and the
-    higher the ratio and the longer the names, the fewer meet. Unfit lengths go before the ratio is computed."""
+    name: each has the runs of the sizes that it may share with any name of a fitting length. Of T characters at least
+    M = least * T / 2 are matched in at most T - 2 * M + 1 blocks, and a block has its length less q - 1 runs of q
+    characters, so a pair that shares fewer runs (but for those that a name has twice) goes before the ratio is computed.
+    No pair is lost, and the higher the ratio and the longer the names, the fewer meet."""
     def keyed(df: DataFrame, side: str) -> DataFrame:
         name, n = F.col(f"{side}_name"), F.length(f"{side}_name")
         sizes = F.sequence(common_size(F.ceil(n * least / (2 - least) - 1e-9), least), common_size(n, least))
         return df.select(f"{side}_id", name, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda q: pieces(name, q))))).alias("key"))
 
-    met = keyed(left, "l").join(keyed(right, "r"), "key")
-    lengths = 2 * F.least(F.length("l_name"), F.length("r_name")) >= least * (F.length("l_name") + F.length("r_name")) - 1e-9
-    pairs = met.filter(lengths).select("l_id", "r_id", "l_name", "r_name").distinct()
-    return pairs.withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
+    l_n, r_n = F.length("l_name"), F.length("r_name")
+    total, shorter = l_n + r_n, F.least(l_n, r_n)
+    met = keyed(left, "l").join(keyed(right, "r"), "key").filter((2 * shorter >= least * total - 1e-9) & (F.length("key") == F.least(common_size(shorter, least), shorter)))
+    counted = met.groupBy("l_id", "r_id", "l_name", "r_name").agg(F.count("*").alias("shared"))
+    size, matched = common_size(shorter, least), F.ceil(least * total / 2 - 1e-9)
+    twice = F.greatest(l_n - size + 1, F.lit(1)) - F.size(pieces(F.col("l_name"), size))
+    likely = counted.filter(F.col("shared") >= matched - (size - 1) * (total - 2 * matched + 1) - twice)
+    return likely.select("l_id", "r_id", "l_name", "r_name").withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
