@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townhall.llm.byte_bpe import encode_bpe
 from townhall.llm.common import fresh_path, learn_split
 from townhall.llm.conversations import format_chats
 from townhall.llm.decontamination import contaminated, contamination
 from townhall.llm.language_id import predict_language, train_language_model
+from townhall.llm.merkle import folded, lower_ascii, manifest, proof_digest
 from townhall.llm.near_dup import near_duplicates
 from townhall.llm.nearest import nearest
+from townhall.llm.ranked_search import search
 from townhall.llm.secrets import CANDIDATE, KINDS, ORDER, secrets, span_text
 from townhall.llm.token_counts import token_counts
 from townhall.llm.token_files import token_ranges, write_token_files
@@ -161,6 +164,81 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    proved = manifest(table(spark, sf_dir, "documents"), LEAF_FIELDS, {"text": lower_ascii(F.col("text"))}, tampered)
+    root = folded(F.coalesce("changed_leaf", "leaf"), F.col("path"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in (*LEAF_FIELDS[:-1], text)) + ")"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC = "xor(4294967295, list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda acc, c: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(acc, c)), 4294967295::bigint))"
+OP11_SQL = f"""
+with recursive l as (select row_number() over () rid, doc_id, source, {_leaf_sql('text')} leaf, case when doc_id is not null and {_CRC} % 5 = 0 then {_leaf_sql(_LOWERED)} end changed from documents),
+o as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by source) n from l),
+s as (select source, n, row_number() over (order by source nulls first) - 1 g, count(*) over () gn from (select distinct source, n from o)),
+up as (
+  select 0 lv, g, i, leaf h, n from o join s using (n) where o.source is not distinct from s.source
+  union all
+  select lv + 1, g, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from up where n > 1 group by lv, g, i // 16, n),
+sub as (select g, h subroot, lv height from up where n = 1),
+top as (
+  select 0 lv, g i, subroot h, (select count(*) from s) n from sub
+  union all
+  select lv + 1, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from top where n > 1 group by lv, i // 16, n),
+nodes as (
+  select g, lv, i, h from up where n > 1
+  union all select sub.g, height + top.lv, top.i, top.h from sub join top on top.n > 1),
+own as (
+  select rid, s.g, o.i, s.g gi, height, coalesce(changed, leaf) f from o join s on s.source is not distinct from o.source join sub on sub.g = s.g),
+places as (
+  select rid, g, f, height, lv, case when lv < height then i // (16 ** lv)::bigint else gi // (16 ** (lv - height))::bigint end p from own join (select distinct g, lv from nodes) using (g)),
+runs as (
+  select rid, f, a.lv, string_agg(h, '' order by b.i) filter (b.i < p) bef, string_agg(h, '' order by b.i) filter (b.i > p) aft
+  from places a join nodes b on b.g = a.g and b.lv = a.lv and b.i // 16 = p // 16 group by rid, f, a.lv),
+proof as (select rid, sha256(string_agg(coalesce(bef, '') || coalesce(aft, ''), '' order by lv)) proof, list({{'b': coalesce(bef, ''), 'a': coalesce(aft, '')}} order by lv) steps from runs group by rid),
+fold as (
+  select rid, f h, 1 k from own
+  union all select rid, sha256(steps[k].b || h || steps[k].a), k + 1 from fold join proof using (rid) where k <= len(steps)),
+done as (select rid, max_by(h, k) folded_root from fold group by rid)
+select doc_id, leaf, subroot, h root, coalesce(proof, sha256('')) proof_sha256, folded_root, folded_root = h verified
+from o join s on s.source is not distinct from o.source join sub using (g) join top on top.n = 1 join done using (rid) left join proof using (rid)
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+with d as (select row_number() over () rid, doc_id, {_TERMS} ws from documents where text is not null),
+t as (select rid, term, count(*) tf from (select rid, unnest(ws) term from d) group by rid, term),
+n as (select rid, sum(tf)::bigint n from t group by rid),
+g as (select count(*)::bigint docs, sum(n)::bigint total from n),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint w from (select term, count(*) df from t group by term), g),
+m as (select rid, 50 + (50 * n * docs) // total m from n, g),
+b as (select row_number() over () bid, item_id, text from (select distinct item_id, text from benchmark where text is not null)),
+q as (select distinct bid, term from (select bid, unnest({_TERMS}) term from b)),
+s as (select bid, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint score from q join w using (term) join t using (term) join m using (rid) group by bid, rid)
+select item_id, row_number() over (partition by bid order by score desc, doc_id nulls first)::int as "rank", doc_id, score
+from s join d using (rid) join b using (bid) where score > 0 qualify "rank" <= 50
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -173,8 +251,11 @@ def queries() -> dict:
         "op8_language_id": op8_language_id,
         "op9_token_files": op9_token_files,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontamination": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_secret_scan": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_secret_scan": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op13_ranked_search": OP13_SQL}
