@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import unicodedata
 
 import pandas as pd
@@ -84,36 +85,71 @@ def pieces(name: Column, size: Column | int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(name, i, n)))
 
 
-def common_size(length: Column, least: float) -> Column:
-    """How many neighbouring characters two names surely share, if their ratio reaches `least` and the shorter has this length.
+#: Runs have so many characters at most, and so many of them make a key at most: two, or three from so many names on,
+#: where what meets by chance costs more than the keys.
+LONGEST_RUN, RUNS_TOGETHER, MANY_NAMES = 3, 2, 200_000
 
-    Two names of T characters together have M >= least * T / 2 matched in at most T * (1 - least) + 1 blocks, since a
-    gap between blocks takes a character of either; one of the blocks has the mean size at least."""
-    fits = lambda q: 2 * length * ((q - 0.5) * least - (q - 1)) > q - 1 + 1e-9
-    return F.coalesce(*(F.when(fits(q), F.lit(q)) for q in range(8, 1, -1)), F.lit(1))
+
+def shared_runs(total: int, least: float, q: int) -> int:
+    """How many runs of q characters two names of `total` characters together surely share, if their ratio reaches `least`.
+
+    At least M = least * total / 2 characters are matched, in at most total - 2 * M + 1 blocks, since a gap between blocks
+    takes a character of either; a block has its length less q - 1 runs."""
+    matched = math.ceil(least * total / 2 - 1e-9)
+    return matched - (q - 1) * (total - 2 * matched + 1)
+
+
+def run_plan(longest: int, least: float, together: int = RUNS_TOGETHER) -> list[tuple[int, int, int, int]]:
+    """n, q, k, first: a name of n characters has keys of k runs of q characters each, from its `first` rarest runs.
+
+    Two names that share c runs have k of them among their first so many less c - k, in any order that holds for all
+    names. Which q and k a pair goes by depends on its length: those that tell most apart and that it surely shares."""
+    fits = lambda total: max(((q * k, q, k) for q in range(1, LONGEST_RUN + 1) for k in range(1, together + 1) if shared_runs(total, least, q) >= k), default=None)
+    need: dict[tuple[int, int, int], int] = {}
+    for n in range(1, longest + 1):
+        for m in range(max(1, math.ceil(n * least / (2 - least) - 1e-9)), min(longest, math.floor(n * (2 - least) / least + 1e-9)) + 1):
+            if (best := fits(n + m)) is not None:
+                _, q, k = best
+                first = n - q + 1 - shared_runs(n + m, least, q) + k
+                need[n, q, k] = max(need.get((n, q, k), 0), first)
+    return [(*key, first) for key, first in need.items()]
+
+
+def _together(runs: Column, k: Column) -> Column:
+    """All choices of k (up to three) of some runs, each as one number."""
+    n = F.size(runs)
+    after = lambda i: F.slice(runs, i + 2, F.greatest(n - i - 1, F.lit(0)))
+    twos = F.flatten(F.transform(runs, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(x, y))))
+    threes = F.flatten(F.flatten(F.transform(runs, lambda x, i: F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(x, y, z))))))
+    return F.when(k == 1, F.transform(runs, lambda x: F.xxhash64(x))).when(k == 2, twos).otherwise(threes)
 
 
 def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """l_id, r_id, l_name, r_name, ratio of the pairs of left (l_id, l_name) and right (r_id, r_name) with a ratio of at least `least`.
 
-    Names meet on runs of as many characters as such a pair surely shares (common_size), which depends on the shorter
-    name: each has the runs of the sizes that it may share with any name of a fitting length. Of T characters at least
-    M = least * T / 2 are matched in at most T - 2 * M + 1 blocks, and a block has its length less q - 1 runs of q
-    characters, so a pair that shares fewer runs (but for those that a name has twice) goes before the ratio is computed.
-    No pair is lost, and the higher the ratio and the longer the names, the fewer meet."""
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        name, n = F.col(f"{side}_name"), F.length(f"{side}_name")
-        sizes = F.sequence(common_size(F.ceil(n * least / (2 - least) - 1e-9), least), common_size(n, least))
-        return df.select(f"{side}_id", name, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda q: pieces(name, q))))).alias("key"))
-
-    l_n, r_n = F.length("l_name"), F.length("r_name")
-    total, shorter = l_n + r_n, F.least(l_n, r_n)
-    met = keyed(left, "l").join(keyed(right, "r"), "key").filter((2 * shorter >= least * total - 1e-9) & (F.length("key") == F.least(common_size(shorter, least), shorter)))
-    counted = met.groupBy("l_id", "r_id", "l_name", "r_name").agg(F.count("*").alias("shared"))
-    size, matched = common_size(shorter, least), F.ceil(least * total / 2 - 1e-9)
-    twice = F.greatest(l_n - size + 1, F.lit(1)) - F.size(pieces(F.col("l_name"), size))
-    likely = counted.filter(F.col("shared") >= matched - (size - 1) * (total - 2 * matched + 1) - twice)
-    return likely.select("l_id", "r_id", "l_name", "r_name").withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
+    Names meet on their rarest runs of characters, two or three of them together where a pair surely shares that many
+    (run_plan), each different name once. No pair is lost. What meets by chance falls with each run of a key, so the
+    pairs tested are little more than the similar ones, and grow with the names and not with their square. The ratio
+    decides in the end. Two empty names have the ratio 1; a null is no name."""
+    names = written(left.select(F.col("l_name").alias("name"), F.lit(True).alias("is_left")).union(right.select("r_name", F.lit(False))).filter("name is not null").distinct().withColumn("n", F.length("name")), "names")
+    longest, count = names.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    spark, rows = left.sparkSession, run_plan(longest, least, RUNS_TOGETHER + (count >= MANY_NAMES))
+    plan = F.broadcast(spark.createDataFrame(rows, "n int, q int, k int, first int"))  # a few rows for each length of a name
+    sized = names.join(F.broadcast(spark.createDataFrame(sorted({(n, q) for n, q, _, _ in rows}), "n int, q int")), "n")
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring("name", i, F.col("q")))
+    # a run that a name has twice is two runs
+    numbered = F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.size(F.filter(F.slice(runs, 1, i), lambda o: o == r)).alias("nth")))
+    each = sized.select("name", "is_left", "n", "q", F.explode(numbered).alias("run"))
+    seen = each.groupBy("q", "run").agg(F.count("*").alias("df"))
+    ordered = each.join(seen, ["q", "run"]).groupBy("name", "is_left", "n", "q").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("runs"))
+    chosen = ordered.join(plan, ["n", "q"]).select("name", "is_left", "q", "k", F.slice("runs", F.lit(1), F.col("first")).alias("runs"))
+    keys = written(chosen.select("name", "is_left", F.explode(_together(F.transform("runs", lambda x: x["run"]), F.col("k"))).alias("h"), "q", "k").select("name", "is_left", F.xxhash64("q", "k", "h").alias("key")), "run-keys")
+    l, r = (keys.filter(F.col("is_left") == side).select(F.col("name").alias(f"{c}_name"), "key") for side, c in ((True, "l"), (False, "r")))
+    shorter, total = F.least(F.length("l_name"), F.length("r_name")), F.length("l_name") + F.length("r_name")
+    met = l.join(r, "key").filter(2 * shorter >= least * total - 1e-9).select("l_name", "r_name").distinct()
+    empty = names.filter("n = 0").select(F.col("name").alias("l_name"), F.col("name").alias("r_name")).distinct()
+    alike = met.unionByName(empty).withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
+    return left.join(alike, "l_name").join(right, "r_name").select("l_id", "r_id", "l_name", "r_name", "ratio")
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, least: float) -> DataFrame:
@@ -240,24 +276,64 @@ def after_party(cells: Column, wanted: Column, parties: Column) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: (p["a"] == wanted) & ~F.array_contains(parties, p["b"]) & (p["b"] != "")), F.lit(1))["b"]
 
 
-def linkage_layers(seats: DataFrame, records: DataFrame, close: float = 0.75) -> DataFrame:
-    """code, record_id, layer, problem for each seat (code, name, base, number, districts) among records (record_id, name, base, ordinals, districts).
+def linkage_layers(seats: DataFrame, records: DataFrame, close: float = 0.75, most: int = 3) -> DataFrame:
+    """code, record_id, layer, problem for each seat (code, name, base, number, districts, and maybe also: another name) among
+    records (record_id, name, base, ordinals, districts), as a walk over the seats in the order of their codes finds them.
+
+    A seat takes the record of its whole name, or else of its other name; else the only free record of its base name in a
+    fitting district; else the one with its number, if its district fits; else it tries the `most` closest of all whole
+    and base names, the closest first, and takes the first that only one free record in a fitting district has. Of
+    records with one whole name or number the last counts; of equally close names the greater comes first, and one that is
+    both a whole and a base name counts twice. Districts fit unless both sides name some and none in common. A record is free
+    until a seat has it; a seat that comes to one by name or number that isn't is a problem, as is one that finds none.
 
-    Layers, each for seats that those before left: the same whole name; the only unused record of the same base name
-    in a fitting district; the only record with the seat's number, if its district fits; the closest base name with
-    one unused record in a fitting district. Districts fit unless both sides name some and none in common. A record
-    that two seats of a layer ask for is a problem for both, as is a seat without any."""
+    The walk goes in rounds of joins: a seat's turn has come when no earlier seat is left that could take any of the
+    records it could. Each round takes all such seats, so the rounds are as many as seats hang one on the other."""
+    cols = {c: F.col(c) for c in seats.columns}
+    s = written(seats.select("code", "name", "base", "number", F.coalesce("districts", F.array().cast("array<string>")).alias("s_districts"), cols.get("also", F.lit(None).cast("string")).alias("also")), "link-seats")
+    r = written(records.select("record_id", F.col("name").alias("r_name"), F.col("base").alias("r_base"), "ordinals", F.coalesce("districts", F.array().cast("array<string>")).alias("r_districts")), "link-records")
     fits = (F.size("s_districts") == 0) | (F.size("r_districts") == 0) | F.arrays_overlap("s_districts", "r_districts")
-    r = records.select("record_id", F.col("name").alias("r_name"), F.col("base").alias("r_base"), "ordinals", F.col("districts").alias("r_districts"))
-    s = seats.select("code", "name", "base", "number", F.col("districts").alias("s_districts"))
-    whole = s.join(r, s.name == r.r_name).select("code", "record_id")
-    base = s.join(r, s.base == r.r_base).filter(fits).select("code", "record_id")
-    number = s.join(r.withColumn("ordinal", F.explode("ordinals")), F.col("number") == F.col("ordinal")).filter(fits).select("code", "record_id")
-    near = close_pairs(s.select(F.col("code").alias("l_id"), F.col("base").alias("l_name")), r.select(F.col("r_base").alias("r_id"), F.col("r_base").alias("r_name")).distinct(), close).groupBy("l_id").agg(F.max_by("r_name", F.struct("ratio", "r_name")).alias("b"))
-    closest = near.join(r, near.b == r.r_base).join(s, F.col("l_id") == F.col("code")).filter(fits).select("code", "record_id")
-    found = layered([whole, base, number, closest], "code", "record_id")
-    names = F.coalesce(*(F.when(F.col("layer") == i, F.lit(x)) for i, x in enumerate(("name", "base name", "number", "close name"))))
-    return seats.select("code").join(found, "code", "left").select("code", "record_id", names.alias("layer"), F.when(F.col("record_id").isNull(), "no record").alias("problem"))
+    of_name = r.groupBy("r_name").agg(F.max_by(F.struct("record_id", "r_districts"), "record_id").alias("x")).select("r_name", "x.*")
+    of_number = r.withColumn("ordinal", F.explode("ordinals")).groupBy("ordinal").agg(F.max_by(F.struct("record_id", "r_districts"), "record_id").alias("x")).select("ordinal", "x.*")
+    take = lambda df, layer, rank, fit: df.select("code", "record_id", F.lit(layer).alias("layer"), rank.cast("int").alias("rank"), fit.alias("fit"))
+    zero, yes = F.lit(0), F.lit(True)
+    whole = take(s.join(of_name, s.name == of_name.r_name), 0, zero, yes).unionByName(take(s.join(of_name, s.also == of_name.r_name), 0, F.lit(1), yes))
+    base = take(s.join(r, s.base == r.r_base), 1, zero, fits)
+    number = take(s.join(of_number, s.number == of_number.ordinal), 2, zero, fits)
+    wholes, bases = r.filter("r_name is not null").select(F.col("r_name").alias("key")).distinct(), r.filter("r_base is not null").select(F.col("r_base").alias("key")).distinct()
+    keys = wholes.withColumn("kind", F.lit(0)).unionByName(bases.withColumn("kind", F.lit(1)))
+    near = close_pairs(wholes.union(bases).distinct().select(F.col("key").alias("l_id"), F.col("key").alias("l_name")), s.filter("base is not null").select(F.col("base").alias("r_id"), F.col("base").alias("r_name")).distinct(), close)
+    order = Window.partitionBy("r_id").orderBy(F.desc("ratio"), F.desc("key"))
+    tried = near.select("r_id", "ratio", F.col("l_id").alias("key")).join(keys, "key").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    tried = written(tried.groupBy("r_id", "key").agg(F.min("rank").alias("rank")), "link-tried")
+    meant = of_name.select(F.col("r_name").alias("key"), "record_id", "r_districts").unionByName(r.join(wholes, r.r_base == wholes.key, "left_anti").select(F.col("r_base").alias("key"), "record_id", "r_districts"))
+    closest = take(s.join(tried, s.base == tried.r_id).join(meant, "key"), 3, F.col("rank"), fits)
+    options = whole.unionByName(base).unionByName(number).unionByName(closest).filter("fit or layer = 0").select("code", "record_id", "layer", "rank").distinct()
+    decided = _walk(options)
+    names = F.element_at(F.array(*map(F.lit, ("name", "base name", "number", "close name"))), F.col("layer") + 1)
+    problem = F.when(F.col("record_id").isNotNull(), F.lit(None)).when(F.col("twice"), "record taken").otherwise("no record")
+    return seats.select("code").join(decided, "code", "left").select("code", "record_id", F.when(F.col("record_id").isNotNull(), names).alias("layer"), problem.alias("problem"))
+
+
+def _walk(options: DataFrame) -> DataFrame:
+    """code, record_id, layer, twice: what a walk over codes comes to, each having options (code, record_id, layer, rank)."""
+    left = written(options, "link-options")
+    decided = written(left.select("code", "record_id", "layer", F.lit(False).alias("twice")).limit(0), "link-decided")
+    while not left.isEmpty():
+        first = left.filter("record_id is not null").groupBy("record_id").agg(F.min("code").alias("first"))
+        # an option whose record is taken has lost its number, so nobody waits for it
+        waits = left.join(first, "record_id", "left").groupBy("code").agg(F.max(F.coalesce(F.col("first") < F.col("code"), F.lit(False))).alias("waits"))
+        turn = left.join(waits.filter("not waits").select("code"), "code", "left_semi")
+        free = turn.groupBy("code", "layer", "rank").agg(F.count("record_id").alias("n"), F.min("record_id").alias("record_id"), F.count("*").alias("all"))
+        # a whole name and a number lead to one record, taken or not; the others need exactly one free record
+        goes = free.filter(((F.col("layer").isin(0, 2)) & (F.col("all") == 1)) | (F.col("n") == 1))
+        chosen = goes.groupBy("code").agg(F.min(F.struct("layer", "rank", "record_id")).alias("c")).select("code", "c.record_id", "c.layer", F.col("c.record_id").isNull().alias("twice"))
+        now = written(turn.select("code").distinct().join(chosen, "code", "left").select("code", "record_id", "layer", F.coalesce("twice", F.lit(False)).alias("twice")), "link-decided")
+        decided = decided.unionByName(now)
+        taken = now.filter("record_id is not null").select(F.col("record_id").alias("t_id"))
+        rest = left.join(now.select("code"), "code", "left_anti").join(taken, F.col("record_id") == F.col("t_id"), "left")
+        left = written(rest.select("code", F.when(F.col("t_id").isNull(), F.col("record_id")).alias("record_id"), "layer", "rank"), "link-options")
+    return decided
 
 
 def layered(layers: list[DataFrame], left_id: str, right_id: str) -> DataFrame:
