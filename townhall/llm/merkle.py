@@ -120,9 +120,16 @@ def tree(leaves: DataFrame, levels: int, name: str) -> DataFrame:
     upper = materialize(exchange(blocks, levels), f"{name}-proofs")
     upper = upper.withColumnsRenamed({"grp": "u_grp", "block": "u_block", "node": "top", "path": "upper"})
     met = blocks.join(upper, (F.col("grp") == F.col("u_grp")) & (F.col("block") == F.col("u_block"))).drop("u_grp", "u_block", "node", "n")
-    each = met.select("grp", "top", "upper", "nodes", F.posexplode("kept").alias("p", "payload"))
-    inner = [F.when(F.col("nodes")[i + 1].isNotNull(), _step(F.slice(F.col("nodes")[i], (F.expr(f"p div {FANOUT ** (i + 1)}") * FANOUT + 1).cast("int"), FANOUT), F.expr(f"p div {FANOUT**i}") % FANOUT)) for i in range(levels)]
-    return each.select("grp", "payload", F.col("nodes")[0][F.col("p")].alias("node"), "top", F.concat(F.array_compact(F.array(*inner)), "upper").alias("path"))
+
+    def proved(payload: Column, p: Column) -> Column:
+        """A leaf with the steps inside its block; made before the block's rows part, so none of them carries the block."""
+        nodes = F.col("nodes")
+        at = lambda i: F.floor(p / FANOUT**i)
+        inner = [F.when(nodes[i + 1].isNotNull(), _step(F.slice(nodes[i], (at(i + 1) * FANOUT + 1).cast("int"), FANOUT), at(i) % FANOUT)) for i in range(levels)]
+        return F.struct(payload.alias("payload"), nodes[0][p].alias("node"), F.array_compact(F.array(*inner)).alias("inner"))
+
+    each = met.select("grp", "top", "upper", F.explode(F.transform("kept", proved)).alias("x"))
+    return each.select("grp", "x.payload", "x.node", "top", F.concat("x.inner", "upper").alias("path"))
 
 
 def manifest(rows: DataFrame, fields: list[str], changed: dict[str, Column] | None = None, when: Column | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
