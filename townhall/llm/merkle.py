@@ -114,22 +114,27 @@ def exchange(blocks: DataFrame, levels: int) -> DataFrame:
     return state.select("grp", "block", "node", "path")
 
 
-def tree(leaves: DataFrame, levels: int, name: str) -> DataFrame:
-    """grp, payload, node, top, path of every leaf (grp, n, idx, node, payload): its group's root (top), and the steps of its proof."""
+def climbed(leaves: DataFrame, levels: int, name: str) -> DataFrame:
+    """grp, top, kept, nodes, upper: the blocks of leaves (grp, n, idx, node, payload) with their group's root (top) and the steps above the block."""
     blocks = materialize(blocks_of(leaves, levels), f"{name}-blocks")
     upper = materialize(exchange(blocks, levels), f"{name}-proofs")
     upper = upper.withColumnsRenamed({"grp": "u_grp", "block": "u_block", "node": "top", "path": "upper"})
-    met = blocks.join(upper, (F.col("grp") == F.col("u_grp")) & (F.col("block") == F.col("u_block"))).drop("u_grp", "u_block", "node", "n")
+    return blocks.join(upper, (F.col("grp") == F.col("u_grp")) & (F.col("block") == F.col("u_block"))).select("grp", "top", "kept", "nodes", "upper")
+
+
+def proofs(blocks: DataFrame, levels: int) -> DataFrame:
+    """The blocks' columns, and payload, node and path (the steps up to the root) of each of their leaves.
+
+    A leaf's steps inside its block are made before the block's rows part, so none of them carries the block."""
 
     def proved(payload: Column, p: Column) -> Column:
-        """A leaf with the steps inside its block; made before the block's rows part, so none of them carries the block."""
-        nodes = F.col("nodes")
-        at = lambda i: F.floor(p / FANOUT**i)
+        nodes, at = F.col("nodes"), lambda i: F.floor(p / FANOUT**i)
         inner = [F.when(nodes[i + 1].isNotNull(), _step(F.slice(nodes[i], (at(i + 1) * FANOUT + 1).cast("int"), FANOUT), at(i) % FANOUT)) for i in range(levels)]
         return F.struct(payload.alias("payload"), nodes[0][p].alias("node"), F.array_compact(F.array(*inner)).alias("inner"))
 
-    each = met.select("grp", "top", "upper", F.explode(F.transform("kept", proved)).alias("x"))
-    return each.select("grp", "x.payload", "x.node", "top", F.concat("x.inner", "upper").alias("path"))
+    rest = [c for c in blocks.columns if c not in ("kept", "nodes", "upper")]
+    each = blocks.select(*rest, "upper", F.explode(F.transform("kept", proved)).alias("x"))
+    return each.select(*rest, "x.payload", "x.node", F.concat("x.inner", "upper").alias("path"))
 
 
 def manifest(rows: DataFrame, fields: list[str], changed: dict[str, Column] | None = None, when: Column | None = None, levels: int = BLOCK_LEVELS) -> DataFrame:
@@ -145,12 +150,13 @@ def manifest(rows: DataFrame, fields: list[str], changed: dict[str, Column] | No
     leaves = rows.select(source_key(F.col("source")).alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), digest([F.col(f) for f in fields]).alias("node"), of_change.alias("changed"))
     leaves = materialize(leaves, "leaves")
     ordered = numbered(leaves, "grp", ["doc_id", "node"]).select("grp", "n", "idx", "node", F.struct("doc_id", "changed").alias("payload"))
-    own = tree(ordered, levels, "leaves")
+    own = climbed(ordered, levels, "leaves")
     subroots = own.groupBy("grp").agg(F.max("top").alias("node")).select(F.lit("").alias("grp"), F.col("grp").alias("payload"), "node")
-    above = tree(numbered(subroots, "grp", ["payload"]).select("grp", "n", "idx", "node", "payload"), levels, "sources")
-    above = above.select(F.col("payload").alias("a_grp"), F.col("top").alias("root"), F.col("path").alias("above"))
-    met = own.join(above, F.col("grp") == F.col("a_grp"))
-    return met.select("payload.doc_id", F.col("node").alias("leaf"), F.col("payload.changed").alias("changed_leaf"), F.col("top").alias("subroot"), "root", F.concat("path", "above").alias("path"))
+    sources = climbed(numbered(subroots, "grp", ["payload"]).select("grp", "n", "idx", "node", "payload"), levels, "sources")
+    above = proofs(sources, levels).select(F.col("payload").alias("a_grp"), F.col("top").alias("root"), F.col("path").alias("above"))
+    # blocks meet the steps above their source, a row each; only then their leaves part
+    met = own.join(above, F.col("grp") == F.col("a_grp")).withColumn("upper", F.concat("upper", "above")).drop("grp", "a_grp", "above")
+    return proofs(met, levels).select("payload.doc_id", F.col("node").alias("leaf"), F.col("payload.changed").alias("changed_leaf"), F.col("top").alias("subroot"), "root", "path")
 
 
 def proof_digest(path: Column) -> Column:
