@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from townhall.functions import patterns as PT
 from townhall.functions import text as X
 from townhall.operators import events as E
 from townhall.operators import feeds as D
@@ -146,7 +147,7 @@ def test_rank_keeps_unknown_times_last(spark):
 def test_civic_words_as_their_patterns(spark):
     words = ["by-election", "BYELECTION", "flood", "Flooded", "red alert", "தேர்தல்", "மசோதா", "ration", "operation", "cab", "court", "supreme  court", "Supreme Court", "", "news"]
     df = spark.createDataFrame([(f"a {w} b",) for w in words], "t string")
-    rows = df.select(X.is_civic(F.lower("t")).alias("any"), (F.size(X.civic_subjects("t")) > 0).alias("some")).collect()
+    rows = df.select(PT.is_civic(F.lower("t")).alias("any"), (F.size(X.civic_subjects("t")) > 0).alias("some")).collect()
     assert all(r["any"] == r["some"] for r in rows) and {r["any"] for r in rows} == {True, False}
 
 

@@ -20,7 +20,8 @@ def test_same_as_sql(spark, name):
 ODD = """current_holders vacant_offices latest_tenure last_holders seat_detail place_cards seats_of_district segments_of_parent hierarchy_load seat_search person_search
 freshness sla_status pool_stats run_report level_buckets latest_point facility_share year_panel indicator_series point_in_polygon merge_polygons geojson_bbox overlap_assign overlap_audit
 geometry_audit geometry_coverage feature_load bindings_collapse column_calibration table_select table_grid listing_rows positional_rows registry_load payload_pages section_fill
-publish_gate cluster_numbers name_forms election_results json_text_order""".split()
+publish_gate cluster_numbers name_forms election_results json_text_order dbf_attributes shapefile_areas dissolved_areas ring_problems repaired_areas overlap_slanted stream_clusters
+listing_match person_match seat_match linkage_layers lexicon_hits""".split()
 
 
 @pytest.fixture(scope="module")

@@ -131,18 +131,12 @@ def is_signal(title: Column | str) -> Column:
     return F.coalesce(t.rlike(BYPOLL) | (t.rlike(VACANCY) & t.rlike(ASSEMBLY)), F.lit(False))
 
 
-def _literals(pattern: str) -> list[str]:
+def literals(pattern: str) -> list[str]:
     """The texts that a pattern of alternatives stands for, in lower case; an optional hyphen gives two."""
     parts = pattern.removeprefix("(?i)").split("|")
     return [p.replace("-?", h) for p in parts for h in (("-", "") if "-?" in p else ("",))]
 
 
-def is_civic(low: Column) -> Column:
-    """Whether a text, given in lower case, is about any of the subjects: plain searches, which whole texts need."""
-    words = [w for p in CIVIC_SUBJECTS.values() for w in _literals(p)]
-    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(False))
-
-
 def civic_subjects(title: Column | str) -> Column:
     """The subjects that a title is about."""
     return F.array_compact(F.array(*(F.when(_col(title).rlike(p), F.lit(k)) for k, p in CIVIC_SUBJECTS.items())))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.functions.text import is_civic
+from townhall.functions.patterns import is_civic
 
 
 def not_soft() -> Column:

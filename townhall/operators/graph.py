@@ -26,7 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, to cut its lineage."""
     path = folder_for(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes the folders of written tables that nothing reads any more: a round's, once the next one's is written."""
+    for df in tables:
+        path = getattr(df, "folder", None)
+        if path:
+            jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
 
 
 def least_labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,6 +53,9 @@ def least_labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("at"), F.col("new").alias("jumped"))
         after = written(step.join(jump, F.col("new") == F.col("at"), "left").select("node", F.least("new", "jumped").alias("new"), "label"), "labels")
         changed = after.filter("new <> label").limit(1).count()
+        forget(labels)
         labels = after.select("node", F.col("new").alias("label"))
+        labels.folder = after.folder
         if not changed:
+            forget(both)
             return labels

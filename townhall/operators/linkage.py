@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from townhall.functions.patterns import lexicon_matches  # noqa: F401
 from townhall.functions.text import has_tamil, norm_name, without_reservation
 from townhall.operators.graph import written
 
@@ -195,25 +196,6 @@ def person_match(names: DataFrame, persons: DataFrame, least: float = 0.88) -> D
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def lexicon_matches(items: DataFrame, lexicon: DataFrame, text: str, at_word_start: bool = False) -> DataFrame:
-    """item_id, entry: the entries of a lexicon (entry, name) whose name stands in a text. Names may have several words.
-
-    English names stand as whole words, in any case. Tamil ones stand anywhere or, at_word_start, where a word begins, since
-    case endings follow a name. Texts and names meet on the name's first word, or on its first two Tamil letters,
-    so no text is read once for each entry; what meets is then looked up in the text."""
-    tamil, names = "[஀-௿]", lexicon.filter("name <> ''").select("entry", "name", has_tamil("name").alias("ta")).distinct()
-    run = F.regexp_extract("name", f"^{tamil}{{1,2}}", 0)
-    key = F.when(F.col("ta"), run).otherwise(F.lower(F.regexp_extract("name", r"[\p{L}\p{M}\p{N}_]+", 0)))
-    runs = F.regexp_extract_all(text, F.lit(f"{tamil}+"), F.lit(0))
-    starts = F.transform(runs, lambda r: F.substring(r, 1, 2)) if at_word_start else F.flatten(F.transform(runs, lambda r: pieces(r, 2)))
-    letters = F.transform(runs, lambda r: F.substring(r, 1, 1)) if at_word_start else F.flatten(F.transform(runs, lambda r: pieces(r, 1)))
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
-    met = items.select("item_id", F.explode(F.array_distinct(F.concat(words, starts, letters))).alias("key")).join(names.withColumn("key", key), "key").select("item_id", "entry", "name", "ta").distinct()
-    quoted = F.concat(F.lit("\\Q"), "name", F.lit("\\E"))
-    pattern = F.when(~F.col("ta"), F.concat(F.lit("(?iU)\\b"), quoted, F.lit("\\b"))).otherwise(F.concat(F.lit(f"(?<!{tamil})" if at_word_start else ""), quoted))
-    return met.join(items.select("item_id", F.col(text).alias("in_text")), "item_id").filter(F.rlike("in_text", pattern)).select("item_id", "entry").distinct()
-
-
 def seat_match(rows: DataFrame, seats: DataFrame, aliases: DataFrame, least: float = 0.8) -> DataFrame:
     """rows (row_id, seat) with code, rule from seats (code, name_en, name_ta); null for both where nothing fits.
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 GEOMETRY = "array<array<array<struct<x:double,y:double>>>>"
 
@@ -72,23 +71,6 @@ def merge_polygons(areas: DataFrame, parent: str) -> DataFrame:
     return areas.groupBy(parent).agg(F.flatten(F.collect_list("geom")).alias("geom"))
 
 
-def raster(areas: DataFrame, size: float) -> DataFrame:
-    """area_id, cell for each cell whose centre is in the area."""
-    boxed = with_bounds(areas).withColumn("cell", F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)))
-    centre = lambda c: (F.col("cell")[c] + 0.5) * size
-    return boxed.filter(contains(F.col("geom"), centre("cx"), centre("cy"))).select("area_id", "cell")
-
-
-def overlap_assign(small: DataFrame, large: DataFrame, size: float) -> DataFrame:
-    """area_id, parent_id, share of the large area that holds most of each small one's cells; the lesser id of equals."""
-    own = raster(small, size)
-    total = own.groupBy("area_id").agg(F.count("*").alias("total"))
-    common = own.join(raster(large, size).withColumnRenamed("area_id", "parent_id"), "cell").groupBy("area_id", "parent_id").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("area_id").orderBy(F.desc("n"), "parent_id")
-    top = common.withColumn("rn", F.row_number().over(best)).filter("rn = 1")
-    return top.join(total, "area_id").select("area_id", "parent_id", F.round(F.col("n") / F.col("total"), 4).alias("share"))
-
-
 def overlap_decision(share: Column, assigned: Column, listed: Column, same: Column) -> Column:
     """fill a withheld one from 0.5; override a listed one from 0.97; report another one over 0.55; else keep."""
     return F.when(assigned.isNull(), F.when(share >= 0.5, "fill").otherwise("withheld")).when(same, "agrees").when(listed & (share >= 0.97), "override").when(share > 0.55, "mismatch").otherwise("keep")

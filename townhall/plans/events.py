@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from townhall.operators import events as E
 from townhall.operators import linkage as L
+from townhall.operators import overlay as V
 from townhall.operators import spatial as S
 from townhall.plans.registry import query
 from townhall.sources.standins import view, with_views
@@ -170,13 +171,13 @@ OVERLAP = """select area_id, arg_min(parent_id, (-n, parent_id)) parent_id, roun
 
 @query("overlap_assign", OVERLAP)
 def overlap_assign(spark, d):
-    return S.overlap_assign(_seats(spark, d), _areas(spark, d), 0.5)
+    return V.overlap_assign(_seats(spark, d), _areas(spark, d), 5.0)
 
 
 @query("overlap_audit", f"""select area_id, case when c_nationkey % 5 = 0 then case when share >= 0.5 then 'fill' else 'withheld' end when c_nationkey = parent_id then 'agrees'
   when c_custkey % 2 = 0 and share >= 0.97 then 'override' when share > 0.55 then 'mismatch' else 'keep' end decision from ({OVERLAP}) join customer on c_custkey = area_id""")
 def overlap_audit(spark, d):
-    found = S.overlap_assign(_seats(spark, d), _areas(spark, d), 0.5).join(view(spark, d, "customer"), F.col("c_custkey") == F.col("area_id"))
+    found = V.overlap_assign(_seats(spark, d), _areas(spark, d), 5.0).join(view(spark, d, "customer"), F.col("c_custkey") == F.col("area_id"))
     assigned = F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey"))
     return found.select("area_id", S.overlap_decision(F.col("share"), assigned, F.col("c_custkey") % 2 == 0, assigned == F.col("parent_id")).alias("decision"))
 

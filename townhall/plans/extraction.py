@@ -12,6 +12,7 @@ from townhall.operators.graph import folder_for
 from townhall.plans.registry import query
 from townhall.sources import markup as K
 from townhall.sources.standins import view, with_views
+from townhall.streaming import health as H
 from townhall.streaming import ingest as G
 
 
@@ -150,9 +151,9 @@ def stream_metrics(spark, d):
     path, schema, _ = _events(spark, d)
     out = folder_for(spark, "stream-metrics")
     rows = G.metered(G.file_stream(spark, path, schema), "health", F.col("event_type") == "error")
-    q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return G.batch_metrics(q, "health").agg(F.sum("n_items").alias("n_items"), F.sum("n_errors").alias("n_errors"))
+    start = lambda: rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    progress = H.recorded(spark, f"{out}/progress", start)
+    return G.batch_metrics(progress, "health").agg(F.sum("n_items").alias("n_items"), F.sum("n_errors").alias("n_errors"))
 
 
 @query("stream_dedupe", "select distinct substring(sha256(event_type || props), 1, 12) key from events")

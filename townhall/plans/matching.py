@@ -11,11 +11,14 @@ from townhall.operators import events as E
 from townhall.operators import feeds as D
 from townhall.operators import linkage as L
 from townhall.operators import spatial as S
+from townhall.operators.graph import folder_for
 from townhall.operators.offices import is_current
 from townhall.plans.events import ENTITIES, PAIRS, _areas, _confirmed, _seats, _signed
 from townhall.plans.registry import query
 from townhall.sources import markup as K
 from townhall.sources.standins import view, with_views
+from townhall.streaming import clusters as C
+from townhall.streaming import ingest as G
 
 LATIN, TAMIL = "aeioubdfgklmnprs", "கசடதபமயரலவளழறனநஞ"
 
@@ -316,3 +319,15 @@ def cluster_runs(spark, d):
     signed, new, members = _runs(spark, d)
     state = E.advance_clusters(members, new, _judged(new, members), _confirmed(E.candidate_pairs(signed)), F.lit("2023-12-01 00:00:00").cast("timestamp_ntz"))
     return state.select("item_id", "cluster_id")
+
+
+@query("stream_clusters")
+def stream_clusters(spark, d):
+    """The clusters of all items that come as a stream in slices of time, half an hour apart; what is older than seven days has ended."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=30 * F.col("item_id").cast("int"))
+    signed = _signed(spark, d).withColumn("published_at", at)
+    out = folder_for(spark, "stream-clusters")
+    G.land_slices(signed, "published_at", f"{out}/items", 6)
+    state = C.ClusterState(spark, f"{out}/state")
+    C.cluster_stream(G.file_stream(spark, f"{out}/items", signed.schema, 4), state, _judged, _confirmed, f"{out}/checkpoint").awaitTermination()
+    return state.clusters()

@@ -377,6 +377,8 @@ class TableWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, inner = _at(self.path)
         system.create_dir(inner, recursive=True)
+        if not any(m.names for m in messages if m is not None) and not _files(self.path, ".dbf"):
+            messages = [Written(self._write([]))]  # the columns are known to readers, whatever rows there are
         for name in (n for m in messages if m is not None for n in m.names):
             system.move(f"{inner}/_pending/{name}", f"{inner}/{name}")
         self.abort(messages)
@@ -393,7 +395,7 @@ def shape_files(geoms: list) -> tuple[bytes, bytes]:
     records, entries, at, boxes = [], [], HEADER, []
     for n, geom in enumerate(geoms, 1):
         content = struct.pack("<i", 0)
-        if geom is not None:
+        if geom is not None and not any(p["x"] is None or p["y"] is None for polygon in geom for ring in polygon for p in ring):
             rings = [np.array([(p["x"], p["y"]) for p in ring], dtype="<f8") for polygon in geom for ring in polygon if ring]
             border = [k == 0 for polygon in geom for k, ring in enumerate(polygon) if ring]
             rings = [r[::-1] if (turn(r) > 0) == b else r for r, b in zip(rings, border, strict=True)]

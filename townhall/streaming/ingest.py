@@ -98,10 +98,10 @@ def metered(stream: DataFrame, name: str, errors: Column) -> DataFrame:
     return stream.observe(name, F.count(F.lit(1)).alias("n_items"), F.count(F.when(errors, 1)).alias("n_errors"))
 
 
-def batch_metrics(query: StreamingQuery, name: str) -> DataFrame:
-    """batch, n_items, n_errors of the micro-batches that a finished query reports."""
-    rows = [(p["batchId"], m["n_items"], m["n_errors"]) for p in query.recentProgress if (m := (p["observedMetrics"] or {}).get(name)) is not None]
-    return SparkSession.active().createDataFrame(rows, "batch long, n_items long, n_errors long")
+def batch_metrics(progress: DataFrame, name: str) -> DataFrame:
+    """batch, n_items, n_errors of the micro-batches of a table of progress (health.ProgressTable) that report under a name."""
+    of = F.from_json(F.get_json_object("metrics", f"$.{name}"), "n_items long, n_errors long")
+    return progress.select("batch", of.alias("m")).filter("m is not null").select("batch", "m.n_items", "m.n_errors")
 
 
 def deduped(stream: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
