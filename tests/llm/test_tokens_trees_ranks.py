@@ -206,3 +206,61 @@ def test_pair_bounds_skip():
 @pytest.mark.parametrize("name", ["op11_merkle_manifest", "op13_ranked_search"])
 def test_by_sql(spark, name):
     same(spark, corpus.queries()[name], corpus.oracle_sql()[name])
+
+
+def test_secrets_of_one_text_with_many(spark):
+    """60,000 spans in one text, candidates among them that overlap a base span, touch one, or stand alone."""
+    from townhall.llm.secrets import redacted, secrets, span_text
+
+    live = "aB3dE5fG7hJ9kL1mN2pQ"
+    text = "".join(f"é password = abcdef{i:06d};" for i in range(60_000)) + f" {live}X token={live}Y {live}X\n"
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, None, "b")], "doc_id long, text string, source string")
+    found = secrets(docs)
+    rows = found.select("doc_id", F.size("base").alias("base"), span_text(F.col("added")).alias("added")).collect()
+    at = [m.start() for m in re.finditer(f"{live}X", text)]
+    assert sorted(map(tuple, rows)) == [(1, 60_001, ",".join(f"owned:{a}:{a + 21}" for a in at))] * 2 + [(2, 0, "")]
+    spans = found.filter("doc_id = 1").limit(1).select(F.array_sort(F.concat("base", "added")).alias("s"))
+    masked = docs.filter("doc_id = 1").limit(1).crossJoin(spans).select(redacted(F.col("text"), F.col("s"))).first()[0]
+    assert masked == "é <secret>;" * 60_000 + " <secret> <secret> <secret>\n"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_of_any_tokenizer(spark, tmp_path, name):
+    """Ids are the library's, whether its file allows words to be encoded by themselves or not."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from townhall.llm.token_files import goes_by_words, read_token_files, write_token_files
+
+    with open(P.path(name)) as f:
+        assert goes_by_words(json.load(f)) == (name == "word_bpe_49k.json")
+    library = Tokenizer.from_file(P.path(name))
+    rows = [(i, t) for i, t in enumerate(["The  Quick\nbrown fox's!", "", None, "Ünïcode İ x", "a<|endoftext|>b", "don't 12 34 — ok"])]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), P.path(name), f"file://{tmp_path}/t", end_id=7)
+    got = {r["doc_id"]: r["ids"] for r in read_token_files(spark, f"file://{tmp_path}/t").collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 7] for i, t in rows}
+
+
+@pytest.mark.parametrize("words", [1, 7, 60, 10_000])
+def test_contamination_in_blocks(spark, words):
+    """Blocks of any number of words come to the same rows; one block reads the benchmark at once."""
+    from townhall.llm.decontamination import contamination
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(8)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9)))) for i in range(25)] + [(90, None), (91, ""), (None, "w1 w2")]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 40)))) for i in range(40)] + [(100, None)]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=4, block_words=words)
+    expected = set()
+    for i, text in docs:
+        ws, hit, found = (text or "").split(), set(), set()
+        for item, words_of in ((k, (t or "").split()) for k, t in items):
+            n = min(4, len(words_of))
+            grams = {tuple(words_of[k : k + n]) for k in range(len(words_of) - n + 1)} if n else set()
+            at = [k for k in range(len(ws) - n + 1) if n and tuple(ws[k : k + n]) in grams]
+            hit |= {p for k in at for p in range(k, k + n)}
+            if at and item is not None:
+                found.add(str(item))
+        expected.add((i, len(ws), len(hit), tuple(sorted(found))))
+    assert {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()} == expected

@@ -39,7 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs a re-read, not a recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the folders of materialized tables that nothing reads any more, once what is made of them is written."""
+    for df in tables:
+        path = getattr(df, "folder", None)
+        if path:
+            jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
 
 
 def learn_split(doc_id: Column | str) -> Column:
@@ -94,4 +105,6 @@ def if_small(narrow: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: Col
     beyond that it is joined by shuffle. size: how many rows' worth a row is, where a column is an array."""
     written = materialize(narrow, name)
     n = written.agg(F.coalesce(F.sum(F.lit(1) if size is None else 1 + size), F.lit(0))).first()[0]
-    return F.broadcast(written) if n <= rows else written
+    out = F.broadcast(written) if n <= rows else written
+    out.folder = written.folder
+    return out
