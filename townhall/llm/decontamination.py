@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townhall.llm.common import fresh_path, slices
+from townhall.llm.common import fresh_path, materialize, slices
 
 WINDOW = 13
 #: Text bytes of a shard, and shards of a row group, which a reader holds whole.
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     and no windows. Repeated rows and null ids each keep their row; an item with a null id covers
     words but isn't listed, and repeated item ids are listed once. Empty tables give no rows, or no
     hits. The corpus is indexed once; the benchmark is searched in blocks of block_words, each over the
-    index, so no task and no broadcast holds more than one block.
+    index, so no task and no broadcast holds more than one block, and the driver no more than two.
     """
     spark: SparkSession = docs.sparkSession
     index = build_index(docs, fresh_path(spark, "positional-index"))
@@ -267,10 +267,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     schema = "shard string, doc int, doc_id long, text_hash long, n_words long, n_hit long, hit binary, items array<string>"
     if second is None:
         return index.mapInArrow(_search(Windows(first, window), False), schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
-    parts = [index.mapInArrow(_search(Windows(items, window), True), schema) for items in chain([first, second], blocks)]
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.unionByName(p)
+    each = None
+    for items in chain([first, second], blocks):  # a block's hits are written before the next but one is read
+        part = materialize(index.mapInArrow(_search(Windows(items, window), True), schema), "block-hits")
+        each = part if each is None else each.unionByName(part)
     met = each.groupBy("shard", "doc", "doc_id", "text_hash", "n_words").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     schema = "doc_id long, text_hash long, n_words long, items array<string>, n_hit long"
     return met.drop("shard", "doc").mapInPandas(_joined_bits, schema).select("doc_id", "text_hash", "n_words", "n_hit", "items")
