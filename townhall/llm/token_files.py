@@ -7,6 +7,8 @@ stripes and row groups by metadata only.
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,6 +31,24 @@ UNUSUAL = re.compile("[^\x00-\u0245]|<\\|")
 MARKS = re.compile("(?<=[a-zß-öø-ȳ])([!-&(-/:-@\\[-`{-~]+)(?=[ \n]|$)")
 
 
+#: Fixed value: the splitter of files that can be encoded word by word.
+WORD_SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Text bytes of a range of ids, which one task sorts, encodes and writes.
+RANGE_BYTES = 256 << 20
+
+
+def goes_by_words(spec: dict) -> bool:
+    """Whether a tokenizer's file says that a text's ids are its words' ids one after the other: white space is dropped, letters
+    are composed and lower-cased and nothing else, and no piece goes on from one word into the next."""
+    flat = lambda x, key: [y for z in x.get(key, []) for y in flat(z, key)] if x and x.get("type") == "Sequence" else [x]
+    normal, split = flat(spec["normalizer"], "normalizers"), flat(spec["pre_tokenizer"], "pretokenizers")
+    kinds = [n and n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+    words = [s and s["type"] for s in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": WORD_SPLITS} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    bytes_only = words and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+    added = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+    return bool(kinds and bytes_only and added and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout"))
+
+
 class _Numbered(dict):
     """Words by the order in which they came; the new ones are listed, too."""
 
@@ -41,16 +61,19 @@ class _Numbered(dict):
 
 
 class _WordIds:
-    """Encodes texts word by word, each different word once.
-
-    The tokenizer drops white space, lower-cases, and never merges across white space or from a
-    letter to a mark, so a text's ids are its words' ids one after the other.
+    """Encodes texts word by word, each different word once, where the tokenizer's file allows it (goes_by_words): it
+    drops white space, lower-cases, and never merges across white space or from a letter to a mark, so a text's ids are
+    its words' ids one after the other. With any other file texts are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_words = goes_by_words(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -101,6 +124,9 @@ class _WordIds:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and the ids of all."""
+        if not self.by_words:
+            found = self.encoded(texts)
+            return np.array([len(x) for x in found], dtype=np.int64), np.fromiter(chain.from_iterable(found), dtype=np.int32)
         if len(self.at) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         words = [(t if UNUSUAL.search(t) else MARKS.sub(r" \1", t.lower())).replace("\n", " ").split(" ") for t in texts]
@@ -156,11 +182,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     docs: doc_id and text; other columns don't matter. A null text is the empty text: one id, the
     end. Null ids come first; rows with the same id stand in the order of their texts. Each file is one
     range of ids (part), in order (n: place in it), so files in the order of part are the table in
-    the order of doc_id. An empty table gives files without rows, or none.
+    the order of doc_id. An empty table gives files without rows, or none. There are as many ranges as shuffle partitions, or
+    as many more as the texts have RANGE_BYTES.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if not n:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     # the hash in the range key deals out rows with one id, too; rows alike in both are the same text
     dealt = rows.repartitionByRange(n, order[0], order[1]).sortWithinPartitions(*order)
