@@ -80,8 +80,9 @@ def test_close_pairs_of_many_names(spark, monkeypatch, least):
     assert got == {(i, j) for i, x in left for j, y in right if x is not None and y is not None and difflib.SequenceMatcher(None, x, y).ratio() >= least}
 
 
-def test_run_plan_grows_with_names_only():
-    for least in (0.75, 0.85, 0.88):
-        plan = {(n, q): (k, first) for n, q, k, first in L.run_plan(20, least)}
-        assert max(first for _, first in plan.values()) <= 20
-        assert all(k <= first for k, first in plan.values())
+def test_run_plan():
+    for least in (0.6, 0.75, 0.85, 0.88):
+        for _, n, q, k, first in L.run_plan(list(range(21)), list(range(21)), least):
+            assert 1 <= k <= first <= n - q + 1
+    assert L.run_plan([17], [16], 0.85) == [(True, 17, 3, 2, 10), (False, 16, 3, 2, 9)]
+    assert L.run_plan([17], [3], 0.85) == [] == L.run_plan([0], [0], 0.85)

@@ -375,6 +375,14 @@ def test_grid_of_spans(spark):
     assert sum(r["page_id"] == 5 for r in grid) == 5001 + 5001 and cells[5, 0, 4999] == "w" and cells[5, 1, 0] == "" and cells[5, 1, 5000] == "x"
 
 
+def test_table_too_wide(spark):
+    page = "<table><tr><td>a</td></tr></table><table><tr><td colspan='3000000000'>b</td></tr><tr><td rowspan=2>c</td></tr></table><table><tr><td colspan=16384>d</td></tr></table>"
+    pages = spark.createDataFrame([(1, page), (2, "<table><tr><td>e</td></tr></table>")], "page_id long, html string")
+    grid = K.table_grid(pages)
+    assert {(r["page_id"], r["tbl"]): r["n"] for r in grid.groupBy("page_id", "tbl").agg(F.count("*").alias("n")).collect()} == {(1, 0): 1, (1, 2): 16_384, (2, 0): 1}
+    assert [tuple(r) for r in K.too_wide(pages).collect()] == [(1, 1, 3_000_000_000)]
+
+
 def grid_by_force(rows):
     """The grid cell by cell: a table of what reaches down from above, column by column."""
     out, above = [], {}

@@ -100,19 +100,21 @@ def shared_runs(total: int, least: float, q: int) -> int:
     return matched - (q - 1) * (total - 2 * matched + 1)
 
 
-def run_plan(longest: int, least: float, together: int = RUNS_TOGETHER) -> list[tuple[int, int, int, int]]:
-    """n, q, k, first: a name of n characters has keys of k runs of q characters each, from its `first` rarest runs.
+def run_plan(lefts: list[int], rights: list[int], least: float, together: int = RUNS_TOGETHER) -> list[tuple[bool, int, int, int, int]]:
+    """is_left, n, q, k, first: a name of n characters has keys of k runs of q characters each, from its `first` rarest runs.
 
     Two names that share c runs have k of them among their first so many less c - k, in any order that holds for all
-    names. Which q and k a pair goes by depends on its length: those that tell most apart and that it surely shares."""
+    names. Which q and k a pair goes by depends on its length: those that tell most apart and that it surely shares.
+    Only lengths that names of the two sides have count."""
     fits = lambda total: max(((q * k, q, k) for q in range(1, LONGEST_RUN + 1) for k in range(1, together + 1) if shared_runs(total, least, q) >= k), default=None)
-    need: dict[tuple[int, int, int], int] = {}
-    for n in range(1, longest + 1):
-        for m in range(max(1, math.ceil(n * least / (2 - least) - 1e-9)), min(longest, math.floor(n * (2 - least) / least + 1e-9)) + 1):
-            if (best := fits(n + m)) is not None:
+    need: dict[tuple[bool, int, int, int], int] = {}
+    for n in lefts:
+        for m in rights:
+            if min(n, m) and 2 * min(n, m) >= least * (n + m) - 1e-9 and (best := fits(n + m)) is not None:
                 _, q, k = best
-                first = n - q + 1 - shared_runs(n + m, least, q) + k
-                need[n, q, k] = max(need.get((n, q, k), 0), first)
+                for is_left, size in ((True, n), (False, m)):
+                    first = size - q + 1 - shared_runs(n + m, least, q) + k
+                    need[is_left, size, q, k] = max(need.get((is_left, size, q, k), 0), first)
     return [(*key, first) for key, first in need.items()]
 
 
@@ -133,17 +135,18 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     pairs tested are little more than the similar ones, and grow with the names and not with their square. The ratio
     decides in the end. Two empty names have the ratio 1; a null is no name."""
     names = written(left.select(F.col("l_name").alias("name"), F.lit(True).alias("is_left")).union(right.select("r_name", F.lit(False))).filter("name is not null").distinct().withColumn("n", F.length("name")), "names")
-    longest, count = names.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-    spark, rows = left.sparkSession, run_plan(longest, least, RUNS_TOGETHER + (count >= MANY_NAMES))
-    plan = F.broadcast(spark.createDataFrame(rows, "n int, q int, k int, first int"))  # a few rows for each length of a name
-    sized = names.join(F.broadcast(spark.createDataFrame(sorted({(n, q) for n, q, _, _ in rows}), "n int, q int")), "n")
+    lengths = names.groupBy("is_left", "n").agg(F.count("*").alias("names")).collect()  # a row for each length of a name
+    sides = [sorted(r["n"] for r in lengths if r["is_left"] == side) for side in (True, False)]
+    spark, rows = left.sparkSession, run_plan(*sides, least, RUNS_TOGETHER + (sum(r["names"] for r in lengths) >= MANY_NAMES))
+    plan = F.broadcast(spark.createDataFrame(rows, "is_left boolean, n int, q int, k int, first int"))
+    sized = names.join(F.broadcast(spark.createDataFrame(sorted({r[:3] for r in rows}), "is_left boolean, n int, q int")), ["is_left", "n"])
     runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring("name", i, F.col("q")))
     # a run that a name has twice is two runs
     numbered = F.transform(runs, lambda r, i: F.struct(r.alias("run"), F.size(F.filter(F.slice(runs, 1, i), lambda o: o == r)).alias("nth")))
     each = sized.select("name", "is_left", "n", "q", F.explode(numbered).alias("run"))
     seen = each.groupBy("q", "run").agg(F.count("*").alias("df"))
     ordered = each.join(seen, ["q", "run"]).groupBy("name", "is_left", "n", "q").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("runs"))
-    chosen = ordered.join(plan, ["n", "q"]).select("name", "is_left", "q", "k", F.slice("runs", F.lit(1), F.col("first")).alias("runs"))
+    chosen = ordered.join(plan, ["is_left", "n", "q"]).select("name", "is_left", "q", "k", F.slice("runs", F.lit(1), F.col("first")).alias("runs"))
     keys = written(chosen.select("name", "is_left", F.explode(_together(F.transform("runs", lambda x: x["run"]), F.col("k"))).alias("h"), "q", "k").select("name", "is_left", F.xxhash64("q", "k", "h").alias("key")), "run-keys")
     l, r = (keys.filter(F.col("is_left") == side).select(F.col("name").alias(f"{c}_name"), "key") for side, c in ((True, "l"), (False, "r")))
     shorter, total = F.least(F.length("l_name"), F.length("r_name")), F.length("l_name") + F.length("r_name")

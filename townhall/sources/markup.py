@@ -238,6 +238,10 @@ def dense(rows: list[list[list]]) -> list[list[tuple[int, int, str]]]:
     return out
 
 
+#: Columns of a table that is laid out; a span can ask for any number of them.
+GRID_COLUMNS = 16_384
+
+
 def _grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -245,13 +249,30 @@ def _grids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parser = _Tables()
             parser.feed(html or "")
             for t, table in enumerate(parser.tables):
-                rows += [(page_id, t, r, *run) for r, line in enumerate(dense(table)) for run in line]
-        yield pd.DataFrame(rows, columns=["page_id", "tbl", "row", "first", "last", "text"])
+                grid = dense(table)
+                width = max((run[1] for line in grid for run in line), default=0)
+                if width > GRID_COLUMNS:
+                    rows.append((page_id, t, None, 0, width, None))
+                else:
+                    rows += [(page_id, t, r, *run) for r, line in enumerate(grid) for run in line]
+        frame = pd.DataFrame(rows, columns=["page_id", "tbl", "row", "first", "last", "text"])
+        yield frame.astype({"row": "Int32"})
+
+
+RUNS = "page_id long, tbl int, row int, first long, last long, text string"
+
+
+def too_wide(pages: DataFrame) -> DataFrame:
+    """page_id, tbl, columns of the tables that table_grid() leaves out, since they have more than GRID_COLUMNS columns."""
+    return pages.select("page_id", "html").mapInPandas(_grids, RUNS).filter("row is null").select("page_id", "tbl", F.col("last").alias("columns"))
 
 
 def table_grid(pages: DataFrame) -> DataFrame:
-    """page_id, tbl, row, col, text: every cell of every table of the pages, spans resolved. A null page has none."""
-    runs = pages.select("page_id", "html").mapInPandas(_grids, "page_id long, tbl int, row int, first long, last long, text string")
+    """page_id, tbl, row, col, text: every cell of every table of the pages, spans resolved. A null page has none.
+
+    A table of more than GRID_COLUMNS columns, which only a mistaken span makes, has none either: too_wide() reports it,
+    and the page's other tables stay. Up to here a span is one run, whatever its width."""
+    runs = pages.select("page_id", "html").mapInPandas(_grids, RUNS).filter("row is not null")
     return runs.select("page_id", "tbl", "row", F.explode(F.sequence("first", F.col("last") - 1)).alias("col"), "text").withColumn("col", F.col("col").cast("int"))
 
 
