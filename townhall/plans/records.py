@@ -8,6 +8,7 @@ from townhall.operators import indicators as I
 from townhall.operators import linkage as L
 from townhall.operators import merge as M
 from townhall.operators import quality as Q
+from townhall.operators import variants as W
 from townhall.plans.registry import query
 from townhall.sources.standins import view, with_views
 
@@ -310,3 +311,34 @@ def layered_linkage(spark, d):
 @query("first_per_key", "select l_orderkey, l_partkey, l_linenumber from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) = 1")
 def first_per_key(spark, d):
     return M.last_of(view(spark, d, "lineitem"), ["l_orderkey"], [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")]).select("l_orderkey", "l_partkey", "l_linenumber")
+
+
+#: Shapes of facts by key; other keys have none.
+SHAPES = {"click": "struct<count:bigint not null,total:bigint>", "view": "bigint", "error": "string", "purchase": "array<bigint>"}
+
+
+def _payloads(spark, d):
+    """The events as facts of mixed shapes: each fifth has another shape than its key's, each fifth no value, and each seventh of the rest no JSON."""
+    k = F.col("event_id")
+    n = k.cast("string")
+    good = F.when(F.col("event_type") == "click", F.concat(F.lit('{"count": '), n, F.lit(', "total": '), (2 * k).cast("string"), F.lit(', "more": [1]}'))).when(F.col("event_type") == "view", n).when(F.col("event_type") == "error", F.concat(F.lit('"e'), n, F.lit('"'))).otherwise(F.concat(F.lit("["), n, F.lit(", 1]")))
+    bad = F.when(F.col("event_type") == "click", F.lit('{"count": "x"}')).when(F.col("event_type") == "view", F.lit('"7"')).when(F.col("event_type") == "error", F.lit("12")).otherwise(F.lit('[1, "2"]'))
+    text = F.when(k % 5 == 3, F.lit(None)).when(k % 7 == 6, F.lit("{not JSON")).when(k % 5 == 4, bad).otherwise(good)
+    return view(spark, d, "events").select(k.alias("subject_id"), F.col("event_type").alias("fact_key"), text.alias("fact_value"))
+
+
+@query("variant_facts", """select event_id subject_id, event_type fact_key, case event_type when 'click' then event_id when 'view' then event_id when 'purchase' then event_id + 1 end n, case when event_type = 'click' then 2 * event_id end total, case when event_type = 'error' then 'e' || event_id end words
+  from events where event_type in ('click', 'view', 'error', 'purchase') and event_id % 5 not in (3, 4) and event_id % 7 <> 6""")
+def variant_facts(spark, d):
+    """Every fact that has its key's shape, read as that shape; arrays are added up."""
+    facts = W.with_variant(_payloads(spark, d))
+    of = {key: F.when(F.col("fact_key") == key, W.typed(F.col("v"), ddl)) for key, ddl in SHAPES.items()}
+    read = facts.select("subject_id", "fact_key", *(c.alias(key) for key, c in of.items())).filter(" or ".join(f"{key} is not null" for key in SHAPES))
+    n = F.coalesce("click.count", "view", F.aggregate("purchase", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return read.select("subject_id", "fact_key", n.alias("n"), F.col("click.total").alias("total"), F.col("error").alias("words"))
+
+
+@query("fact_shape_problems", """select event_id subject_id, event_type fact_key, case when event_id % 5 = 3 then 'no value' when event_id % 7 = 6 then 'no JSON' when event_type not in ('click', 'view', 'error', 'purchase') then 'unknown key' else 'wrong shape' end problem
+  from events where event_id % 5 in (3, 4) or event_id % 7 = 6 or event_type not in ('click', 'view', 'error', 'purchase')""")
+def fact_shape_problems(spark, d):
+    return W.shape_problems(_payloads(spark, d), SHAPES).select("subject_id", "fact_key", "problem")
