@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from townhall.functions import text as X
 from townhall.operators import linkage as L
 from townhall.operators import merge as M
+from townhall.operators.graph import folder_for
 from townhall.plans.registry import query
+from townhall.sources import paged as P
 from townhall.sources.standins import view, with_views
 
 
@@ -160,3 +162,17 @@ def working_set(spark, d):
     from townhall.operators.feeds import recent
 
     return view(spark, d, "items").filter(recent("published_at", "2024-01-01 12:00:00", 7) & (F.col("published_at") <= F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"))).select("item_id")
+
+
+@query("paged_records", "select row_number() over (order by c_custkey) - 1 number, c_custkey, c_name from customer")
+def paged_records(spark, d):
+    """Customers landed as pages of a hundred records, read as a source that holds them against their total."""
+    P.register(spark)
+    path, order = folder_for(spark, "pages"), Window.orderBy("c_custkey")
+    c = view(spark, d, "customer").select("c_custkey", "c_name")
+    total = c.agg(F.count("*").alias("total"))
+    placed = c.withColumn("n", F.row_number().over(order) - 1)  # the stand-in for a site that numbers its own records
+    pages = placed.groupBy(F.expr("n div 100").alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "c_custkey", "c_name"))).alias("records")).crossJoin(F.broadcast(total))  # one row
+    pages.select("page", F.to_json(F.struct("total", "records")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    read = spark.read.format("paged").option("limit", 100).load(path + "/page={page}")
+    return read.select("number", F.from_json("record", "c_custkey long, c_name string").alias("r")).select("number", "r.c_custkey", "r.c_name")
