@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.llm.common import hold, if_small, materialize, slices
+from townhall.llm.common import forget, hold, if_small, materialize, slices
 
 WORDS = 5
 UNIVERSE_BITS = 20
@@ -150,14 +150,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out.folder = e.folder
+            return out
         before = state
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         near = large.groupBy("a").agg(F.min("b").alias("m"))
         lower = large.join(near, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(near.select("a", F.col("m").alias("b")).unionByName(lower).distinct(), name)
+        after = materialize(near.select("a", F.col("m").alias("b")).unionByName(lower).distinct(), name)
+        forget(e)
+        e = after
 
 
 class _Job:
@@ -172,6 +176,16 @@ class _Job:
         self.kept = kept
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
         self.tested: DataFrame | None = None
+        self.held: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that later steps read; done() removes it."""
+        out = materialize(df, name)
+        self.held.append(out)
+        return out
+
+    def done(self) -> None:
+        forget(*self.held)
 
     def profiles(self) -> DataFrame:
         schema = "doc_id long, text_hash long, fp long, n long, keys array<long>, low long, high long"
@@ -189,11 +203,13 @@ class _Job:
         wanted = if_small(nodes.select("fp", "text_hash"), "wanted")
         found = self.texts.drop("doc_id").join(wanted, "text_hash").mapInArrow(_sets(self.words), "fp long, shingles array<long>")
         # copies of a text give the same row again
-        return materialize(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+        sets = materialize(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+        forget(wanted)
+        return sets
 
     def confirm(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) with the demanded similarity of their whole sets."""
-        pairs = materialize(pairs, "pairs")
+        pairs = self.keep(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         if pairs.isEmpty():
             return pairs
@@ -202,7 +218,9 @@ class _Job:
         one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), "a")
         two = one.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b")), "b")
         common = two.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("i"), (F.size("of_a") + F.size("of_b")).alias("s"))
-        return materialize(common.filter(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+        links = self.keep(common.filter(100 * F.col("i") >= self.percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+        forget(sets)
+        return links
 
     def centers(self, members: DataFrame) -> DataFrame:
         """Each bucket's members with its center: the one whose buckets are the fullest in sum."""
@@ -218,7 +236,9 @@ class _Job:
         rooted = members.join(roots, members.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
         rooted = materialize(rooted, "rooted")
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        return materialize(rooted.join(mixed, "key", "left_semi"), "apart")
+        apart = self.keep(rooted.join(mixed, "key", "left_semi"), "apart")
+        forget(rooted, roots)
+        return apart
 
     def pairs_by(self, keyed: DataFrame, placed: bool = False) -> DataFrame:
         """Likely pairs of different components with one key that weren't tested before.
@@ -245,15 +265,17 @@ class _Job:
         spare = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
         ranked = shared.withColumn("place", F.row_number().over(order)).join(one, "fp").join(alone, "fp", "left")
         ranked = ranked.withColumn("place", F.col("place") + F.coalesce("alone", F.lit(0)))
-        return ranked.filter(F.col("place") <= spare).select("key", "fp", "n", "low", "high", "root", "place")
+        keys = self.keep(ranked.filter(F.col("place") <= spare).select("key", "fp", "n", "low", "high", "root", "place"), "rare-keys")
+        forget(sets)
+        return keys
 
     def links(self, profiles: DataFrame) -> DataFrame:
-        nodes = materialize(
+        nodes = self.keep(
             profiles.filter("n > 0").groupBy("fp", "n", "low", "high").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys")), "nodes"
         )
         rows = nodes.select("fp", "n", "low", "high", F.explode("keys").alias("key"))
         full = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-        members = materialize(rows.join(full, "key"), "members")
+        members = self.keep(rows.join(full, "key"), "members")
         links = self.confirm(self.centers(members), nodes)
         apart = self.apart(members, links)
         if apart.isEmpty():
@@ -263,7 +285,7 @@ class _Job:
         apart = self.apart(apart.filter(F.col("m") > SMALL_BUCKET).drop("root"), links)
         if apart.isEmpty():
             return links
-        large = self.pairs_by(materialize(self.rare_keys(apart, nodes), "rare-keys"), placed=True)
+        large = self.pairs_by(self.rare_keys(apart, nodes), placed=True)
         return links.unionByName(self.confirm(large, nodes))
 
 
@@ -287,6 +309,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     # one row for a set of shingles: no group is ever collected
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = materialize(rooted.join(least, "root").select("fp", "component_id"), "component-ids")
+    job.done()
+    forget(roots)
     out = profiles.select("doc_id", "text_hash", "fp", F.col("n").alias("n_shingles")).join(ids, "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", own.alias("component_id")).withColumn(
