@@ -62,5 +62,43 @@ def test_excerpts_of_all_pages(spark):
             assert at >= 0 and len(line) > 60
 
 
+def excerpt_by_force(page):
+    """Tags and text one after the other, by a pattern instead of a parser."""
+    found, inside, skip, text, meta = {"article": [], "main": [], "page": []}, {"article": 0, "main": 0}, 0, None, None
+
+    def close():
+        nonlocal text
+        words = " ".join(html.unescape(text or "").split())
+        for where in [k for k, n in inside.items() if n] + ["page"] if words else []:
+            found[where].append(words)
+        text = None
+
+    page = re.sub(r"(?s)<!--.*?-->", "", page)
+    for tag, plain in re.findall(r"(?s)(<[/a-zA-Z][^>]*>)|((?:[^<]|<(?![/a-zA-Z]))+)", page):
+        name = re.match(r"</?([a-zA-Z0-9]*)", tag)[1].lower() if tag else ""
+        if not tag:
+            text = text + plain if text is not None and not skip else text
+        elif name in ("script", "style"):
+            skip = max(0, skip + (-1 if tag[1] == "/" else 1))
+        elif name == "p":
+            close()
+            text = None if tag[1] == "/" else ""
+        elif name in inside:
+            if tag[1] == "/":
+                close()
+            inside[name] = max(0, inside[name] + (-1 if tag[1] == "/" else 1))
+        elif name == "meta" and re.search(r"""(?:property|name)=["']?og:description["' ]""", tag) and meta is None:
+            meta = " ".join(html.unescape(re.search(r"""content=(?:"([^"]*)"|'([^']*)')""", tag)[1] or "").split()) or None
+    close()
+    parts = dict.fromkeys(([meta] if meta else []) + [t for t in found["article"] or found["main"] or found["page"] if len(t) > 60])
+    return "\n".join(parts)[:2500]
+
+
+def test_excerpts_by_force(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r["excerpt"] for r in catalog.QUERIES["page_excerpts"](spark, SF).collect()}
+    assert got == {i: excerpt_by_force(page) for i, page in pages.items()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.operators.graph import least_labels, written
+from townhall.operators.graph import forget, least_labels, written
 
 #: Strings too common to link two stories. Fixed values.
 GENERIC = ["tamil nadu", "தமிழ்நாடு", "tamilnadu", "india", "இந்தியா", "tn"]
@@ -69,7 +69,10 @@ def greedy_clusters(signed: DataFrame, confirmed: DataFrame) -> DataFrame:
     while labels.filter("changed").limit(1).count():
         near = links.join(labels.filter("changed").select(F.col("item_id").alias("earlier"), "label"), "earlier").groupBy(F.col("later").alias("item_id")).agg(F.min("label").alias("l"))
         step = labels.select("item_id", "label").join(near, "item_id", "left").select("item_id", F.least("label", "l").alias("new"), "label")
-        labels = written(step.select("item_id", F.col("new").alias("label"), (~F.col("new").eqNullSafe(F.col("label"))).alias("changed")), "labels")
+        after = written(step.select("item_id", F.col("new").alias("label"), (~F.col("new").eqNullSafe(F.col("label"))).alias("changed")), "labels")
+        forget(labels)
+        labels = after
+    forget(items, links)
     return labels.select("item_id", F.col("label").alias("cluster_id"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from townhall.functions.patterns import lexicon_matches  # noqa: F401
 from townhall.functions.text import has_tamil, norm_name, without_reservation
-from townhall.operators.graph import written
+from townhall.operators.graph import forget, written
 
 #: Honorifics and roles that stand before names and aren't part of them.
 STOP_TOKENS = ["cm", "chief", "minister", "mla", "mp", "dr", "mr", "mrs", "thiru", "selvi"]
@@ -317,7 +317,9 @@ def _walk(options: DataFrame) -> DataFrame:
         decided = decided.unionByName(now)
         taken = now.filter("record_id is not null").select(F.col("record_id").alias("t_id"))
         rest = left.join(now.select("code"), "code", "left_anti").join(taken, F.col("record_id") == F.col("t_id"), "left")
-        left = written(rest.select("code", F.when(F.col("t_id").isNull(), F.col("record_id")).alias("record_id"), "layer", "rank"), "link-options")
+        after = written(rest.select("code", F.when(F.col("t_id").isNull(), F.col("record_id")).alias("record_id"), "layer", "rank"), "link-options")
+        forget(left)
+        left = after
     return decided
 
 
