@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from townhall.llm.common import fresh_path, materialize, slices
+from townhall.llm.common import forget, fresh_path, materialize, slices
 from townhall.llm.decontamination import words_of
 
 #: Text bytes of a shard, and shards of a row group, which a reader holds whole.
@@ -63,7 +63,9 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
     null ids and repeated rows each stay a document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows.mapInArrow(_index, INDEX_SCHEMA).write.option("parquet.block.row.count.limit", GROUP_SHARDS).parquet(path)
-    return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
+    index = docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
+    index.folder = path
+    return index
 
 
 class Workload:
@@ -361,5 +363,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, block_words: int = BL
         best = ranked(lists.drop("shard").mapInArrow(_search(work, k, floors), "item int, doc_id long, score long"), k)
         ids = F.broadcast(spark.createDataFrame(list(enumerate(work.ids)), "item int, item_id long"))  # a block's items, at most one a word
         part = materialize(best.join(ids, "item").select("item_id", "rank", "doc_id", "score"), "ranked")
+        forget(lists)
         out = part if out is None else out.unionByName(part)
+    forget(index)  # the ranks are written
     return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if out is None else out
