@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from townhall.operators import events as E
-from townhall.operators import linkage as L
 from townhall.operators import overlay as V
 from townhall.operators import spatial as S
 from townhall.plans.registry import query
