@@ -1,5 +1,6 @@
 import datetime as dt
 import difflib
+import math
 import random
 import re
 import unicodedata
@@ -77,6 +78,12 @@ def test_seat_and_party_names(spark):
     assert one(spark, X.slug, " São  Paulo--12! ") == "s-o-paulo-12" and one(spark, X.slug, None) is None
 
 
+def test_compact_amounts_round_in_binary(spark):
+    shown = [r["s"] for r in spark.sql("select explode(array(100500, 115500, 422500, 10050000)) a").select(X.inr_compact("a").alias("s")).collect()]
+    hundredths = [math.floor(x * 100 + 0.5) / 100 for x in (1.005, 1.155, 4.225, 1.005)]
+    assert shown == [f"₹{h:.2f}".rstrip("0").rstrip(".") + u for h, u in zip(hundredths, (" lakh", " lakh", " lakh", " crore"), strict=True)]
+
+
 def test_names_and_money(spark):
     assert one(spark, X.norm_name, "St. Mary's (East), A-B") == "st mary s east a b"
     assert one(spark, X.title_case, "C.JOSEPH o'NEIL") == "C.Joseph O'Neil"

@@ -184,7 +184,8 @@ def approximate_tail(text: Column | str) -> Column:
 def inr_compact(amount: Column | str) -> Column:
     """Two decimals at most in lakh from 100,000 and in crore from 10,000,000; smaller amounts as they are."""
     a = _col(amount)
-    unit = lambda n, name: F.concat(F.lit("₹"), F.regexp_replace(F.format_string("%.2f", F.round(a / n, 2)), r"\.?0+$", ""), F.lit(f" {name}"))
+    hundredths = lambda n: F.round(a / n * 100) / 100  # by the binary value; round(x, 2) goes by its decimal digits
+    unit = lambda n, name: F.concat(F.lit("₹"), F.regexp_replace(F.format_string("%.2f", hundredths(n)), r"\.?0+$", ""), F.lit(f" {name}"))
     return F.when(a >= CRORE, unit(CRORE, "crore")).when(a >= LAKH, unit(LAKH, "lakh")).otherwise(F.concat(F.lit("₹"), F.format_number(a, 0)))
 
 
