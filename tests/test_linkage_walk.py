@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 
 from townhall.operators import linkage as L
@@ -86,3 +87,22 @@ def test_run_plan():
             assert 1 <= k <= first <= n - q + 1
     assert L.run_plan([17], [16], 0.85) == [(True, 17, 3, 2, 10), (False, 16, 3, 2, 9)]
     assert L.run_plan([17], [3], 0.85) == [] == L.run_plan([0], [0], 0.85)
+
+
+def test_few_names_meet_by_chance():
+    rng = random.Random(5)
+    names = ["".join(rng.choice("aeioubdfgklmnprs") for _ in range(17)) for _ in range(2000)]
+    near = [n[:3] + n[4:9] + "xx" + n[10:] for n in names]
+    plan = L.part_plan(17, 17, 0.75)
+    sides = []
+    for side in (names, near):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(side)], names=["id", "name"])
+        keys = {}
+        for b in L.part_keys({17: plan})(iter([batch])):
+            for key, who, _, skipped in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys.setdefault(key, []).append((who, skipped))
+        assert sum(map(len, keys.values())) <= 2000 * L.MOST_KEYS
+        sides.append(keys)
+    met = {(a, b) for key, left in sides[0].items() for a, da in left for b, db in sides[1].get(key, ()) if da + db <= 4}
+    assert {(i, i) for i in range(2000)} <= met
+    assert len(met) < 4000  # of 4,000,000 pairs

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import math
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +46,7 @@ def decomposed(name: Column | str) -> Column:
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The ratio of matching blocks of two short names, for pairs that share a block already."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def alias_join(rows: DataFrame, names: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
@@ -100,17 +104,80 @@ def shared_runs(total: int, least: float, q: int) -> int:
     return matched - (q - 1) * (total - 2 * matched + 1)
 
 
-def run_plan(lefts: list[int], rights: list[int], least: float, together: int = RUNS_TOGETHER) -> list[tuple[bool, int, int, int, int]]:
+#: Parts of what two names have in common are so many characters long at most, and a name has so many keys of one kind at most.
+LONGEST_PART, MOST_KEYS = 7, 1000
+
+
+def part_plan(n: int, m: int, least: float) -> list[tuple[str, int, int]] | None:
+    """part, size, edits: keys of names of n and m characters that meet if the ratio reaches `least`; None if there were too many.
+
+    At least M characters are matched, in one order, so n + m - 2 * M are left out. Where names have few choices of M
+    characters, those are the keys (whole). Else fewer than that are left out between the first characters that are
+    matched, or between the last ones: the parts' edits add up to one less than all, so one of the two parts is met."""
+    matched = math.ceil(least * (n + m) / 2 - 1e-9)
+    edits = n + m - 2 * matched
+    if math.comb(max(n, m), matched) <= 150:
+        return [("whole", matched, 0)]
+    first = min(matched // 2, LONGEST_PART)
+    last, of_first = min(matched - first, LONGEST_PART), (edits - 1) // 2
+    plan = [(part, size, e) for part, size, e in (("first", first, of_first), ("last", last, edits - 1 - of_first)) if e >= 0]
+    return plan if all(e < 8 for _, _, e in plan) and sum(math.comb(size + e, e) for _, size, e in plan) <= MOST_KEYS else None
+
+
+def part_keys(plan: dict[int, list[tuple[str, int, int]]]):
+    """Function of Arrow batches of names (id, name): keys (key, id, size, skipped) by the plan of each length.
+
+    A key is a hash of some characters in their order; skipped says how many were left out before the last of them (first)
+    or after the first (last). A name has each key once, with the fewest left out."""
+    salt = {"whole": 1, "first": 2, "last": 3}
+
+    def of(chars: np.ndarray, part: str, size: int, e: int) -> np.ndarray:
+        n = chars.shape[1]
+        span = n if part == "whole" else min(n, size + e)
+        at = np.array(list(itertools.combinations(range(span), size)), dtype=np.int64).reshape(-1, size)
+        skipped = np.zeros(len(at), np.uint64) if part == "whole" else (at[:, -1] + 1 - size if part == "first" else span - at[:, 0] - size).astype(np.uint64)
+        at = at + (n - span if part == "last" else 0)
+        h = np.full((len(chars), len(at)), salt[part] * 1000 + size, np.uint64)
+        for i in range(size):
+            h = (h ^ chars[:, at[:, i]]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h & ~np.uint64(7)) | skipped
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
+            sizes = np.array([len(x) for x in names], dtype=np.int64)
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                for start in range(0, len(rows) if plan.get(int(n)) else 0, 1000):
+                    some = rows[start : start + 1000]
+                    chars = np.frombuffer("".join(names[some]).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), n).astype(np.uint64)
+                    keys = np.sort(np.concatenate([of(chars, *x) for x in plan[int(n)]], axis=1), axis=1)
+                    new = np.ones(keys.shape, bool)
+                    new[:, 1:] = keys[:, 1:] >> np.uint64(3) != keys[:, :-1] >> np.uint64(3)
+                    who, flat = np.repeat(ids[some], keys.shape[1])[new.ravel()], keys[new]
+                    skipped = (flat & np.uint64(7)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array((flat >> np.uint64(3)).astype(np.int64)), pa.array(who), pa.array(np.full(len(flat), n, np.int32)), pa.array(skipped)], names=["key", "id", "size", "skipped"])
+
+    return run
+
+
+def comparable(n: int, m: int, least: float) -> bool:
+    """Whether names of so many characters can have the ratio."""
+    return min(n, m) > 0 and 2 * min(n, m) >= least * (n + m) - 1e-9
+
+
+def run_plan(lefts: list[int], rights: list[int], least: float, together: int = RUNS_TOGETHER, skip: set[tuple[int, int]] = frozenset()) -> list[tuple[bool, int, int, int, int]]:
     """is_left, n, q, k, first: a name of n characters has keys of k runs of q characters each, from its `first` rarest runs.
 
     Two names that share c runs have k of them among their first so many less c - k, in any order that holds for all
     names. Which q and k a pair goes by depends on its length: those that tell most apart and that it surely shares.
-    Only lengths that names of the two sides have count."""
+    Only lengths that names of the two sides have count, without those to skip."""
     fits = lambda total: max(((q * k, q, k) for q in range(1, LONGEST_RUN + 1) for k in range(1, together + 1) if shared_runs(total, least, q) >= k), default=None)
     need: dict[tuple[bool, int, int, int], int] = {}
     for n in lefts:
         for m in rights:
-            if min(n, m) and 2 * min(n, m) >= least * (n + m) - 1e-9 and (best := fits(n + m)) is not None:
+            if (n, m) not in skip and comparable(n, m, least) and (best := fits(n + m)) is not None:
                 _, q, k = best
                 for is_left, size in ((True, n), (False, m)):
                     first = size - q + 1 - shared_runs(n + m, least, q) + k
@@ -127,17 +194,9 @@ def _together(runs: Column, k: Column) -> Column:
     return F.when(k == 1, F.transform(runs, lambda x: F.xxhash64(x))).when(k == 2, twos).otherwise(threes)
 
 
-def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """l_id, r_id, l_name, r_name, ratio of the pairs of left (l_id, l_name) and right (r_id, r_name) with a ratio of at least `least`.
-
-    Names meet on their rarest runs of characters, two or three of them together where a pair surely shares that many
-    (run_plan), each different name once. No pair is lost. What meets by chance falls with each run of a key, so the
-    pairs tested are little more than the similar ones, and grow with the names and not with their square. The ratio
-    decides in the end. Two empty names have the ratio 1; a null is no name."""
-    names = written(left.select(F.col("l_name").alias("name"), F.lit(True).alias("is_left")).union(right.select("r_name", F.lit(False))).filter("name is not null").distinct().withColumn("n", F.length("name")), "names")
-    lengths = names.groupBy("is_left", "n").agg(F.count("*").alias("names")).collect()  # a row for each length of a name
-    sides = [sorted(r["n"] for r in lengths if r["is_left"] == side) for side in (True, False)]
-    spark, rows = left.sparkSession, run_plan(*sides, least, RUNS_TOGETHER + (sum(r["names"] for r in lengths) >= MANY_NAMES))
+def _meet_on_runs(names: DataFrame, sides: list[list[int]], least: float, skip: set[tuple[int, int]], many: int) -> DataFrame:
+    """l_name, r_name of the names (name, is_left, n) that meet on runs, for lengths that aren't to be skipped."""
+    spark, rows = names.sparkSession, run_plan(*sides, least, RUNS_TOGETHER + (many >= MANY_NAMES), skip)
     plan = F.broadcast(spark.createDataFrame(rows, "is_left boolean, n int, q int, k int, first int"))
     sized = names.join(F.broadcast(spark.createDataFrame(sorted({r[:3] for r in rows}), "is_left boolean, n int, q int")), ["is_left", "n"])
     runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring("name", i, F.col("q")))
@@ -150,7 +209,39 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     keys = written(chosen.select("name", "is_left", F.explode(_together(F.transform("runs", lambda x: x["run"]), F.col("k"))).alias("h"), "q", "k").select("name", "is_left", F.xxhash64("q", "k", "h").alias("key")), "run-keys")
     l, r = (keys.filter(F.col("is_left") == side).select(F.col("name").alias(f"{c}_name"), "key") for side, c in ((True, "l"), (False, "r")))
     shorter, total = F.least(F.length("l_name"), F.length("r_name")), F.length("l_name") + F.length("r_name")
-    met = l.join(r, "key").filter(2 * shorter >= least * total - 1e-9).select("l_name", "r_name").distinct()
+    return l.join(r, "key").filter(2 * shorter >= least * total - 1e-9).select("l_name", "r_name").distinct()
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """l_id, r_id, l_name, r_name, ratio of the pairs of left (l_id, l_name) and right (r_id, r_name) with a ratio of at least `least`.
+
+    Names meet on choices of characters that a pair surely shares in their order (part_plan), each different name once;
+    long ones, of which such choices were too many, on their rarest runs of characters (run_plan). No pair is lost. What
+    meets by chance is a small part of what is similar, unless most names begin or end alike. The ratio decides in the
+    end. Two empty names have the ratio 1; a null is no name."""
+    names = written(left.select(F.col("l_name").alias("name"), F.lit(True).alias("is_left")).union(right.select("r_name", F.lit(False))).filter("name is not null").distinct().select("name", "is_left", F.length("name").alias("n"), F.monotonically_increasing_id().alias("id")), "names")
+    lengths = names.groupBy("is_left", "n").agg(F.count("*").alias("names")).collect()  # a row for each length of a name
+    sides = [sorted(r["n"] for r in lengths if r["is_left"] == side) for side in (True, False)]
+    plans, planned = ({}, {}), set()
+    for n, m in itertools.product(*sides):
+        if comparable(n, m, least) and (plan := part_plan(n, m, least)) is not None:
+            planned.add((n, m))
+            for side, size in zip(plans, (n, m), strict=True):
+                for part, length, e in plan:
+                    kinds = side.setdefault(size, {})
+                    kinds[part, length] = max(kinds.get((part, length), 0), e)
+    schema = "key long, id long, size int, skipped int"
+    l, r = (
+        names.filter(F.col("is_left") == side).select("id", "name").repartition("id").mapInArrow(part_keys({n: [(*k, e) for k, e in kinds.items()] for n, kinds in plan.items()}), schema).select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "size", "skipped")))
+        for side, x, plan in ((True, "l", plans[0]), (False, "r", plans[1]))
+    )
+    both = F.col("l_size") + F.col("r_size")
+    edits = both - 2 * F.ceil(least * both / 2 - 1e-9)
+    pairs = l.hint("merge").join(r, "key").filter((2 * F.least("l_size", "r_size") >= least * both - 1e-9) & (2 * (F.col("l_skipped") + F.col("r_skipped")) <= edits)).select("l_id", "r_id").distinct()
+    known = lambda x: names.select(F.col("id").alias(f"{x}_id"), F.col("name").alias(f"{x}_name"))
+    met = pairs.join(known("l"), "l_id").join(known("r"), "r_id").select("l_name", "r_name")
+    if any((n, m) not in planned and comparable(n, m, least) for n, m in itertools.product(*sides)):
+        met = met.unionByName(_meet_on_runs(names, sides, least, planned, sum(x["names"] for x in lengths))).distinct()
     empty = names.filter("n = 0").select(F.col("name").alias("l_name"), F.col("name").alias("r_name")).distinct()
     alike = met.unionByName(empty).withColumn("ratio", similarity("l_name", "r_name")).filter(F.col("ratio") >= least)
     return left.join(alike, "l_name").join(right, "r_name").select("l_id", "r_id", "l_name", "r_name", "ratio")
