@@ -5,6 +5,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from townhall.operators import linkage as L
 
@@ -106,3 +107,14 @@ def test_few_names_meet_by_chance():
     met = {(a, b) for key, left in sides[0].items() for a, da in left for b, db in sides[1].get(key, ()) if da + db <= 4}
     assert {(i, i) for i in range(2000)} <= met
     assert len(met) < 4000  # of 4,000,000 pairs
+
+
+def test_ratio_bounds(spark):
+    rng = random.Random(7)
+    some = ["", "a", "ab", "abab"] + ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, b) for a in some for b in some], "a string, b string")
+    rows = pairs.select("a", "b", *L._ratio_bounds(F.col("a"), F.col("b"))).collect()
+    for r in rows:
+        ratio = difflib.SequenceMatcher(None, r["a"], r["b"]).ratio()
+        assert r["known"] in (None, ratio) and ratio <= r["most"] + 1e-12
+    assert sum(r["known"] is not None for r in rows) > len(some)

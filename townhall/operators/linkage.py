@@ -313,6 +313,17 @@ def seat_match(rows: DataFrame, seats: DataFrame, aliases: DataFrame, least: flo
     return rows.join(all_found, rows.row_id == all_found.f_id, "left").drop("f_id")
 
 
+def _ratio_bounds(a: Column, b: Column) -> tuple[Column, Column]:
+    """known, most: the ratio of two names where one is in the other, else null; and what it can't exceed, null where a name is.
+
+    One more character that is changed, added or left out is at least one less in common. Long names, where common
+    characters aren't compared, are never known."""
+    n, m = F.length(a), F.length(b)
+    inside = ((n > 0) | (m == 0)) & ((m > 0) | (n == 0)) & (n < 200) & (m < 200) & (F.contains(a, b) | F.contains(b, a))
+    known = F.when(inside, F.when(n + m == 0, F.lit(1.0)).otherwise(2.0 * F.least(n, m) / (n + m)))
+    return known.alias("known"), F.coalesce(known, (n + m - F.levenshtein(a, b)) / F.nullif(n + m, F.lit(0))).alias("most")
+
+
 def listing_match(listing: DataFrame, holders: DataFrame, aliases: DataFrame, least: float = 0.45, close: float = 0.85, most: int = 3) -> DataFrame:
     """row_id, person_id, seat_key, ratio, skipped for rows of a listing (row_id, name, seat, assets) among holders (person_id, name, seat).
 
@@ -329,7 +340,14 @@ def listing_match(listing: DataFrame, holders: DataFrame, aliases: DataFrame, le
     near = close_pairs(rest.select(F.col("row_id").alias("l_id"), F.col("key").alias("l_name")), seats.select(F.col("seat_key").alias("r_id"), F.col("seat_key").alias("r_name")), close)
     order = Window.partitionBy("l_id").orderBy(F.desc("ratio"), F.desc("r_name"))
     near = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= most).select(F.col("l_id").alias("row_id"), F.col("r_id").alias("seat_key"))
-    tried = exact.unionByName(near).join(rows.select("row_id", "name", "assets"), "row_id").join(held, "seat_key").withColumn("ratio", similarity("name", "holder"))
+    # the holders of one seat; a row's name is only measured against those that could be as near as the nearest that is known
+    at_seat = held.groupBy("seat_key").agg(F.collect_list(F.struct("holder", "person_id")).alias("holders"))
+    seen = F.transform("holders", lambda h: F.struct(h["holder"].alias("holder"), h["person_id"].alias("person_id"), *_ratio_bounds(F.col("name"), h["holder"])))
+    met = exact.unionByName(near).join(rows.select("row_id", "name", "assets"), "row_id").join(at_seat, "seat_key").withColumn("seen", seen)
+    could = F.filter("seen", lambda h: F.coalesce(h["most"], F.lit(0.0)) >= F.coalesce(F.array_max(F.transform("seen", lambda o: o["known"])), F.lit(0.0)) - 1e-9)
+    left = met.select("row_id", "assets", "name", "seat_key", F.explode(could).alias("h"))
+    ratio = F.coalesce("h.known", similarity(F.when(F.col("h.known").isNull(), F.col("name")), F.col("h.holder")))
+    tried = left.select("row_id", "assets", "seat_key", F.col("h.person_id").alias("person_id"), ratio.alias("ratio"))
     best = tried.groupBy("row_id", "assets").agg(F.max(F.struct("ratio", "seat_key", "person_id")).alias("b"))
     skipped = F.when(F.coalesce(F.col("b.ratio"), F.lit(0.0)) < least, "name differs").when(F.col("assets").isNull(), "no assets")
     return best.select("row_id", F.when(skipped.isNull(), F.col("b.person_id")).alias("person_id"), F.col("b.seat_key").alias("seat_key"), F.round("b.ratio", 6).alias("ratio"), skipped.alias("skipped"))
