@@ -17,7 +17,7 @@ from townhall.operators import merge as M
 from townhall.operators import offices as O
 from townhall.operators import quality as Q
 from townhall.operators import spatial as S
-from townhall.operators.graph import least_labels
+from townhall.operators.graph import least_labels, written
 from townhall.sources import markup as K
 from townhall.streaming import ingest as G
 
@@ -206,6 +206,35 @@ def test_long_chain_of_links(spark):
     assert [r["label"] for r in got] == [0]
 
 
+def test_greedy_clusters_of_a_chain_in_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(E, "written", lambda df, name: tables.append(name) or written(df, name))
+    ids = list(range(100))
+    random.Random(3).shuffle(ids)
+    rows = signed(spark, [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), [], [], []) for n, i in enumerate(ids)])
+    pairs = spark.createDataFrame([(min(x), max(x)) for x in zip(ids, ids[1:])], "item_a long, item_b long")
+    assert {r["cluster_id"] for r in E.greedy_clusters(rows, pairs).collect()} == {ids[0]}
+    assert len(tables) < 20
+
+
+def test_clusters_far_apart_in_time_meet_no_item(spark):
+    rng = random.Random(4)
+    at = lambda: dt.datetime(2024, 1, rng.randint(1, 28), rng.randint(0, 23))
+    some = lambda tag, n: sorted({f"{tag}{rng.randint(0, n)}" for _ in range(2)})
+    new = [(i, at(), some("p", 40), some("d", 3), some("word", 12)) for i in range(40)]
+    members = [(100 + i, at(), some("p", 40), some("d", 3), some("word", 12)) for i in range(60)]
+    hours = lambda x: x[1].timestamp() / 3600
+    expected = set()
+    for n in new:
+        for c in range(21):
+            of = [m for m in members if m[0] // 3 == c + 33]
+            p, d, s = ({v for m in of for v in m[k]} & set(n[k]) for k in (2, 3, 4))
+            if (p or len(s) > 1 or (s and d)) and any(abs(hours(n) - hours(m)) < 72 for m in of):
+                expected.add((n[0], c + 33))
+    grouped = signed(spark, members).withColumn("cluster_id", F.expr("item_id div 3"))
+    assert {(r["item_id"], r["cluster_id"]) for r in E.fitting_clusters(signed(spark, new), grouped).collect()} == expected
+
+
 def test_cluster_locality(spark):
     rows = [(1, ["a"]), (1, ["a"]), (1, ["a", "b"]), (2, ["a"]), (2, ["b"]), (3, []), (3, None)]
     got = {r["cluster_id"]: r["district"] for r in E.cluster_locality(spark.createDataFrame(rows, "cluster_id long, districts array<string>")).collect()}
