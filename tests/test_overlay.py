@@ -136,3 +136,24 @@ def test_cells_passed(spark):
     got = [{(c["cx"], c["cy"]) for c in r[0]} for r in df.select(V.cells_passed(1.0)).collect()]
     assert got[0] == {(x, 0) for x in range(4)} and got[1] == {(0, y) for y in range(3)}
     assert {(0, 0), (1, 1), (2, 2)} <= got[2] and (0, 2) not in got[2]
+
+
+def test_large_edges_split_by_pair(spark, monkeypatch):
+    """Many small areas over one border: each is measured by its own pieces, not by all that the others cut."""
+    n = 60
+    small = [(i, 0, [[[(x, y - 1), (x + 1, y), (x, y + 1), (x - 1, y), (x, y - 1)]]]) for i in range(n) for x, y in [(4 + i % 7 * 0.2, 5 + i * 0.01)]]
+    large = [(1, 0, [[[(-5, -5), (5, -5), (5, 20), (-5, 20)]]]), (2, 0, [[[(5, -5), (15, -5), (15, 20), (5, 20)]]])]
+    large = [(i, p, [[[*g[0][0], g[0][0][0]]]]) for i, p, g in large]
+    rows, kept = [], V.point_in_polygon
+
+    def counted(points, areas, size):
+        rows.append(points.count())
+        return kept(points, areas, size)
+
+    monkeypatch.setattr(V, "point_in_polygon", counted)
+    got = {(r["area_id"], r["parent_id"]): r["common"] / r["own"] for r in V.common_areas(frame(spark, small), frame(spark, large), 2.0).collect()}
+    for i in range(n):
+        hi = max(-1, min(1, 5 - (4 + i % 7 * 0.2)))
+        left = ((1 + hi) ** 2 if hi <= 0 else 2 - (1 - hi) ** 2) / 2
+        assert abs(got.get((i, 1), 0) - left) < 1e-9 and abs(got.get((i, 2), 0) - (1 - left)) < 1e-9
+    assert min(rows) == 8  # the large ones' edges are points once each, whatever lies on them

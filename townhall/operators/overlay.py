@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from townhall.operators.graph import forget, written
-from townhall.operators.spatial import GEOMETRY, point_in_polygon
+from townhall.operators.spatial import GEOMETRY, contains, point_in_polygon
 
 #: How far from a line, in parts of the lengths, a point counts as on it.
 EPS = 1e-12
@@ -45,8 +45,8 @@ def edges_of(areas: DataFrame, key: str, directed: bool = True) -> DataFrame:
     return written(each.withColumn("edge", F.monotonically_increasing_id()), "edges")
 
 
-def cells_passed(size: float) -> Column:
-    """The cells (cx, cy) that an edge passes: column by column, the part of the edge that lies in it."""
+def cells_passed(size: float, slack: float = 1e-6) -> Column:
+    """The cells (cx, cy) that an edge passes, or comes as near as slack (in cells): column by column, the part of the edge that lies in it."""
     cell = lambda v: F.floor(v / size)
     lo, hi = F.least("ax", "bx"), F.greatest("ax", "bx")
     slope = F.try_divide(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
@@ -56,9 +56,9 @@ def cells_passed(size: float) -> Column:
         at = lambda x: F.col("ay") + slope * (x - F.col("ax"))
         low = F.when(slope.isNull(), F.least("ay", "by")).otherwise(F.least(at(x0), at(x1)))
         high = F.when(slope.isNull(), F.greatest("ay", "by")).otherwise(F.greatest(at(x0), at(x1)))
-        return F.transform(F.sequence(cell(low - size * 1e-6), cell(high + size * 1e-6)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+        return F.transform(F.sequence(cell(low - size * slack), cell(high + size * slack)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    return F.flatten(F.transform(F.sequence(cell(lo - size * 1e-6), cell(hi + size * 1e-6)), column))
+    return F.flatten(F.transform(F.sequence(cell(lo - size * slack), cell(hi + size * slack)), column))
 
 
 def _turn(p: str, q: str, r: str) -> Column:
@@ -71,11 +71,17 @@ def _turn(p: str, q: str, r: str) -> Column:
 
 def meetings(left: DataFrame, right: DataFrame, size: float, on: list[str] | None = None) -> DataFrame:
     """l_edge, r_edge, kind, x, y: where edges of two tables meet (with equal columns `on`): crossing, or a vertex of one
-    inside the other (touching), which overlapping edges have, too, or at a vertex of both (vertex)."""
+    inside the other (touching), which overlapping edges have, too, or at a vertex of both (vertex).
+
+    What pairs of a cell have in common is found where they meet, so that no pair is shuffled. One side alone goes to cells nearby."""
     on = on or []
-    l = left.select(*on, F.col("edge").alias("l_edge"), *(F.col(f"{v}{c}").alias(f"l{v}{c}") for v in "ab" for c in "xy"), F.explode(cells_passed(size)).alias("cell"))
+    l = left.select(*on, F.col("edge").alias("l_edge"), *(F.col(f"{v}{c}").alias(f"l{v}{c}") for v in "ab" for c in "xy"), F.explode(cells_passed(size, 0.0)).alias("cell"))
     r = right.select(*on, F.col("edge").alias("r_edge"), *(F.col(f"{v}{c}").alias(f"r{v}{c}") for v in "ab" for c in "xy"), F.explode(cells_passed(size)).alias("cell"))
-    pairs = l.join(r, [*on, "cell"]).filter("l_edge <> r_edge").drop("cell").dropDuplicates(["l_edge", "r_edge"])
+    near = F.lit(True)
+    for c in "xy":
+        reach = lambda side, end: end(f"{side}a{c}", f"{side}b{c}")
+        near = near & (reach("l", F.greatest) >= reach("r", F.least) - size * 1e-6) & (reach("r", F.greatest) >= reach("l", F.least) - size * 1e-6)
+    pairs = l.join(r, [*on, "cell"]).filter((F.col("l_edge") != F.col("r_edge")) & near)
     pairs = pairs.withColumns({"d1": _turn("la", "lb", "ra"), "d2": _turn("la", "lb", "rb"), "d3": _turn("ra", "rb", "la"), "d4": _turn("ra", "rb", "lb")})
     t = F.col("d3") / (F.col("d3") - F.col("d4"))
     point = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
@@ -88,18 +94,19 @@ def meetings(left: DataFrame, right: DataFrame, size: float, on: list[str] | Non
         found.append(F.when((F.col(d) == 0) & between(p, q, v) & ~corner, point("touching", F.col(v + "x"), F.col(v + "y"))))
         if v[0] == "r":
             found.append(F.when(corner, point("vertex", F.col(v + "x"), F.col(v + "y"))))
-    return pairs.select("l_edge", "r_edge", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("m")).select("l_edge", "r_edge", "m.*")
+    return pairs.select("l_edge", "r_edge", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("m")).select("l_edge", "r_edge", "m.*").distinct()
 
 
 def split(edges: DataFrame, points: DataFrame) -> DataFrame:
     """The edges' pieces between points (edge, x, y) on them, in the direction of their edge."""
+    by = [c for c in points.columns if c not in ("x", "y")]  # the edge, or each edge once for each of another column's values
     keys = [c for c in edges.columns if c not in ("ax", "ay", "bx", "by")]
     along = (F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))
-    at = points.distinct().join(edges.select("edge", "ax", "ay", "bx", "by"), "edge").groupBy("edge").agg(F.array_sort(F.collect_list(F.struct(along.alias("t"), F.col("x").alias("x"), F.col("y").alias("y")))).alias("on"))
+    at = points.distinct().join(edges.select(*by, "ax", "ay", "bx", "by"), by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(along.alias("t"), F.col("x").alias("x"), F.col("y").alias("y")))).alias("on"))
     inner = F.coalesce(F.transform("on", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array().cast("array<struct<x:double,y:double>>"))
     whole = F.concat(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))), inner, F.array(F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
     parts = F.zip_with(F.slice(whole, 1, F.size(whole) - 1), F.slice(whole, 2, F.size(whole) - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    return edges.join(at, "edge", "left").select(*keys, F.explode(parts).alias("e")).select(*keys, "e.*").filter("ax <> bx or ay <> by")
+    return edges.join(at, by, "left").select(*keys, F.explode(parts).alias("e")).select(*keys, "e.*").filter("ax <> bx or ay <> by")
 
 
 def split_among(edges: DataFrame, key: str, size: float) -> DataFrame:
@@ -289,31 +296,48 @@ def on_edges(pieces: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     return met.filter((_turn("ea", "eb", "m") == 0) & along & reach).select("piece", *names, (ways > 0).alias("same")).distinct()
 
 
+def on_border(geom: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge of the geometry, as far as EPS tells."""
+    def on(a: Column, b: Column) -> Column:
+        t = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        scale = (F.abs(b["x"] - a["x"]) + F.abs(b["y"] - a["y"])) * (F.abs(x - a["x"]) + F.abs(y - a["y"]))
+        return (F.abs(t) <= EPS * scale) & ((x - a["x"]) * (x - b["x"]) + (y - a["y"]) * (y - b["y"]) < 0)
+
+    pairs = lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.lit(0), F.size(r) - 1)), F.slice(r, 2, F.greatest(F.lit(0), F.size(r) - 1)), on)
+    return F.exists(F.flatten(geom), lambda r: F.exists(pairs(r), lambda v: F.coalesce(v, F.lit(False))))
+
+
 def common_areas(small: DataFrame, large: DataFrame, size: float) -> DataFrame:
     """area_id, parent_id, common, own: the area that each small and large one (area_id, geom) have in common, and the small one's own.
 
     By the border of what is common: pieces of the one's edges inside the other, and pieces that both have in one direction, each
-    once. Edges are split where they meet those of the other table, so a piece is inside, outside, or on the other's border."""
+    once. A large one's edge is split for each small one that it meets by that one's edges alone, so however many lie on it, it has
+    as many pieces as pairs meet; a piece is inside, outside, or on the other's border."""
     s, l = edges_of(small.select("area_id", "geom"), "area_id"), edges_of(large.select(F.col("area_id").alias("parent_id"), "geom"), "parent_id")
     l = written(l.withColumn("edge", -1 - F.col("edge")), "large-edges")  # numbers of its own
-    met = written(meetings(s, l, size).filter("kind <> 'vertex'"), "meetings")
-    cut = lambda edges, side: written(split(edges, met.select(F.col(f"{side}_edge").alias("edge"), "x", "y")).withColumn("piece", F.monotonically_increasing_id()), "cut")
-    s_cut, l_cut = cut(s, "l"), cut(l, "r")
+    met = written(meetings(s, l, size).filter("kind <> 'vertex'").join(s.select(F.col("edge").alias("l_edge"), "area_id"), "l_edge"), "meetings")
+    ends, middle = ["ax", "ay", "bx", "by"], [((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y")]
+    s_cut = written(split(s, met.select(F.col("l_edge").alias("edge"), "x", "y")).withColumn("piece", F.monotonically_increasing_id()), "cut")
     # about the small one's corner, so that large coordinates cost no digits
     corner = small.select("area_id", F.array_min(F.transform(F.flatten(F.flatten("geom")), lambda p: p["x"])).alias("ox"), F.array_min(F.transform(F.flatten(F.flatten("geom")), lambda p: p["y"])).alias("oy"))
-    s_on = written(on_edges(s_cut, l.select("parent_id", "ax", "ay", "bx", "by"), size).select("piece", "parent_id", "same"), "on-border")
-    l_on = written(on_edges(l_cut, s.select("area_id", "ax", "ay", "bx", "by"), size).select("piece", "area_id"), "on-border")
-
-    def within(cut_edges: DataFrame, areas: DataFrame, on: DataFrame, own: str, other: str) -> DataFrame:
-        middles = cut_edges.select(F.col("piece").alias("point_id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-        hit = point_in_polygon(middles, areas.select("area_id", "geom"), size).select(F.col("point_id").alias("piece"), F.col("area_id").alias(other))
-        return hit.join(on.select("piece", other), ["piece", other], "left_anti").join(cut_edges, "piece").select(own, other, "ax", "ay", "bx", "by")
-
-    columns = ["area_id", "parent_id", "ax", "ay", "bx", "by"]
-    parts = [within(s_cut, large, s_on, "area_id", "parent_id"), within(l_cut, small, l_on, "parent_id", "area_id")]
-    parts.append(s_on.filter("same").select("piece", "parent_id").join(s_cut, "piece"))
+    s_on = written(on_edges(s_cut, l.select("parent_id", *ends), size).select("piece", "parent_id", "same"), "on-border")
+
+    columns = ["area_id", "parent_id", *ends]
+    # the small ones' pieces; a point's id is all that is needed of its piece
+    hit = point_in_polygon(s_cut.select(F.struct("piece", "area_id", *ends).alias("point_id"), *middle), large.select("area_id", "geom"), size)
+    s_in = hit.select("point_id.*", F.col("area_id").alias("parent_id")).join(s_on.select("piece", "parent_id"), ["piece", "parent_id"], "left_anti")
+    # the large ones' pieces: of edges that meet a small one, and whole edges that don't
+    crossed = met.select(F.col("r_edge").alias("edge"), "area_id", "x", "y")
+    pairs = crossed.select("edge", "area_id").distinct()
+    cut = split(pairs.join(l, "edge"), crossed)
+    whole = point_in_polygon(l.select(F.struct("edge", "parent_id", *ends).alias("point_id"), *middle), small.select("area_id", "geom"), size)
+    whole = whole.select("point_id.*", "area_id").join(pairs, ["edge", "area_id"], "left_anti")
+    held = cut.select(*columns).unionByName(whole.select(*columns)).join(small.select("area_id", "geom"), "area_id").select(*columns, "geom", *middle)
+    l_in = held.filter(contains(F.col("geom"), F.col("x"), F.col("y")) & ~on_border(F.col("geom"), F.col("x"), F.col("y")))
+
+    both = s_on.filter("same").select("piece", "parent_id").join(s_cut, "piece")
     cross = lambda: (F.col("ax") - F.col("ox")) * (F.col("by") - F.col("oy")) - (F.col("bx") - F.col("ox")) * (F.col("ay") - F.col("oy"))
-    every = parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns)).join(corner, "area_id")
+    every = s_in.select(*columns).unionByName(l_in.select(*columns)).unionByName(both.select(*columns)).join(corner, "area_id")
     common = every.groupBy("area_id", "parent_id").agg((F.sum(cross()) / 2).alias("common"))
     own = s.join(corner, "area_id").groupBy("area_id").agg((F.sum(cross()) / 2).alias("own"))
     return common.filter("common > 0").join(own, "area_id").select("area_id", "parent_id", "common", "own")
