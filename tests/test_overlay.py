@@ -157,3 +157,20 @@ def test_large_edges_split_by_pair(spark, monkeypatch):
         left = ((1 + hi) ** 2 if hi <= 0 else 2 - (1 - hi) ** 2) / 2
         assert abs(got.get((i, 1), 0) - left) < 1e-9 and abs(got.get((i, 2), 0) - (1 - left)) < 1e-9
     assert min(rows) == 8  # the large ones' edges are points once each, whatever lies on them
+
+
+def test_few_and_many_edges_stitch_alike(spark, monkeypatch):
+    """Areas of few edges are stitched without rounds, with the same rings as in rounds; a null parent is one, too."""
+    bow, touch = [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)], [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)]
+    rows = [(i, None if i % 3 == 2 else i % 3, [[[(x + 10 * i, y) for x, y in (bow, touch, square(0, 0, 3))[i % 3]]]]) for i in range(9)]
+    rings = lambda df, key: {k: sorted((round(total([p]), 9), sorted({q for r in p for q in r})) for p in g) for k, g in shapes(df, key).items()}
+    got = []
+    for few in (256, 6, 0):
+        monkeypatch.setattr(V, "FEW", few)
+        rounds, kept = [], V._stitched_in_rounds
+        monkeypatch.setattr(V, "_stitched_in_rounds", lambda *a, rounds=rounds, kept=kept: rounds.append(1) or kept(*a))
+        got.append((rings(V.repaired(frame(spark, rows), 2.0), "area_id"), rings(V.dissolve(frame(spark, rows), "parent", 2.0), "parent")))
+        assert bool(rounds) == (few < 256)
+        monkeypatch.setattr(V, "_stitched_in_rounds", kept)
+    assert got[0] == got[1] == got[2]
+    assert set(got[0][1]) == {None, 0, 1} and len(got[0][0]) == 9

@@ -2,23 +2,27 @@
 
 Edges meet on the grid cells that they pass, are split where they cross or touch, and cancel where two of opposite
 direction are the same. What is left is stitched: at a vertex, edges that come are paired with edges that go so that
-no two pairs cross, and rings are told apart and put in order by pointer jumping over the edges, a table a round.
-No step holds more than one ring or the edges at one vertex."""
+no two pairs cross, and rings are told apart by pointer jumping over the edges, a table a round; areas of few edges in one row.
+No step holds more than one ring, the edges at one vertex, or a batch of rows of these."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from townhall.operators.graph import forget, written
-from townhall.operators.spatial import GEOMETRY, contains, point_in_polygon
+from townhall.operators.spatial import GEOMETRY, cells, contains, point_in_polygon, with_bounds
 
 #: How far from a line, in parts of the lengths, a point counts as on it.
 EPS = 1e-12
+#: Edges of a key that are stitched in one row; a key with more of them is stitched in rounds.
+FEW = 256
 
 
 def twice_area(ring: Column) -> Column:
@@ -151,12 +155,65 @@ def paired(around: list[tuple[float, bool, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def followed(nexts: list[int | None]) -> list[list[int]]:
+    """The closed rings of edges 0, 1, ..., each from its least edge, by the edge that comes next."""
+    seen, out = [False] * len(nexts), []
+    for first in range(len(nexts)):
+        ring, at = [], first
+        while at is not None and not seen[at]:
+            seen[at] = True
+            ring.append(at)
+            at = nexts[at]
+        if ring and at == first:
+            out.append(ring)
+    return out
+
+
+def linked(edges: list[tuple]) -> list[int | None]:
+    """Which of the directed edges (ax, ay, bx, by) comes after each."""
+    around = {}
+    for k, (ax, ay, bx, by) in enumerate(edges):
+        around.setdefault((ax, ay), []).append((math.atan2(by - ay, bx - ax), True, k))
+        around.setdefault((bx, by), []).append((math.atan2(ay - by, ax - bx), False, k))
+    nexts = [None] * len(edges)
+    for ends in around.values():
+        for comes, goes in paired(ends):
+            nexts[comes] = goes
+    return nexts
+
+
 def _pair_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [p for ends in pdf["ends"] for p in paired([(e["angle"], e["goes"], e["edge"]) for e in ends])]
         yield pd.DataFrame(rows, columns=["edge", "next"], dtype="int64")
 
 
+def _rings_of_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a column and the edges (n, next, times, ax, ay, bx, by) of one ring, or without next of several: their
+    rings, with the middle of the first of the edges that are there least often."""
+    for batch in batches:
+        key, lists = batch.column(0), batch.column(1)
+        fields = {f.name: v.to_pylist() for f, v in zip(lists.type.value_type, lists.flatten().flatten(), strict=True)}
+        every = list(zip(*(fields[c] for c in ("ax", "ay", "bx", "by")), strict=True))
+        of, points, xs, ys, at = [], [], [], [], 0
+        for i, n in enumerate(lists.value_lengths().to_pylist()):
+            edges, times = every[at : at + n], fields["times"][at : at + n]
+            if "next" in fields:
+                place = {e: k for k, e in enumerate(fields["n"][at : at + n])}
+                nexts = [place[e] for e in fields["next"][at : at + n]]
+            else:
+                nexts = linked(edges)
+            at += n
+            for ring in followed(nexts):
+                least = min(ring, key=lambda k: (times[k], k))
+                of.append(i)
+                points.append([{"x": edges[k][0], "y": edges[k][1]} for k in [*ring, ring[0]]])
+                xs.append((edges[least][0] + edges[least][2]) / 2)
+                ys.append((edges[least][1] + edges[least][3]) / 2)
+        corner = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(of, pa.int64())), pa.array(points, corner), pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], [batch.schema.names[0], "points", "mx", "my"])
+
+
 def simple_loops(ring: list) -> list[list]:
     """A closed ring that comes to points more than once, as closed loops that don't."""
     path, at, out = [], {}, []
@@ -180,8 +237,30 @@ def _loops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def stitched(edges: DataFrame, key: str) -> DataFrame:
-    """key, ring, points, twice, mx, my of the closed rings of directed edges: twice their area, and the middle of an edge."""
+    """key, ring, points, twice, mx, my of the closed rings of directed edges: twice their area, and the middle of an edge.
+
+    The edges of a key that has few (FEW) are stitched together in one row; those of others vertex by vertex, in rounds."""
     edges = written(edges.withColumn("edge", F.monotonically_increasing_id()), "directed")
+    same = F.xxhash64(key)  # keys may be null; of keys with one hash both have many
+    many = written(edges.groupBy(same.alias("hash")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("hash"), "many")
+    kind = edges.select(F.lit(None).cast(edges.schema[key].dataType).alias(key), F.lit(None).cast("array<struct<x:double,y:double>>").alias("points"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")).schema
+    ends = ["ax", "ay", "bx", "by"]
+    few = edges.withColumn("hash", same).join(many, "hash", "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("edge").alias("n"), "times", *ends))).alias("edges"))
+    rings = few.select(key, "edges").mapInArrow(_rings_of_edges, kind)
+    if not many.isEmpty():
+        rings = rings.unionByName(_stitched_in_rounds(edges.withColumn("hash", same).join(many, "hash", "left_semi").drop("hash"), key).mapInArrow(_rings_of_edges, kind))
+    found = written(rings, "found")
+    again = F.size(F.array_distinct("points")) < F.size("points") - 1
+    touching = found.filter(again).select(key, "points").mapInPandas(_loops, found.select(key, "points").schema)
+    middle = lambda c: ((F.col("points")[0][c] + F.col("points")[1][c]) / 2).alias(f"m{c}")
+    out = found.filter(~again).unionByName(touching.select(key, "points", middle("x"), middle("y"))).withColumn("twice", twice_area(F.col("points")))
+    out = written(out.filter("size(points) > 3 and abs(twice) > 1e-300").withColumn("ring", F.monotonically_increasing_id()), "stitched")
+    forget(found, many, edges)
+    return out.select(key, "ring", "points", "mx", "my", "twice")
+
+
+def _stitched_in_rounds(edges: DataFrame, key: str) -> DataFrame:
+    """key, edges (n, next, times, ax, ay, bx, by) of each ring."""
     angle = lambda x0, y0, x1, y1: F.atan2(F.col(y1) - F.col(y0), F.col(x1) - F.col(x0)).alias("angle")
     goes = edges.select(key, F.col("ax").alias("x"), F.col("ay").alias("y"), F.struct(angle("ax", "ay", "bx", "by"), F.lit(True).alias("goes"), "edge").alias("end"))
     comes = edges.select(key, F.col("bx").alias("x"), F.col("by").alias("y"), F.struct(angle("bx", "by", "ax", "ay"), F.lit(False).alias("goes"), "edge").alias("end"))
@@ -189,6 +268,7 @@ def stitched(edges: DataFrame, key: str) -> DataFrame:
     edge_that = lambda go: F.filter("ends", lambda e: e["goes"] == go)[0]["edge"]
     plain = at.filter("size(ends) = 2").select(edge_that(False).alias("edge"), edge_that(True).alias("next")).filter("edge is not null and next is not null")
     links = written(plain.unionByName(at.filter("size(ends) > 2").select("ends").mapInPandas(_pair_all, "edge long, next long")), "links")
+    forget(at)
 
     # which ring: the least edge within twice as many steps each round
     state = written(links.select("edge", F.col("next").alias("jump"), F.least("edge", "next").alias("ring")), "rings")
@@ -201,35 +281,19 @@ def stitched(edges: DataFrame, key: str) -> DataFrame:
         state.folder = after.folder
         if not changed:
             break
-    # the place in it: how many edges are left before its least edge comes again
-    rings = state.select("edge", "ring").join(links, "edge")
-    order = written(rings.select("edge", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("jump"), F.lit(1).cast("long").alias("left")), "places")
-    while not order.filter("jump is not null").isEmpty():
-        there = order.select(F.col("edge").alias("jump"), F.col("jump").alias("further"), F.col("left").alias("more"))
-        after = written(order.join(there, "jump", "left").select("edge", "ring", F.col("further").alias("jump"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "places")
-        forget(order)
-        order = after
-    corner = F.struct((-F.col("left")).alias("n"), F.col("ax").alias("x"), F.col("ay").alias("y"))
-    middle = F.struct("times", "edge", ((F.col("ax") + F.col("bx")) / 2).alias("mx"), ((F.col("ay") + F.col("by")) / 2).alias("my"))
-    held = order.select("edge", "ring", "left").join(edges, "edge").groupBy(key, "ring").agg(F.array_sort(F.collect_list(corner)).alias("c"), F.min(middle).alias("m"))
-    points = F.transform(F.concat("c", F.slice("c", 1, 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    found = written(held.select(key, "ring", points.alias("points"), "m.mx", "m.my"), "found")
-    again = F.size(F.array_distinct("points")) < F.size("points") - 1
-    touching = found.filter(again).select(key, "points").mapInPandas(_loops, found.select(key, "points").schema)
-    middle = lambda c: ((F.col("points")[0][c] + F.col("points")[1][c]) / 2).alias(f"m{c}")
-    loops = touching.select(key, (-1 - F.monotonically_increasing_id()).alias("ring"), "points", middle("x"), middle("y"))  # numbers of their own
-    out = found.filter(~again).unionByName(loops).withColumn("twice", twice_area(F.col("points")))
-    return written(out.filter("size(points) > 3 and abs(twice) > 1e-300"), "stitched")
+    # a ring is one row in the end, so its edges come to one row to be put in order
+    whole = state.select("edge", "ring").join(links, "edge").join(edges.select(key, "edge", "times", "ax", "ay", "bx", "by"), "edge")
+    return whole.groupBy(key, "ring").agg(F.array_sort(F.collect_list(F.struct(F.col("edge").alias("n"), "next", "times", "ax", "ay", "bx", "by"))).alias("edges")).select(key, "edges")
 
 
 def holders(rings: DataFrame, key: str, size: float) -> DataFrame:
-    """ring, holder, h_twice: the rings of the same key that the middle of a ring's edge lies in."""
-    areas = rings.select(F.col("ring").alias("area_id"), F.array(F.array("points")).cast(GEOMETRY).alias("geom"))
-    found = point_in_polygon(rings.select(F.col("ring").alias("point_id"), F.col("mx").alias("x"), F.col("my").alias("y")), areas, size)
-    of = rings.select(F.col(key).alias("o_key"), F.col("ring").alias("point_id"))
-    held = rings.select(F.col(key).alias("h_key"), F.col("ring").alias("area_id"), F.abs("twice").alias("h_twice"))
-    met = found.filter("point_id <> area_id").join(of, "point_id").join(held, "area_id").filter(F.col("o_key").eqNullSafe(F.col("h_key")))
-    return met.select(F.col("point_id").alias("ring"), F.col("area_id").alias("holder"), "h_twice")
+    """ring, holder, h_twice: the rings of the same key that the middle of a ring's edge lies in; they meet on cells of their key."""
+    same = F.xxhash64(key).alias("same")
+    areas = with_bounds(rings.select(F.col(key).alias("h_key"), same, F.col("ring").alias("holder"), F.abs("twice").alias("h_twice"), F.array(F.array("points")).cast(GEOMETRY).alias("geom")))
+    held = areas.select("h_key", "same", "holder", "h_twice", "geom", F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("cell"))
+    at = rings.select(F.col(key).alias("o_key"), same, "ring", "mx", "my", F.struct(F.floor(F.col("mx") / size).alias("cx"), F.floor(F.col("my") / size).alias("cy")).alias("cell"))
+    met = at.join(held, ["same", "cell"]).filter((F.col("ring") != F.col("holder")) & F.col("o_key").eqNullSafe(F.col("h_key")))
+    return met.filter(contains(F.col("geom"), F.col("mx"), F.col("my"))).select("ring", "holder", "h_twice")
 
 
 def assembled(rings: DataFrame, inside: DataFrame, key: str) -> DataFrame:
