@@ -101,3 +101,13 @@ def test_shapes_with_heights_and_others():
     assert M.rings_of(struct.pack("<i", 1) + body) is None  # a point
     assert M.rings_of(struct.pack("<i", 5) + body[:-1]) is None
     assert len(M.nested([square[::-1]])) == 1  # a hole in nothing is a border
+
+
+def test_runs_are_bounded(spark, dbf, tmp_path, monkeypatch):
+    """Short runs of a large table become longer ones: tasks don't grow with the records."""
+    write(spark, [(i, f"s{i}", i / 2, True, None) for i in range(500)], tmp_path / "t", files=3)
+    monkeypatch.setattr(M, "MOST_RUNS", 20)
+    runs = M.TableReader(SCHEMA, {"path": str(tmp_path / "t"), "recordsperpartition": "2"}).partitions()
+    assert len(runs) <= 20 + 3 and sum(r.count for r in runs) == 500
+    assert len(M.TableReader(SCHEMA, {"path": str(tmp_path / "t"), "recordsperpartition": "100"}).partitions()) == 6
+    assert sorted(r["n"] for r in dbf(tmp_path / "t", recordsPerPartition=2).collect()) == list(range(500))

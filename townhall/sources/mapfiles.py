@@ -35,6 +35,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 GEOMETRY = T.ArrayType(T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))))
 #: Bytes of records that a task reads, and records of a batch.
 PART_BYTES, BATCH = 64 << 20, 10_000
+#: Runs that recordsPerPartition makes of all files at most; where there would be more, runs are longer, up to PART_BYTES.
+MOST_RUNS = 200
 #: Records of a file that a task writes; it holds so many.
 FILE_RECORDS = 200_000
 HEADER, ENTRY = 100, 8
@@ -158,11 +160,12 @@ class TableReader(DataSourceReader):
         self.run = int(options.get("recordsperpartition", 0))
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path, size in _files(self.path, ".dbf"):
-            if (of := layout(path, size)) is not None:
-                run = self.run or max(1, PART_BYTES // of.size)
-                out += [Run(path, k, min(run, of.count - k)) for k in range(0, of.count, run)]
+        out, tables = [], [(path, of) for path, size in _files(self.path, ".dbf") if (of := layout(path, size)) is not None]
+        least = -(-sum(of.count for _, of in tables) // MOST_RUNS)
+        for path, of in tables:
+            most = max(1, PART_BYTES // of.size)
+            run = max(self.run, min(least, most)) if self.run else most
+            out += [Run(path, k, min(run, of.count - k)) for k in range(0, of.count, run)]
         return out or [Run("", 0, 0)]
 
     def columns(self, of: Layout, raw: bytes) -> tuple[np.ndarray, dict[str, pa.Array]]:
@@ -200,7 +203,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 class TableSource(DataSource):
-    """Tables of fixed-size records (.dbf). Options: encoding; recordsPerPartition; for writing, width of texts."""
+    """Tables of fixed-size records (.dbf). Options: encoding; recordsPerPartition (more, where that made over MOST_RUNS); for writing, width of texts."""
 
     @classmethod
     def name(cls) -> str:
