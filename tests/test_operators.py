@@ -484,3 +484,11 @@ def test_portfolios(spark):
     rows = [(1, "m", [], "Health, Finance,Health"), (2, "Minister", [], "minister"), (3, "m", ["A", "B"], "text")]
     got = sorted((r["person_id"], r["department"]) for r in K.portfolio_split(spark.createDataFrame(rows, "person_id long, position string, names array<string>, text string")).collect())
     assert got == [(1, "Finance"), (1, "Health"), (2, "minister"), (3, "A"), (3, "B")]
+
+
+def test_parse_when_reads_a_text_once(spark):
+    """The parts of a mail date come from one pass over the text, and not from one for each use of a part."""
+    df = spark.createDataFrame([("Fri, 1 Mar 24 10:20 +0530 (IST)\n",), ("1 Mar 2024 04:50:00 EST",), ("x, 1, 2",), ("1 Mar 2024 10:20 +12",)], "t string").select(X.parse_when("t").alias("at"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 0 and plan.count("regexp_replace") <= 4
+    assert [r["at"] and r["at"].isoformat()[:16] for r in df.select(F.date_trunc("minute", F.col("at")).cast("timestamp_ntz").alias("at")).collect()] == ["2024-03-01T04:50", "2024-03-01T09:50", None, None]

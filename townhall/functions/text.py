@@ -151,18 +151,24 @@ _MAIL = r"^(?:[A-Za-z]+,?\s+)?(\d{1,2})[ -]([A-Za-z]{3})[A-Za-z]*[ -](\d{2}|\d{4
 def parse_when(text: Column | str) -> Column:
     """A mail date (with or without weekday, seconds and zone; two-digit years up to 68 are of this century), or an ISO
     one; without a zone UTC; null for anything else."""
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # c is computed once, however often f names it
+    zones, hours = F.array(*map(F.lit, ZONES)), F.array(*(F.lit(60 * v) for v in ZONES.values()))
+
+    def at(parts: Column) -> Column:
+        n = lambda i: parts[i].try_cast("int")
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(parts[1]))
+        year = F.when(F.length(parts[2]) == 2, n(2) + F.when(n(2) > 68, 1900).otherwise(2000)).otherwise(n(2))
+        signed = (F.substring(parts[6], 2, 2).try_cast("int") * 60 + F.substring(parts[6], 4, 2).try_cast("int")) * F.when(F.startswith(parts[6], F.lit("-")), -1).otherwise(1)
+        named = F.coalesce(F.try_element_at(hours, F.nullif(F.array_position(zones, F.upper(parts[6])), F.lit(0)).cast("int")), F.lit(0))
+        minutes = F.when(F.startswith(parts[6], F.lit("-")) | F.startswith(parts[6], F.lit("+")), signed).otherwise(named)
+        return F.try_make_timestamp(year, month.cast("int"), n(0), n(3), n(4), F.coalesce(n(5), F.lit(0)), F.lit("UTC")) - F.make_dt_interval(mins=minutes)
+
     t = F.trim(_col(text))
-    part = lambda i: F.regexp_extract(t, _MAIL, i)
-    n = lambda i: part(i).try_cast("int")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(2)))
-    year = F.when(F.length(part(3)) == 2, n(3) + F.when(n(3) > 68, 1900).otherwise(2000)).otherwise(n(3))
-    named = F.coalesce(*(F.when(F.upper(part(7)) == k, 60 * v) for k, v in ZONES.items()))
-    signed = (F.substring(part(7), 2, 2).try_cast("int") * 60 + F.substring(part(7), 4, 2).try_cast("int")) * F.when(F.startswith(part(7), F.lit("-")), -1).otherwise(1)
-    minutes = F.when(part(7).rlike(r"^[+-]\d{4}$"), signed).otherwise(F.coalesce(named, F.lit(0)))
-    at = F.try_make_timestamp(year, month.cast("int"), n(1), n(4), n(5), F.coalesce(n(6), F.lit(0)), F.lit("UTC"))
-    mail = F.when(t.rlike(_MAIL), at - F.make_dt_interval(mins=minutes))
+    # one pass over the text for all of its parts, none of which can hold a comma
+    parts = F.split(F.regexp_replace(t, _MAIL, "".join(f"${i}," for i in range(1, 8))), ",")
+    mail = F.when(t.rlike(_MAIL), once(parts, at))
     whole = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit(" 00:00:00"))).otherwise(F.regexp_replace(t, "T", " "))
-    zoned = F.when(whole.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    zoned = once(whole, lambda w: F.when(w.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), w).otherwise(F.concat(w, F.lit("Z"))))
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.try_to_timestamp(zoned))
     return F.coalesce(mail, iso)
 
