@@ -117,3 +117,14 @@ def test_no_clusters_of_nothing(spark, tmp_path):
     state = C.ClusterState(spark, f"file://{tmp_path}/state")
     state.advance(spark.createDataFrame([], C.STATE), 0, judge, confirm)
     assert state.clusters().count() == 0 == state.ended().count()
+
+
+def test_slices_have_a_number_of_files(spark, tmp_path):
+    """A slice has as many files as asked for, whatever partitions its rows are in; without a number one for each."""
+    rows = spark.range(600).selectExpr("id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int), 0) as at").repartition(24)
+    for files, most in ((4, 3 * 4), (None, 3 * 24)):
+        path = tmp_path / str(files)
+        G.land_slices(rows, "at", str(path), 3, files)
+        there = [p for p in path.glob("part-*.parquet") if spark.read.parquet(str(p)).count()]
+        assert (most == 12 and len(there) <= 12) or len(there) > 12
+        assert spark.read.parquet(str(path)).count() == 600
