@@ -235,6 +235,31 @@ def test_clusters_far_apart_in_time_meet_no_item(spark):
     assert {(r["item_id"], r["cluster_id"]) for r in E.fitting_clusters(signed(spark, new), grouped).collect()} == expected
 
 
+def _most_rows(df):
+    """The most rows that any step of a plan made when it ran."""
+    df.collect()
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind, rows = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+        plans += [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_a_word_of_all_items_joins_none_far_apart(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    old = [(i, t0 + dt.timedelta(hours=i), [], ["d"], ["flood", f"w{i}"]) for i in range(1500)]
+    new = [(5000 + i, t0 + dt.timedelta(hours=1490 + i), [], ["d"], ["flood"]) for i in range(1500)]
+    fits = {(n, c) for n in range(5000, 6500) for c in range(75) if any(abs(n - 5000 + 1490 - i) < 72 for i in range(20 * c, 20 * c + 20))}
+    judged = spark.createDataFrame([(n, c, True) for n, c in fits], "item_id long, cluster_id long, same boolean")
+    joined = E.assign_to_clusters(signed(spark, new), signed(spark, old).withColumn("cluster_id", F.expr("item_id div 20")), judged)
+    expected = {n: min(c for m, c in fits if m == n) for n, _ in fits}
+    assert {r["item_id"]: r["cluster_id"] for r in joined.collect()} == expected and len(expected) > 70
+    assert _most_rows(joined) < 7500  # near the rows that were given; 112,500 items and clusters share the word
+
+
 def test_cluster_locality(spark):
     rows = [(1, ["a"]), (1, ["a"]), (1, ["a", "b"]), (2, ["a"]), (2, ["b"]), (3, []), (3, None)]
     got = {r["cluster_id"]: r["district"] for r in E.cluster_locality(spark.createDataFrame(rows, "cluster_id long, districts array<string>")).collect()}
